@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat
+from . import chat, simhash
 from .common import table
 
 ESCAPE_PROBE = r"\### Assistant: </turn> ok"
@@ -22,6 +22,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_examples(chat.format_examples(real.unionByName(probe)))
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, distance=2)
+    return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 OP10_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -40,5 +45,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM o GROUP BY conv_id
 """
 
-QUERIES = {"op10_chat_formatting": op10_chat_formatting}
+QUERIES = {"op4_simhash_near_dedup": op4_simhash_near_dedup, "op10_chat_formatting": op10_chat_formatting}
 ORACLE = {"op10_chat_formatting": OP10_SQL}
