@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, simhash
+from . import chat, decontam, mixing, quality, simhash
 from .common import table
 
 ESCAPE_PROBE = r"\### Assistant: </turn> ok"
@@ -27,6 +27,20 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op9_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", F.col("k_topic").alias("topic"), "n_tokens", F.round("rate", 6).alias("rate"), "copies")
+
+
 OP10_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -45,5 +59,76 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM o GROUP BY conv_id
 """
 
-QUERIES = {"op4_simhash_near_dedup": op4_simhash_near_dedup, "op10_chat_formatting": op10_chat_formatting}
-ORACLE = {"op10_chat_formatting": OP10_SQL}
+OP7_SQL = r"""
+WITH text_of AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), marked AS (
+  SELECT side, id, lower(regexp_replace(regexp_replace(regexp_replace(text,
+    '(\p{N})[.,:/](\p{N})', '\1' || chr(4) || '\2', 'g'),
+    '(\p{N} ?)(UNITS)\b', '\1 ' || chr(2) || '\2', 'g'),
+    '([\p{L},;] )(\p{Lu})', '\1' || chr(1) || '\2', 'g')) AS m FROM text_of
+), toks AS (
+  SELECT side, id, list_filter(regexp_split_to_array(m, '[^\p{L}\p{N}\x01\x02\x04]+'), lambda x: x <> '') AS t FROM marked
+), typed AS (
+  SELECT side, id, t, list_transform(t, lambda x: CASE WHEN x[1] = chr(1) THEN '<name>' WHEN x[1] = chr(2) THEN '<unit>' WHEN x[1] BETWEEN '0' AND '9' THEN '<number>' ELSE x END) AS h,
+    least(len(t), 13) AS own FROM toks WHERE side = 'd' OR len(t) >= 5
+), sizes AS (SELECT DISTINCT own AS n FROM typed WHERE side = 'b'),
+placed AS (
+  SELECT side, id, n, h[i:i + n - 1] AS w,
+    list_filter(list_transform(range(i, i + n), lambda k: CASE WHEN h[k] IN ('<name>', '<unit>', '<number>') THEN t[k] END), lambda x: x IS NOT NULL) AS slots
+  FROM typed JOIN sizes ON (side = 'd' OR own = n), LATERAL (SELECT unnest(range(1, len(t) - n + 2)) AS i)
+), win AS (
+  SELECT side, id, n, w, list_transform(slots, lambda s: list_position(slots, s)) AS pat FROM placed WHERE len(slots) <= greatest(n - 8, n // 2)
+), hit AS (
+  SELECT d.id AS doc_id, b.id AS item_id, count(*) AS c FROM win d JOIN win b ON d.side = 'd' AND b.side = 'b' AND d.n = b.n AND d.w = b.w AND d.pat = b.pat GROUP BY ALL
+)
+SELECT doc_id, list_sort(list(item_id)) AS item_ids, sum(c)::BIGINT AS n_windows FROM hit GROUP BY doc_id
+""".replace("UNITS", "|".join(sorted(decontam.UNITS.split(), key=lambda u: (-len(u), u))))
+
+
+def _op9_sql(sweeps: int = 10, power: float = 0.7, share: float = 0.5) -> str:
+    """The sweeps as one common table expression for each margin."""
+    steps = [
+        r"""WITH m AS (SELECT doc_id, source, lang, coalesce(source, '') AS k_source, coalesce(lang, '') AS k_lang,
+      CASE WHEN contains(lower(text), 'license') THEN 'legal' WHEN contains(lower(text), '@') THEN 'contact' WHEN contains(lower(text), '://') THEN 'web'
+        WHEN contains(lower(text), '|') THEN 'table' ELSE 'prose' END AS k_topic,
+      coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens FROM documents)""".replace("\\\\", "\\"),
+        "c0 AS MATERIALIZED (SELECT k_source, k_lang, k_topic, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::DOUBLE AS weight FROM m GROUP BY ALL)",
+    ]
+    for d in mixing.DIMENSIONS:
+        steps.append(f"s_{d} AS MATERIALIZED (SELECT k_{d}, pow(sum(tokens)::DOUBLE, {power}) AS p FROM c0 GROUP BY 1)")
+        steps.append(f"t_{d} AS MATERIALIZED (SELECT k_{d}, p / (SELECT sum(p) FROM s_{d}) AS target FROM s_{d})")
+    last = "c0"
+    for i in range(sweeps * len(mixing.DIMENSIONS)):
+        d = mixing.DIMENSIONS[i % len(mixing.DIMENSIONS)]
+        steps.append(
+            f"c{i + 1} AS MATERIALIZED (SELECT k_source, k_lang, k_topic, tokens, weight * CASE WHEN margin > 0 THEN target / margin ELSE 1 END AS weight"
+            f" FROM {last} JOIN (SELECT k_{d}, sum(weight) AS margin FROM {last} GROUP BY 1) USING (k_{d}) JOIN t_{d} USING (k_{d}))"
+        )
+        last = f"c{i + 1}"
+    steps.append(
+        f"r AS (SELECT k_source, k_lang, k_topic, CASE WHEN tokens > 0 THEN weight * ({share} * (SELECT sum(tokens) FROM {last}) / (SELECT sum(weight) FROM {last})) / tokens ELSE 0 END AS rate FROM {last})"
+    )
+    return (
+        ",\n".join(steps)
+        + """
+    SELECT * FROM (SELECT doc_id, source, lang, k_topic AS topic, n_tokens, round(rate, 6) AS rate,
+      floor(rate + ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0)::INT AS copies
+    FROM m JOIN r USING (k_source, k_lang, k_topic)) WHERE copies > 0"""
+    )
+
+
+OP9_SQL = _op9_sql()
+
+QUERIES = {
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_mixing_to_targets": op9_mixing_to_targets,
+    "op10_chat_formatting": op10_chat_formatting,
+}
+ORACLE = {
+    "op7_benchmark_decontamination": OP7_SQL,
+    "op9_mixing_to_targets": OP9_SQL,
+    "op10_chat_formatting": OP10_SQL,
+}
