@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, quality, simhash
+from . import chat, decontam, mixing, quality, simhash, substring_dedup
 from .common import table
 
 ESCAPE_PROBE = r"\### Assistant: </turn> ok"
@@ -22,6 +22,15 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_examples(chat.format_examples(real.unionByName(probe)))
 
 
+def _removed(spans: str) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", _removed("spans").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, distance=2)
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -120,7 +129,19 @@ def _op9_sql(sweeps: int = 10, power: float = 0.7, share: float = 0.5) -> str:
 
 OP9_SQL = _op9_sql()
 
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM d, LATERAL (SELECT unnest(range(1, len(w) - 33)) AS i)),
+dup AS (SELECT doc_id, i, i AS s FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS c FROM win) WHERE c > 1),
+words AS (SELECT doc_id, i, w[i] AS word FROM d, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)),
+cov AS (SELECT doc_id, i, word, coalesce(i - max(dup.s) OVER (PARTITION BY doc_id ORDER BY i) <= 34, false) AS gone FROM words LEFT JOIN dup USING (doc_id, i))
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(any_value(r), 0)::BIGINT AS n_removed, sha256(coalesce(any_value(kept), '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, count(*) FILTER (gone) AS r, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM cov GROUP BY doc_id) USING (doc_id)
+GROUP BY doc_id, w
+"""
+
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_quality_classifier": op8_quality_classifier,
@@ -128,6 +149,7 @@ QUERIES = {
     "op10_chat_formatting": op10_chat_formatting,
 }
 ORACLE = {
+    "op1_substring_dedup": OP1_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
     "op9_mixing_to_targets": OP9_SQL,
     "op10_chat_formatting": OP10_SQL,
