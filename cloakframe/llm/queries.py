@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, quality, simhash, substring_dedup
+from . import chat, decontam, mixing, quality, simhash, substring_dedup, suffix_dedup
 from .common import table
 
 ESCAPE_PROBE = r"\### Assistant: </turn> ok"
@@ -31,6 +31,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", _removed("spans").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.earlier_strings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", _removed("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, distance=2)
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -140,8 +145,22 @@ FROM d LEFT JOIN (SELECT doc_id, count(*) FILTER (gone) AS r, string_agg(word, '
 GROUP BY doc_id, w
 """
 
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+part AS (SELECT doc_id, p * 512 AS o, substr(h, p * 1024 + 1, 1122) AS h, least(512, length(h) // 2 - p * 512) AS n FROM d, LATERAL (SELECT unnest(range(0, (length(h) // 2 + 511) // 512)) AS p)),
+pos AS (SELECT doc_id, o + i AS i, substr(h, 2 * i - 1, 2) AS b, CASE WHEN 2 * i + 98 <= length(h) THEN substr(h, 2 * i - 1, 100) END AS s FROM part, LATERAL (SELECT unnest(range(1, n + 1)) AS i)),
+first AS (SELECT s, min(doc_id) AS f FROM pos WHERE s IS NOT NULL GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, i, b, CASE WHEN f < doc_id THEN i END AS st FROM pos LEFT JOIN first USING (s)),
+cov AS (SELECT doc_id, i, b, coalesce(i - max(st) OVER (PARTITION BY doc_id ORDER BY i) <= 49, false) AS gone FROM hit),
+run AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM cov)
+SELECT doc_id, count(b)::BIGINT AS n_bytes, count(*) FILTER (gone)::BIGINT AS n_removed, count(*) FILTER (starts)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(string_agg(b, '' ORDER BY i) FILTER (NOT gone), ''))) AS kept_sha256
+FROM d LEFT JOIN run USING (doc_id) GROUP BY doc_id
+"""
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_quality_classifier": op8_quality_classifier,
@@ -150,6 +169,7 @@ QUERIES = {
 }
 ORACLE = {
     "op1_substring_dedup": OP1_SQL,
+    "op3_suffix_array_dedup": OP3_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
     "op9_mixing_to_targets": OP9_SQL,
     "op10_chat_formatting": OP10_SQL,

@@ -218,3 +218,17 @@ def bit(place: str) -> Column:
 
 def all_bits(n: str) -> Column:
     return bit(n) - 1
+
+
+def listed(values: pa.Scalar) -> np.ndarray:
+    """The values of a list, none if it is null."""
+    return values.values.to_numpy(zero_copy_only=False) if values.is_valid else np.empty(0, np.int64)
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
+
+def batch_of(rows: list[tuple], kept: pa.DataType, names: list[str]) -> pa.RecordBatch:
+    """Rows of id, size, spans and what is kept, as a batch."""
+    columns = list(zip(*rows)) or [()] * 4
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), _SPANS, kept))], names)

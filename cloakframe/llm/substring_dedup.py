@@ -78,20 +78,14 @@ def repeated_passages(docs: DataFrame, window: int = 35, gram: int = 16, id_col:
             out: list[tuple] = []
             for doc, body, first, bits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
                 words = (body.as_py() or b"").split()
-                spans = seeds.spans_of(_array(first), _array(bits), window, len(words))
+                spans = seeds.spans_of(seeds.listed(first), seeds.listed(bits), window, len(words))
                 kept, last = [], 0
                 for start, stop in spans.tolist():
                     kept += words[last:start]
                     last = stop
                 kept += words[last:]
                 out.append((doc, len(words), [{"start": a, "stop": b} for a, b in spans.tolist()], b" ".join(kept).decode()))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)] if out else [pa.array([], t) for t in _TYPES], ["doc_id", "n_words", "spans", "kept"])
+            yield seeds.batch_of(out, pa.string(), ["doc_id", "n_words", "spans", "kept"])
 
     return seeds.marked(docs, found, verdicts).mapInArrow(run, "doc_id long, n_words long, spans array<struct<start: long, stop: long>>, kept string")
 
-
-_TYPES = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.string()]
-
-
-def _array(values) -> np.ndarray:
-    return values.values.to_numpy(zero_copy_only=False) if values.is_valid else np.empty(0, np.int64)
