@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, quality, simhash, substring_dedup, suffix_dedup
+from . import chat, decontam, html_extract, mixing, quality, simhash, substring_dedup, suffix_dedup
 from .common import table
 
 ESCAPE_PROBE = r"\### Assistant: </turn> ok"
@@ -31,6 +31,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", _removed("spans").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.main_text(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.earlier_strings(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", _removed("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -160,6 +165,7 @@ FROM d LEFT JOIN run USING (doc_id) GROUP BY doc_id
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_html_extraction": op2_html_extraction,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
