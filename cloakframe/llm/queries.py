@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_extract, mixing, quality, simhash, substring_dedup, suffix_dedup
+from . import chat, decontam, html_extract, mixing, quality, simhash, substring_dedup, suffix_dedup, warc
 from .common import table
 
 ESCAPE_PROBE = r"\### Assistant: </turn> ok"
@@ -46,6 +46,11 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.capture_histories(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -78,6 +83,13 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM o GROUP BY conv_id
 """
 
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to FROM f
+"""
+
 OP7_SQL = r"""
 WITH text_of AS (
   SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
@@ -168,6 +180,7 @@ QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op6_warc_archives": op6_warc_archives,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_mixing_to_targets": op9_mixing_to_targets,
@@ -176,6 +189,7 @@ QUERIES = {
 ORACLE = {
     "op1_substring_dedup": OP1_SQL,
     "op3_suffix_array_dedup": OP3_SQL,
+    "op6_warc_archives": OP6_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
     "op9_mixing_to_targets": OP9_SQL,
     "op10_chat_formatting": OP10_SQL,
