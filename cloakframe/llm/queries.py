@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_extract, mixing, quality, simhash, substring_dedup, suffix_dedup, warc
+from . import ann, chat, decontam, html_extract, mixing, quality, simhash, substring_dedup, suffix_dedup, warc
 from .common import table
 
 ESCAPE_PROBE = r"\### Assistant: </turn> ok"
@@ -46,6 +46,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.capture_histories(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -83,6 +87,14 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM o GROUP BY conv_id
 """
 
+OP5_SQL = """
+WITH e AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(c.v, q.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS score
+  FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
 OP6_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 f AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first FROM p)
@@ -180,6 +192,7 @@ QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_warc_archives": op6_warc_archives,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_quality_classifier": op8_quality_classifier,
@@ -189,6 +202,7 @@ QUERIES = {
 ORACLE = {
     "op1_substring_dedup": OP1_SQL,
     "op3_suffix_array_dedup": OP3_SQL,
+    "op5_nearest_neighbours": OP5_SQL,
     "op6_warc_archives": OP6_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
     "op9_mixing_to_targets": OP9_SQL,
