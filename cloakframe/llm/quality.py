@@ -177,3 +177,20 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train_
             yield pa.record_batch([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
 
     return stats.mapInArrow(run, "doc_id long, score double").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score")
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label: str = "quality", max_train_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with a score of threshold or more, in one pass without a shuffle of the texts.
+
+    The statistics are worked out twice, for the labelled rows to train and for all to decide.
+    """
+    known = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias(id_col)).distinct()
+    model = fit(with_statistics(docs.join(known, id_col, "left_semi"), id_col, text_col), labels, label, max_train_rows)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([statistics(body) for body in blobs(batch.column(at).cast(pa.binary()))], np.float32).astype(float).reshape(-1, N_STATISTICS)
+            yield batch.filter(pa.array(model.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

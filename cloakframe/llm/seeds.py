@@ -118,17 +118,18 @@ class Text:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """key, doc_id and body: key is the doc_id where ids are unique.
+    """key, doc_id, body and carry: key is the doc_id where ids are unique, carry a struct of all columns but the text.
 
     Where some ids are null or repeated, key numbers the rows by id (null first) and
     text, so that each row is told apart and keys stand in the order of the ids.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"), F.struct(*others).alias("carry"))
     odd = plain.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").limit(1).count()
     if not odd:
-        return plain.select(F.col("doc_id").alias("key"), "doc_id", "body")
+        return plain.select(F.col("doc_id").alias("key"), "doc_id", "body", "carry")
     order = [F.col("doc_id").asc_nulls_first(), F.col("body").asc_nulls_first()]
-    return materialise(plain.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("key", F.monotonically_increasing_id())).select("key", "doc_id", "body")
+    return materialise(plain.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("key", F.monotonically_increasing_id())).select("key", "doc_id", "body", "carry")
 
 
 NAMES = ["key", "anchor", "stretch", "first", "n"]
@@ -209,7 +210,7 @@ def marked(docs: DataFrame, found: Repeats, verdicts: DataFrame) -> DataFrame:
     bits = F.when(F.col("key") > F.col("least"), F.col("beyond")).otherwise(F.col("upto"))
     marks = found.occurrences.join(verdicts, ["anchor", "stretch"]).select("key", "first", bits.alias("bits")).where("bits <> 0")
     lists = marks.groupBy("key").agg(F.collect_list(F.struct("first", "bits")).alias("m"))
-    return docs.join(lists, "key", "left").select("doc_id", "body", F.col("m.first").alias("first"), F.col("m.bits").alias("bits"))
+    return docs.join(lists, "key", "left").select("doc_id", "body", F.col("m.first").alias("first"), F.col("m.bits").alias("bits"), "carry")
 
 
 def bit(place: str) -> Column:

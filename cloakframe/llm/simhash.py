@@ -185,5 +185,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2, blocks:
     return prints.join(found, "fp").select("doc_id", "fp", F.col("component").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, width: int = 5, distance: int = 6, blocks: int = 9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs but for near duplicates: of each class the row of the smallest id stays, of equal ids one."""
+    unique = numbered(docs, id_col)
+    found = near_duplicates(unique, width, distance, blocks, "row_no", text_col)
+    kept = materialise(found.where("doc_id = component_id").select(F.col("doc_id").alias("row_no")))
+    return unique.join(kept, "row_no", "left_semi").select(*(f"`{c}`" for c in docs.columns))
+
+
+def numbered(docs: DataFrame, id_col: str) -> DataFrame:
+    """docs with row_no: the id where ids are unique, else the place by id (null last) among all rows."""
+    odd = docs.groupBy(id_col).agg(F.count("*").alias("c")).where(F.col(id_col).isNull() | (F.col("c") > 1)).limit(1).count()
+    if not odd:
+        return docs.withColumn("row_no", F.col(id_col).cast("long"))
+    order = F.col(id_col).asc_nulls_last()
+    return materialise(docs.repartitionByRange(order).sortWithinPartitions(order).withColumn("row_no", F.monotonically_increasing_id()))
+
+
 def fingerprint_hex(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -87,5 +87,5 @@ def repeated_passages(docs: DataFrame, window: int = 35, gram: int = 16, id_col:
                 out.append((doc, len(words), [{"start": a, "stop": b} for a, b in spans.tolist()], b" ".join(kept).decode()))
             yield seeds.batch_of(out, pa.string(), ["doc_id", "n_words", "spans", "kept"])
 
-    return seeds.marked(docs, found, verdicts).mapInArrow(run, "doc_id long, n_words long, spans array<struct<start: long, stop: long>>, kept string")
+    return seeds.marked(docs, found, verdicts).drop("carry").mapInArrow(run, "doc_id long, n_words long, spans array<struct<start: long, stop: long>>, kept string")
 

@@ -206,8 +206,45 @@ def earlier_strings(docs: DataFrame, window: int = 50, gram: int = 26, id_col: s
     in the order of their texts, null ids first, and the later counts as larger. Other
     columns are ignored; no rows give no rows.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, (body, spans, kept) in zip(batch.column(0).to_pylist(), _kept(batch, window)):
+                out.append((doc, len(body), [{"start": a, "stop": b} for a, b in spans], kept))
+            yield seeds.batch_of(out, pa.binary(), ["doc_id", "n_bytes", "spans", "kept"])
+
+    marks = _marked(docs, window, gram, id_col, text_col).drop("carry")
+    return marks.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
+
+
+def without_earlier_strings(docs: DataFrame, window: int = 50, gram: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the texts that earlier_strings keeps; a character that lost some of its bytes goes. A null text stays null."""
+    marks = _marked(docs, window, gram, id_col, text_col)
+    kind = marks.schema["carry"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            null = batch.column("body").is_null().to_pylist()
+            texts = [None if n else kept.decode("utf-8", "ignore") for n, (_, _, kept) in zip(null, _kept(batch, window))]
+            yield pa.record_batch([batch.column("carry"), pa.array(texts, pa.string())], ["carry", "kept"])
+
+    out = marks.mapInArrow(run, f"carry {kind}, kept string")
+    return out.select(*(F.col("kept").alias(c) if c == text_col else F.col(f"carry.`{c}`") for c in docs.columns))
+
+
+def _kept(batch: pa.RecordBatch, window: int) -> Iterator[tuple[bytes, list[list[int]], bytes]]:
+    """Body, spans to remove and the rest of each row."""
+    for body, first, bits in zip(batch.column("body"), batch.column("first"), batch.column("bits")):
+        body = body.as_py() or b""
+        spans = seeds.spans_of(seeds.listed(first), seeds.listed(bits), window, len(body)).tolist()
+        edges = [0, *(x for s in spans for x in s), len(body)]
+        yield body, spans, b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
+def _marked(docs: DataFrame, window: int, gram: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, body, first, bits and carry: where the windows that an earlier text has begin."""
+    bounded_batches(docs.sparkSession)
     shape = seeds.Shape(window, gram)
     docs = seeds.keyed(docs, id_col, text_col)
     found = seeds.repeats(docs, BYTES, shape, across=True)
@@ -223,17 +260,4 @@ def earlier_strings(docs: DataFrame, window: int = 50, gram: int = 26, id_col: s
         .where(F.col("bits").isNotNull() | (F.col("least") < F.col("most")))
         .select("anchor", "stretch", "least", F.coalesce("bits", F.lit(0).cast("long")).alias("upto"), seeds.all_bits("n").alias("beyond"))
     )
-    verdicts = materialise(verdicts, release=True)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, body, first, bits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
-                body = body.as_py() or b""
-                spans = seeds.spans_of(seeds.listed(first), seeds.listed(bits), window, len(body)).tolist()
-                edges = [0, *(x for s in spans for x in s), len(body)]
-                kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                out.append((doc, len(body), [{"start": a, "stop": b} for a, b in spans], kept))
-            yield seeds.batch_of(out, pa.binary(), ["doc_id", "n_bytes", "spans", "kept"])
-
-    return seeds.marked(docs, found, verdicts).mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
+    return seeds.marked(docs, found, materialise(verdicts, release=True))

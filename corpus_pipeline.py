@@ -1,13 +1,64 @@
-"""Corpus preparation: the stages that turn raw documents into a training mixture."""
+"""Corpus preparation: the stages that turn raw documents into a training mixture.
+
+Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and
+returns the columns of docs; the last adds the rate and number of copies of each
+sampled document. Null texts and ids pass or go like any other; see the operators.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cloakframe.llm import decontam, mixing, quality, simhash, suffix_dedup
+from cloakframe.llm.common import materialise, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores 0.3 or more."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near duplicates."""
+    return simhash.one_of_each(docs)
+
+
+def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the strings of 50 bytes or more that an earlier one has."""
+    found = suffix_dedup.without_earlier_strings(docs)
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    found = decontam.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(materialise(found), "doc_id", "left_anti")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled to tempered shares of source, language and topic, with rate and copies."""
+    mixed = mixing.mix(docs)
+    return mixed.select(*docs.columns, "rate", "copies")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality_stage),
+    ("SimHash near-dedup", near_dedup_stage),
+    ("suffix-array dedup", suffix_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources to target weights", mixing_stage),
+]
 
-STAGES: list = []
+#: SQL can't express the classifier and the fingerprints; tests/llm holds brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    """All stages over documents, each result written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), release=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
