@@ -1 +1 @@
-
+"""Column functions that the operators are made of."""

@@ -1 +1 @@
-
+"""DataFrame operators: scope, detection, rewriting, mapping, audit."""

@@ -1,0 +1,42 @@
+"""The closed vocabulary of findings. They must agree between all readers of the tables."""
+
+from __future__ import annotations
+
+#: kind: (label for people, label in placeholders)
+KINDS = {
+    "opaque_token": ("opaque token", "OPAQUE"),
+    "password": ("password", "PASSWORD"),
+    "email": ("email", "EMAIL"),
+    "phone": ("phone", "PHONE"),
+    "national_id": ("national ID", "ID"),
+    "passport": ("passport", "PASSPORT"),
+    "payment_card": ("payment card", "CARD"),
+    "cvv": ("cvv", "CVV"),
+}
+POLICY = "reversible_session"
+CARD_HINTS = ("card", "visa", "mastercard", "amex", "american express", "payment", "billing", "checkout")
+#: Any of these in a large hidden prompt has it scanned.
+PROMPT_HINTS = (
+    "api key", "api-key", "api_key", "x-api-key",
+    "access token", "access-token", "access_token",
+    "auth token", "auth-token", "auth_token",
+    "bearer ", "authorization",
+    "client secret", "client-secret", "client_secret",
+    "private key", "private-key", "private_key",
+    "secret key", "secret-key", "secret_key",
+    "password", "passwd", "credential", "-----begin",
+    "sk-", "ghp_", "gho_", "ghu_", "ghs_", "akia", "asia",
+    "xoxa-", "xoxb-", "xoxp-", "xoxs-", "aiza", "npm_",
+    "sq0atp-", "sq0csp-", "rk_", "pk_", "hf_", "glpat-",
+)
+#: Parts of patterns: labels, the separator after them, an optional quote.
+SEPARATOR = r"\s*(?:=|:|=>)\s*"
+QUOTE = "[\"'`]"
+PASSWORD_LABEL = r"\b(?i:password|passwd|passcode|passphrase|pin)\b"
+#: What ends a token that may be opaque.
+DELIMITERS = " \t\n\r\"'`=:,{}[]();<>|\\"
+
+
+def placeholder_pattern(prefix: str) -> str:
+    """A whole placeholder: kind label, then 8 to 64 hex digits."""
+    return r"\{\{" + prefix + "_(" + "|".join(label for _, label in KINDS.values()) + r")_([0-9A-Fa-f]{8,64})\}\}"
