@@ -119,10 +119,10 @@ def partial_tail_pattern(prefix: str) -> str:
     """A placeholder that has begun but not ended where the text ends."""
     start = "{{" + prefix + "_"
     labels = [label for _, label in KINDS.values()]
-    tails = [re.escape(start[:n]) for n in range(1, len(start))]
-    cut = sorted({label[:n] for label in labels for n in range(len(label) + 1)}, key=lambda x: (-len(x), x))
-    tails.append(re.escape(start) + "(?:" + "|".join(f"(?:{'|'.join(labels)})_[0-9A-Fa-f]{{0,64}}\\}}?" if i == 0 else "|".join(c for c in cut if c) for i in (0, 1)) + ")?")
-    return "(?:" + "|".join(tails) + r")\z"
+    begun = [re.escape(start[:n]) for n in range(1, len(start))]
+    label_begun = sorted({label[:n] for label in labels for n in range(1, len(label) + 1)})
+    rest = [*label_begun, f"(?:{'|'.join(labels)})_[0-9A-Fa-f]{{0,64}}\\}}?"]
+    return f"(?:{'|'.join(begun)}|{re.escape(start)}(?:{'|'.join(rest)})?)\\z"
 
 
 def partial_tail(text: Column, prefix: str) -> Column:

@@ -108,13 +108,13 @@ def resolved(df: DataFrame, key: str, text_col: str, known: DataFrame, now: Colu
     """
     hit = F.coalesce(S.contains_placeholder(F.col(text_col), prefix), F.lit(False))
     none = F.lit(None).cast("string")
-    parts = df.where(hit).select(key, F.posexplode(pieces(F.col(text_col), prefix)).alias("n", "p")).select(key, "n", "p.piece", "p.id", "p.kind")
+    parts = df.where(hit).select(key, F.posexplode(pieces(F.col(text_col), prefix)).alias("_n", "p")).select(key, "_n", "p.piece", "p.id", "p.kind")
     if kinds is not None:
         parts = parts.withColumn("id", F.when(F.col("kind").isin(kinds), F.col("id")))
     found = lookup(parts, known, now)
     missed = F.col("piece").rlike("^" + placeholder_pattern(prefix) + r"\z") & F.col("secret").isNull()
     whole = found.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.coalesce("secret", "piece").alias("x")))), lambda p: p["x"]), "").alias("_text"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.coalesce("secret", "piece").alias("x")))), lambda p: p["x"]), "").alias("_text"),
         F.max(missed).alias("_missed"),
     )
     joined = df.join(whole, key, "left")

@@ -1,4 +1,355 @@
-"""The registered queries for the masking operators."""
+"""The masking operators as queries over whole tables or over literal fixtures."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+import json
+from dataclasses import replace
+from datetime import timedelta
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import PREFIX, Allowlist, Detection, Hook, Settings
+from ..errors import fail_closed
+from ..functions import scalars as S
+from ..operators import audit, bodies, detect, hooks, rewrite, scope
+from ..streaming.sse import Assembler
+from . import fixtures as X
+
+OPAQUE = Detection()
+FLAT = Detection(emails=True, phones=True, national_ids=True, payment_cards=True)
+EVERYTHING = Detection.everything()
+
+
+def at():
+    return F.lit("2026-03-10 00:00:00").cast("timestamp")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def found(spark: SparkSession, sf_dir: str, cfg: Detection = FLAT, allowlist: Allowlist | None = None) -> DataFrame:
+    return detect.with_findings(documents(spark, sf_dir), "text", cfg, allowlist)
+
+
+def masked(spark: SparkSession, sf_dir: str, salt: bytes | None = None) -> DataFrame:
+    return rewrite.masked(found(spark, sf_dir), "text", salt)
+
+
+def fixture_findings(spark: SparkSession, allowlist: Allowlist | None = None) -> DataFrame:
+    return detect.with_findings(values(spark, X.TEXTS, "case_id int, text string"), "text", EVERYTHING, allowlist)
+
+
+# ---- detection
+
+
+def opaque_tokens(spark, sf_dir):
+    rows = detect.exploded(found(spark, sf_dir, OPAQUE), "doc_id")
+    return rows.select("doc_id", "start", "stop", "secret", "confidence", "score", F.round("entropy", 6).alias("entropy"))
+
+
+def _candidates(spark, sf_dir, table, key, text, switch):
+    detector = detect.CATALOGUE[switch][0]
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    places = detect._places(F.col(text), f"(?U)()({detector.value})")
+    each = rows.select(key, text, F.explode(places).alias("p")).select(key, F.substring(text, F.col("p.start") + 1, F.col("p.stop") - F.col("p.start")).alias("value"))
+    return each.withColumn("valid", detector.valid(F.col("value")))
+
+
+def email_candidates(spark, sf_dir):
+    return _candidates(spark, sf_dir, "documents", "doc_id", "text", "emails")
+
+
+def phone_candidates(spark, sf_dir):
+    return _candidates(spark, sf_dir, "documents", "doc_id", "text", "phones")
+
+
+def phone_candidates_pages(spark, sf_dir):
+    return _candidates(spark, sf_dir, "pages", "page_id", "html", "phones")
+
+
+def card_candidates(spark, sf_dir):
+    rows = _candidates(spark, sf_dir, "documents", "doc_id", "text", "payment_cards")
+    return rows.withColumn("issuer", F.when(F.col("valid"), S.card_issuer(S.digits(F.col("value")))))
+
+
+def typed_fixture(spark, sf_dir):
+    rows = detect.exploded(fixture_findings(spark), "case_id")
+    return rows.select("case_id", "start", "stop", "secret", "rule_id", "kind", "subtype", "source", "confidence", "score")
+
+
+def overlap_resolution(spark, sf_dir):
+    return detect.exploded(found(spark, sf_dir), "doc_id").select("doc_id", "start", "stop", "secret", "rule_id", "score")
+
+
+def context_windows(spark, sf_dir):
+    rows = found(spark, sf_dir).select("doc_id", "text", F.explode("findings").alias("f")).where("f.score < 70")
+    return rows.select("doc_id", F.col("f.start").alias("start"), detect.context(F.col("text"), F.col("f")).alias("context"))
+
+
+def classifier_filter(spark, sf_dir):
+    """A classifier that accepts phone numbers with brackets only."""
+    rows = values(spark, X.TEXTS, "case_id int, text string")
+    out = detect.with_findings(rows, "text", EVERYTHING, classifier=lambda kind, subtype, value, context: (kind != "phone") | F.contains(value, F.lit("(")))
+    return detect.exploded(out, "case_id").where("score < 80").select("case_id", "secret", "rule_id", "source", "confidence", "score")
+
+
+def allowlist_rule(spark, sf_dir):
+    return detect.exploded(found(spark, sf_dir, FLAT, Allowlist(rule_ids=("Opaque.High_Entropy ",))), "doc_id").select("doc_id", "start", "secret", "rule_id")
+
+
+def allowlist_pattern(spark, sf_dir):
+    return detect.exploded(found(spark, sf_dir, FLAT, Allowlist(patterns=("^4", "[a-f]{3}"))), "doc_id").select("doc_id", "start", "secret", "rule_id")
+
+
+def allowlist_sha256(spark, sf_dir):
+    return detect.exploded(fixture_findings(spark, Allowlist(secret_sha256=(X.ALLOWED_SHA256,))), "case_id").select("case_id", "start", "secret", "rule_id")
+
+
+# ---- scalars
+
+
+def token_entropy(spark, sf_dir):
+    tokens = documents(spark, sf_dir).select("doc_id", F.explode(S.tokens(F.col("text"), 12)).alias("token"))
+    return tokens.select("doc_id", "token", F.round(S.entropy(F.col("token")), 6).alias("entropy"))
+
+
+def luhn_and_issuer(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.lpad((F.col("o_orderkey") * 7919 + 4000000).cast("string"), 16, "4").alias("number"))
+    return rows.select("o_orderkey", "number", S.luhn(F.col("number")).alias("passes"), S.card_issuer(F.col("number")).alias("issuer"))
+
+
+def log_scrub(spark, sf_dir):
+    rows = values(spark, X.LOG_LINES, "line_id int, line string")
+    return rows.select("line_id", S.scrub(F.col("line"), PREFIX).alias("scrubbed"))
+
+
+def log_scrub_documents(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.sha2(S.scrub(F.col("text"), PREFIX), 256).alias("scrubbed_sha256"))
+
+
+# ---- scope
+
+
+def host_normalize(spark, sf_dir):
+    return values(spark, X.HOSTS, "host string").select("host", scope.normalize_host(F.col("host")).alias("normal"))
+
+
+def host_scope(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    host = scope.host_of_url(F.col("url"))
+    return pages.select(
+        "page_id",
+        scope.host_allowed(host, ["example.com"]).alias("suffix"),
+        scope.host_allowed(host, ["blog.*", "*.example.o?g"]).alias("glob"),
+        scope.host_allowed(host, []).alias("everything"),
+    )
+
+
+def user_turns(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return rows.where(scope.scanned_role(F.col("role"))).select("conv_id", "turn", "text")
+
+
+def body_size_limit(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", scope.body_error(F.col("text"), 4096).alias("error_code"))
+
+
+def hidden_prompt(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", scope.large_hidden_prompt(F.col("text")).alias("hidden"))
+
+
+def json_predicate(spark, sf_dir):
+    rows = values(spark, X.CONTENT, "n int, content_type string, body string")
+    return rows.select("n", S.looks_like_json(F.col("content_type"), F.col("body")).alias("is_json"))
+
+
+# ---- rewriting and mapping
+
+
+def redaction_ids(spark, sf_dir):
+    each = masked(spark, sf_dir).select("doc_id", F.explode("replacements").alias("r"))
+    return each.select("doc_id", "r.secret", "r.id", "r.placeholder", S.legacy_id(F.col("r.secret")).alias("legacy_id"))
+
+
+def masked_text(spark, sf_dir):
+    return masked(spark, sf_dir).where(F.size("replacements") > 0).select("doc_id", "masked")
+
+
+def dry_run(spark, sf_dir):
+    out = rewrite.masked(found(spark, sf_dir), "text", b"salt", dry_run=True)
+    return out.select("doc_id", (F.col("masked") == F.col("text")).alias("unchanged"), rewrite.summary(F.col("replacements"), True).alias("summary"))
+
+
+def kind_histogram(spark, sf_dir):
+    return masked(spark, sf_dir).where(F.size("replacements") > 0).select("doc_id", rewrite.kind_histogram(F.col("replacements")).alias("kinds"))
+
+
+def redact_resolve_roundtrip(spark, sf_dir):
+    rows = masked(spark, sf_dir, b"a salt of the session")
+    known = rewrite.mapping(rows, timedelta(hours=1), at())
+    return rewrite.resolved(rows.select("doc_id", "masked"), "doc_id", "masked", known, at()).select("doc_id", F.col("restored").alias("text"))
+
+
+def mapping_table(spark, sf_dir):
+    known = rewrite.mapping(masked(spark, sf_dir), timedelta(hours=1), at())
+    return known.select("id", "kind", "secret", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"))
+
+
+def mapping_expiry(spark, sf_dir):
+    """Values seen at several times: what is alive at a later one, by the latest sighting."""
+    rows = masked(spark, sf_dir).withColumn("at", F.timestamp_seconds(F.unix_timestamp(at()) + F.pmod("doc_id", F.lit(5)) * 1800))
+    known = rewrite.merged(rewrite.mapping(rows, timedelta(hours=1), F.col("at")), now=F.timestamp_seconds(F.unix_timestamp(at()) + 7200))
+    return known.select("id", "kind", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"))
+
+
+def _placeholder_rows(spark):
+    known = values(spark, X.KNOWN, "id string, kind string, secret string, expires string").select("id", "kind", "secret", F.col("expires").cast("timestamp").alias("expires_at"))
+    return values(spark, X.PLACEHOLDERS, "n int, text string"), known
+
+
+def resolve_lenient(spark, sf_dir):
+    rows, known = _placeholder_rows(spark)
+    return rewrite.resolved(rows, "n", "text", known, at()).select("n", "restored", "error_code")
+
+
+def resolve_strict(spark, sf_dir):
+    rows, known = _placeholder_rows(spark)
+    out = rewrite.resolved(rows, "n", "text", known, at(), strict=True)
+    return out.select("n", fail_closed(F.col("text"), F.col("restored"), F.col("error_code"), True).alias("closed"), fail_closed(F.col("text"), F.col("restored"), F.col("error_code"), False).alias("open"), "error_code")
+
+
+def resolve_opaque_only(spark, sf_dir):
+    rows, known = _placeholder_rows(spark)
+    return rewrite.resolved(rows, "n", "text", known, at(), kinds=["opaque_token"]).select("n", "restored")
+
+
+def placeholder_states(spark, sf_dir):
+    rows, _ = _placeholder_rows(spark)
+    t = F.col("text")
+    return rows.select("n", S.contains_prefix(t, PREFIX).alias("prefix"), S.contains_placeholder(t, PREFIX).alias("complete"), S.is_placeholder(t, PREFIX).alias("whole"), S.partial_tail(t, PREFIX).alias("partial_at"))
+
+
+# ---- audit
+
+
+def _audit(spark, sf_dir):
+    return audit.audit_rows(masked(spark, sf_dir), F.col("source"), F.timestamp_seconds(F.unix_timestamp(at()) + F.col("doc_id")))
+
+
+def audit_rows(spark, sf_dir):
+    return _audit(spark, sf_dir).withColumn("entropy", F.round("entropy", 6))
+
+
+def audit_totals(spark, sf_dir):
+    return audit.totals(_audit(spark, sf_dir))
+
+
+def audit_stats_kind(spark, sf_dir):
+    return audit.ranked(_audit(spark, sf_dir), "kind")
+
+
+def audit_stats_rule(spark, sf_dir):
+    return audit.ranked(_audit(spark, sf_dir), "rule_id")
+
+
+def audit_stats_host_top(spark, sf_dir):
+    return audit.ranked(_audit(spark, sf_dir), "request_host", 5)
+
+
+def audit_stats_all(spark, sf_dir):
+    return audit.ranked_all(_audit(spark, sf_dir))
+
+
+def audit_fixture(spark, sf_dir):
+    return audit.ranked_all(values(spark, X.AUDIT, "ts string, rule_id string, kind string, request_host string, action string"))
+
+
+def intercept_count(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.where(scope.host_allowed(scope.host_of_url(F.col("url")), ["example.org"])).agg(F.count("*").alias("intercepted"))
+
+
+def hook_records(spark, sf_dir):
+    hook = Hook("request_redacted", "log", ("typed.phone",), path="unused")
+    return hooks.records(masked(spark, sf_dir), hook, F.col("source"), at())
+
+
+def hook_block(spark, sf_dir):
+    block = (Hook("secret_detected", "block", ("typed.phone",)), Hook("secret_detected", "block", ("typed.card.pan",), message="no cards"))
+    return masked(spark, sf_dir).select("doc_id", hooks.blocking_message(F.col("replacements"), block).alias("message")).where("message is not null")
+
+
+# ---- bodies and streams
+
+
+def _fixture_settings() -> Settings:
+    return Settings(detection=EVERYTHING, notice_mode="off", max_body_bytes=4096)
+
+
+def message_bodies(spark, sf_dir):
+    rows = values(spark, X.BODIES, "n int, body string")
+    return bodies.masked_bodies(rows, "n", "body", _fixture_settings()).select("n", "masked", F.size("replacements").cast("long").alias("replaced"), "error_code")
+
+
+def body_notices(spark, sf_dir):
+    rows = values(spark, X.BODIES, "n int, body string")
+    out = bodies.masked_bodies(rows, "n", "body", Settings(detection=EVERYTHING, notice_mode="minimal"))
+    return out.where(F.size("replacements") > 0).select("n", F.contains("masked", F.lit(f"[{PREFIX}] ")).alias("told"), rewrite.kind_histogram(F.col("replacements")).alias("kinds"))
+
+
+def _conversation_bodies(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turn = F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("m"))
+    messages = F.transform(F.array_sort(F.collect_list(turn)), lambda t: t["m"])
+    return rows.groupBy("conv_id").agg(F.to_json(F.struct(messages.alias("messages"))).alias("body"))
+
+
+def body_roundtrip(spark, sf_dir):
+    """Bodies of all conversations, masked with low thresholds and restored through the mapping."""
+    detection = replace(EVERYTHING, entropy_threshold=3.0, entropy_min_len=12)
+    rows = _conversation_bodies(spark, sf_dir)
+    out = bodies.masked_bodies(rows, "conv_id", "body", Settings(detection=detection, notice_mode="off", max_body_bytes=0), b"salt")
+    known = rewrite.mapping(out, timedelta(hours=1), at())
+    back = bodies.restored_bodies(out.select("conv_id", "masked"), "conv_id", "masked", known, at(), strict=True)
+    message = F.from_json("restored", "messages array<struct<role:string,content:string>>")["messages"]
+    return back.select("conv_id", F.sha2(F.array_join(F.transform(message, lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n"), 256).alias("said_sha256"))
+
+
+def sse_reassembly(spark, sf_dir):
+    """Documents with findings as event streams cut every 97 bytes; restored, their fragments join to the text again."""
+    rows = masked(spark, sf_dir).where(F.size("replacements") > 0).select("doc_id", "masked", F.transform("replacements", lambda r: F.struct(r["kind"].alias("kind"), r["id"].alias("id"), r["secret"].alias("secret"))).alias("known"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for doc, text, known in zip(*(c.to_pylist() for c in batch.columns)):
+                have = {(k["kind"], k["id"]): k["secret"] for k in known}
+                one = Assembler(lambda k, i: have.get((k, i)))  # noqa: B023
+                wire = b"".join(
+                    b"data: " + json.dumps({"delta": {"type": "input_json_delta", "partial_json": text[at : at + 23]}}).encode() + b"\n\n" for at in range(0, len(text), 23)
+                )
+                events = [e for at in range(0, len(wire), 97) for e in one.feed(wire[at : at + 97])] + one.end()
+                out.append((doc, "".join(json.loads(e.decode()[6:])["delta"]["partial_json"] for e in events)))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string()))], ["doc_id", "text"]) if out else pa.record_batch([pa.array([], pa.int64()), pa.array([], pa.string())], ["doc_id", "text"])
+
+    return rows.mapInArrow(run, "doc_id long, text string")
+
+
+_NAMES = (
+    opaque_tokens, email_candidates, phone_candidates, phone_candidates_pages, card_candidates, typed_fixture, overlap_resolution, context_windows, classifier_filter,
+    allowlist_rule, allowlist_pattern, allowlist_sha256, token_entropy, luhn_and_issuer, log_scrub, log_scrub_documents, host_normalize, host_scope, user_turns,
+    body_size_limit, hidden_prompt, json_predicate, redaction_ids, masked_text, dry_run, kind_histogram, redact_resolve_roundtrip, mapping_table, mapping_expiry,
+    resolve_lenient, resolve_strict, resolve_opaque_only, placeholder_states, audit_rows, audit_totals, audit_stats_kind, audit_stats_rule, audit_stats_host_top,
+    audit_stats_all, audit_fixture, intercept_count, hook_records, hook_block, message_bodies, body_notices, body_roundtrip, sse_reassembly,
+)
+QUERIES = {f.__name__: f for f in _NAMES}
+
+from .oracle import ORACLE  # noqa: E402, F401
