@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -57,8 +58,11 @@ def materialise(df: DataFrame, release: bool = False) -> DataFrame:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Ask for the garbage collections after which Spark deletes shuffle files that no plan refers to."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def delete(df: DataFrame) -> None:

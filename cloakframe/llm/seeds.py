@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -58,20 +59,27 @@ class Spans:
         self.sums = np.r_[np.uint64(0), np.cumsum(symbols * self.power[: len(symbols)], dtype=np.uint64)]
         self.total = len(symbols)
 
+    def grams(self, n: int) -> np.ndarray:
+        """The hashes of all spans of n symbols."""
+        return mix((self.sums[n:] - self.sums[:-n]) * self.back[: self.total - n + 1] + np.uint64(n))
+
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mix((self.sums[stop] - self.sums[start]) * self.back[start] + (stop - start).astype(np.uint64))
 
 
+#: Low bits of a hash that give way to a place within a chunk.
+PLACE = np.uint64((1 << 20) - 1)
+
+
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """Where the smallest of each width consecutive values stands, the last of equal ones."""
-    at = np.arange(len(values))
-    best, have = at, 1
+    """Where the smallest of each width consecutive values stands (by all but the low bits), the first of equal ones."""
+    best = (values & ~PLACE) | np.arange(len(values), dtype=np.uint64)
+    have = 1
     while have < width:
         step = min(have, width - have)
-        a, b = best[:-step], best[step:]
-        best = np.where(values[b] <= values[a], b, a)
+        best = np.minimum(best[:-step], best[step:])
         have += step
-    return best
+    return (best & PLACE).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -100,8 +108,7 @@ def stretches(symbols: np.ndarray, widen: Callable[[np.ndarray], np.ndarray], sh
     """The stretches of a text, chunk by chunk, with the chunk's start and its span hashes."""
     for at in range(0, len(symbols) - shape.window + 1, CHUNK):
         spans = Spans(widen(symbols[at : at + CHUNK + shape.window - 1]))
-        starts = np.arange(spans.total - shape.gram + 1)
-        grams = spans.of(starts, starts + shape.gram)
+        grams = spans.grams(shape.gram)
         place = sliding_argmin(grams, shape.window - shape.gram + 1)
         first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
         n = np.diff(np.r_[first, len(place)])
@@ -135,8 +142,8 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 NAMES = ["key", "anchor", "stretch", "first", "n"]
 
 
-def seeds(docs: DataFrame, text: Text, shape: Shape) -> DataFrame:
-    """key, anchor, stretch, first and n of every anchor occurrence of docs (key, doc_id, body)."""
+def seeds(docs: DataFrame, text: Text, shape: Shape, slice_: int = 0, slices: int = 1) -> DataFrame:
+    """key, anchor, stretch, first and n of every anchor occurrence of docs (key, doc_id, body), or of a slice of all anchors."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +152,12 @@ def seeds(docs: DataFrame, text: Text, shape: Shape) -> DataFrame:
             size = 0
             for key, body in zip(batch.column(0).to_pylist(), blobs(batch.column(1))):
                 for s, _, _ in stretches(text.symbols(body), text.widen, shape):
-                    found.append([np.full(len(s.first), key), s.anchor, s.stretch, s.first, s.n.astype(np.int16)])
-                    size += len(s.first)
+                    mine = [s.anchor, s.stretch, s.first, s.n.astype(np.int16)]
+                    if slices > 1:
+                        own = s.anchor.view(np.uint64) % np.uint64(slices) == slice_
+                        mine = [x[own] for x in mine]
+                    found.append([np.full(len(mine[0]), key), *mine])
+                    size += len(mine[0])
                 if size > 100_000:
                     yield pa.record_batch([np.concatenate(x) for x in zip(*found)], NAMES)
                     found, size = [], 0
@@ -160,21 +171,25 @@ def seeds(docs: DataFrame, text: Text, shape: Shape) -> DataFrame:
 class Repeats:
     """occurrences of anchors that may repeat; classes of equal stretches; contested classes, one occurrence each."""
 
-    occurrences: DataFrame
+    occurrences: list[DataFrame]
     classes: DataFrame
     contested: DataFrame
 
 
-def repeats(docs: DataFrame, text: Text, shape: Shape, across: bool) -> Repeats:
+def repeats(docs: DataFrame, text: Text, shape: Shape, across: bool, slices: int = 1) -> Repeats:
     """across: only anchors of two texts count.
 
-    The seeds are made twice rather than kept, as they are larger than the texts.
+    The seeds are made twice rather than kept, as they are larger than the texts, and
+    slice by slice of the anchors, so that only so much of them is on disk at a time.
     """
     often = (F.min("key") < F.max("key")) if across else (F.count("*") > 1)
-    found = seeds(docs, text, shape)
-    anchors = materialise(found.select("anchor", "key").groupBy("anchor").agg(often.alias("often")).where("often").select("anchor"), release=True)
-    occurrences = materialise(found.join(anchors, "anchor"), release=True)
-    delete(anchors)
+    some = []
+    for i in range(slices):
+        found = seeds(docs, text, shape, i, slices)
+        anchors = materialise(found.select("anchor", "key").groupBy("anchor").agg(often.alias("often")).where("often").select("anchor"), release=True)
+        some.append(materialise(found.join(anchors, "anchor"), release=True))
+        delete(anchors)
+    occurrences = reduce(DataFrame.unionAll, some)
     classes = materialise(
         occurrences.groupBy("anchor", "stretch").agg(F.count("*").alias("count"), F.min("key").alias("least"), F.max("key").alias("most"), F.min(F.struct("key", "first")).alias("one"), F.first("n").alias("n")),
         release=True,
@@ -182,7 +197,7 @@ def repeats(docs: DataFrame, text: Text, shape: Shape, across: bool) -> Repeats:
     several = materialise(classes.groupBy("anchor").agg(F.count("*").alias("n_classes")).where("n_classes > 1"))
     contested = materialise(classes.join(several, "anchor"), release=True)
     delete(several)
-    return Repeats(occurrences, classes, contested)
+    return Repeats(some, classes, contested)
 
 
 def with_text(docs: DataFrame, rows: DataFrame, columns: list[str], run: Callable, schema: str) -> DataFrame:
@@ -206,11 +221,22 @@ def spans_of(first: np.ndarray, bits: np.ndarray, window: int, size: int) -> np.
 
 
 def marked(docs: DataFrame, found: Repeats, verdicts: DataFrame) -> DataFrame:
-    """docs with first and bits, the repeated windows of each; verdicts say for a class which bits hold for keys up to least and which beyond."""
+    """docs with first and bits, the repeated windows of each; verdicts say for a class which bits hold for keys up to least and which beyond.
+
+    The tables of found and verdicts are deleted, as nothing reads them any more.
+    """
     bits = F.when(F.col("key") > F.col("least"), F.col("beyond")).otherwise(F.col("upto"))
-    marks = found.occurrences.join(verdicts, ["anchor", "stretch"]).select("key", "first", bits.alias("bits")).where("bits <> 0")
-    lists = marks.groupBy("key").agg(F.collect_list(F.struct("first", "bits")).alias("m"))
-    return docs.join(lists, "key", "left").select("doc_id", "body", F.col("m.first").alias("first"), F.col("m.bits").alias("bits"), "carry")
+    lists = []
+    for occurrences in found.occurrences:
+        marks = occurrences.join(verdicts, ["anchor", "stretch"]).select("key", "first", bits.alias("bits")).where("bits <> 0")
+        lists.append(materialise(marks.groupBy("key").agg(F.collect_list(F.struct("first", "bits")).alias("m")), release=True))
+        delete(occurrences)
+    for done in (found.classes, found.contested, verdicts):
+        delete(done)
+    whole = reduce(DataFrame.unionAll, lists)
+    if len(lists) > 1:
+        whole = whole.groupBy("key").agg(F.flatten(F.collect_list("m")).alias("m"))
+    return docs.join(whole, "key", "left").select("doc_id", "body", F.col("m.first").alias("first"), F.col("m.bits").alias("bits"), "carry")
 
 
 def bit(place: str) -> Column:

@@ -27,6 +27,8 @@ BYTES = seeds.Text(lambda body: np.frombuffer(body, np.uint8), lambda s: _BYTE[s
 SHALLOW = 16
 #: Suffixes sorted at once, unless those of one anchor are more.
 SORT_ROWS = 150_000
+#: Slices of the anchors that are taken one after the other, to bound the disk they need.
+SLICES = 3
 #: Classes of one anchor beyond which its windows are dealt by their content instead.
 MOST_CLASSES = 512
 
@@ -247,7 +249,7 @@ def _marked(docs: DataFrame, window: int, gram: int, id_col: str, text_col: str)
     bounded_batches(docs.sparkSession)
     shape = seeds.Shape(window, gram)
     docs = seeds.keyed(docs, id_col, text_col)
-    found = seeds.repeats(docs, BYTES, shape, across=True)
+    found = seeds.repeats(docs, BYTES, shape, across=True, slices=SLICES)
     pieces = materialise(_contested_bytes(docs, found.contested, window), release=True)
     bits = _sorted_bits(pieces.where(F.col("n_classes") <= MOST_CLASSES), window)
     crowded = pieces.where(F.col("n_classes") > MOST_CLASSES)
