@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import detect
+
 FIELDS = ("ts", "rule_id", "kind", "subtype", "policy", "placeholder", "request_host", "action", "match_source", "confidence", "confidence_score", "decoded_depth", "entropy")
 READ_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("ts", "rule_id", "kind", "request_host", "action")] + [T.StructField("_corrupt_record", T.StringType())])
 
 
 def audit_rows(masked_rows: DataFrame, host: Column, at: Column, action: str = "redacted") -> DataFrame:
     """A row for each replacement; it never holds the value."""
-    each = masked_rows.select(F.explode("replacements").alias("r"), host.alias("request_host"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"))
+    each = detect.each(masked_rows, "replacements", host.alias("request_host"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"))
     return each.select(
-        "ts", "r.rule_id", "r.kind", "r.subtype", "r.policy", "r.placeholder", "request_host", F.lit(action).alias("action"),
-        F.col("r.source").alias("match_source"), "r.confidence", F.col("r.score").alias("confidence_score"), F.col("r.depth").alias("decoded_depth"), "r.entropy",
+        "ts", "f.rule_id", "f.kind", "f.subtype", "f.policy", "f.placeholder", "request_host", F.lit(action).alias("action"),
+        F.col("f.source").alias("match_source"), "f.confidence", F.col("f.score").alias("confidence_score"), F.col("f.depth").alias("decoded_depth"), "f.entropy",
     )
 
 

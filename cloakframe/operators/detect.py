@@ -98,9 +98,12 @@ OPAQUE_RULE = "opaque.high_entropy"
 def _places(text: Column, pattern: str) -> Column:
     """array<struct<start, stop>> of what the pattern's second group matches; places are in characters from 0."""
     clean = F.translate(text, OPEN + SHUT, OTHER * 2)
-    pieces = F.split(F.regexp_replace(clean, pattern, f"$1{OPEN}$2{SHUT}"), OPEN, -1)
+    marked = F.regexp_replace(clean, pattern, f"$1{OPEN}$2{SHUT}")
 
-    def walk(parts: Column) -> Column:
+    def walk(whole: Column) -> Column:
+        return F.when(F.contains(whole, F.lit(OPEN)), S.let(F.split(whole, OPEN, -1), summed))
+
+    def summed(parts: Column) -> Column:
         first = F.struct(F.length(F.element_at(parts, 1)).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("found"))
 
         def step(so_far: Column, piece: Column) -> Column:
@@ -110,8 +113,7 @@ def _places(text: Column, pattern: str) -> Column:
 
         return F.aggregate(F.slice(parts, 2, F.size(parts)), first, step, lambda end: end["found"])
 
-    none = F.array().cast("array<struct<start:int,stop:int>>")
-    return F.when(text.rlike(pattern), S.let(pieces, walk)).otherwise(none)
+    return F.coalesce(S.let(marked, walk), F.array().cast("array<struct<start:int,stop:int>>"))
 
 
 def _value(text: Column, place: Column) -> Column:
@@ -144,10 +146,21 @@ def _hides_placeholder(token: Column, prefix: str) -> Column:
     return F.contains(token, F.lit(prefix + "_")) | F.coalesce(F.contains(decoded, F.lit("{{" + prefix + "_")), F.lit(False))
 
 
+def long_token_pattern(min_bytes: int) -> str:
+    """Whole tokens that may have so many bytes: so many characters, or half, or a quarter, with characters of two, or more, bytes.
+
+    Most words of a text end here, before anything is built for them.
+    """
+    token = f"[^{re.escape(DELIMITERS)}]"
+    two, four = (max(1, -(-min_bytes // n)) for n in (2, 4))
+    start = f"(?<!{token})"
+    wide = rf"(?={token}*[^\x00-\x7F]){token}{{{two},}}|(?={token}*[^\x00-\u07FF]){token}{{{four},}}"
+    return f"(){start}({token}{{{max(1, min_bytes)},}}|{wide})"
+
+
 def opaque_findings(text: Column, cfg: Detection, prefix: str) -> Column:
-    """High-entropy tokens. The token pattern asks for a quarter of the bytes in characters, as none has more than four."""
-    least = max(1, -(-cfg.entropy_min_len // 4))
-    pattern = f"()([^{re.escape(DELIMITERS)}]{{{least},}})"
+    """High-entropy tokens."""
+    pattern = long_token_pattern(cfg.entropy_min_len)
     longest = F.filter(_places(text, pattern), lambda p: (F.octet_length(_value(text, p)) >= cfg.entropy_min_len) & ~_value(text, p).rlike("^[a-z]*$"))
 
     def one(place: Column) -> Column:
@@ -260,4 +273,15 @@ def with_findings(df: DataFrame, text_col: str, cfg: Detection, allowlist: Allow
 
 def exploded(df: DataFrame, *keep: str) -> DataFrame:
     """A row for each finding of a table with findings."""
-    return df.select(*keep, F.explode("findings").alias("f")).select(*keep, "f.*")
+    return each(df, "findings", *keep).select(*keep, "f.*")
+
+
+def each(df: DataFrame, column: str, *keep: str | Column) -> DataFrame:
+    """keep and f for each element of an array column, which is worked out once: an inner explode would filter by its size first."""
+    return df.select(*keep, F.explode_outer(column).alias("f")).where("f is not null")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it comes in fewer partitions, a small file of one row group for instance."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Hook
+from . import detect
 
 RECORD = ("event", "ts", "request_host", "rule_id", "kind", "subtype", "placeholder", "action")
 
@@ -34,10 +35,10 @@ def blocking_message(replacements: Column, hooks: Iterable[Hook]) -> Column:
 
 def records(masked_rows: DataFrame, hook: Hook, host: Column, at: Column) -> DataFrame:
     """A record for each replacement that the hook is for; at is a timestamp, ts epoch seconds."""
-    each = masked_rows.select(F.explode("replacements").alias("r"), host.alias("request_host"), F.unix_timestamp(at).alias("ts"))
+    each = detect.each(masked_rows, "replacements", host.alias("request_host"), F.unix_timestamp(at).alias("ts"))
     if "*" not in hook.rule_ids:
-        each = each.where(F.lower(F.trim("r.rule_id")).isin(*hook.rule_ids))
-    return each.select(F.lit(hook.event).alias("event"), "ts", "request_host", "r.rule_id", "r.kind", "r.subtype", "r.placeholder", F.lit(hook.action).alias("action"))
+        each = each.where(F.lower(F.trim("f.rule_id")).isin(*hook.rule_ids))
+    return each.select(F.lit(hook.event).alias("event"), "ts", "request_host", "f.rule_id", "f.kind", "f.subtype", "f.placeholder", F.lit(hook.action).alias("action"))
 
 
 def run_log(rows: DataFrame, hook: Hook) -> None:

@@ -15,6 +15,7 @@ from ..config import PREFIX
 from ..errors import STRICT_RESOLVE_FAILED
 from ..functions import scalars as S
 from ..vocabulary import placeholder_pattern
+from . import detect
 
 CUT = "\x01"
 
@@ -64,7 +65,7 @@ def kind_histogram(replacements: Column) -> Column:
 def mapping(masked_rows: DataFrame, ttl: timedelta = timedelta(hours=1), seen_at: Column | None = None) -> DataFrame:
     """id, kind, secret and expires_at of all replacements; seeing a value again puts its expiry off."""
     seen = F.current_timestamp() if seen_at is None else seen_at
-    each = masked_rows.select(F.explode("replacements").alias("r"), seen.alias("seen")).select("r.id", "r.kind", "r.secret", "seen")
+    each = detect.each(masked_rows, "replacements", seen.alias("seen")).select("f.id", "f.kind", "f.secret", "seen")
     return merged(each.select("id", "kind", "secret", (F.col("seen") + F.expr(f"INTERVAL {ttl.total_seconds()} SECOND")).alias("expires_at")))
 
 

@@ -34,7 +34,7 @@ def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def found(spark: SparkSession, sf_dir: str, cfg: Detection = FLAT, allowlist: Allowlist | None = None) -> DataFrame:
-    return detect.with_findings(documents(spark, sf_dir), "text", cfg, allowlist)
+    return detect.with_findings(detect.spread(documents(spark, sf_dir)), "text", cfg, allowlist)
 
 
 def masked(spark: SparkSession, sf_dir: str, salt: bytes | None = None) -> DataFrame:
@@ -55,9 +55,9 @@ def opaque_tokens(spark, sf_dir):
 
 def _candidates(spark, sf_dir, table, key, text, switch):
     detector = detect.CATALOGUE[switch][0]
-    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    rows = detect.spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
     places = detect._places(F.col(text), f"(?U)()({detector.value})")
-    each = rows.select(key, text, F.explode(places).alias("p")).select(key, F.substring(text, F.col("p.start") + 1, F.col("p.stop") - F.col("p.start")).alias("value"))
+    each = detect.each(rows.withColumn("p", places), "p", key, text).select(key, F.substring(text, F.col("f.start") + 1, F.col("f.stop") - F.col("f.start")).alias("value"))
     return each.withColumn("valid", detector.valid(F.col("value")))
 
 
@@ -88,7 +88,7 @@ def overlap_resolution(spark, sf_dir):
 
 
 def context_windows(spark, sf_dir):
-    rows = found(spark, sf_dir).select("doc_id", "text", F.explode("findings").alias("f")).where("f.score < 70")
+    rows = detect.each(found(spark, sf_dir), "findings", "doc_id", "text").where("f.score < 70")
     return rows.select("doc_id", F.col("f.start").alias("start"), detect.context(F.col("text"), F.col("f")).alias("context"))
 
 
@@ -173,8 +173,8 @@ def json_predicate(spark, sf_dir):
 
 
 def redaction_ids(spark, sf_dir):
-    each = masked(spark, sf_dir).select("doc_id", F.explode("replacements").alias("r"))
-    return each.select("doc_id", "r.secret", "r.id", "r.placeholder", S.legacy_id(F.col("r.secret")).alias("legacy_id"))
+    each = detect.each(masked(spark, sf_dir), "replacements", "doc_id")
+    return each.select("doc_id", "f.secret", "f.id", "f.placeholder", S.legacy_id(F.col("f.secret")).alias("legacy_id"))
 
 
 def masked_text(spark, sf_dir):
@@ -191,7 +191,7 @@ def kind_histogram(spark, sf_dir):
 
 
 def redact_resolve_roundtrip(spark, sf_dir):
-    rows = masked(spark, sf_dir, b"a salt of the session")
+    rows = masked(spark, sf_dir, b"a salt of the session").select("doc_id", "masked", "replacements").persist()
     known = rewrite.mapping(rows, timedelta(hours=1), at())
     return rewrite.resolved(rows.select("doc_id", "masked"), "doc_id", "masked", known, at()).select("doc_id", F.col("restored").alias("text"))
 
