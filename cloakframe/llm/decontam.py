@@ -2,8 +2,8 @@
 
 Numbers, names (a capital inside a sentence) and units after a number become typed
 slots, other words stay in lower case. Windows of so many tokens are hash-joined
-between documents and benchmark items; a match counts if the slots of both windows
-are consistent, that is, equal values stand in the same places on both sides.
+between documents and benchmark items; the matches that line up are one reading of an
+item, which counts if its slots are consistent.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def _slot(token: Column) -> Column:
 
 
 def _windows(df: DataFrame, key: str, text: str, sizes: list[int], least_literal: int) -> DataFrame:
-    """key, n, w (hash of the template of n tokens) and slots (hashes of slot values) of every window."""
+    """key, n, w (hash of the template of n tokens), at (its place) and slots (hashes of slot values) of every window."""
     arrays = df.select(F.col(key).alias(key), tokens(F.col(text)).alias("t")).where(F.size("t") >= min(sizes))
 
     def of(t: Column) -> Column:
@@ -59,7 +59,8 @@ def _windows(df: DataFrame, key: str, text: str, sizes: list[int], least_literal
                 lambda no: F.transform(
                     F.when(F.size(hv["h"]) >= n, F.sequence(F.lit(1), F.size(hv["h"]) - n + 1)).otherwise(F.array().cast("array<int>")),
                     lambda i: F.struct(
-                        F.lit(n).alias("n"),
+                        *([F.lit(n).alias("n")] if len(sizes) > 1 else []),
+                        i.alias("at"),
                         F.xxhash64(F.slice(hv["h"], i, n)).alias("w"),
                         F.when(no, F.array().cast("array<long>")).otherwise(F.filter(F.slice(hv["v"], i, n), lambda x: x != 0)).alias("slots"),
                     ),
@@ -69,18 +70,19 @@ def _windows(df: DataFrame, key: str, text: str, sizes: list[int], least_literal
         return let(of(F.col("t")), at)
 
     per_size = [windows(n) for n in sizes]
-    found = arrays.select(key, F.explode(F.concat(*per_size) if len(sizes) > 1 else per_size[0]).alias("x")).select(key, "x.n", "x.w", "x.slots")
+    each = arrays.select(key, F.explode(F.concat(*per_size) if len(sizes) > 1 else per_size[0]).alias("x"))
+    found = each.select(key, F.col("x.n") if len(sizes) > 1 else F.lit(sizes[0]).alias("n"), "x.w", "x.at", "x.slots")
     return found.where(F.size("slots") <= F.greatest(F.col("n") - least_literal, F.floor(F.col("n") / 2).cast("int")))
 
 
-def pattern(slots: Column) -> Column:
-    """For each slot, where its value first stands."""
-    return F.transform(slots, lambda s: F.array_position(slots, s))
-
-
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_item: int = 5, least_literal: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id and n_windows (matched window pairs) of documents that hold a window of a benchmark item.
 
+    Windows match by template. Those of one document and item at one distance from each
+    other are one reading of the item; it counts if its slots are consistent, that is, each
+    value of the item stands for one value of the document and the other way round. Of
+    other readings only windows with the very same values count.
+
     An item of fewer than window tokens, but at least least_item, is matched as a
     whole; shorter ones and null texts never match. A window needs least_literal words
     that aren't slots, or half of its tokens if that is fewer. Repeated rows count as
@@ -94,12 +96,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_item:
     for n in sizes:
         some = _windows(ours.where(F.col("own") == n), "item_id", "text", [n], least_literal)
         sides = some if sides is None else sides.unionAll(some)
-    sides = sides.withColumnRenamed("slots", "item_slots")
+    sides = sides.withColumnsRenamed({"slots": "item_slots", "at": "item_at"})
     if sides.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         sides = F.broadcast(sides)
     hits = _windows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", sizes, least_literal).join(sides, ["n", "w"])
-    same = F.col("slots") == F.col("item_slots")
-    return hits.where(same | (pattern(F.col("slots")) == pattern(F.col("item_slots")))).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"))
+    readings = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("distance")).agg(
+        F.count("*").alias("all"),
+        F.count_if(F.col("slots") == F.col("item_slots")).alias("same"),
+        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("slots", "item_slots")))).alias("pairs"),
+    )
+    values = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
+    consistent = (F.size("pairs") == values("slots")) & (F.size("pairs") == values("item_slots"))
+    counted = readings.select("doc_id", "item_id", F.when(consistent, F.col("all")).otherwise(F.col("same")).alias("n")).where("n > 0")
+    return counted.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_windows"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -117,15 +117,20 @@ WITH text_of AS (
     least(len(t), 13) AS own FROM toks WHERE side = 'd' OR len(t) >= 5
 ), sizes AS (SELECT DISTINCT own AS n FROM typed WHERE side = 'b'),
 placed AS (
-  SELECT side, id, n, h[i:i + n - 1] AS w,
+  SELECT side, id, n, i, h[i:i + n - 1] AS w,
     list_filter(list_transform(range(i, i + n), lambda k: CASE WHEN h[k] IN ('<name>', '<unit>', '<number>') THEN t[k] END), lambda x: x IS NOT NULL) AS slots
   FROM typed JOIN sizes ON (side = 'd' OR own = n), LATERAL (SELECT unnest(range(1, len(t) - n + 2)) AS i)
 ), win AS (
-  SELECT side, id, n, w, list_transform(slots, lambda s: list_position(slots, s)) AS pat FROM placed WHERE len(slots) <= greatest(n - 8, n // 2)
+  SELECT * FROM placed WHERE len(slots) <= greatest(n - 8, n // 2)
+), reading AS (
+  SELECT d.id AS doc_id, b.id AS item_id, d.i - b.i AS distance, count(*) AS whole, count(*) FILTER (d.slots = b.slots) AS same,
+    list_distinct(flatten(list(list_transform(list_zip(d.slots, b.slots), lambda z: z[1] || chr(10) || z[2])))) AS pairs
+  FROM win d JOIN win b ON d.side = 'd' AND b.side = 'b' AND d.n = b.n AND d.w = b.w GROUP BY ALL
 ), hit AS (
-  SELECT d.id AS doc_id, b.id AS item_id, count(*) AS c FROM win d JOIN win b ON d.side = 'd' AND b.side = 'b' AND d.n = b.n AND d.w = b.w AND d.pat = b.pat GROUP BY ALL
+  SELECT doc_id, item_id, CASE WHEN len(pairs) = len(list_distinct(list_transform(pairs, lambda p: split_part(p, chr(10), 1)))) AND len(pairs) = len(list_distinct(list_transform(pairs, lambda p: split_part(p, chr(10), 2))))
+    THEN whole ELSE same END AS c FROM reading
 )
-SELECT doc_id, list_sort(list(item_id)) AS item_ids, sum(c)::BIGINT AS n_windows FROM hit GROUP BY doc_id
+SELECT doc_id, list_sort(list(item_id)) AS item_ids, sum(c)::BIGINT AS n_windows FROM hit WHERE c > 0 GROUP BY doc_id
 """.replace("UNITS", "|".join(sorted(decontam.UNITS.split(), key=lambda u: (-len(u), u))))
 
 
