@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, parts
+from .common import bounded_batches, materialise
 
 #: Distinct vectors that the centres and codewords are fitted on, those with the smallest hashes.
 FIT_ROWS = 16_384
