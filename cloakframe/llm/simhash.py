@@ -12,16 +12,17 @@ up and drops a whole node once they pass h.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blobs, bounded_batches, materialise, parts, text_bytes
+from .common import blobs, bounded_batches, delete, materialise, parts, text_bytes
 from .components import connected_components, forest
 
 FAN = 8
@@ -185,135 +186,110 @@ def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2, blocks:
     return prints.join(found, "fp").select("doc_id", "fp", F.col("component").alias("component_id"))
 
 
-WORDS = 4
-#: Rows of a group beyond which it is searched breadth first.
-BREADTH_ROWS = 2048
-_TURN = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-
-
-def wide_fingerprint(body: bytes, width: int) -> np.ndarray:
-    """SimHash of WORDS * 64 bits: each shingle's hash is turned into so many words."""
+def shingle_set(body: bytes, width: int) -> np.ndarray:
+    """The sorted distinct XXH64 of the word shingles; a text without words has the one of nothing."""
     words = body.lower().split()
-    if not words:
-        return np.zeros(WORDS, np.uint64)
     shingles = [b" ".join(words)] if len(words) < width else list(map(b" ".join, zip(*(words[i:] for i in range(width)))))
-    counts = np.zeros(64 * WORDS, np.int64)
-    for at in range(0, len(shingles), 1 << 14):
-        some = shingles[at : at + (1 << 14)]
-        own = np.frombuffer(b"".join([xxhash.xxh64_digest(x, 42) for x in some]), ">u8").astype(np.uint64)
-        turned = own[:, None] * _TURN
-        turned = (turned ^ (turned >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        turned ^= turned >> np.uint64(32)
-        counts += np.unpackbits(turned.view(np.uint8), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * counts > len(shingles)).view(np.uint64)
-
-
-def sampled_masks(tables: int, bits: int) -> list[tuple[int, int]]:
-    """A word's number and a signed mask of so many of its bits for each table."""
-    rng = np.random.default_rng(11)
-    out = []
-    for t in range(tables):
-        mask = sum(1 << int(b) for b in rng.choice(64, bits, replace=False))
-        out.append((t % WORDS, mask - (1 << 64) if mask >> 63 else mask))
-    return out
-
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(x, 42) for x in shingles]), ">u8").astype(np.uint64))
 
-def _breadth_first(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what is linked in a large group: a reached row is never compared as a target again."""
-    left = np.arange(len(fp))
-    a, b = [], []
-    while len(left):
-        queue, left = left[:1], left[1:]
-        root = queue[0]
-        while len(queue) and len(left):
-            some, queue = queue[:16], queue[16:]
-            near = (np.bitwise_count(fp[some][:, None, :] ^ fp[left][None]).sum(2, dtype=np.int64) <= most).any(0)
-            queue = np.r_[queue, left[near]]
-            a.append(left[near])
-            b.append(np.full(int(near.sum()), root))
-            left = left[~near]
-    return np.concatenate(a or [np.empty(0, np.int64)]), np.concatenate(b or [np.empty(0, np.int64)])
-
-
-def _wide_linked(group: np.ndarray, word: np.ndarray, fp: np.ndarray, rep: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """As _linked, for wide fingerprints: the index runs over the group's own word, all words decide."""
-    size = np.diff(np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)])
-    sizes = np.repeat(size, size)
-    a, b = np.empty(0, np.int64), np.empty(0, np.int64)
-    for g in np.unique(group[sizes > BREADTH_ROWS]):
-        rows = np.flatnonzero(group == g)
-        i, j = _breadth_first(fp[rows], most)
-        a, b = forest(np.concatenate([a, rep[rows[i]]]), np.concatenate([b, rep[rows[j]]]))
-    some = (sizes > 1) & (sizes <= BREADTH_ROWS)
-    group, word, fp, rep = group[some], word[some], fp[some], rep[some]
-    if len(group):
-        own = fp[np.arange(len(fp)), word]
-        order = np.lexsort([gray_rank(own), group])
-        group, fp, rep, own = group[order], fp[order], rep[order], own[order]
-        for i, j in GrayIndex(group, own).pairs(most // WORDS):
-            near = np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64) <= most
-            a, b = forest(np.concatenate([a, rep[i[near]]]), np.concatenate([b, rep[j[near]]]))
-    return a, b
 
+def _needed(n: int | Column, similarity: float) -> int | Column:
+    """Shingles of n that any set of at least the similarity shares; rounded so that no pair at the limit is missed."""
+    least = n * similarity - 1e-9
+    return F.ceil(least) if isinstance(least, Column) else math.ceil(least)
 
-def similar(docs: DataFrame, width: int = 5, most: int = 48, tables: int = 48, bits: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id by wide fingerprints: links of at most `most` differing bits of 256.
 
-    Texts of Jaccard similarity J of their shingles differ in about acos(2J / (1 + J)) / pi
-    of the bits: 39 at J = 0.8, with a deviation of 6; so 48 takes in nearly all pairs of
-    0.8 or more. Of a pair, some word differs in at most most / WORDS bits; it is found
-    if it agrees on the sampled bits of one of the tables, which at J = 0.8 has a chance of
-    about 0.95 for a single pair and more for a group of copies. Cases as in near_duplicates.
-    """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    names = [f"w{i}" for i in range(WORDS)]
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id and the shingle set of docs (as text_bytes gives them)."""
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([wide_fingerprint(body, width) for body in blobs(batch.column(1))], np.uint64).reshape(-1, WORDS).view(np.int64)
-            yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(WORDS))], ["doc_id", *names])
-
-    each = materialise(text_bytes(docs, id_col, text_col).mapInArrow(prints, "doc_id long, " + ", ".join(f"{n} long" for n in names)))
-    reps = materialise(each.where("doc_id is not null").groupBy(names).agg(F.min("doc_id").alias("rep")))
-    under = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col(names[w]).bitwiseAND(F.lit(m).cast("long")).alias("bits")) for t, (w, m) in enumerate(sampled_masks(tables, bits)))))
-    dealt = (
-        reps.select("*", under.alias("k"))
-        .select(F.xxhash64("k.t", "k.bits").alias("key"), "k.t", "k.bits", *names, "rep")
-        .repartition(parts(spark), "key")
-        .sortWithinPartitions("t", "bits")
-        .drop("key")
-    )
+            found = [shingle_set(body, width).view(np.int64) for body in blobs(batch.column(1))]
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        edges = (np.empty(0, np.int64), np.empty(0, np.int64))
+    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
 
-        def flush(last: bool) -> None:
-            nonlocal held, edges
-            t, bits_, rep, *fp = (np.concatenate(x) for x in zip(*held))
-            group = np.cumsum(np.r_[True, (t[1:] != t[:-1]) | (bits_[1:] != bits_[:-1])])
-            whole = len(group) if last else int(np.searchsorted(group, group[-1]))
-            wide = np.stack(fp, 1).view(np.uint64)
-            a, b = _wide_linked(group[:whole], t[:whole] % WORDS, wide[:whole], rep[:whole], most)
-            edges = forest(np.concatenate([edges[0], a]), np.concatenate([edges[1], b]))
-            held = [[x[whole:] for x in (t, bits_, rep, *fp)]]
 
-        size = 0
+def _heads(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """doc_id, a 128-bit hash (hi, lo) of the shingle set, and the least shingles of it that a similar set must meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t, bits_, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            held.append([t, bits_, rest[-1], *rest[:-1]])
-            size += batch.num_rows
-            if size >= BLOCK_ROWS:
-                flush(False)
-                size = len(held[0][0])
-        if held:
-            flush(True)
-        yield pa.record_batch([pa.array(edges[0]), pa.array(edges[1])], ["a", "b"])
+            sets = [shingle_set(body, width) for body in blobs(batch.column(1))]
+            keys = np.frombuffer(b"".join(xxhash.xxh128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
+            least = [x[: len(x) - _needed(len(x), similarity) + 1].view(np.int64) for x in sets]
+            yield pa.record_batch([batch.column(0), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(least, pa.list_(pa.int64()))], ["doc_id", "hi", "lo", "least"])
+
+    return docs.mapInArrow(run, "doc_id long, hi long, lo long, least array<long>")
+
+
+def _rare(sets: DataFrame, similarity: float) -> DataFrame:
+    """s and doc_id, n: the rarest shingles of each set, of which similar sets share one, without those of a single set."""
+    each = sets.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    counts = materialise(each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"))
+    several = materialise(each).join(counts, "s")
+    found = several.groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("x"))
+    own = F.col("n") - F.size("x")
+    most = (F.col("n") - _needed(F.col("n"), similarity) + 1 - own).cast("int")
+    return found.where(most > 0).select("doc_id", "n", F.explode(F.slice("x", F.lit(1), most)).alias("x")).select("x.s", "doc_id", "n")
+
 
-    components = connected_components(dealt.mapInArrow(run, "a long, b long"))
-    found = materialise(reps.join(components, reps.rep == components.node, "left").select(*names, F.coalesce("component", "rep").alias("component_id")))
-    return each.join(found, names, "left").select("doc_id", "component_id")
+def _components(sets: DataFrame, similarity: float) -> DataFrame:
+    """node and component over the links of at least the similarity among sets.
+
+    Sets under one rare shingle are compared with the first of them, then with the next
+    three, twelve and so on, until each two of them are compared or of one component.
+    """
+    order = Window.partitionBy("s").orderBy("doc_id")
+    groups = materialise(_rare(sets, similarity).withColumn("place", F.row_number().over(order)))
+    deepest = groups.agg(F.max("place")).first()[0] or 0
+    edges, found = None, None
+    done, upto = 0, 1
+    while done < deepest - 1:
+        now = groups.withColumn("component", F.col("doc_id"))
+        if found is not None:
+            now = groups.join(found, groups.doc_id == found.node, "left").select("s", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("component"))
+            open_ = now.groupBy("s").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("place").alias("last"))
+            now = now.join(open_.where(f"a < b and last > {done + 1}").select("s"), "s", "left_semi")
+        now = materialise(now)
+        head = now.where(f"place > {done} and place <= {upto}").select("s", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "place", "component")))
+        alike = (F.least("n", "n_a") >= F.greatest("n", "n_a") * similarity - 1e-9) & (F.col("component") != F.col("component_a"))
+        pairs = materialise(now.join(head, "s").where((F.col("place") > F.col("place_a")) & alike).select(F.col("doc_id_a").alias("a"), F.col("doc_id").alias("b")).distinct())
+        first = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
+        second = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        linked = both * (1 + similarity) >= (F.size("x") + F.size("y")) * similarity - 1e-9
+        links = materialise(pairs.join(first, "a").join(second, "b").where(linked).select("a", "b"))
+        if links.limit(1).count():
+            edges = links if edges is None else edges.unionAll(links)
+            found = connected_components(edges)
+        for old in (now, pairs):
+            delete(old)
+        done, upto = upto, 4 * upto
+    return sets.sparkSession.createDataFrame([], "node long, component long") if found is None else found
+
+
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id: links are all pairs whose word shingles have at least the Jaccard similarity.
+
+    Sets of n shingles that are so similar share at least similarity * n of them, so in
+    any one order of all shingles they share one among the first n - similarity * n + 1.
+    That holds for every pair, and each candidate is verified on its whole sets. By order
+    of hash it gives the texts that may have a partner at all; of those, by order of
+    rarity, the pairs. Shingles are compared by 64-bit hashes. Cases as in near_duplicates.
+    """
+    bounded_batches(docs.sparkSession)
+    bodies = text_bytes(docs, id_col, text_col)
+    each = materialise(_heads(bodies, width, similarity))
+    reps = materialise(each.where("doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")))
+    least = materialise(each.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("least").alias("s")))
+    met = materialise(least.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s"))
+    some = materialise(least.join(met, "s", "left_semi").select("doc_id").distinct())
+    delete(least)
+    sets = materialise(_sets(bodies.join(some, "doc_id", "left_semi"), width))
+    components = _components(sets, similarity)
+    found = materialise(reps.join(components, reps.rep == components.node, "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id")))
+    return each.join(found, ["hi", "lo"], "left").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

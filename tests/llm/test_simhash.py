@@ -95,3 +95,51 @@ def test_components_of_paths_stars_and_cycles(spark):
     a, b = (np.array(x) for x in zip(*edges))
     node, root = forest(a, b)
     assert dict(zip(node.tolist(), root.tolist())) == got
+
+
+def test_similar_links_all_pairs_of_the_jaccard_limit_and_no_other(spark):
+    """Isolated pairs about the limit, groups with many members, and repeated sets, against brute force."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts = [None, "", " \n", "ONE", "one", "one two"]
+    for flips in (1, 2, 3, 4, 5, 6):
+        for _ in range(40):
+            base = [word() for _ in range(200)]
+            copy = list(base)
+            for at in rng.sample(range(200), flips):
+                copy[at] = word()
+            texts += [" ".join(base), " ".join(copy)]
+    for n, flips in ((90, 4), (60, 2)):
+        base = [word() for _ in range(150)]
+        for _ in range(n):
+            copy = list(base)
+            for at in rng.sample(range(150), rng.randint(0, flips)):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    passage = [word() for _ in range(60)]
+    texts += [" ".join([word() for _ in range(20)] + passage) for _ in range(30)]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w)} if len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    n_links = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both * 5 >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                n_links += 1
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+    assert n_links > 1000 and got == {i: find(i) for i in range(len(texts))}
+    assert simhash.similar(df.limit(0)).collect() == []
