@@ -42,8 +42,11 @@ def _slot(token: Column) -> Column:
     return F.when(first == "\x01", "<name>").when(first == "\x02", "<unit>").when((first >= "0") & (first <= "9"), "<number>")
 
 
-def _windows(df: DataFrame, key: str, text: str, sizes: list[int], least_literal: int) -> DataFrame:
-    """key, n, w (hash of the template of n tokens), at (its place) and slots (hashes of slot values) of every window."""
+def _windows(df: DataFrame, key: str, text: str, sizes: list[int], least_item: int, least_literal: int) -> DataFrame:
+    """key, n, w (hash of the template of n tokens), at (its place) and slots (hashes of slot values) of every window.
+
+    The hash of a window with too many slots, or of fewer tokens than least_item, takes in the slot values.
+    """
     arrays = df.select(F.col(key).alias(key), tokens(F.col(text)).alias("t")).where(F.size("t") >= min(sizes))
 
     def of(t: Column) -> Column:
@@ -72,7 +75,8 @@ def _windows(df: DataFrame, key: str, text: str, sizes: list[int], least_literal
     per_size = [windows(n) for n in sizes]
     each = arrays.select(key, F.explode(F.concat(*per_size) if len(sizes) > 1 else per_size[0]).alias("x"))
     found = each.select(key, F.col("x.n") if len(sizes) > 1 else F.lit(sizes[0]).alias("n"), "x.w", "x.at", "x.slots")
-    return found.where(F.size("slots") <= F.greatest(F.col("n") - least_literal, F.floor(F.col("n") / 2).cast("int")))
+    free = F.when(F.col("n") >= least_item, F.greatest(F.col("n") - least_literal, F.floor(F.col("n") / 2).cast("int"))).otherwise(-1)
+    return found.withColumn("w", F.when(F.size("slots") <= free, F.col("w")).otherwise(F.xxhash64("w", "slots")))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_item: int = 5, least_literal: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,23 +87,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_item:
     value of the item stands for one value of the document and the other way round. Of
     other readings only windows with the very same values count.
 
-    An item of fewer than window tokens, but at least least_item, is matched as a
-    whole; shorter ones and null texts never match. A window needs least_literal words
-    that aren't slots, or half of its tokens if that is fewer. Repeated rows count as
+    An item of fewer than window tokens is matched as a whole; null texts and those
+    without tokens never match. Values may differ in windows of at least least_item tokens
+    with least_literal words that aren't slots, or half of the tokens if that is fewer;
+    other windows match by template and values. Repeated rows count as
     often as they stand; a null doc_id or item_id is kept as null. Other columns are
     ignored; an empty table gives no rows.
     """
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("t"), "text").where(F.size("t") >= least_item)
+    items = benchmark.select("item_id", tokens(F.col("text")).alias("t"), "text").where(F.size("t") > 0)
     sizes = sorted({min(window, r.n) for r in items.select(F.least(F.size("t"), F.lit(window)).alias("n")).distinct().limit(window).collect()}) or [window]
     ours = items.select("item_id", "text", F.least(F.size("t"), F.lit(window)).alias("own"))
     sides = None
     for n in sizes:
-        some = _windows(ours.where(F.col("own") == n), "item_id", "text", [n], least_literal)
+        some = _windows(ours.where(F.col("own") == n), "item_id", "text", [n], least_item, least_literal)
         sides = some if sides is None else sides.unionAll(some)
     sides = sides.withColumnsRenamed({"slots": "item_slots", "at": "item_at"})
     if sides.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         sides = F.broadcast(sides)
-    hits = _windows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", sizes, least_literal).join(sides, ["n", "w"])
+    hits = _windows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", sizes, least_item, least_literal).join(sides, ["n", "w"])
     readings = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("distance")).agg(
         F.count("*").alias("all"),
         F.count_if(F.col("slots") == F.col("item_slots")).alias("same"),

@@ -71,6 +71,18 @@ def test_decontamination_by_templates(spark):
     assert "Python" not in plans and "Arrow" not in plans
 
 
+def found_items(spark, docs, items):
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {r.doc_id: r.item_ids for r in decontam.contaminated(df, bench).collect()}
+
+
+def test_decontamination_of_many_slots_and_short_items_by_values(spark):
+    item = "Compute the sum of 3 5 7 9 11 13 15 17 19 21 23 25 27 29 and 31 exactly"
+    docs = [f"so {item} or not", item.replace("17", "18").replace("11", "12").replace("23", "24").replace("5 7", "5 8").replace("29", "30"), "is the capital Paris then", "is the capital Rome then", "add 2 3 now"]
+    assert found_items(spark, docs, [item, "Capital Paris", "2 3", "", "..."]) == {0: [0], 2: [1], 4: [2]}
+
+
 def test_raking_meets_targets(spark):
     rng = random.Random(1)
     rows = [(i, "w " * rng.randint(1, 40), rng.choice("ab"), rng.choice(["en", "fr", None])) for i in range(400)] + [(None, None, None, None), (400, "", "a", "en")]
