@@ -21,6 +21,8 @@ MARKS = (
     (r"(\p{N} ?)(" + "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u))) + r")\b", "$1 \x02$2"),
     (r"([\p{L},;] )(\p{Lu})", "$1\x01$2"),
 )
+#: Also marks capitals at the start of a text, line or sentence, after a digit, quote or bracket.
+ANY_CAPITAL = (r"(^|[^\p{L}\p{N}\x01\x02\x04])(\p{Lu})", "$1\x01$2")
 BETWEEN = r"[^\p{L}\p{N}\x01\x02\x04]+"
 #: Rows of benchmark windows up to which they are broadcast; beyond, both sides are shuffled.
 MOST_BROADCAST = 400_000
@@ -31,8 +33,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def tokens(text: Column) -> Column:
-    for pattern, by in MARKS:
+def tokens(text: Column, any_capital: bool = False) -> Column:
+    for pattern, by in (*MARKS, ANY_CAPITAL) if any_capital else MARKS:
         text = F.regexp_replace(text, pattern, by)
     return F.array_remove(F.split(F.lower(text), BETWEEN), "")
 
@@ -45,36 +47,40 @@ def _slot(token: Column) -> Column:
 def _windows(df: DataFrame, key: str, text: str, sizes: list[int], least_item: int, least_literal: int) -> DataFrame:
     """key, n, w (hash of the template of n tokens), at (its place) and slots (hashes of slot values) of every window.
 
-    The hash of a window with too many slots, or of fewer tokens than least_item, takes in the slot values.
+    A window with capitals that only ANY_CAPITAL marks comes again, wide, with those as names. The hash of a window with too many slots, or of fewer tokens than least_item, takes in the slot values.
     """
-    arrays = df.select(F.col(key).alias(key), tokens(F.col(text)).alias("t")).where(F.size("t") >= min(sizes))
+    arrays = df.select(F.col(key).alias(key), tokens(F.col(text)).alias("t"), tokens(F.col(text), True).alias("u"))
 
     def of(t: Column) -> Column:
         template = F.transform(t, lambda x: F.xxhash64(F.coalesce(_slot(x), x)))
         values = F.transform(t, lambda x: F.when(_slot(x).isNotNull(), F.xxhash64(x)).otherwise(F.lit(0).cast("long")))
         return F.struct(template.alias("h"), values.alias("v"))
 
-    def windows(n: int) -> Column:
+    def windows(n: int, t: Column, wide: bool) -> Column:
         def at(hv: Column) -> Column:
             none = F.forall(hv["v"], lambda x: x == 0)
+            places = F.when(F.size(hv["h"]) >= n, F.sequence(F.lit(1), F.size(hv["h"]) - n + 1)).otherwise(F.array().cast("array<int>"))
+            if wide:
+                places = let(F.zip_with("t", "u", lambda x, y: x != y), lambda odd: F.filter(places, lambda i: F.array_contains(F.slice(odd, i, n), True)))
             return let(
                 none,
                 lambda no: F.transform(
-                    F.when(F.size(hv["h"]) >= n, F.sequence(F.lit(1), F.size(hv["h"]) - n + 1)).otherwise(F.array().cast("array<int>")),
+                    places,
                     lambda i: F.struct(
                         *([F.lit(n).alias("n")] if len(sizes) > 1 else []),
                         i.alias("at"),
                         F.xxhash64(F.slice(hv["h"], i, n)).alias("w"),
                         F.when(no, F.array().cast("array<long>")).otherwise(F.filter(F.slice(hv["v"], i, n), lambda x: x != 0)).alias("slots"),
+                        F.lit(wide).alias("wide"),
                     ),
                 ),
             )
 
-        return let(of(F.col("t")), at)
+        return let(of(t), at)
 
-    per_size = [windows(n) for n in sizes]
-    each = arrays.select(key, F.explode(F.concat(*per_size) if len(sizes) > 1 else per_size[0]).alias("x"))
-    found = each.select(key, F.col("x.n") if len(sizes) > 1 else F.lit(sizes[0]).alias("n"), "x.w", "x.at", "x.slots")
+    # An inner explode, or a filter by the number of tokens, would work all of it out twice.
+    each = arrays.select(key, F.explode_outer(F.concat(*(windows(n, F.col(t), t == "u") for n in sizes for t in ("t", "u")))).alias("x")).where("x is not null")
+    found = each.select(key, F.col("x.n") if len(sizes) > 1 else F.lit(sizes[0]).alias("n"), "x.w", "x.at", "x.slots", "x.wide")
     free = F.when(F.col("n") >= least_item, F.greatest(F.col("n") - least_literal, F.floor(F.col("n") / 2).cast("int"))).otherwise(-1)
     return found.withColumn("w", F.when(F.size("slots") <= free, F.col("w")).otherwise(F.xxhash64("w", "slots")))
 
@@ -85,7 +91,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_item:
     Windows match by template. Those of one document and item at one distance from each
     other are one reading of the item; it counts if its slots are consistent, that is, each
     value of the item stands for one value of the document and the other way round. Of
-    other readings only windows with the very same values count.
+    other readings only windows with the very same values count. Capitals at the start of
+    a sentence or line, or after a digit, quote or bracket, are read as words and, all of
+    a window alike, as names; n_windows counts the windows that match with them as words,
+    and only where none does those that match either way.
 
     An item of fewer than window tokens is matched as a whole; null texts and those
     without tokens never match. Values may differ in windows of at least least_item tokens
@@ -101,19 +110,38 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_item:
     for n in sizes:
         some = _windows(ours.where(F.col("own") == n), "item_id", "text", [n], least_item, least_literal)
         sides = some if sides is None else sides.unionAll(some)
-    sides = sides.withColumnsRenamed({"slots": "item_slots", "at": "item_at"})
+    sides = sides.withColumnsRenamed({"slots": "item_slots", "at": "item_at", "wide": "item_wide"})
     if sides.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         sides = F.broadcast(sides)
     hits = _windows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", sizes, least_item, least_literal).join(sides, ["n", "w"])
-    readings = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("distance")).agg(
-        F.count("*").alias("all"),
-        F.count_if(F.col("slots") == F.col("item_slots")).alias("same"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("slots", "item_slots")))).alias("pairs"),
+    same = F.col("slots") == F.col("item_slots")
+    ways = [(F.col("wide") == x) & (F.col("item_wide") == y) for x in (False, True) for y in (False, True)]
+    zipped = F.arrays_zip("slots", "item_slots")
+    windows = hits.groupBy("doc_id", "item_id", "n", (F.col("at") - F.col("item_at")).alias("distance"), "at").agg(
+        F.count_if(ways[0]).alias("plain"),
+        F.count_if(ways[0] & same).alias("plain_same"),
+        F.greatest(*(F.count_if(way) for way in ways)).alias("all"),
+        F.greatest(*(F.count_if(way & same) for way in ways)).alias("same"),
+        F.flatten(F.collect_set(F.when(ways[0], zipped))).alias("plain_pairs"),
+        F.flatten(F.collect_set(zipped)).alias("pairs"),
     )
-    values = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    consistent = (F.size("pairs") == values("slots")) & (F.size("pairs") == values("item_slots"))
-    counted = readings.select("doc_id", "item_id", F.when(consistent, F.col("all")).otherwise(F.col("same")).alias("n")).where("n > 0")
-    return counted.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_windows"))
+    readings = windows.groupBy("doc_id", "item_id", "distance").agg(
+        F.sum("all").alias("all"),
+        F.sum("same").alias("same"),
+        F.sum("plain").alias("plain"),
+        F.sum("plain_same").alias("plain_same"),
+        F.array_distinct(F.flatten(F.collect_list("plain_pairs"))).alias("plain_pairs"),
+        F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
+    )
+
+    def consistent(pairs: str) -> Column:
+        values = lambda side: F.size(F.array_distinct(F.transform(pairs, lambda p: p[side])))
+        return (F.size(pairs) == values("slots")) & (F.size(pairs) == values("item_slots"))
+
+    plain = F.when(consistent("plain_pairs"), F.col("plain")).otherwise(F.col("plain_same"))
+    wide = F.when(consistent("pairs"), F.col("all")).otherwise(F.col("same"))
+    found = readings.groupBy("doc_id", "item_id").agg(F.sum(plain).alias("plain"), F.sum(wide).alias("wide"))
+    return found.where("plain > 0 or wide > 0").select("doc_id", "item_id", F.when(F.col("plain") > 0, F.col("plain")).otherwise(F.col("wide")).alias("n_windows"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -83,6 +83,16 @@ def test_decontamination_of_many_slots_and_short_items_by_values(spark):
     assert found_items(spark, docs, [item, "Capital Paris", "2 3", "", "..."]) == {0: [0], 2: [1], 4: [2]}
 
 
+def test_decontamination_of_names_at_any_place(spark):
+    item = "Anna buys 3 apples at the market. Ben buys 4 pears there. Cara buys 9 plums. How many pieces"
+    short = "Ben saw the big dog run home"
+    other = item.replace("Anna", "Eva").replace("Ben", "Finn").replace("Cara", "Gina")
+    docs = [item, other, other.replace(". ", ".\n"), f'"{other}"', "then (Carl saw the big dog run home)", "then Carl saw\nthe big dog run home", "the 7 Carl saw the big cat run home"]
+    wrapped = "we know that Anna pays 5 to old Ben who keeps all of it for Cara at home"
+    docs.append(wrapped.replace(" Anna", "\nEva").replace(" Ben", "\nFinn").replace(" Cara", "\nGina"))
+    assert found_items(spark, docs, [item, short, wrapped]) == {0: [0], 1: [0], 2: [0], 3: [0], 4: [1], 5: [1], 7: [2]}
+
+
 def test_raking_meets_targets(spark):
     rng = random.Random(1)
     rows = [(i, "w " * rng.randint(1, 40), rng.choice("ab"), rng.choice(["en", "fr", None])) for i in range(400)] + [(None, None, None, None), (400, "", "a", "en")]
