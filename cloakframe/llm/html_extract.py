@@ -15,13 +15,13 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
-from collections import Counter, deque
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blobs, bounded_batches, materialise, parts
@@ -43,10 +43,6 @@ FURNITURE_WORDS = frozenset(
 ARTICLE_WORDS = frozenset("articlebody article main post entry story content".split())
 #: Share of a page's characters beyond which a neighbour counts as its copy.
 COPY = 0.8
-#: Pages of a host that are compared in one run, on average.
-RUN_PAGES = 256
-#: Pages on each side among which the nearest one that isn't a copy is sought.
-REACH = 3
 
 OTHER, ARTICLE, GONE = 0, 1, 2
 
@@ -201,16 +197,11 @@ def shared(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-def template_lines(own: list[int], sizes: list[int], sides: list[list[list[int]]]) -> list[int]:
-    """Places of the lines that a page shares with the first page on each side that isn't its copy."""
-    gone: set[int] = set()
-    for side in sides:
-        for other in side:
-            common = shared(own, other)
-            if sum(sizes[i] for i in common) <= COPY * sum(sizes):
-                gone.update(common)
-                break
-    return sorted(gone)
+def template_lines(own: list[int], sizes: list[int], other: list[int]) -> list[int] | None:
+    """Places of the lines that a page shares with another; none if the other is its copy."""
+    most = COPY * sum(sizes)
+    common = shared(own, other)
+    return None if sum(sizes[i] for i in common) > most else common
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
@@ -244,45 +235,57 @@ def _differenced(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
     placed = pages.withColumns({"host": host, "path": path})
-    runs = materialise(placed.groupBy("host").agg(F.ceil(F.count("*") / RUN_PAGES).alias("runs")))
-    order = ["host", "run", "path", "url", "page_id"]
-    dealt = (
-        placed.join(runs, "host")
-        .withColumn("run", F.pmod(F.xxhash64("path"), F.col("runs")))
-        .select(*order, "open", "hashes")
-        .repartition(parts(spark), "host", "run")
-        .sortWithinPartitions(*order)
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near: deque[dict] = deque()
-        turn = 0
-
-        def done(at: int) -> tuple:
-            page, pages = near[at], list(near)
-            sides = [[x["hashes"] for x in side if (x["host"], x["run"]) == (page["host"], page["run"])] for side in (pages[at - 1 :: -1] if at else [], pages[at + 1 :])]
-            gone = set(template_lines(page["hashes"], [len(x) for x in page["open"]], sides))
-            return page["page_id"], page["url"], " ".join(x for i, x in enumerate(page["open"]) if i not in gone)
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows)) or [()] * 3
-            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()))], ["page_id", "url", "text"])
-
+    order = ["host", "path", "url", "page_id"]
+    placed = placed.select(*order, "open", "hashes", F.xxhash64("hashes", F.size("hashes")).alias("key"))
+    rows = _counted(placed.repartitionByRange(parts(spark), *order).sortWithinPartitions(*order, "key"), F.lit(1), "place")
+    before = rows.select((F.col("place") + 1).alias("place"), F.col("host").alias("host_b"), F.col("key").alias("key_b"))
+    starts = rows.select("place", "host", "key").join(before, "place", "left").select("place", (~F.coalesce((F.col("host") == F.col("host_b")) & (F.col("key") == F.col("key_b")), F.lit(False))).cast("long").alias("starts"))
+    rows = rows.join(starts, "place").repartitionByRange(parts(spark), "place").sortWithinPartitions("place")
+    rows = _counted(rows, F.col("starts"), "entry")
+    entries = rows.where("starts = 1").select("entry", "host", F.col("hashes").alias("other"))
+    pages = rows.where("open is not null").withColumn("sizes", F.transform("open", F.length)).select("place", "entry", "host", "hashes", "sizes")
+    todo = materialise(pages.select("place", "entry", "host", F.explode(F.array(F.lit(-1), F.lit(1))).alias("side")))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for page in batch.to_pylist():
-                near.append(page)
-                if len(near) > turn + REACH:
-                    if near[turn]["open"] is not None:
-                        out.append(done(turn))
-                    turn += 1
-                if turn > REACH:
-                    near.popleft()
-                    turn -= 1
-            yield batch_of(out)
-        yield batch_of([done(at) for at in range(turn, len(near)) if near[at]["open"] is not None])
-
-    return dealt.mapInArrow(run, "page_id long, url string, text string")
+            gone = [template_lines(r["hashes"], r["sizes"], r["other"]) for r in batch.select(["hashes", "sizes", "other"]).to_pylist()]
+            yield pa.record_batch([*batch.columns[:3], pa.array(gone, pa.list_(pa.int32()))], ["place", "side", "k", "gone"])
+
+    found = []
+    done, upto = 0, 1
+    while todo.limit(1).count():
+        steps = todo.withColumn("k", F.explode(F.sequence(F.lit(done + 1), F.lit(upto))))
+        near = steps.select("place", "side", "k", "host", (F.col("entry") + F.col("side") * F.col("k")).alias("entry")).join(entries, ["entry", "host"])
+        pairs = near.join(pages.select("place", "hashes", "sizes"), "place").select("place", "side", "k", "hashes", "sizes", "other")
+        tried = materialise(pairs.mapInArrow(compared, "place long, side int, k int, gone array<int>"))
+        best = tried.groupBy("place", "side").agg(F.min_by("gone", F.when(F.col("gone").isNotNull(), F.col("k"))).alias("gone"), F.max("k").alias("far"))
+        best = materialise(best)
+        found.append(best.where("gone is not null").select("place", "gone"))
+        todo = materialise(todo.join(best.where(f"gone is null and far = {upto}").select("place", "side"), ["place", "side"], "left_semi"))
+        done, upto = upto, 4 * upto
+    whole = rows.where("open is not null").select("place", "page_id", "url", "open")
+    for some in found[1:]:
+        found[0] = found[0].unionAll(some)
+    if found:
+        gone = found[0].groupBy("place").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+        whole = whole.join(gone, "place", "left")
+        kept = F.filter("open", lambda x, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
+        return whole.select("page_id", "url", F.array_join(kept, " ").alias("text"))
+    return whole.select("page_id", "url", F.array_join("open", " ").alias("text"))
+
+
+def _counted(rows: DataFrame, by: Column, name: str) -> DataFrame:
+    """rows, which stand in order over their partitions, written with the running sum of by, from 1 on."""
+    rows = materialise(rows.withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    sums = sorted(map(tuple, rows.groupBy(part.alias("part")).agg(F.sum(by)).collect()))
+    starts, total = [], 0
+    for p, n in sums:
+        starts.append((p, total))
+        total += n
+    base = F.broadcast(rows.sparkSession.createDataFrame(starts, "part long, base long"))
+    own = F.sum(by).over(Window.partitionBy("part").orderBy("at"))
+    return materialise(rows.withColumn("part", part).join(base, "part").withColumn(name, F.col("base") + own).drop("part", "base", "at"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -290,9 +293,9 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     Null and empty pages, and pages of furniture alone, have an empty text. Rows are
     taken one by one, repeated ids or urls included; a null url belongs to a host of
-    its own. Pages of a host are dealt by a hash of their path to runs of about
-    RUN_PAGES, and neighbours are sought within a run, REACH pages to
-    each side, so no host is too large. Other
+    its own. Pages are ordered by ranges of host and path; adjacent pages with the same
+    lines are one entry, and on each side of a page the nearest entry of the host that
+    isn't its copy is found, however far and in whatever range it is. Other
     columns are ignored; no rows give no rows.
     """
     found = materialise(_parsed(pages))

@@ -53,3 +53,27 @@ def test_shared_is_a_longest_common_subsequence():
 
 def test_empty_table(spark):
     assert texts(spark, []) == {}
+
+
+def test_the_nearest_page_that_differs_is_found_at_any_distance(spark):
+    """A small section on a large host, runs of equal and of similar pages, over several ranges."""
+    page = lambda menu, own: f"<div>{menu}</div><div>" + "".join(f"<p>{x}</p>" for x in own) + "</div>"
+    own = lambda i: [f"own {i} line {k}" for k in range(6)]
+    pages, want = [], {}
+
+    def add(path, menu, lines):
+        want[len(pages)] = " ".join(lines)
+        pages.append((len(pages), f"http://h.example/{path}", page(menu, lines)))
+
+    for i in range(700):
+        add(f"a/{i:04}", "Menu of the large section", own(i))
+    for i in range(3):
+        add(f"b/{i}", "Menu of the small section", own(f"small {i}"))
+    for i in range(12):
+        add(f"c/1/{i:02}", "Menu three", own("copied"))
+    for i in range(12):
+        add(f"c/2/{i:02}", "Menu three", [*own("near"), f"{i}"])
+    add("c/3", "Menu three", own("last"))
+    got = texts(spark, pages)
+    odd = {i for i in want if got[i] != want[i]}
+    assert not odd, [(pages[i][1], got[i]) for i in sorted(odd)[:3]]
