@@ -135,8 +135,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_item:
     )
 
     def consistent(pairs: str) -> Column:
-        values = lambda side: F.size(F.array_distinct(F.transform(pairs, lambda p: p[side])))
-        return (F.size(pairs) == values("slots")) & (F.size(pairs) == values("item_slots"))
+        return F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["item_slots"])))
 
     plain = F.when(consistent("plain_pairs"), F.col("plain")).otherwise(F.col("plain_same"))
     wide = F.when(consistent("pairs"), F.col("all")).otherwise(F.col("same"))

@@ -93,6 +93,14 @@ def test_decontamination_of_names_at_any_place(spark):
     assert found_items(spark, docs, [item, short, wrapped]) == {0: [0], 1: [0], 2: [0], 3: [0], 4: [1], 5: [1], 7: [2]}
 
 
+def test_decontamination_where_two_values_become_the_same(spark):
+    item = "if we buy 3 rolls and then take 4 loaves to the old mill what is left of it at night"
+    docs = [item.replace("3", "5").replace("4", "5"), item.replace("4", "3")]
+    split = "if we buy 3 rolls and then take 3 loaves to the old mill what is left of it by day"
+    assert found_items(spark, [*docs, split.replace("3 rolls", "5 rolls")], [item]) == {0: [0], 1: [0], 2: [0]}
+    assert found_items(spark, [split.replace("3 rolls", "5 rolls").replace("3 loaves", "6 loaves")], [split.replace(" at night", "")[:70]]) == {}
+
+
 def test_raking_meets_targets(spark):
     rng = random.Random(1)
     rows = [(i, "w " * rng.randint(1, 40), rng.choice("ab"), rng.choice(["en", "fr", None])) for i in range(400)] + [(None, None, None, None), (400, "", "a", "en")]
