@@ -34,8 +34,9 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = decontam.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(materialise(found), "doc_id", "left_anti")
+    unique = simhash.numbered(docs, "doc_id")
+    found = decontam.matches(unique, table(spark, sf_dir, "benchmark"), id_col="row_no").select(F.col("doc_id").alias("row_no")).distinct()
+    return unique.join(materialise(found), "row_no", "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,13 @@ def test_each_stage_catches_its_cases_and_keeps_the_rest(spark, tables):
 def test_run_is_the_stages_one_after_the_other(spark, tables):
     sf, _ = tables
     assert {r.doc_id for r in p.run(spark, sf).collect()} == {r.doc_id for r in spark.read.parquet(f"{sf}/out4").collect()}
+
+
+def test_decontamination_goes_by_rows_where_ids_are_null_or_repeated(spark, tables):
+    sf, _ = tables
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    rows = [(None, item), (None, "clean"), (7, f"so {item}"), (7, "clean too"), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = p.decontamination_stage(spark, docs, sf)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(None, "clean"), (7, "clean too"), (8, None)], key=str)
