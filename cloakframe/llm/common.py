@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -44,27 +42,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, release: bool = False) -> DataFrame:
+def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet to a shared folder and read it again: a cut of the lineage that lost executors don't undo.
 
-    release also lets Spark drop the shuffle files that made df, which nothing reads any more.
+    The shuffle files of that write go as soon as it ends, since nothing else reads them.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
-    if release:
-        release_shuffles(spark)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Ask for the garbage collections after which Spark deletes shuffle files that no plan refers to."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-
-
 def delete(df: DataFrame) -> None:
     """Delete the folder of a materialised table that nothing reads any more."""
     spark = df.sparkSession

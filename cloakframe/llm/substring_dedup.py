@@ -1,91 +1,93 @@
 """Substring dedup by seed and extend: remove words of passages that repeat anywhere.
 
-Documents meet on winnowed anchors (seeds.py). A seed is extended both ways: first over
-its whole stretch, then, where other texts agree only in part, window by window to
-the threshold; adjoining windows merge to maximal repeats.
+Documents are joined on winnowed anchors (seeds.py). From an anchor the matches of all
+its occurrences are extended word by word to the left and to the right, as far as a
+passage of the threshold around the anchor can reach; passages that two occurrences
+share are marked, and marks that overlap or adjoin merge to maximal repeats.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import seeds
-from .common import delete, materialise
-
-
-def _words(body: bytes) -> np.ndarray:
-    return np.frombuffer(b"".join([xxhash.xxh64_digest(w, 7) for w in body.split()]), np.uint64)
-
-
-WORDS = seeds.Text(_words, lambda s: s)
-
 
-def _contested_windows(docs: DataFrame, found: seeds.Repeats, shape: seeds.Shape) -> DataFrame:
-    """anchor, stretch, at, w (hash) and count of every window of the contested classes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                body, firsts, counts = (batch.column(c)[i] for c in (1, 2, 3))
-                firsts = firsts.values.to_numpy(zero_copy_only=False)
-                counts = counts.values.to_numpy(zero_copy_only=False)
-                order = np.argsort(firsts)
-                firsts, counts = firsts[order], counts[order]
-                for s, start, spans in seeds.stretches(_words(body.as_py()), WORDS.widen, shape):
-                    place = np.searchsorted(firsts, s.first)
-                    mine = (place < len(firsts)) & (firsts[np.minimum(place, len(firsts) - 1)] == s.first)
-                    if not mine.any():
-                        continue
-                    n = s.n[mine]
-                    which = np.repeat(np.flatnonzero(mine), n)
-                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    begin = s.first[which] - start + at
-                    yield pa.record_batch(
-                        [s.anchor[which], s.stretch[which], at, spans.of(begin, begin + shape.window).view(np.int64), counts[place[which]]], ["anchor", "stretch", "at", "w", "count"]
-                    )
-
-    rows = found.contested.select("one.key", "one.first", "count")
-    return seeds.with_text(docs, rows, ["first", "count"], run, "anchor long, stretch long, at long, w long, count long")
-
-
-def repeated_passages(docs: DataFrame, window: int = 35, gram: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def extended(match: np.ndarray, words: np.ndarray, has: np.ndarray) -> np.ndarray:
+    """The classes of occurrences that still match after one more word; those without a word match nothing."""
+    _, out = np.unique(np.stack([match, words]), axis=1, return_inverse=True)
+    return np.where(has, out.ravel(), -1 - np.arange(len(match)))
+
+
+def _judge(shape: seeds.Shape) -> seeds.Judge:
+    reach = shape.window - shape.gram
+
+    def repeated(code: np.ndarray, left: np.ndarray, n: np.ndarray, least: np.ndarray, count: np.ndarray, pieces: list[bytes]) -> np.ndarray:
+        """Bits of the windows that stand twice or more."""
+        known: dict[bytes, int] = {}
+        of = np.fromiter((known.setdefault(p, len(known)) for p in pieces), np.int64, len(pieces))
+        one = np.empty(len(known), np.int64)
+        one[of] = np.arange(len(of))
+        times = np.zeros(len(known), np.int64)
+        np.add.at(times, of, count)
+        n, left = n.astype(np.int64)[one], left.astype(np.int64)[one]
+        bits = np.where(times > 1, (np.int64(1) << n) - 1, 0)
+        _, inverse, size = np.unique(code[one], return_inverse=True, return_counts=True)
+        some = np.flatnonzero(size[inverse] > 1)
+        if len(some):
+            names: dict[bytes, int] = {}
+            texts = list(known)
+            tokens = [[names.setdefault(w, len(names)) for w in texts[i].split(b" ")] for i in some.tolist()]
+            row = np.array([w for t in tokens for w in t])
+            begin = np.cumsum([0, *map(len, tokens)])
+            at = begin[:-1] + left[some]
+            start = np.zeros(len(some), np.int64)
+            for k in range(shape.gram):
+                start = extended(start, row[at + k], np.ones(len(some), bool))
+            ways = []
+            for step, edge in ((-1, begin[:-1] - 1), (1, begin[1:])):
+                match, place = start, at - 1 if step < 0 else at + shape.gram
+                to = [match]
+                for k in range(reach):
+                    has = (place < edge) if step > 0 else (place > edge)
+                    match = extended(match, row[np.where(has, place, 0)], has)
+                    to.append(match)
+                    place = place + step
+                ways.append(to)
+            for k in range(reach + 1):
+                bit = left[some] - k
+                here = np.flatnonzero((bit >= 0) & (bit < n[some]))
+                if len(here):
+                    _, group = np.unique(np.stack([ways[0][k][here], ways[1][reach - k][here]]), axis=1, return_inverse=True)
+                    group = group.ravel()
+                    twice = np.bincount(group, times[some[here]])[group] > 1
+                    bits[some[here]] |= twice.astype(np.int64) << bit[here]
+        return bits[of]
+
+    return repeated
+
+
+def repeated_passages(docs: DataFrame, window: int = 35, gram: int = 16, id_col: str = "doc_id", text_col: str = "text", crowded: int = seeds.CROWDED) -> DataFrame:
     """doc_id, n_words, spans (array of start and stop in words) and kept (the other words, joined by one space).
 
     A word is in a span if a window of so many words around it also starts elsewhere in
-    the table, the same text included. Null and shorter texts have no spans; repeated
-    rows are repeats of each other; rows of null or equal id are told apart. Other
-    columns are ignored; no rows give no rows.
+    the table, the same text included. Null and shorter texts have no spans; a very long
+    text is hashed in chunks, but its words are held by one task; repeated rows are
+    repeats of each other; rows of null or equal id are told apart. Other columns are
+    ignored; no rows give no rows.
     """
     shape = seeds.Shape(window, gram)
-    docs = seeds.keyed(docs, id_col, text_col)
-    found = seeds.repeats(docs, WORDS, shape, across=False)
-    windows = materialise(_contested_windows(docs, found, shape), release=True)
-    often = materialise(windows.groupBy("anchor", "w").agg(F.sum("count").alias("all")).where("all > 1").select("anchor", "w"), release=True)
-    part = windows.where("count = 1").join(often, ["anchor", "w"]).groupBy("anchor", "stretch").agg(F.sum(seeds.bit("at")).alias("bits"))
-    whole = found.classes.where("count > 1").select("anchor", "stretch", seeds.all_bits("n").alias("bits"))
-    verdicts = materialise(whole.unionAll(part).select("anchor", "stretch", F.lit(0).cast("long").alias("least"), F.col("bits").alias("upto"), F.col("bits").alias("beyond")), release=True)
-    for done in (windows, often):
-        delete(done)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, body, first, bits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
-                words = (body.as_py() or b"").split()
-                spans = seeds.spans_of(seeds.listed(first), seeds.listed(bits), window, len(words))
-                kept, last = [], 0
-                for start, stop in spans.tolist():
-                    kept += words[last:start]
-                    last = stop
-                kept += words[last:]
-                out.append((doc, len(words), [{"start": a, "stop": b} for a, b in spans.tolist()], b" ".join(kept).decode()))
-            yield seeds.batch_of(out, pa.string(), ["doc_id", "n_words", "spans", "kept"])
-
-    return seeds.marked(docs, found, verdicts).drop("carry").mapInArrow(run, "doc_id long, n_words long, spans array<struct<start: long, stop: long>>, kept string")
 
+    def finish(texts: seeds.Words, gone: np.ndarray, bodies: list[bytes], carry: list[pa.Array]) -> pa.RecordBatch:
+        spans, kept = [], []
+        hit = np.r_[0, np.cumsum(gone)][texts.bounds]
+        for i, words in enumerate(texts.words):
+            mine = gone[texts.bounds[i] : texts.bounds[i + 1]]
+            spans.append([{"start": a, "stop": z} for a, z in seeds.runs(mine).tolist()] if hit[i] != hit[i + 1] else [])
+            kept.append(b" ".join(w for w, g in zip(words, mine.tolist()) if not g).decode())
+        return pa.record_batch([carry[0], pa.array(np.diff(texts.bounds)), pa.array(spans, seeds.SPANS), pa.array(kept, pa.string())], ["doc_id", "n_words", "spans", "kept"])
+
+    schema = "doc_id long, n_words long, spans array<struct<start: long, stop: long>>, kept string"
+    return seeds.marked(docs, id_col, text_col, seeds.Words, shape, _judge(shape), False, finish, schema, ["doc_id"], crowded)

@@ -1,36 +1,25 @@
 """Suffix-array dedup: remove bytes of strings that also start in an earlier document.
 
-Stretches of text around shared anchors (seeds.py) bring together what can be equal.
-Where stretches agree as a whole, nothing needs sorting. The suffixes of the others
-are sorted deep-shallow: multikey quicksort, eight bytes to a character, down to a
-shallow depth, then blind tries (only branching depths and bytes) for the groups that
-still share that much. Equal windows then adjoin, and the earliest document of each
-group keeps them.
+Shared anchors bring together the stretches of text that can hold equal strings
+(seeds.py). The suffixes of all different stretches of an anchor, cut at the length of
+a string, are sorted deep-shallow: multikey quicksort, eight bytes to a character, down
+to a shallow depth, then blind tries for the groups that still share that much. Equal
+strings then adjoin, and the earliest document of each group keeps them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import seeds
-from .common import bounded_batches, delete, materialise, parts
-
-_BYTE = seeds.mix(np.arange(1, 257, dtype=np.uint64))
-BYTES = seeds.Text(lambda body: np.frombuffer(body, np.uint8), lambda s: _BYTE[s])
 
-#: Bytes that the quicksort looks at, a multiple of 8.
-SHALLOW = 16
-#: Suffixes sorted at once, unless those of one anchor are more.
+#: Characters of eight bytes that the quicksort looks at.
+SHALLOW = 2
+#: Suffixes sorted at once, unless those of one anchor and place are more.
 SORT_ROWS = 150_000
-#: Slices of the anchors that are taken one after the other, to bound the disk they need.
-SLICES = 3
-#: Classes of one anchor beyond which its windows are dealt by their content instead.
-MOST_CLASSES = 512
 
 
 def multikey_quicksort(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,205 +50,143 @@ def multikey_quicksort(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         group = cut.cumsum() - 1
 
 
-def blind_tries(text: np.ndarray, order: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Orders each group of rows of text (n, length) that share their first depth bytes; groups of equal rows stay together.
+def blind_tries(keys: np.ndarray, order: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Orders each group of rows of keys (n, characters of eight bytes) that share their first depth characters.
 
-    Each round finds, for every open node, the depth at which its rows branch, and
-    deals them by the byte there; bytes between branchings are compared once and not kept.
+    One trie for each group, all grown in step and each node by the one character at
+    which it stands: where its rows share the character the node skips it, else it
+    branches by the first byte that differs. A row is never compared with a whole other
+    row, and what rows share is looked at once. Groups of equal rows stay together.
     """
     order, group = order.copy(), group.copy()
-    rows = np.arange(len(order))
-    size = np.diff(np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)]) if len(group) else np.empty(0, np.int64)
-    rows = rows[np.repeat(size > 1, size)]
+    cut = np.r_[True, group[1:] != group[:-1]][: len(group)]
+    rows = np.flatnonzero(~(cut & np.r_[cut[1:], True][: len(cut)])) if depth < keys.shape[1] else np.empty(0, np.int64)
+    at = np.full(len(rows), depth)
     while len(rows):
-        starts = np.flatnonzero(np.r_[True, group[rows][1:] != group[rows][:-1]])
+        starts = np.flatnonzero(cut[rows])
         size = np.diff(np.r_[starts, len(rows)])
-        differs = text[order[rows], depth:] != text[np.repeat(order[rows[starts]], size), depth:]
-        branch = np.where(differs.any(1), differs.argmax(1), text.shape[1])
-        branch = np.repeat(np.minimum.reduceat(branch, starts), size)
-        inner = branch < text.shape[1]
-        rows, branch = rows[inner], branch[inner]
-        if not len(rows):
-            break
-        byte, old = text[order[rows], depth + branch], group[rows]
-        by = np.lexsort([byte, old])
-        byte, old = byte[by], old[by]
-        order[rows] = order[rows][by]
-        cut = np.zeros(len(group), bool)
-        cut[np.flatnonzero(np.r_[True, group[1:] != group[:-1]])] = True
-        cut[rows[1:][(byte[1:] != byte[:-1]) & (old[1:] == old[:-1])]] = True
-        group = cut.cumsum() - 1
-        size = np.bincount(group[rows], minlength=group[-1] + 1)
-        rows = rows[size[group[rows]] > 1]
-    return order, group
+        own = keys[order[rows], at]
+        differs = np.bitwise_or.reduceat(own ^ np.repeat(own[starts], size), starts)
+        shift = sum(((differs >> np.uint64(8 * k)) > 0).astype(np.uint64) for k in range(1, 8)) * np.uint64(8)
+        inner = np.repeat(differs != 0, size)
+        at[~inner] += 1
+        if inner.any():
+            mine = rows[inner]
+            byte, old = (own >> np.repeat(shift, size))[inner] & np.uint64(255), np.repeat(np.arange(len(starts)), size)[inner]
+            by = np.lexsort([byte, old])
+            order[mine] = order[mine][by]
+            byte, old = byte[by], old[by]
+            cut[mine[1:][(byte[1:] != byte[:-1]) & (old[1:] == old[:-1])]] = True
+        alone = cut[rows] & np.r_[cut, True][rows + 1]
+        rows, at = rows[~alone & (at < keys.shape[1])], at[~alone & (at < keys.shape[1])]
+    return order, cut.cumsum() - 1
 
 
 def deep_shallow_sort(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of equally long rows of bytes and a number for each group of equal ones, both in that order."""
-    wide = np.ascontiguousarray(text[:, :SHALLOW]).view(">u8").astype(np.uint64)
-    order, group = multikey_quicksort(wide)
-    return blind_tries(text, order, group, SHALLOW)
-
-
-def _earlier(body: np.ndarray, begin: np.ndarray, n: np.ndarray, least: np.ndarray, window: int) -> np.ndarray:
-    """For stretches (begin and number of windows in body): bits of the windows that also stand in one with a smaller least."""
-    which = np.repeat(np.arange(len(n)), n)
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    text = body[(begin[which] + at)[:, None] + np.arange(window)]
-    order, group = deep_shallow_sort(text)
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    own = least[which[order]]
-    gone = np.minimum.reduceat(own, starts)[group] < own
-    bits = np.zeros(len(n), np.int64)
-    np.bitwise_or.at(bits, which[order][gone], np.int64(1) << at[order][gone])
-    return bits
-
-
-def _contested_bytes(docs: DataFrame, contested: DataFrame, window: int) -> DataFrame:
-    """anchor, stretch, least, n, n_classes and piece (bytes) of the contested classes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                body = batch.column(1)[i].as_py()
-                key = batch.column(0)[i].as_py()
-                columns = [batch.column(c)[i].values for c in range(2, 7)]
-                first, n = (c.to_numpy(zero_copy_only=False) for c in columns[:2])
-                pieces = [body[a : a + b + window - 1] for a, b in zip(first.tolist(), n.tolist())]
-                for at in range(0, len(pieces), 50_000):
-                    some = slice(at, at + 50_000)
-                    yield pa.record_batch(
-                        [columns[2][some], columns[3][some], pa.array(np.full(len(pieces[some]), key)), columns[1][some], columns[4][some], pa.array(pieces[some], pa.binary())],
-                        ["anchor", "stretch", "least", "n", "n_classes", "piece"],
-                    )
-
-    rows = contested.select("one.key", "one.first", "n", "anchor", "stretch", "n_classes")
-    return seeds.with_text(docs, rows, ["first", "n", "anchor", "stretch", "n_classes"], run, "anchor long, stretch long, least long, n short, n_classes long, piece binary")
-
+    wide = np.zeros((len(text), -(-text.shape[1] // 8) * 8), np.uint8)
+    wide[:, : text.shape[1]] = text
+    keys = wide.view(">u8").astype(np.uint64)
+    order, group = multikey_quicksort(keys[:, :SHALLOW])
+    return blind_tries(keys, order, group, SHALLOW)
 
-def _sorted_bits(pieces: DataFrame, window: int) -> DataFrame:
-    """anchor, stretch and bits of the windows that an earlier document has, by sorting the suffixes of each anchor."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
+def first_to_have(body: np.ndarray, begin: np.ndarray, n: np.ndarray, unit: np.ndarray, least: np.ndarray, window: int) -> np.ndarray:
+    """The least number of all stretches that hold each window of each stretch.
 
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, rows
-            t = pa.Table.from_batches(held).combine_chunks()
-            anchor = t.column("anchor").to_numpy()
-            whole = len(anchor) if last else int(np.flatnonzero(anchor == anchor[-1])[0])
-            held, rows = t.slice(whole).to_batches(), 0
-            t = t.slice(0, whole)
-            n = t.column("n").to_numpy().astype(np.int64)
-            ends = np.cumsum(n)
-            at = 0
-            anchor = anchor[:whole]
-            while at < whole:
-                stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SORT_ROWS, "right"))
-                stop = max(stop, at + 1)
-                if stop < whole:
-                    back = stop
-                    while back > at and anchor[back - 1] == anchor[stop]:
-                        back -= 1
-                    if back > at:
-                        stop = back
-                    else:
-                        while stop < whole and anchor[stop] == anchor[at]:
-                            stop += 1
-                some = t.slice(at, stop - at)
-                body = b"".join(some.column("piece").to_pylist())
-                size = n[at:stop] + window - 1
-                bits = _earlier(np.frombuffer(body, np.uint8), np.cumsum(size) - size, n[at:stop], some.column("least").to_numpy(), window)
-                hit = bits != 0
-                if hit.any():
-                    yield pa.record_batch([anchor[at:stop][hit], some.column("stretch").to_numpy()[hit], bits[hit]], ["anchor", "stretch", "bits"])
-                at = stop
-
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= 20_000:
-                yield from flush(False)
-        if held:
-            yield from flush(True)
-
-    spark = pieces.sparkSession
-    dealt = pieces.repartition(parts(spark), "anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "anchor long, stretch long, bits long")
-
-
-def _dealt_bits(pieces: DataFrame, window: int) -> DataFrame:
-    """As _sorted_bits, for anchors of very many classes: equal windows are combined before they are shuffled."""
-    windows = materialise(
-        pieces.select("anchor", "stretch", "least", "piece", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("at")).select(
-            "anchor", "stretch", "least", "at", F.sha2(F.substring("piece", F.col("at") + 1, F.lit(window)), 256).alias("w")
-        )
-    )
-    first = materialise(windows.groupBy("w").agg(F.min("least").alias("earliest")))
-    return windows.join(first, "w").where("earliest < least").groupBy("anchor", "stretch").agg(F.sum(seeds.bit("at")).alias("bits"))
-
-
-def earlier_strings(docs: DataFrame, window: int = 50, gram: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    Stretch i has the windows of body from begin[i] to begin[i] + n[i] - 1, one after the
+    other in the result; windows can only be equal where unit, given for each, is.
+    """
+    which = np.repeat(np.arange(len(n)), n)
+    at = seeds.flat(begin, n)
+    out = np.empty(len(which), np.int64)
+    by = np.argsort(unit, kind="stable")
+    ends = np.r_[np.flatnonzero(np.diff(unit[by])) + 1, len(by)]
+    done = 0
+    while done < len(by):
+        upto = ends[max(np.searchsorted(ends, done + SORT_ROWS, "right") - 1, np.searchsorted(ends, done, "right"))]
+        rows = by[done:upto]
+        order, group = deep_shallow_sort(body[at[rows][:, None] + np.arange(window)])
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        out[rows[order]] = np.minimum.reduceat(least[which[rows[order]]], starts)[group]
+        done = upto
+    return out
+
+
+def _judge(window: int) -> seeds.Judge:
+    def earlier(code: np.ndarray, left: np.ndarray, n: np.ndarray, least: np.ndarray, count: np.ndarray, pieces: list[bytes]) -> np.ndarray:
+        """Bits of the windows that also stand in a stretch of a smaller key."""
+        known: dict[bytes, int] = {}
+        of = np.fromiter((known.setdefault(p, len(known)) for p in pieces), np.int64, len(pieces))
+        one = np.empty(len(known), np.int64)
+        one[of] = np.arange(len(of))
+        first = np.full(len(known), np.iinfo(np.int64).max)
+        np.minimum.at(first, of, least)
+        n = n.astype(np.int64)
+        _, inverse, size = np.unique(code[one], return_inverse=True, return_counts=True)
+        several = size[inverse] > 1
+        bits = np.where(first[of] < least, (np.int64(1) << n) - 1, 0)
+        if several.any():
+            some = np.flatnonzero(several)
+            distinct = [p for p, s in zip(known, several.tolist()) if s]
+            body = np.frombuffer(b"".join(distinct), np.uint8)
+            begin = np.cumsum([0, *map(len, distinct)])[:-1]
+            own = n[one[some]]
+            place = seeds.flat(np.zeros(len(own), np.int64), own)
+            # Windows with the anchor at different places differ.
+            unit = np.repeat(inverse[some] << 8, own) + np.repeat(left[one[some]].astype(np.int64), own) - place
+            low = first_to_have(body, begin, own, unit, first[some], window)
+            start = np.zeros(len(known), np.int64)
+            start[some] = np.cumsum(own) - own
+            rows = np.flatnonzero(several[of])
+            which = np.repeat(rows, n[rows])
+            at = seeds.flat(np.zeros(len(rows), np.int64), n[rows])
+            bits[rows] = 0
+            np.bitwise_or.at(bits, which, (low[start[of[which]] + at] < least[which]).astype(np.int64) << at)
+        return bits
+
+    return earlier
+
+
+def _kept(texts: seeds.Bytes, gone: np.ndarray) -> list[tuple[list[list[int]], bytes]]:
+    """Spans to remove and the other bytes of each text."""
+    out = []
+    hit = np.r_[0, np.cumsum(gone)][texts.bounds]
+    for i, (a, z) in enumerate(zip(texts.bounds[:-1].tolist(), texts.bounds[1:].tolist())):
+        raw = texts.raw[a:z]
+        out.append((seeds.runs(gone[a:z]).tolist(), raw[~gone[a:z]].tobytes()) if hit[i] != hit[i + 1] else ([], raw.tobytes()))
+    return out
+
+
+def earlier_strings(docs: DataFrame, window: int = 50, gram: int = 26, id_col: str = "doc_id", text_col: str = "text", crowded: int = seeds.CROWDED) -> DataFrame:
     """doc_id, n_bytes, spans (array of start and stop in bytes) and kept (the other bytes).
 
     A byte is in a span if a string of window bytes around it also starts in a text with
-    a smaller id. Null and shorter texts have no spans. Rows of equal or null ids stand
-    in the order of their texts, null ids first, and the later counts as larger. Other
-    columns are ignored; no rows give no rows.
+    a smaller id. Null and shorter texts have no spans; a very long text is hashed in
+    chunks, but held whole by one task. Rows of equal or null ids stand in the order of
+    their texts, null ids first, and the later counts as larger. Other columns are
+    ignored; no rows give no rows.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, (body, spans, kept) in zip(batch.column(0).to_pylist(), _kept(batch, window)):
-                out.append((doc, len(body), [{"start": a, "stop": b} for a, b in spans], kept))
-            yield seeds.batch_of(out, pa.binary(), ["doc_id", "n_bytes", "spans", "kept"])
+    def finish(texts: seeds.Bytes, gone: np.ndarray, bodies: list[bytes], carry: list[pa.Array]) -> pa.RecordBatch:
+        found = _kept(texts, gone)
+        spans = pa.array([[{"start": a, "stop": z} for a, z in s] for s, _ in found], seeds.SPANS)
+        return pa.record_batch([carry[0], pa.array(np.diff(texts.bounds)), spans, pa.array([k for _, k in found], pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    marks = _marked(docs, window, gram, id_col, text_col).drop("carry")
-    return marks.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
+    schema = "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
+    return seeds.marked(docs, id_col, text_col, seeds.Bytes, seeds.Shape(window, gram), _judge(window), True, finish, schema, ["doc_id"], crowded)
 
 
-def without_earlier_strings(docs: DataFrame, window: int = 50, gram: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_earlier_strings(docs: DataFrame, window: int = 50, gram: int = 26, id_col: str = "doc_id", text_col: str = "text", crowded: int = seeds.CROWDED) -> DataFrame:
     """docs with the texts that earlier_strings keeps; a character that lost some of its bytes goes. A null text stays null."""
-    marks = _marked(docs, window, gram, id_col, text_col)
-    kind = marks.schema["carry"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            null = batch.column("body").is_null().to_pylist()
-            texts = [None if n else kept.decode("utf-8", "ignore") for n, (_, _, kept) in zip(null, _kept(batch, window))]
-            yield pa.record_batch([batch.column("carry"), pa.array(texts, pa.string())], ["carry", "kept"])
-
-    out = marks.mapInArrow(run, f"carry {kind}, kept string")
-    return out.select(*(F.col("kept").alias(c) if c == text_col else F.col(f"carry.`{c}`") for c in docs.columns))
-
-
-def _kept(batch: pa.RecordBatch, window: int) -> Iterator[tuple[bytes, list[list[int]], bytes]]:
-    """Body, spans to remove and the rest of each row."""
-    for body, first, bits in zip(batch.column("body"), batch.column("first"), batch.column("bits")):
-        body = body.as_py() or b""
-        spans = seeds.spans_of(seeds.listed(first), seeds.listed(bits), window, len(body)).tolist()
-        edges = [0, *(x for s in spans for x in s), len(body)]
-        yield body, spans, b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
+    def finish(texts: seeds.Bytes, gone: np.ndarray, bodies: list[bytes], carry: list[pa.Array]) -> pa.RecordBatch:
+        null = carry[1].to_pylist()
+        kept = [None if n else k.decode("utf-8", "ignore") for n, (_, k) in zip(null, _kept(texts, gone))]
+        return pa.record_batch([carry[0], pa.array(kept, pa.string())], ["carry", "kept"])
 
-def _marked(docs: DataFrame, window: int, gram: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, body, first, bits and carry: where the windows that an earlier text has begin."""
-    bounded_batches(docs.sparkSession)
-    shape = seeds.Shape(window, gram)
-    docs = seeds.keyed(docs, id_col, text_col)
-    found = seeds.repeats(docs, BYTES, shape, across=True, slices=SLICES)
-    pieces = materialise(_contested_bytes(docs, found.contested, window), release=True)
-    bits = _sorted_bits(pieces.where(F.col("n_classes") <= MOST_CLASSES), window)
-    crowded = pieces.where(F.col("n_classes") > MOST_CLASSES)
-    if crowded.limit(1).count():
-        bits = bits.unionAll(_dealt_bits(crowded, window))
-    bits = materialise(bits, release=True)
-    delete(pieces)
-    verdicts = (
-        found.classes.join(bits, ["anchor", "stretch"], "left")
-        .where(F.col("bits").isNotNull() | (F.col("least") < F.col("most")))
-        .select("anchor", "stretch", "least", F.coalesce("bits", F.lit(0).cast("long")).alias("upto"), seeds.all_bits("n").alias("beyond"))
-    )
-    return seeds.marked(docs, found, materialise(verdicts, release=True))
+    told = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    others = [c for c in docs.columns if c != text_col]
+    kind = told.select(F.struct(*(F.col(f"`{c}`") for c in others))).schema[0].dataType.simpleString()
+    out = seeds.marked(told, id_col, text_col, seeds.Bytes, seeds.Shape(window, gram), _judge(window), True, finish, f"carry {kind}, kept string", ["carry", "null"], crowded)
+    return out.select(*(F.col("kept").alias(c) if c == text_col else F.col(f"carry.`{c}`").alias(c) for c in docs.columns))

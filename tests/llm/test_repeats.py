@@ -61,17 +61,18 @@ def removed(spans):
     return sum(s.stop - s.start for s in spans)
 
 
-def test_repeated_passages_match_brute_force(spark):
+@pytest.mark.parametrize("crowded", [4096, 1])
+def test_repeated_passages_match_brute_force(spark, crowded):
     rows = corpus()
-    got = {r.doc_id: (r.n_words, removed(r.spans), r.kept) for r in substring_dedup.repeated_passages(frame(spark, rows), window=7, gram=3).collect()}
+    got = {r.doc_id: (r.n_words, removed(r.spans), r.kept) for r in substring_dedup.repeated_passages(frame(spark, rows), window=7, gram=3, crowded=crowded).collect()}
     assert got == {i: x for (i, _), x in zip(rows, plain_words(rows, 7))}
 
 
-@pytest.mark.parametrize("most", [512, 1])
-def test_earlier_strings_match_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(suffix_dedup, "MOST_CLASSES", most)
+@pytest.mark.parametrize("crowded", [4096, 1])
+@pytest.mark.parametrize("gram", [16, 4])
+def test_earlier_strings_match_brute_force(spark, crowded, gram):
     rows = corpus()
-    got = {r.doc_id: (r.n_bytes, removed(r.spans), bytes(r.kept)) for r in suffix_dedup.earlier_strings(frame(spark, rows), window=20, gram=16).collect()}
+    got = {r.doc_id: (r.n_bytes, removed(r.spans), bytes(r.kept)) for r in suffix_dedup.earlier_strings(frame(spark, rows), window=20, gram=gram, crowded=crowded).collect()}
     assert got == {i: x for (i, _), x in zip(rows, plain_bytes(rows, 20))}
 
 
@@ -102,11 +103,34 @@ def test_deep_shallow_sort_orders_and_groups():
     assert all((group[i] == group[i + 1]) == (rows[i] == rows[i + 1]) for i in range(len(rows) - 1))
 
 
-def test_chunks_do_not_change_what_windows_mean(monkeypatch):
-    rng = np.random.default_rng(2)
-    symbols = seeds.mix(rng.integers(0, 5, 400).astype(np.uint64))
+@pytest.mark.parametrize("texts", [seeds.Bytes, seeds.Words])
+def test_chunks_do_not_change_what_windows_mean(monkeypatch, texts):
+    rng = random.Random(2)
+    bodies = [bytes(rng.choices(b"ab  ", k=rng.choice([0, 3, 9, 400]))) for _ in range(9)]
     shape = seeds.Shape(9, 4)
-    whole = [(int(a), int(f + k)) for s, _, _ in seeds.stretches(symbols, lambda x: x, shape) for a, f, n in zip(s.anchor, s.first, s.n) for k in range(n)]
+
+    def windows():
+        here = texts(bodies)
+        s = seeds.stretches(here, shape)
+        return here, [(int(a), int(f + k)) for a, f, n in zip(s.anchor, s.first, s.n) for k in range(n)]
+
+    here, whole = windows()
     monkeypatch.setattr(seeds, "CHUNK", 50)
-    cut = [(int(a), int(f + k)) for s, _, _ in seeds.stretches(symbols, lambda x: x, shape) for a, f, n in zip(s.anchor, s.first, s.n) for k in range(n)]
-    assert whole == cut and [p for _, p in whole] == list(range(400 - 8))
+    assert windows()[1] == whole
+    assert [p for _, p in whole] == [p for a, z in zip(here.bounds, here.bounds[1:]) for p in range(a, z - 8)]
+
+
+def test_long_anchors_are_sorted_place_by_place(monkeypatch):
+    rng = np.random.default_rng(4)
+    body = rng.integers(97, 99, 4000, np.uint8)
+    begin, n = np.arange(0, 3900, 30), np.full(130, 5)
+    least = rng.permutation(130)
+    window = 8
+    places = seeds.flat(begin, n)
+    held = [bytes(body[p : p + window]) for p in places]
+    first = {}
+    for w, x in zip(held, np.repeat(least, n)):
+        first[w] = min(first.get(w, 999), x)
+    for most in (1, 100, 10_000):
+        monkeypatch.setattr(suffix_dedup, "SORT_ROWS", most)
+        assert suffix_dedup.first_to_have(body, begin, n, np.zeros(len(held), np.int64), least, window).tolist() == [first[w] for w in held]
