@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialise, parts
@@ -353,13 +353,19 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     return materialise(numbered).select("key", "doc_id", "body", "carry"), size or 0
 
 
-_SHARED, _VERDICT, _TEXT = 0, 1, 2
+_SHARED, _VERDICT, _TEXT = 0, 1, 99
+#: Arrays x, y and z of what is told.
+KINDS = {_SHARED: (np.int64, np.uint64, bool), _VERDICT: (np.int64, np.int32, np.int32)}
 
 
-def _together(docs: DataFrame, grid: Grid, told: list[tuple[int, DataFrame]], carried: list[str] = []) -> DataFrame:
+def region_of(key: Column, grid: Grid) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(grid.regions).cast("long"))
+
+
+def together(docs: DataFrame, grid: Grid, told: list[tuple[int, DataFrame]], carried: list[str] = []) -> DataFrame:
     """Texts by region and block, before them what is told to the region (x, y and z, packed)."""
     h = F.xxhash64("key")
-    region = F.pmod(h, F.lit(grid.regions))
+    region = region_of(F.col("key"), grid)
     block = region * grid.blocks + F.pmod(F.shiftright(h, 32), F.lit(grid.blocks).cast("long"))
     none = F.lit(None).cast("binary")
     xyz = [none.alias(c) for c in "xyz"] if told else []
@@ -368,7 +374,7 @@ def _together(docs: DataFrame, grid: Grid, told: list[tuple[int, DataFrame]], ca
         like = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in out.schema.fields}
         like |= {"region": F.col("region"), "kind": F.lit(kind).alias("kind"), "block": F.lit(-1).cast("long").alias("block"), "key": F.lit(0).cast("long").alias("key")}
         out = out.unionAll(rows.select(*(F.col(c) if c in "xyz" else like[c] for c in out.columns)))
-    return out.repartition(parts(docs.sparkSession), "region").sortWithinPartitions("region", "kind", "block", "key")
+    return out.repartitionById(grid.regions, F.col("region").cast("int")).sortWithinPartitions("region", "kind", "block", "key")
 
 
 @dataclass
@@ -377,13 +383,12 @@ class Block:
     keys: np.ndarray
     bodies: list[bytes]
     carry: list[pa.Array]
-    shared: tuple[np.ndarray, np.ndarray]
-    verdicts: tuple[np.ndarray, np.ndarray]
+    #: y and z of what is told, by its kind and x.
+    told: Callable[[int, int], tuple[np.ndarray, np.ndarray]]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], carried: list[str] = []) -> Iterator[Block]:
+def blocks(batches: Iterator[pa.RecordBatch], carried: list[str] = [], kinds: dict[int, tuple[type, type, type]] = KINDS) -> Iterator[Block]:
     """The blocks of a task one by one, each with what was told to it."""
-    kinds = {_SHARED: (np.int64, np.uint64, bool), _VERDICT: (np.int64, np.int32, np.int32)}
     told: dict[int, list[list[np.ndarray]]] = {}
     ready: dict[int, list[np.ndarray]] = {}
     now: tuple[int, int] | None = None
@@ -391,19 +396,19 @@ def _blocks(batches: Iterator[pa.RecordBatch], carried: list[str] = []) -> Itera
     bodies: list[bytes] = []
     carry: list[list[pa.Array]] = []
 
-    def of_block(kind: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    def look_up(kind: int, number: int) -> tuple[np.ndarray, np.ndarray]:
         if kind not in ready:
             some = told.get(kind) or [[np.empty(0, t) for t in kinds[kind]]]
             x, y, z = (np.concatenate(c) for c in zip(*some))
             order = np.argsort(x, kind="stable")
             ready[kind] = [x[order], y[order], z[order]]
         x, y, z = ready[kind]
-        rows = slice(*np.searchsorted(x, [block, block + 1]))
+        rows = slice(*np.searchsorted(x, [number, number + 1]))
         return y[rows], z[rows]
 
     def done() -> Block:
         whole = [pa.concat_arrays(c) for c in zip(*carry)]
-        out = Block(now[1], np.concatenate(keys), list(bodies), whole, of_block(_SHARED, now[1]), of_block(_VERDICT, now[1]))
+        out = Block(now[1], np.concatenate(keys), list(bodies), whole, look_up)
         keys.clear(), bodies.clear(), carry.clear()
         return out
 
@@ -443,7 +448,7 @@ def _anchors(docs: DataFrame, texts: type[Texts], shape: Shape, grid: Grid, acro
             low = np.ascontiguousarray(code).view(np.uint8).reshape(-1, 8)[:, : CODE_BITS // 8]
             return packed(code >> np.uint64(CODE_BITS), ["bucket", "code", "block", "twice"], [low, block, twice])
 
-        for block in _blocks(batches):
+        for block in blocks(batches):
             here = texts(block.bodies)
             found = stretches(here, shape)
             code = grid.code(found.anchor)
@@ -462,7 +467,7 @@ def _anchors(docs: DataFrame, texts: type[Texts], shape: Shape, grid: Grid, acro
         if held:
             yield flush()
 
-    return _together(docs, grid, []).mapInArrow(run, "bucket long, code binary, block binary, twice binary")
+    return together(docs, grid, []).mapInArrow(run, "bucket long, code binary, block binary, twice binary")
 
 
 def _shared(anchors: DataFrame, grid: Grid) -> DataFrame:
@@ -484,7 +489,7 @@ def _shared(anchors: DataFrame, grid: Grid) -> DataFrame:
             code, block, crowded = code[often], block[often], crowded[often]
             yield packed(block // grid.blocks, ["region", "x", "y", "z"], [block, code, crowded])
 
-    dealt = anchors.repartition(parts(anchors.sparkSession), "bucket").sortWithinPartitions("bucket")
+    dealt = anchors.repartitionById(grid.buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "region long, x binary, y binary, z binary")
 
 
@@ -505,11 +510,12 @@ def _stretches(docs: DataFrame, shared: DataFrame, texts: type[Texts], shape: Sh
             columns = [np.concatenate(x) for x in zip(*held)]
             return packed(columns[0] >> np.uint64(CODE_BITS), ["bucket", *_ENTRY, "raw"], columns[:-1], columns[-1], columns[-2].astype(np.int64))
 
-        for block in _blocks(batches):
-            if not len(block.shared[0]):
+        for block in blocks(batches):
+            shared_here = block.told(_SHARED, block.number)
+            if not len(shared_here[0]):
                 continue
             here = texts(block.bodies)
-            e = entries(here, block.keys, shape, grid, *block.shared)
+            e = entries(here, block.keys, shape, grid, *shared_here)
             some = np.flatnonzero(e.sent)
             columns = [e.code, np.full(len(e.code), block.number), np.arange(len(e.code)), e.left, e.n, e.least, e.count, e.length]
             raw = here.raw[flat(e.begin[some], e.length[some])]
@@ -521,7 +527,7 @@ def _stretches(docs: DataFrame, shared: DataFrame, texts: type[Texts], shape: Sh
         if held:
             yield flush()
 
-    return _together(docs, grid, [(_SHARED, shared)]).mapInArrow(run, "bucket long, " + ", ".join(f"{c} binary" for c in (*_ENTRY, "raw")))
+    return together(docs, grid, [(_SHARED, shared)]).mapInArrow(run, "bucket long, " + ", ".join(f"{c} binary" for c in (*_ENTRY, "raw")))
 
 
 def _verdicts(sent: DataFrame, judge: Judge, grid: Grid) -> DataFrame:
@@ -541,7 +547,7 @@ def _verdicts(sent: DataFrame, judge: Judge, grid: Grid) -> DataFrame:
             if len(block):
                 yield packed(block // grid.blocks, ["region", "x", "y", "z"], [block, c["entry"][some][hit], bits[hit].astype(np.int32)])
 
-    dealt = sent.repartition(parts(sent.sparkSession), "bucket").sortWithinPartitions("bucket")
+    dealt = sent.repartitionById(grid.buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "region long, x binary, y binary, z binary")
 
 
@@ -582,19 +588,19 @@ def marked(docs: DataFrame, id_col: str, text_col: str, texts: type[Texts], shap
     bounded_batches(spark)
     docs, size = keyed(docs, id_col, text_col)
     docs = docs.withColumn("null", F.col("body").isNull())
-    n = 4 * parts(spark)
+    n = parts(spark)
     grid = Grid(n, max(1, -(-size // (n * BLOCK_BYTES))), n, crowded)
     shared = materialise(_shared(_anchors(docs, texts, shape, grid, across), grid))
     verdicts = materialise(_verdicts(_stretches(docs, shared, texts, shape, grid), judge, grid))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, carried):
+        for block in blocks(batches, carried):
             here = texts(block.bodies)
-            e = entries(here, block.keys, shape, grid, *block.shared)
-            gone = covered(here, block.keys, shape, e, block.verdicts, across)
+            e = entries(here, block.keys, shape, grid, *block.told(_SHARED, block.number))
+            gone = covered(here, block.keys, shape, e, block.told(_VERDICT, block.number), across)
             yield finish(here, gone, block.bodies, block.carry)
 
-    return _together(docs, grid, [(_SHARED, shared), (_VERDICT, verdicts)], carried).mapInArrow(run, schema)
+    return together(docs, grid, [(_SHARED, shared), (_VERDICT, verdicts)], carried).mapInArrow(run, schema)
 
 
 def runs(gone: np.ndarray) -> np.ndarray:

@@ -12,23 +12,23 @@ up and drops a whole node once they pass h.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, bounded_batches, delete, materialise, parts, text_bytes
+from .common import blobs, bounded_batches, materialise, parts, text_bytes
 from .components import connected_components, forest
 
 FAN = 8
 #: Rows of whole groups that one index holds, unless a single group is larger.
 BLOCK_ROWS = 1 << 18
-QUERY_ROWS = 1 << 15
+#: Comparisons that a search makes at once.
+EXPAND_ROWS = 1 << 18
 
 
 def fingerprint(body: bytes, width: int) -> bytes:
@@ -77,12 +77,17 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Hierarchical index over groups of fingerprints; rows of a group stand together in Gray order."""
+    """Hierarchical index over groups of fingerprints of one or more words; rows of a group stand together in Gray order.
 
-    def __init__(self, group: np.ndarray, fp: np.ndarray):
-        self.fp, self.group = fp, group
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        pattern, shared, owner = fp, np.full(len(fp), ~np.uint64(0)), group
+    label: fingerprints of one group that have the same label aren't compared.
+    """
+
+    def __init__(self, group: np.ndarray, fp: np.ndarray, label: np.ndarray | None = None):
+        self.label = np.arange(len(fp)) if label is None else label
+        pattern, owner, low, high = fp.reshape(len(fp), -1), group, self.label, self.label
+        shared = np.full(pattern.shape, ~np.uint64(0))
+        self.fp = pattern
+        self.levels: list[tuple[np.ndarray, ...]] = []
         while True:
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             place = np.arange(len(owner)) - np.repeat(starts, np.diff(np.r_[starts, len(owner)]))
@@ -90,30 +95,41 @@ class GrayIndex:
             ones = np.bitwise_and.reduceat(pattern | ~shared, heads)
             zeros = np.bitwise_and.reduceat(~pattern | ~shared, heads)
             common = np.bitwise_and.reduceat(shared, heads) & (ones | zeros)
-            self.levels.append((pattern & shared, shared, heads, np.r_[heads[1:], len(owner)]))
+            self.levels.append((pattern & shared, shared, heads, np.r_[heads[1:], len(owner)], low, high))
             pattern, shared, owner = ones & common, common, owner[heads]
+            low, high = np.minimum.reduceat(low, heads), np.maximum.reduceat(high, heads)
             if len(owner) == 1 or (owner[1:] != owner[:-1]).all():
                 break
         self.roots = (pattern, shared)
         self.root_of = np.cumsum(np.r_[False, group[1:] != group[:-1]])
 
-    def pairs(self, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Row pairs i < j of one group that differ in at most distance bits."""
-        for at in range(0, len(self.fp), QUERY_ROWS):
-            query = np.arange(at, min(at + QUERY_ROWS, len(self.fp)))
-            node, seen = self.root_of[query], self.roots[1][self.root_of[query]]
-            apart = np.bitwise_count((self.fp[query] ^ self.roots[0][node]) & seen).astype(np.int64)
-            for level, (pattern, shared, lo, hi) in enumerate(reversed(self.levels)):
-                n = hi[node] - lo[node]
-                up = np.repeat(np.arange(len(node)), n)
-                child = np.repeat(lo[node], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                query, seen, apart = query[up], seen[up], apart[up]
-                apart = apart + np.bitwise_count((self.fp[query] ^ pattern[child]) & shared[child] & ~seen)
-                keep = apart <= distance
-                if level == len(self.levels) - 1:
-                    keep &= child > query
-                query, node, apart, seen = query[keep], child[keep], apart[keep], shared[child[keep]]
-            yield query, node
+    def pairs(self, distance: int | np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Row pairs i < j of one group and different labels, and in how many bits they differ, at most distance (of all, or of each row i)."""
+        distance = np.broadcast_to(distance, len(self.fp))
+        query, node, seen = np.arange(len(self.fp)), self.root_of, self.roots[1][self.root_of]
+        apart = np.bitwise_count((self.fp ^ self.roots[0][node]) & seen).sum(1, dtype=np.int64)
+        stack = [(len(self.levels) - 1, query, node, seen, apart)]
+        while stack:
+            level, query, node, seen, apart = stack.pop()
+            pattern, shared, lo, hi, low, high = self.levels[level]
+            n = hi[node] - lo[node]
+            if n.sum() > EXPAND_ROWS and len(query) > 1:
+                half = len(query) // 2
+                stack += [(level, query[x], node[x], seen[x], apart[x]) for x in (slice(half, None), slice(half))]
+                continue
+            up = np.repeat(np.arange(len(node)), n)
+            child = np.repeat(lo[node] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            query, seen, apart = query[up], seen[up], apart[up]
+            own = self.label[query]
+            keep = (low[child] != own) | (high[child] != own)
+            query, seen, apart, child = query[keep], seen[keep], apart[keep], child[keep]
+            apart = apart + np.bitwise_count((self.fp[query] ^ pattern[child]) & shared[child] & ~seen).sum(1, dtype=np.int64)
+            keep = apart <= distance[query]
+            if level == 0:
+                keep &= child > query
+                yield query[keep], child[keep], apart[keep]
+            elif keep.any():
+                stack.append((level - 1, query[keep], child[keep], shared[child[keep]], apart[keep]))
 
 
 def _linked(group: np.ndarray, fp: np.ndarray, rep: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +142,7 @@ def _linked(group: np.ndarray, fp: np.ndarray, rep: np.ndarray, distance: int) -
     order = np.lexsort([gray_rank(fp), group])
     group, fp, rep = group[order], fp[order], rep[order]
     a, b = np.empty(0, np.int64), np.empty(0, np.int64)
-    for i, j in GrayIndex(group, fp).pairs(distance):
+    for i, j, _ in GrayIndex(group, fp).pairs(distance):
         a, b = forest(np.concatenate([a, rep[i]]), np.concatenate([b, rep[j]]))
     return a, b
 
@@ -186,120 +202,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2, blocks:
     return prints.join(found, "fp").select("doc_id", "fp", F.col("component").alias("component_id"))
 
 
-def shingle_set(body: bytes, width: int) -> np.ndarray:
-    """The sorted distinct XXH64 of the word shingles; a text without words has the one of nothing."""
-    words = body.lower().split()
-    shingles = [b" ".join(words)] if len(words) < width else list(map(b" ".join, zip(*(words[i:] for i in range(width)))))
-    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(x, 42) for x in shingles]), ">u8").astype(np.uint64))
-
-
-def _needed(n: int | Column, similarity: float) -> int | Column:
-    """Shingles of n that any set of at least the similarity shares; rounded so that no pair at the limit is missed."""
-    least = n * similarity - 1e-9
-    return F.ceil(least) if isinstance(least, Column) else math.ceil(least)
-
-
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and the shingle set of docs (as text_bytes gives them)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(body, width).view(np.int64) for body in blobs(batch.column(1))]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"])
-
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
-
-
-def _heads(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """doc_id, a 128-bit hash (hi, lo) of the shingle set, and the least shingles of it that a similar set must meet."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(body, width) for body in blobs(batch.column(1))]
-            keys = np.frombuffer(b"".join(xxhash.xxh128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
-            least = [x[: len(x) - _needed(len(x), similarity) + 1].view(np.int64) for x in sets]
-            yield pa.record_batch([batch.column(0), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(least, pa.list_(pa.int64()))], ["doc_id", "hi", "lo", "least"])
-
-    return docs.mapInArrow(run, "doc_id long, hi long, lo long, least array<long>")
-
-
-def _rare(sets: DataFrame, similarity: float) -> DataFrame:
-    """s and doc_id, n: the rarest shingles of each set, of which similar sets share one, without those of a single set."""
-    each = sets.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    counts = materialise(each.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"))
-    several = materialise(each).join(counts, "s")
-    found = several.groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("x"))
-    own = F.col("n") - F.size("x")
-    most = (F.col("n") - _needed(F.col("n"), similarity) + 1 - own).cast("int")
-    return found.where(most > 0).select("doc_id", "n", F.explode(F.slice("x", F.lit(1), most)).alias("x")).select("x.s", "doc_id", "n")
-
-
-def _components(sets: DataFrame, similarity: float) -> DataFrame:
-    """node and component over the links of at least the similarity among sets.
-
-    Sets under one rare shingle are compared with the first of them, then with the next
-    three, twelve and so on, until each two of them are compared or of one component.
-    """
-    order = Window.partitionBy("s").orderBy("doc_id")
-    groups = materialise(_rare(sets, similarity).withColumn("place", F.row_number().over(order)))
-    deepest = groups.agg(F.max("place")).first()[0] or 0
-    edges, found = None, None
-    done, upto = 0, 1
-    while done < deepest - 1:
-        now = groups.withColumn("component", F.col("doc_id"))
-        if found is not None:
-            now = groups.join(found, groups.doc_id == found.node, "left").select("s", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("component"))
-            open_ = now.groupBy("s").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("place").alias("last"))
-            now = now.join(open_.where(f"a < b and last > {done + 1}").select("s"), "s", "left_semi")
-        now = materialise(now)
-        head = now.where(f"place > {done} and place <= {upto}").select("s", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "place", "component")))
-        alike = (F.least("n", "n_a") >= F.greatest("n", "n_a") * similarity - 1e-9) & (F.col("component") != F.col("component_a"))
-        pairs = materialise(now.join(head, "s").where((F.col("place") > F.col("place_a")) & alike).select(F.col("doc_id_a").alias("a"), F.col("doc_id").alias("b")).distinct())
-        first = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-        second = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        linked = both * (1 + similarity) >= (F.size("x") + F.size("y")) * similarity - 1e-9
-        links = materialise(pairs.join(first, "a").join(second, "b").where(linked).select("a", "b"))
-        if links.limit(1).count():
-            edges = links if edges is None else edges.unionAll(links)
-            found = connected_components(edges)
-        for old in (now, pairs):
-            delete(old)
-        done, upto = upto, 4 * upto
-    return sets.sparkSession.createDataFrame([], "node long, component long") if found is None else found
-
-
-def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id: links are all pairs whose word shingles have at least the Jaccard similarity.
-
-    Sets of n shingles that are so similar share at least similarity * n of them, so in
-    any one order of all shingles they share one among the first n - similarity * n + 1.
-    That holds for every pair, and each candidate is verified on its whole sets. By order
-    of hash it gives the texts that may have a partner at all; of those, by order of
-    rarity, the pairs. Shingles are compared by 64-bit hashes. Cases as in near_duplicates.
-    """
-    bounded_batches(docs.sparkSession)
-    bodies = text_bytes(docs, id_col, text_col)
-    each = materialise(_heads(bodies, width, similarity))
-    reps = materialise(each.where("doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")))
-    least = materialise(each.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("least").alias("s")))
-    met = materialise(least.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s"))
-    some = materialise(least.join(met, "s", "left_semi").select("doc_id").distinct())
-    delete(least)
-    sets = materialise(_sets(bodies.join(some, "doc_id", "left_semi"), width))
-    components = _components(sets, similarity)
-    found = materialise(reps.join(components, reps.rep == components.node, "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id")))
-    return each.join(found, ["hi", "lo"], "left").select("doc_id", "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs but for near duplicates (see similar): of each class the row of the smallest id stays, of equal ids one."""
-    unique = numbered(docs, id_col)
-    found = similar(unique, id_col="row_no", text_col=text_col, **options)
-    kept = materialise(found.where("doc_id = component_id").select(F.col("doc_id").alias("row_no")))
-    return unique.join(kept, "row_no", "left_semi").select(*(f"`{c}`" for c in docs.columns))
-
-
 def numbered(docs: DataFrame, id_col: str) -> DataFrame:
     """docs with row_no: the id where ids are unique, else the place by id (null last) among all rows."""
     odd = docs.groupBy(id_col).agg(F.count("*").alias("c")).where(F.col(id_col).isNull() | (F.col("c") > 1)).limit(1).count()

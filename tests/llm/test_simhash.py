@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
-from cloakframe.llm import simhash
+from cloakframe.llm import similar, simhash
 from cloakframe.llm.components import connected_components, forest
 
 SCHEMA = "doc_id long, text string, lang string, fp string, component string"
@@ -74,7 +74,7 @@ def test_index_finds_every_pair_within_the_distance():
     group = np.sort(rng.integers(0, 3, len(fp)))
     order = np.lexsort([simhash.gray_rank(fp), group])
     group, fp = group[order], fp[order]
-    got = {(i, j) for a, b in simhash.GrayIndex(group, fp).pairs(2) for i, j in zip(a.tolist(), b.tolist())}
+    got = {(i, j) for a, b, _ in simhash.GrayIndex(group, fp).pairs(2) for i, j in zip(a.tolist(), b.tolist())}
     want = {(i, j) for i in range(len(fp)) for j in range(i + 1, len(fp)) if group[i] == group[j] and (int(fp[i]) ^ int(fp[j])).bit_count() <= 2}
     assert got == want
 
@@ -97,7 +97,8 @@ def test_components_of_paths_stars_and_cycles(spark):
     assert dict(zip(node.tolist(), root.tolist())) == got
 
 
-def test_similar_links_all_pairs_of_the_jaccard_limit_and_no_other(spark):
+@pytest.mark.parametrize("hot,most", [(1024, 16), (20, 1)])
+def test_similar_links_all_pairs_of_the_jaccard_limit_and_no_other(spark, hot, most):
     """Isolated pairs about the limit, groups with many members, and repeated sets, against brute force."""
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
@@ -140,6 +141,6 @@ def test_similar_links_all_pairs_of_the_jaccard_limit_and_no_other(spark):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+    got = {r.doc_id: r.component_id for r in similar.similar(df, hot=hot, most=most).collect()}
     assert n_links > 1000 and got == {i: find(i) for i in range(len(texts))}
-    assert simhash.similar(df.limit(0)).collect() == []
+    assert similar.similar(df.limit(0)).collect() == []
