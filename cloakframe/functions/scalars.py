@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..vocabulary import DELIMITERS, KINDS, placeholder_pattern
+from ..vocabulary import DELIMITERS, KINDS, placeholder_pattern, scrub_steps
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -138,23 +138,7 @@ def looks_like_json(content_type: Column, body: Column) -> Column:
 
 
 def scrub(line: Column, prefix: str) -> Column:
-    """A log line without secrets: placeholders, bearer headers, keys with values, and keys of known make.
-
-    The more specific key comes first, so that each is named for what it is.
-    """
-    key = r"api[_-]?key|x-api-key|secret[_-]?key|access[_-]?token|auth[_-]?token|refresh[_-]?token|password|passwd"
-    double, single = r'"[^"\r\n]+"', r"'[^'\r\n]+'"
-    out = F.regexp_replace(line, placeholder_pattern(prefix), "[redacted_placeholder]")
-    out = F.regexp_replace(out, r"(?i)authorization:\s*bearer\s+[A-Za-z0-9._-]{12,}", "Authorization: Bearer [redacted]")
-    for head, bare in ((rf'"(?:{key})"\s*:\s*', r"[^\s,}\"'\[][^\s,}]*"), (rf"\b(?:{key})\b\s*(?:=|:)\s*", r"[^\s,;\"'\[][^\s,;]*")):
-        out = F.regexp_replace(out, f"(?i)({head}){double}", '$1"[redacted]"')
-        out = F.regexp_replace(out, f"(?i)({head}){single}", "$1'[redacted]'")
-        out = F.regexp_replace(out, f"(?i)({head}){bare}", "$1[redacted]")
-    for pattern, name in (
-        (r"sk-ant-[A-Za-z0-9_-]{12,}", "anthropic_secret"),
-        (r"sk-[A-Za-z0-9_-]{12,}", "openai_secret"),
-        (r"AKIA[0-9A-Z]{16}", "aws_key"),
-        (r"gh[ps]_[A-Za-z0-9]{36,}", "github_token"),
-    ):
-        out = F.regexp_replace(out, pattern, f"[redacted_{name}]")
-    return out
+    """A log line without secrets: placeholders, bearer headers, keys with values, and keys of known make."""
+    for pattern, by in scrub_steps(prefix):
+        line = F.regexp_replace(line, pattern, re.sub(r"\\(\d)", r"$\1", by))
+    return line

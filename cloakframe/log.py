@@ -6,21 +6,13 @@ import logging
 import re
 
 from .config import PREFIX
-from .vocabulary import placeholder_pattern
-
-_KEY = r"api[_-]?key|x-api-key|secret[_-]?key|access[_-]?token|auth[_-]?token|refresh[_-]?token|password|passwd"
+from .vocabulary import scrub_steps
 
 
 def scrub(line: str, prefix: str = PREFIX) -> str:
     """As functions.scalars.scrub, for one string."""
-    line = re.sub(placeholder_pattern(prefix), "[redacted_placeholder]", line)
-    line = re.sub(r"(?i)authorization:\s*bearer\s+[A-Za-z0-9._-]{12,}", "Authorization: Bearer [redacted]", line)
-    for head, bare in ((rf'"(?:{_KEY})"\s*:\s*', r"[^\s,}\"'\[][^\s,}]*"), (rf"\b(?:{_KEY})\b\s*(?:=|:)\s*", r"[^\s,;\"'\[][^\s,;]*")):
-        line = re.sub(f'(?i)({head})"[^"\\r\\n]+"', r'\1"[redacted]"', line)
-        line = re.sub(f"(?i)({head})'[^'\\r\\n]+'", r"\1'[redacted]'", line)
-        line = re.sub(f"(?i)({head}){bare}", r"\1[redacted]", line)
-    for pattern, name in (("sk-ant-[A-Za-z0-9_-]{12,}", "anthropic_secret"), ("sk-[A-Za-z0-9_-]{12,}", "openai_secret"), ("AKIA[0-9A-Z]{16}", "aws_key"), ("gh[ps]_[A-Za-z0-9]{36,}", "github_token")):
-        line = re.sub(pattern, f"[redacted_{name}]", line)
+    for pattern, by in scrub_steps(prefix):
+        line = re.sub(pattern, by, line)
     return line
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions.local import render
-from ..vocabulary import KINDS, PROMPT_HINTS, placeholder_pattern
+from ..vocabulary import KINDS, PROMPT_HINTS, placeholder_pattern, scrub_steps
 from . import fixtures as X
 
 
@@ -108,20 +108,8 @@ def all_lists(table: str) -> str:
     return " UNION ALL ".join(f"SELECT '{c}' AS list, {c} AS name, count(*) AS count FROM {table} WHERE action = 'redacted' AND {c} <> '' GROUP BY 2" for c in ("kind", "rule_id", "request_host"))
 
 
-_KEY = "api[_-]?key|x-api-key|secret[_-]?key|access[_-]?token|auth[_-]?token|refresh[_-]?token|password|passwd"
-
-
 def scrubbed(text: str) -> str:
-    steps = [(placeholder_pattern("VEIL"), "[redacted_placeholder]"), (r"(?i)authorization:\s*bearer\s+[A-Za-z0-9._-]{12,}", "Authorization: Bearer [redacted]")]
-    for head, bare in ((rf'"(?:{_KEY})"\s*:\s*', r"""[^\s,}"'\[][^\s,}]*"""), (rf"\b(?:{_KEY})\b\s*(?:=|:)\s*", r"""[^\s,;"'\[][^\s,;]*""")):
-        steps += [(f'(?i)({head})"[^"\\r\\n]+"', r'\1"[redacted]"'), (f"(?i)({head})'[^'\\r\\n]+'", r"\1'[redacted]'"), (f"(?i)({head}){bare}", r"\1[redacted]")]
-    steps += [
-        (r"sk-ant-[A-Za-z0-9_-]{12,}", "[redacted_anthropic_secret]"),
-        (r"sk-[A-Za-z0-9_-]{12,}", "[redacted_openai_secret]"),
-        (r"AKIA[0-9A-Z]{16}", "[redacted_aws_key]"),
-        (r"gh[ps]_[A-Za-z0-9]{36,}", "[redacted_github_token]"),
-    ]
-    for pattern, by in steps:
+    for pattern, by in scrub_steps("VEIL"):
         text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(by)}, 'g')"
     return text
 
@@ -198,7 +186,7 @@ ORACLE: dict[str, str] = {
     "allowlist_sha256": _with_places("case_id, start, secret, rule_id", f"sha256(secret) <> '{X.ALLOWED_SHA256}'"),
     "token_entropy": f"SELECT doc_id, x AS token, round(list_aggregate(regexp_extract_all(hex(encode(x)), '..'), 'entropy'), 6) AS entropy FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{TOKEN}{{12,}}')) AS x FROM documents)",
     "luhn_and_issuer": f"SELECT o_orderkey, number, {luhn('number')} AS passes, {issuer('number')} AS issuer FROM (SELECT o_orderkey, lpad((o_orderkey * 7919 + 4000000)::VARCHAR, 16, '4') AS number FROM orders)",
-    "log_scrub": f"SELECT line_id, {scrubbed('line')} AS scrubbed FROM {literal(X.LOG_LINES, 'line_id, line')}",
+    "log_scrub": "SELECT * FROM " + literal([(n, s) for n, _, s in X.LOG_LINES], "line_id, scrubbed"),
     "log_scrub_documents": f"SELECT doc_id, sha256({scrubbed('text')}) AS scrubbed_sha256 FROM documents",
     "host_normalize": "SELECT * FROM "
     + literal(

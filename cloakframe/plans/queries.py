@@ -125,7 +125,7 @@ def luhn_and_issuer(spark, sf_dir):
 
 
 def log_scrub(spark, sf_dir):
-    rows = values(spark, X.LOG_LINES, "line_id int, line string")
+    rows = values(spark, [r[:2] for r in X.LOG_LINES], "line_id int, line string")
     return rows.select("line_id", S.scrub(F.col("line"), PREFIX).alias("scrubbed"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 #: kind: (label for people, label in placeholders)
 KINDS = {
     "opaque_token": ("opaque token", "OPAQUE"),
@@ -36,7 +38,36 @@ PASSWORD_LABEL = r"\b(?i:password|passwd|passcode|passphrase|pin)\b"
 #: What ends a token that may be opaque.
 DELIMITERS = " \t\n\r\"'`=:,{}[]();<>|\\"
 
+#: Keys whose values a log line must not show.
+SECRET_KEY = "api[_-]?key|x-api-key|secret[_-]?key|access[_-]?token|auth[_-]?token|refresh[_-]?token|password|passwd"
+#: What follows such a key, quoted or bare, in JSON and elsewhere: (pattern before the value, characters that end a bare value).
+SECRET_PLACES = (
+    (rf'"(?:{SECRET_KEY})"\s*:\s*', r"\s,}"),
+    (rf"\b(?:{SECRET_KEY})\b\s*(?:=|:)\s*", r"\s,;"),
+)
+BEARER = (r"(?i)authorization:\s*bearer\s+[A-Za-z0-9._-]{12,}", "Authorization: Bearer [redacted]")
+#: Secrets that are known by their make; the more specific first.
+KNOWN_SECRETS = (
+    (r"sk-ant-[A-Za-z0-9_-]{12,}", "anthropic_secret"),
+    (r"sk-[A-Za-z0-9_-]{12,}", "openai_secret"),
+    (r"AKIA[0-9A-Z]{16}", "aws_key"),
+    (r"gh[ps]_[A-Za-z0-9]{36,}", "github_token"),
+)
+
+
+def scrub_steps(prefix: str) -> list[tuple[str, str]]:
+    """Patterns that Java, RE2 and Python read alike and what goes in their place, with groups as \\1.
+
+    A value is all between quotes, or else whatever stands up to the next blank or
+    separator, brackets and single quotes included; quotes around it are kept.
+    """
+    steps = [(placeholder_pattern(prefix), "[redacted_placeholder]"), BEARER]
+    for head, end in SECRET_PLACES:
+        quoted = "|".join(rf"({q})(?:[^{q}\r\n]+{q}|{q}([{end}]|$))" for q in ('"', "'"))
+        steps.append((rf"(?i)({head})(?:{quoted}|[^{end}]+)", r"\1\2\4[redacted]\2\4\3\5"))
+    return steps + [(pattern, f"[redacted_{name}]") for pattern, name in KNOWN_SECRETS]
+
 
 def placeholder_pattern(prefix: str) -> str:
     """A whole placeholder: kind label, then 8 to 64 hex digits."""
-    return r"\{\{" + prefix + "_(" + "|".join(label for _, label in KINDS.values()) + r")_([0-9A-Fa-f]{8,64})\}\}"
+    return r"\{\{" + re.escape(prefix) + "_(" + "|".join(label for _, label in KINDS.values()) + r")_([0-9A-Fa-f]{8,64})\}\}"
