@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: What counts as a unit after a number.
 UNITS = "km kg cm mm mg ml km/h mph kmh lb lbs oz ft in m g l s h min hours hour minutes minute seconds second days day weeks week months month years year miles mile meters metres meter metre grams gram liters litres liter litre dollars dollar euros euro pounds pound cents percent"
 #: Regular expressions that Java and RE2 read alike, each with its replacement.
@@ -21,11 +23,13 @@ MARKS = (
     (r"(\p{N} ?)(" + "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u))) + r")\b", "$1 \x02$2"),
     (r"([\p{L},;] )(\p{Lu})", "$1\x01$2"),
 )
-#: Also marks capitals at the start of a text, line or sentence, after a digit, quote or bracket.
-ANY_CAPITAL = (r"(^|[^\p{L}\p{N}\x01\x02\x04])(\p{Lu})", "$1\x01$2")
-BETWEEN = r"[^\p{L}\p{N}\x01\x02\x04]+"
+#: Then marks the other capitals, at the start of a text, line or sentence, after a digit, quote or bracket.
+OTHER_CAPITAL = (r"(^|[^\p{L}\p{N}\x01\x02\x04])(\p{Lu})", "$1\x05$2")
+BETWEEN = r"[^\p{L}\p{N}\x01\x02\x04\x05]+"
 #: Rows of benchmark windows up to which they are broadcast; beyond, both sides are shuffled.
 MOST_BROADCAST = 400_000
+#: Bits of the table by which windows that no item has are passed over early.
+SKETCH_BITS = 1 << 19
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -33,56 +37,96 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def tokens(text: Column, any_capital: bool = False) -> Column:
-    for pattern, by in (*MARKS, ANY_CAPITAL) if any_capital else MARKS:
+def tokens(text: Column) -> Column:
+    """Lower-case tokens; a mark before them tells names, units and, as names perhaps, other capitals."""
+    for pattern, by in (*MARKS, OTHER_CAPITAL):
         text = F.regexp_replace(text, pattern, by)
     return F.array_remove(F.split(F.lower(text), BETWEEN), "")
 
 
-def _slot(token: Column) -> Column:
-    first = F.substring(token, 1, 1)
-    return F.when(first == "\x01", "<name>").when(first == "\x02", "<unit>").when((first >= "0") & (first <= "9"), "<number>")
+def _is_slot(token: Column, wide: bool) -> Column:
+    own = F.startswith(token, F.lit("\x01")) | F.startswith(token, F.lit("\x02")) | ((token >= "0") & (token < ":"))
+    return own | F.startswith(token, F.lit("\x05")) if wide else own
+
+
+def _template(token: Column, wide: bool) -> Column:
+    """The hash of a token, or of what kind of slot it is."""
+    name, unit, number = (F.lit(x).cast("long") for x in (1, 2, 3))
+    out = F.when(F.startswith(token, F.lit("\x01")), name).when(F.startswith(token, F.lit("\x02")), unit).when((token >= "0") & (token < ":"), number)
+    return out.when(F.startswith(token, F.lit("\x05")), name if wide else F.xxhash64(F.substring(token, 2, 1 << 30))).otherwise(F.xxhash64(token))
+
+
+def _spans(h: Column, n: int) -> Column:
+    """The hashes of each n (a power of two) consecutive ones of h, and of fewer at its end."""
+
+    def doubled(k: int) -> Callable[[Column], Column]:
+        return lambda x: F.zip_with(x, F.slice(x, k + 1, F.size(x)), lambda a, b: F.xxhash64(a, b))
+
+    have = 1
+    while have < n:
+        h, have = let(h, doubled(have)), 2 * have
+    return h
+
+
+def _lead(n: int) -> int:
+    """Tokens at the start of a window of n that are looked up early."""
+    return 1 << (min(n, 4).bit_length() - 1)
+
+
+def _seen(w: Column, sketch: list[int] | None) -> Column:
+    """Whether the sketch may hold w."""
+    if sketch is None:
+        return F.lit(True)
+    words = F.expr("array(" + ",".join(f"{x}L" for x in sketch) + ")")
+    at = F.pmod(w, F.lit(SKETCH_BITS).cast("long")).cast("int")
+    return F.getbit(F.element_at(words, F.call_function("shiftright", at, F.lit(5)) + 1), at.bitwiseAND(F.lit(31))) == 1
+
+
+def _sketch(hashes: list[int]) -> list[int]:
+    words = [0] * (SKETCH_BITS // 32)
+    for h in hashes:
+        at = h % SKETCH_BITS
+        words[at >> 5] |= 1 << (at & 31)
+    return words
 
 
-def _windows(df: DataFrame, key: str, text: str, sizes: list[int], least_item: int, least_literal: int) -> DataFrame:
-    """key, n, w (hash of the template of n tokens), at (its place) and slots (hashes of slot values) of every window.
+def _windows(df: DataFrame, key: str, text: str, sizes: list[int], least_item: int, least_literal: int, sketch: list[int] | None = None) -> DataFrame:
+    """key, n, w (hash of the template of n tokens), lead (that of its first ones), at (its place), slots (hashes of slot values) and wide of every window whose lead the sketch may hold.
 
-    A window with capitals that only ANY_CAPITAL marks comes again, wide, with those as names. The hash of a window with too many slots, or of fewer tokens than least_item, takes in the slot values.
+    A window with capitals that only OTHER_CAPITAL marks comes again, wide, with those as
+    names. w of a window with too many slots, or of fewer tokens than least_item, takes in the slot values.
     """
-    arrays = df.select(F.col(key).alias(key), tokens(F.col(text)).alias("t"), tokens(F.col(text), True).alias("u"))
+    arrays = df.select(F.col(key).alias(key), F.explode_outer(F.array(tokens(F.col(text)))).alias("x"))
 
-    def of(t: Column) -> Column:
-        template = F.transform(t, lambda x: F.xxhash64(F.coalesce(_slot(x), x)))
-        values = F.transform(t, lambda x: F.when(_slot(x).isNotNull(), F.xxhash64(x)).otherwise(F.lit(0).cast("long")))
-        return F.struct(template.alias("h"), values.alias("v"))
+    def windows(wide: bool, lead: int) -> Column:
+        """The windows of those sizes that begin with so many tokens of the sketch."""
+        value = (lambda x: F.xxhash64(F.regexp_replace(x, "^\x05", "\x01"))) if wide else (lambda x: F.xxhash64(x))
 
-    def windows(n: int, t: Column, wide: bool) -> Column:
-        def at(hv: Column) -> Column:
-            none = F.forall(hv["v"], lambda x: x == 0)
-            places = F.when(F.size(hv["h"]) >= n, F.sequence(F.lit(1), F.size(hv["h"]) - n + 1)).otherwise(F.array().cast("array<int>"))
+        def some(n: int, h: Column, w: Column) -> Column:
+            places = F.when(F.size("x") >= n, F.sequence(F.lit(1), F.size("x") - n + 1)).otherwise(F.array().cast("array<int>"))
+            places = F.filter(places, lambda i: _seen(F.get(w, i - 1), sketch))
             if wide:
-                places = let(F.zip_with("t", "u", lambda x, y: x != y), lambda odd: F.filter(places, lambda i: F.array_contains(F.slice(odd, i, n), True)))
-            return let(
-                none,
-                lambda no: F.transform(
-                    places,
-                    lambda i: F.struct(
-                        *([F.lit(n).alias("n")] if len(sizes) > 1 else []),
-                        i.alias("at"),
-                        F.xxhash64(F.slice(hv["h"], i, n)).alias("w"),
-                        F.when(no, F.array().cast("array<long>")).otherwise(F.filter(F.slice(hv["v"], i, n), lambda x: x != 0)).alias("slots"),
-                        F.lit(wide).alias("wide"),
-                    ),
+                places = F.filter(places, lambda i: F.exists(F.slice("x", i, n), lambda x: F.startswith(x, F.lit("\x05"))))
+            return F.transform(
+                places,
+                lambda i: F.struct(
+                    F.lit(n).alias("n"),
+                    i.alias("at"),
+                    F.get(w, i - 1).alias("lead"),
+                    F.xxhash64(F.slice(h, i, n)).alias("t"),
+                    F.transform(F.filter(F.slice("x", i, n), lambda x: _is_slot(x, wide)), value).alias("slots"),
+                    F.lit(wide).alias("wide"),
                 ),
             )
 
-        return let(of(t), at)
+        own = [n for n in sizes if _lead(n) == lead]
+        return let(F.transform("x", lambda x: _template(x, wide)), lambda h: let(_spans(h, lead), lambda w: F.concat(*(some(n, h, w) for n in own))))
 
     # An inner explode, or a filter by the number of tokens, would work all of it out twice.
-    each = arrays.select(key, F.explode_outer(F.concat(*(windows(n, F.col(t), t == "u") for n in sizes for t in ("t", "u")))).alias("x")).where("x is not null")
-    found = each.select(key, F.col("x.n") if len(sizes) > 1 else F.lit(sizes[0]).alias("n"), "x.w", "x.at", "x.slots", "x.wide")
+    each = arrays.select(key, F.explode_outer(F.concat(*(windows(wide, lead) for lead in sorted({_lead(n) for n in sizes}) for wide in (False, True)))).alias("x")).where("x is not null")
+    found = each.select(key, "x.n", "x.lead", "x.t", "x.at", "x.slots", "x.wide")
     free = F.when(F.col("n") >= least_item, F.greatest(F.col("n") - least_literal, F.floor(F.col("n") / 2).cast("int"))).otherwise(-1)
-    return found.withColumn("w", F.when(F.size("slots") <= free, F.col("w")).otherwise(F.xxhash64("w", "slots")))
+    return found.withColumn("w", F.when(F.size("slots") <= free, F.xxhash64("n", "t")).otherwise(F.xxhash64("n", "t", "slots")))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_item: int = 5, least_literal: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,9 +155,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_item:
         some = _windows(ours.where(F.col("own") == n), "item_id", "text", [n], least_item, least_literal)
         sides = some if sides is None else sides.unionAll(some)
     sides = sides.withColumnsRenamed({"slots": "item_slots", "at": "item_at", "wide": "item_wide"})
+    sides, sketch = materialise(sides), None
     if sides.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        sketch = _sketch([r.lead for r in sides.select("lead").distinct().collect()])
         sides = F.broadcast(sides)
-    hits = _windows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", sizes, least_item, least_literal).join(sides, ["n", "w"])
+    hits = _windows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", sizes, least_item, least_literal, sketch).join(sides.drop("t", "n", "lead"), "w")
     same = F.col("slots") == F.col("item_slots")
     ways = [(F.col("wide") == x) & (F.col("item_wide") == y) for x in (False, True) for y in (False, True)]
     zipped = F.arrays_zip("slots", "item_slots")

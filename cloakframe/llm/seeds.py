@@ -43,7 +43,7 @@ CROWDED = 4096
 CODE_BITS = 40
 CODE = np.uint64((1 << CODE_BITS) - 1)
 #: Entries, and bytes of stretches, that a task packs at once.
-PACK_ROWS, PACK_BYTES = 1 << 20, 16 << 20
+PACK_ROWS, PACK_BYTES = 1 << 18, 6 << 20
 #: Windows that are hashed at once; stretches end at such bounds too.
 CHUNK = 1 << 18
 #: Low bits of a hash that give way to a place within a chunk.
@@ -318,21 +318,21 @@ def loose(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each bucket, which stand together."""
-    held: list[pa.RecordBatch] = []
-    last = None
+    """The rows of each bucket of a task (one, where there are as many buckets as tasks)."""
+    held: dict[int, list[pa.RecordBatch]] = {}
     for batch in batches:
         bucket = batch.column(0).to_numpy()
         cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
         for a, z in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(bucket)].tolist()):
             if z > a:
-                if held and last != bucket[a]:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                held.append(batch.slice(a, z - a))
-                last = bucket[a]
-    if held:
-        yield pa.Table.from_batches(held)
+                held.setdefault(int(bucket[a]), []).append(batch.slice(a, z - a))
+    for bucket in sorted(held):
+        yield pa.Table.from_batches(held.pop(bucket))
+        pa.default_memory_pool().release_unused()
+
+
+def to_buckets(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.repartitionById(buckets, F.col("bucket").cast("int"))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
@@ -489,8 +489,7 @@ def _shared(anchors: DataFrame, grid: Grid) -> DataFrame:
             code, block, crowded = code[often], block[often], crowded[often]
             yield packed(block // grid.blocks, ["region", "x", "y", "z"], [block, code, crowded])
 
-    dealt = anchors.repartitionById(grid.buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "region long, x binary, y binary, z binary")
+    return to_buckets(anchors, grid.buckets).mapInArrow(run, "region long, x binary, y binary, z binary")
 
 
 #: code, symbols before the anchor, windows, least key, number and bytes of stretches: the repeated windows of each, as bits.
@@ -547,8 +546,7 @@ def _verdicts(sent: DataFrame, judge: Judge, grid: Grid) -> DataFrame:
             if len(block):
                 yield packed(block // grid.blocks, ["region", "x", "y", "z"], [block, c["entry"][some][hit], bits[hit].astype(np.int32)])
 
-    dealt = sent.repartitionById(grid.buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "region long, x binary, y binary, z binary")
+    return to_buckets(sent, grid.buckets).mapInArrow(run, "region long, x binary, y binary, z binary")
 
 
 def covered(texts: Texts, keys: np.ndarray, shape: Shape, e: Entries, verdicts: tuple[np.ndarray, np.ndarray], across: bool) -> np.ndarray:

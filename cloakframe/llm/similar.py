@@ -1,8 +1,8 @@
 """Near duplicates of a Jaccard similarity of word shingles, by wide SimHash within groups of shared shingles.
 
 Sets of n shingles that are similar share one among the first n - similarity * n + 1 of
-any one order of all shingles. The order is that of hashes, with those that stand in
-very many texts last; so every similar pair meets in a group under a shared shingle, and
+any one order of all shingles. The order is that of hashes, with those last that are among
+the first of very many texts by hash alone (hot ones); so every similar pair meets in a group under a shared shingle, and
 common lines make no large group. Within its groups a text searches the Gray-order index
 of 256-bit SimHashes, and what it finds is verified on the whole sets. Each round links
 what it verified; texts that are linked by then are no longer compared.
@@ -99,62 +99,94 @@ def _first(s: np.ndarray, hot: np.ndarray, similarity: float) -> tuple[np.ndarra
 _CODES = (np.int64, np.uint64, bool)
 
 
-def _hot(block: seeds.Block, key: int, rounds: int) -> list[np.ndarray]:
-    """Of each round before: the hot ones that were told to a text by then."""
-    out, known = [], np.empty(0, np.uint64)
-    for kind in range(rounds):
-        code, hot = block.told(kind, key)
-        known = np.concatenate([known, code[hot]])
-        out.append(known)
-    return out
+def _known(block: seeds.Block, key: int, kinds: int) -> np.ndarray:
+    """The hot ones that were told to a text."""
+    told = [block.told(kind, key) for kind in range(kinds)]
+    return np.concatenate([np.empty(0, np.uint64), *(code[hot] for code, hot in told)])
 
 
-def _shared(texts: DataFrame, told: list[DataFrame], width: int, similarity: float, grid: Grid, hot: int) -> DataFrame:
-    """region, x (key), y (shingle) and z (hot), packed, of the shingles that two texts have among their first; hots tells how many are hot.
+def _packs(rows: Iterator[tuple[np.ndarray, int]], grid: Grid) -> Iterator[pa.RecordBatch]:
+    """code and key of the codes of each text, packed for the buckets."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for codes, key in rows:
+        held.append([codes, np.full(len(codes), key)])
+        size += len(codes)
+        if size >= seeds.PACK_ROWS:
+            code, keys = (np.concatenate(x) for x in zip(*held))
+            yield seeds.packed(code % np.uint64(grid.buckets), ["bucket", "code", "key"], [code, keys])
+            held, size = [], 0
+    if held:
+        code, keys = (np.concatenate(x) for x in zip(*held))
+        yield seeds.packed(code % np.uint64(grid.buckets), ["bucket", "code", "key"], [code, keys])
 
-    A text that was told hot ones before also gives those that take their place, and some more.
-    """
 
-    rounds = len(told)
+_PACKED = "bucket long, code binary, key binary"
+_TOLD = "region long, x binary, y binary, z binary, hots long"
+
+
+def _tell(key: np.ndarray, code: np.ndarray, hot: np.ndarray, grid: Grid) -> pa.RecordBatch:
+    out = seeds.packed(_region(key, grid), ["region", "x", "y", "z"], [key, code, hot])
+    return out.append_column("hots", pa.array([int(np.frombuffer(z.as_buffer(), bool).sum()) for z in out.column("z")], pa.int64()))
+
+
+def _shared(texts: DataFrame, told: list[DataFrame], width: int, similarity: float, grid: Grid, hot: int) -> DataFrame:
+    """region, x (key), y (shingle) and z (hot), packed, of the shingles that two texts have among their first; hots tells how many are hot."""
+    kinds = len(told)
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        size = 0
-        for block in seeds.blocks(batches, kinds=dict.fromkeys(range(rounds), _CODES)):
-            for key, s in zip(block.keys.tolist(), shingles(_lower(block.bodies), width)):
-                ordered, n = _first(s, np.empty(0, np.uint64), similarity)
-                given = [ordered[:n]]
-                for known in _hot(block, key, rounds):
-                    if len(known):
-                        ordered, n = _first(s, known, similarity)
-                        given.append(ordered[: n + 4 * len(known)])
-                codes = np.unique(np.concatenate(given)) if len(given) > 1 else given[0]
-                held.append([codes, np.full(len(codes), key)])
-                size += len(codes)
-            if size >= seeds.PACK_ROWS:
-                code, key_ = (np.concatenate(x) for x in zip(*held))
-                yield seeds.packed(code % np.uint64(grid.buckets), ["bucket", "code", "key"], [code, key_])
-                held, size = [], 0
-        if held:
-            code, key_ = (np.concatenate(x) for x in zip(*held))
-            yield seeds.packed(code % np.uint64(grid.buckets), ["bucket", "code", "key"], [code, key_])
+        def rows() -> Iterator[tuple[np.ndarray, int]]:
+            for block in seeds.blocks(batches, kinds=dict.fromkeys(range(kinds), _CODES)):
+                for key, s in zip(block.keys.tolist(), shingles(_lower(block.bodies), width)):
+                    ordered, n = _first(s, _known(block, key, kinds), similarity)
+                    yield ordered[:n], key
+
+        yield from _packs(rows(), grid)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in seeds.by_bucket(batches):
             code, key = seeds.loose(rows.column("code"), np.uint64), seeds.loose(rows.column("key"), np.int64)
             order = np.argsort(code, kind="stable")
             code, key = code[order], key[order]
-            size = np.diff(np.r_[starts := np.flatnonzero(np.r_[True, code[1:] != code[:-1]]), len(code)])
+            size = np.diff(np.r_[np.flatnonzero(np.r_[True, code[1:] != code[:-1]]), len(code)])
             several, often = np.repeat(size > 1, size), np.repeat(size > hot, size)
-            code, key, often = code[several], key[several], often[several]
-            if len(code):
-                out = seeds.packed(_region(key, grid), ["region", "x", "y", "z"], [key, code, often])
-                hots = [int(np.frombuffer(z.as_buffer(), bool).sum()) for z in out.column("z")]
-                yield out.append_column("hots", pa.array(hots, pa.int64()))
+            if several.any():
+                yield _tell(key[several], code[several], often[several], grid)
+
+    given = seeds.together(texts, grid, list(enumerate(told))).mapInArrow(give, _PACKED)
+    return seeds.to_buckets(given, grid.buckets).mapInArrow(tell, _TOLD)
+
 
-    given = seeds.together(texts, grid, list(enumerate(told))).mapInArrow(give, "bucket long, code binary, key binary")
-    dealt = given.repartitionById(grid.buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(tell, "region long, x binary, y binary, z binary, hots long")
+def _answers(texts: DataFrame, first: DataFrame, width: int, similarity: float, grid: Grid) -> DataFrame:
+    """As _shared: which of all other shingles of the texts that were told a hot one are hot too."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[np.ndarray, int]]:
+            for block in seeds.blocks(batches, kinds={0: _CODES}):
+                some = [i for i, key in enumerate(block.keys.tolist()) if block.told(0, key)[1].any()]
+                for i, s in zip(some, shingles(_lower([block.bodies[i] for i in some]), width)):
+                    ordered, n = _first(s, np.empty(0, np.uint64), similarity)
+                    yield ordered[n:], int(block.keys[i])
+
+        yield from _packs(rows(), grid)
+
+    def hot_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [np.empty(0, np.uint64)]
+        for batch in batches:
+            known.append(np.unique(seeds.loose(batch.column("y"), np.uint64)[seeds.loose(batch.column("z"), bool)]))
+        code = np.unique(np.concatenate(known))
+        yield seeds.packed(code % np.uint64(grid.buckets), ["bucket", "code", "key"], [code, np.full(len(code), -1)])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in seeds.by_bucket(batches):
+            code, key = seeds.loose(rows.column("code"), np.uint64), seeds.loose(rows.column("key"), np.int64)
+            hit = (key >= 0) & np.isin(code, code[key < 0])
+            if hit.any():
+                yield _tell(key[hit], code[hit], np.ones(int(hit.sum()), bool), grid)
+
+    asked = seeds.together(texts, grid, [(0, first)]).mapInArrow(ask, _PACKED)
+    both = asked.unionAll(first.where("hots > 0").mapInArrow(hot_ones, _PACKED))
+    return seeds.to_buckets(both, grid.buckets).mapInArrow(answer, _TOLD)
 
 
 def _region(key: np.ndarray, grid: Grid) -> np.ndarray:
@@ -165,17 +197,16 @@ def _region(key: np.ndarray, grid: Grid) -> np.ndarray:
 
 def _members(texts: DataFrame, told: list[DataFrame], width: int, similarity: float, grid: Grid) -> DataFrame:
     """key, n (shingles), print and codes (its first shingles that another text has too, packed) of the texts that have some."""
-
-    rounds = len(told)
+    kinds = len(told)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in seeds.blocks(batches, kinds=dict.fromkeys(range(rounds), _CODES)):
+        for block in seeds.blocks(batches, kinds=dict.fromkeys(range(kinds), _CODES)):
             out = []
-            last = [block.told(rounds - 1, key)[0] for key in block.keys.tolist()]
+            last = [block.told(kinds - 1, key)[0] for key in block.keys.tolist()]
             some = [i for i, codes in enumerate(last) if len(codes)]
             for i, s in zip(some, shingles(_lower([block.bodies[i] for i in some]), width)):
                 key = int(block.keys[i])
-                ordered, n = _first(s, _hot(block, key, rounds)[-1], similarity)
+                ordered, n = _first(s, _known(block, key, kinds - 1), similarity)
                 codes = ordered[:n]
                 codes = codes[np.isin(codes, last[i])]
                 if len(codes):
@@ -268,8 +299,7 @@ def _candidates(members: DataFrame, similarity: float, buckets: int, leaders: in
                 yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(np.full(len(pairs), more))], ["a", "b", "more"])
 
     dealt = members.mapInArrow(deal, "bucket long, " + ", ".join(f"{x} binary" for x in (*_MEMBER, "print")))
-    dealt = dealt.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(search, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    return seeds.to_buckets(dealt, buckets).mapInArrow(search, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -308,14 +338,10 @@ def classes(texts: DataFrame, width: int = 5, similarity: float = 0.8, hot: int
     digests = materialise(_digests(texts.select("key", "body"), width))
     reps = materialise(digests.groupBy("hi", "lo").agg(F.min("key").alias("rep")))
     own = texts.select("key", "body").join(reps.select(F.col("rep").alias("key")), "key", "left_semi")
-    told: list[DataFrame] = []
-    hots = 0
-    while True:
+    told = [materialise(_shared(own, [], width, similarity, grid, hot))]
+    if told[0].agg(F.sum("hots")).first()[0]:
+        told.append(materialise(_answers(own, told[0], width, similarity, grid)))
         told.append(materialise(_shared(own, told, width, similarity, grid, hot)))
-        now = told[-1].agg(F.sum("hots")).first()[0] or 0
-        if now == hots:
-            break
-        hots = now
     members = materialise(_members(own, told, width, similarity, grid))
     for done in told:
         delete(done)
