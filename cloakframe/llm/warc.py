@@ -2,8 +2,9 @@
 
 Archives are .warc.gz content, a gzip member for each record, written through Spark's
 own writer, so that any shared store and its commit protocol serve. Reading gives one
-run of index rows for each archive, sorted by URL key and time. The runs are dealt
-to key ranges and merged there by a loser tree into globally ordered captures.
+run of index rows for each archive, sorted by URL key and time, in chunks. The chunks
+are dealt to key ranges and merged there by a loser tree into globally ordered captures;
+they come in order of their first keys, so a merge holds one chunk of each run.
 """
 
 from __future__ import annotations
@@ -11,8 +12,11 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
+from itertools import groupby
+from operator import itemgetter
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -161,96 +165,206 @@ def _order(row: dict) -> tuple:
     return row["urlkey"], row["captured"], row["page_id"] is not None, row["page_id"] or 0
 
 
+#: Index rows of a run that are one chunk of it.
+CHUNK_ROWS = 512
+#: First keys of chunks, those with the smallest hashes, by which key ranges are chosen.
+MOST_KEYS = 20_000
+_KEY = ("urlkey", "captured", "page_id", "archive", "place")
+_CHUNK = "urlkey string, captured string, page_id long, archive string, place long, last binary, rows binary"
+
+
+def _order(urlkey: str, captured: str, page_id: int | None, archive: str, place: int) -> tuple:
+    """What captures are ordered by; no two records have the same."""
+    return urlkey, captured, page_id is not None, page_id or 0, archive, place
+
+
+def _pack(value: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, value.schema) as w:
+        w.write_batch(value)
+    return out.getvalue().to_pybytes()
+
+
+def _unpack(data: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(data) as r:
+        return r.read_next_batch()
+
+
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Index rows of the archives below path, those of an archive together and sorted."""
+    """The sorted run of index rows of each archive below path, in chunks: the first key, the last one and the rows."""
     bounded_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
                 rows = [parse(data) | {"archive": name.as_py(), "place": at, "length": n} for at, n, data in read_members(content.as_py())]
-                yield pa.RecordBatch.from_pylist(sorted(rows, key=_order), _INDEX)
+                rows.sort(key=lambda r: _order(*(r[c] for c in _KEY)))
+                chunks = [pa.RecordBatch.from_pylist(rows[a : a + CHUNK_ROWS], _INDEX) for a in range(0, len(rows), CHUNK_ROWS)]
+                if chunks:
+                    first = pa.concat_batches([c.slice(0, 1) for c in chunks]).select(list(_KEY))
+                    last = [_pack(c.slice(len(c) - 1).select(list(_KEY))) for c in chunks]
+                    yield pa.record_batch([*first.columns, pa.array(last, pa.binary()), pa.array([_pack(c) for c in chunks], pa.binary())], [*_KEY, "last", "rows"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(run, INDEX)
+    return files.select("path", "content").mapInArrow(run, _CHUNK)
 
 
 class LoserTree:
-    """Merges sorted lists of comparable keys; the root holds the winner, each inner node the loser of its match."""
-
-    def __init__(self, runs: list[list]):
-        self.runs, self.at = runs, [0] * len(runs)
-        self.k = len(runs)
-        self.node = [-1] * max(1, self.k)
-        for i in range(self.k):
-            self._play(i)
-
-    def _beats(self, a: int, b: int) -> bool:
-        """Whether the head of run a goes before that of run b; a run that is used up loses."""
-        x, y = self.at[a], self.at[b]
-        if x == len(self.runs[a]):
-            return False
-        if y == len(self.runs[b]):
-            return True
-        return (self.runs[a][x], a) < (self.runs[b][y], b)
-
-    def _play(self, run: int) -> None:
-        place = (run + self.k) // 2
-        while place > 0:
-            other = self.node[place]
-            if other == -1:
-                self.node[place] = run
-                return
-            if self._beats(other, run):
-                self.node[place], run = run, other
-            place //= 2
-        self.node[0] = run
-
-    def __iter__(self) -> Iterator[tuple[int, int]]:
-        """(run, place) of each entry in order."""
-        if not self.k:
+    """Merges sorted sources of comparable keys; the root holds the winner, each inner node the loser of its match.
+
+    head(i) is the key that source i offers, None if it has none now. A source may be
+    refilled or added at any time; update(i) then plays it up to the root again.
+    """
+
+    def __init__(self, head: Callable[[int], tuple | None], sources: int = 0):
+        self.head, self.sources = head, 0
+        self.node: list[int] = [0]
+        self.grow(sources)
+
+    def grow(self, sources: int) -> None:
+        """Make room for so many sources, and play all matches anew if there was none."""
+        size = max(1, len(self.node))
+        while size < sources:
+            size *= 2
+        self.sources = max(self.sources, sources)
+        self.node = [0] * size
+        level = list(range(size))
+        at = size
+        while at > 1:
+            up = []
+            for k in range(0, at, 2):
+                win, lose = self._match(level[k], level[k + 1])
+                self.node[(at + k) // 2] = lose
+                up.append(win)
+            level, at = up, at // 2
+        self.node[0] = level[0]
+
+    def _match(self, a: int, b: int) -> tuple[int, int]:
+        x = self.head(a) if a < self.sources else None
+        y = self.head(b) if b < self.sources else None
+        return (a, b) if y is None or (x is not None and (x, a) <= (y, b)) else (b, a)
+
+    def update(self, source: int) -> None:
+        """Play a source whose head is new: the winner that went on, one that now goes before all, or any other."""
+        if source >= self.sources and source >= len(self.node):
+            self.grow(source + 1)
             return
-        while True:
-            run = self.node[0]
-            if self.at[run] == len(self.runs[run]):
-                return
-            yield run, self.at[run]
-            self.at[run] += 1
-            self._play(run)
+        self.sources = max(self.sources, source + 1)
+        size, best = len(self.node), self.node[0]
+        if source == best:
+            at, win = (source + size) // 2, source
+            while at:
+                win, self.node[at] = self._match(win, self.node[at])
+                at //= 2
+            self.node[0] = win
+        elif self._match(source, best)[0] == source:
+            # It now wins on all its way; who won there before moves down to the place below which it had won.
+            hole, at = 0, source + size
+            while at > 1:
+                below, at = at, at // 2
+                lost = self.node[at]
+                if hole and (lost + size) >> ((lost + size).bit_length() - below.bit_length()) == below:
+                    self.node[hole], hole = lost, at
+                elif not hole and lost == source:
+                    hole = at
+            self.node[hole], self.node[0] = best, source
+        else:
+            self.grow(self.sources)
+
+    @property
+    def winner(self) -> int | None:
+        """The source with the smallest key, None if no source has any."""
+        best = self.node[0]
+        return best if best < self.sources and self.head(best) is not None else None
+
+
+def merge_chunks(chunks: Iterator[pa.RecordBatch], low: tuple | None, high: tuple | None) -> Iterator[pa.RecordBatch]:
+    """The rows from low to below high of chunks that come in order of their first keys, merged.
+
+    A chunk is taken up when the merge reaches its first key, and dropped when it is
+    used up, so at most one chunk of each run is held, two while it goes over to the next.
+    """
+    waiting = iter(chunks)
+    batch: list[pa.RecordBatch | None] = []
+    keys: list[list[tuple]] = []
+    at: list[int] = []
+    free: list[int] = []
+    tree = LoserTree(lambda i: keys[i][at[i]] if batch[i] is not None else None)
+    coming = next(waiting, None)
+    out: list[pa.RecordBatch] = []
+
+    def key_of(rows: pa.RecordBatch) -> list[tuple]:
+        return [_order(*r) for r in zip(*(rows.column(c).to_pylist() for c in _KEY))]
+
+    while True:
+        best = tree.winner
+        if coming is not None and (best is None or keys[best][at[best]] >= key_of(coming.slice(0, 1))[0]):
+            if free:
+                i = free.pop()
+                batch[i], keys[i], at[i] = coming, key_of(coming), 0
+            else:
+                i = len(batch)
+                batch.append(coming), keys.append(key_of(coming)), at.append(0)
+            at[i] = 0 if low is None else bisect_left(keys[i], low)
+            if at[i] == len(keys[i]):
+                batch[i] = None
+                free.append(i)
+            else:
+                tree.update(i)
+            coming = next(waiting, None)
+            continue
+        if best is None or (high is not None and keys[best][at[best]] >= high):
+            break
+        out.append(batch[best].slice(at[best], 1))
+        at[best] += 1
+        if at[best] == len(keys[best]):
+            batch[best] = None
+            free.append(best)
+        tree.update(best)
+        if len(out) == 2048:
+            yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+            out = []
+    if out:
+        yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
-    """runs as one sequence ordered by URL key, time and page, across partitions too.
+    """Sorted runs (as read_runs gives them) as one sequence ordered by URL key, time and page, across partitions too.
 
     Key ranges end anywhere between two captures, so a URL of very many captures is
-    dealt to several tasks.
+    dealt to several tasks. A chunk goes to each range that it reaches into.
     """
     spark = runs.sparkSession
+    sample = runs.select(*_KEY).orderBy(F.xxhash64("archive", "place")).limit(MOST_KEYS).collect()
+    firsts = sorted(_order(*r) for r in sample)
+    n = parts(spark)
+    bounds = sorted({firsts[i * len(firsts) // n] for i in range(1, n)}) if firsts else []
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = [_order(*r) for r in zip(*(batch.column(c).to_pylist() for c in _KEY))]
+            last = [_order(*(c[0].as_py() for c in _unpack(x.as_py()).columns)) for x in batch.column("last")]
+            spans = [(bisect_right(bounds, a), bisect_right(bounds, z)) for a, z in zip(first, last)]
+            rows = pa.array([i for i, (a, z) in enumerate(spans) for _ in range(a, z + 1)], pa.int64())
+            to = pa.array([k for a, z in spans for k in range(a, z + 1)], pa.int32())
+            yield pa.record_batch([to, *(batch.column(c).take(rows) for c in (*_KEY, "rows"))], ["range", *_KEY, "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = list(batches)
-        if not kept:
-            return
-        t = pa.Table.from_batches(kept).combine_chunks()
-        pages = t.column("page_id").to_pylist()
-        keys = [(u, c, p is not None, p or 0) for u, c, p in zip(t.column("urlkey").to_pylist(), t.column("captured").to_pylist(), pages)]
-        by_run: dict[str, list] = {}
-        for i, archive in enumerate(t.column("archive").to_pylist()):
-            by_run.setdefault(archive, []).append((keys[i], i))
-        sorted_runs = [by_run[name] for name in sorted(by_run)]
-        for one in sorted_runs:
-            one.sort()  # as it was, unless blocks of a shuffled run came in another order
-        order = [sorted_runs[r][at][1] for r, at in LoserTree(sorted_runs)]
-        for at in range(0, len(order), 10_000):
-            yield from t.take(pa.array(order[at : at + 10_000])).combine_chunks().to_batches()
-
-    return runs.repartitionByRange(parts(spark), "urlkey", "captured", "page_id").mapInArrow(run, INDEX)
+        chunks = ((k, _unpack(rows.as_py())) for batch in batches for k, rows in zip(batch.column("range").to_pylist(), batch.column("rows")))
+        for k, own in groupby(chunks, key=itemgetter(0)):
+            yield from merge_chunks((rows for _, rows in own), bounds[k - 1] if k else None, bounds[k] if k < len(bounds) else None)
+
+    dealt = runs.mapInArrow(deal, "range int, urlkey string, captured string, page_id long, archive string, place long, rows binary")
+    order = ["range", "urlkey", "captured", F.col("page_id").asc_nulls_first(), "archive", "place"]
+    return dealt.repartitionById(len(bounds) + 1, "range").sortWithinPartitions(*order).select("range", "rows").mapInArrow(run, INDEX)
 
 
 def capture_histories(pages: DataFrame, path: str | None = None, captured: Column | None = None) -> DataFrame:
     """Write pages as archives (below path, by default a new shared folder), read them back and merge their index.
 
-    One row for each record; rows without any give none, extra columns are ignored.
+    One row for each record, ordered by URL key and time over all partitions. No rows
+    give none, extra columns are ignored. A very long page is one record, which its
+    writer and reader hold whole; a url or page_id may repeat or be null.
     """
     spark = pages.sparkSession
     path = path or shared_dir(spark)

@@ -170,11 +170,53 @@ def test_warc_round_trip(spark):
     assert warc.capture_histories(df.limit(0)).collect() == []
 
 
-def test_loser_tree_merges():
-    rng = random.Random(7)
-    for k in range(7):
-        runs = [sorted(rng.choices(range(20), k=rng.randint(0, 9))) for _ in range(k)]
-        assert [runs[r][i] for r, i in warc.LoserTree(runs)] == sorted(x for r in runs for x in r)
+def test_loser_tree_merges_sources_that_come_and_go():
+    rng = random.Random(5)
+    for k in (0, 1, 2, 3, 7, 16, 23):
+        waiting = sorted((sorted((rng.randint(0, 9999), i, j) for j in range(rng.randint(1, 6))) for i in range(k)), key=lambda r: r[0])
+        want = sorted(x for r in waiting for x in r)
+        held, got = [], []
+        tree = warc.LoserTree(lambda i: held[i][0] if held[i] else None)
+        while True:
+            best = tree.winner
+            if waiting and (best is None or held[best][0] >= waiting[0][0]):
+                spent = [i for i, h in enumerate(held) if not h]
+                i = spent[0] if spent else len(held)
+                if not spent:
+                    held.append([])
+                held[i] = waiting.pop(0)
+                tree.update(i)
+            elif best is None:
+                break
+            else:
+                got.append(held[best].pop(0))
+                tree.update(best)
+        assert got == want
+
+
+def test_index_merge_is_ordered_over_partitions_and_holds_few_chunks(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["http://b.org/x", "http://a.org/y?q=1", f"http://c.org/{rng.randint(0, 40)}", None]), f"<p>{i}") for i in range(700)]
+    df = spark.createDataFrame([*rows, (None, "http://b.org/x", "n"), (5, "http://b.org/x", "again")], "page_id long, url string, html string").repartition(6)
+    path = warc.shared_dir(spark)
+    warc.write_archives(df, path, captured=F.lit(1_700_000_000) + F.coalesce("page_id", F.lit(0)) % 7)
+    runs = warc.read_runs(spark, path).toArrow().to_batches()
+    index = [r for b in runs for x in b.column("rows") for r in warc._unpack(x.as_py()).to_pylist()]
+    order = lambda r: warc._order(*(r[c] for c in warc._KEY))
+    merged = warc.merge_runs(warc.read_runs(spark, path))
+    got = [r.asDict() for r in merged.collect()]
+    assert got == sorted(index, key=order) and len(got) == 702
+    assert merged.rdd.getNumPartitions() > 1
+    # In chunks of three rows, by two key ranges.
+    keys = sorted(map(order, index))
+    by_run = defaultdict(list)
+    for r in sorted(index, key=order):
+        by_run[r["archive"]].append(r)
+    chunks = sorted((one[a : a + 3] for one in by_run.values() for a in range(0, len(one), 3)), key=lambda c: order(c[0]))
+    batches = [warc.pa.RecordBatch.from_pylist(c, warc._INDEX) for c in chunks]
+    for low, high in ((None, keys[300]), (keys[300], None), (None, None), (keys[10], keys[11])):
+        some = [r for b in warc.merge_chunks(iter(batches), low, high) for r in b.to_pylist()]
+        assert list(map(order, some)) == [k for k in keys if (low is None or k >= low) and (high is None or k < high)]
 
 
 def test_every_operator_is_registered():
