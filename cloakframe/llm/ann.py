@@ -5,7 +5,8 @@ Nearness is turned into an inner product: with y = (x, -|x|^2 / 2) and the query
 residual is coded two dimensions at a time, 16 codewords each; codewords are chosen
 and fitted with the part of the error parallel to the vector weighing more than the
 part across it, as it is the parallel part that changes large products. A query scans
-the codes of its lists with small tables and reranks the best by their exact distance.
+the codes of its lists with small tables; the best of all its lists make one short list,
+which is measured exactly.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from .common import bounded_batches, materialise
 #: Distinct vectors that the centres and codewords are fitted on, those with the smallest hashes.
 FIT_ROWS = 16_384
 #: Distinct vectors of a list in one block, and queries in one block, on average.
-BLOCK_ROWS, BLOCK_QUERIES = 8_192, 512
+BLOCK_ROWS, BLOCK_QUERIES = 65_536, 512
+#: Vectors of the sample from which a query has its least score by code.
+FLOOR_ROWS = 4_096
 #: How much the parallel part of the error weighs against the part across.
 ETA = 4.0
 CODEWORDS = 16
@@ -144,17 +147,29 @@ def _list_order(model: Model, q: np.ndarray) -> np.ndarray:
     return (model.centres * model.centres).sum(1) - 2 * augmented(q) @ model.centres.T
 
 
-def scan(model: Model, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Approximate products (queries, rows) from 4-bit codes, by a table of 16 bytes for each query and pair."""
-    qa = _padded(np.c_[q, np.ones(len(q))])
-    tables = np.einsum("qjd,jkd->qjk", qa.reshape(len(q), model.pairs, 2), model.codewords)
+def scan(model: Model, q: np.ndarray, codes: np.ndarray, lists: np.ndarray) -> np.ndarray:
+    """Approximate products (queries, rows) with augmented vectors, from their lists and 4-bit codes, by a table of 16 bytes for each query and pair."""
+    qa = np.c_[q, np.ones(len(q))]
+    padded = _padded(qa)
+    tables = np.einsum("qjd,jkd->qjk", padded.reshape(len(q), model.pairs, 2), model.codewords)
     low = tables.min(2, keepdims=True)
     step = np.maximum((tables.max(2, keepdims=True) - low).max(1, keepdims=True) / 255, 1e-30)
     small = np.rint((tables - low) / step).astype(np.uint8)
-    total = np.zeros((len(q), len(codes)), np.uint16)
+    total = np.zeros((len(q), len(codes)), np.uint16 if model.pairs <= 257 else np.uint32)
     for j in range(model.pairs):
         total += small[:, j][:, codes[:, j]]
-    return total
+    return total * step[:, 0] + low.sum(1) + (qa @ model.centres.T)[:, lists]
+
+
+def packed(codes: np.ndarray) -> list[bytes]:
+    """Two codes to a byte."""
+    codes = codes if codes.shape[1] % 2 == 0 else np.c_[codes, np.zeros(len(codes), np.uint8)]
+    return [row.tobytes() for row in codes[:, ::2] | codes[:, 1::2] << 4]
+
+
+def unpacked(rows: list[bytes], pairs: int) -> np.ndarray:
+    both = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+    return np.stack([both & 15, both >> 4], 2).reshape(len(rows), -1)[:, :pairs]
 
 
 def _clean(value: list | None) -> bool:
@@ -192,43 +207,56 @@ def distinct_vectors(vectors: DataFrame, k: int, id_col: str, vector_col: str) -
     return materialise(merged.select(F.xxhash64("vector").alias("vid"), "vector", "ids"))
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = 200, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _best(scores: np.ndarray, most: int) -> np.ndarray:
+    """Places of the largest scores, most of them if there are so many."""
+    return np.argpartition(-scores, most - 1)[:most] if len(scores) > most else np.arange(len(scores))
+
+
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = 200, recall: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of the k nearest found for each row whose id is divisible by every.
 
     Vectors that are null, empty, zero, or hold a null or a non-finite component take
-    no part, nor do null ids and vectors of another length than the most common one.
-    Equal distances go to the smaller id; a repeated id with equal vectors counts once.
-    Nothing usable gives no rows. Other columns are ignored.
-
-    Every row is indexed and a list's whole codes are scanned; rerank is how many of a
-    block are measured exactly, copies of a vector counting once. How many lists a query
-    visits follows from the sample, so that they hold the share recall of its neighbours;
-    vectors without clusters need many.
+    no part, nor do null ids. A vector shorter than the longest has zeros in the other
+    places. Equal distances go to the smaller id; a repeated id with equal vectors counts
+    once. Nothing usable gives no rows. Other columns are ignored.
+
+    Every row is indexed. A query scans the whole codes of the lists it visits; the
+    rerank best of all its lists by code, and only those, are measured exactly, copies
+    of a vector counting once. How many lists it visits follows from the sample, so
+    that they hold the share recall of its neighbours; vectors without clusters need many.
     """
     spark = vectors.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
     distinct = distinct_vectors(vectors, k, id_col, vector_col)
-    size = distinct.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "d").first()
-    if size is None:
+    size = distinct.agg(F.max(F.size("vector")).alias("d"), F.count("*").alias("c")).first()
+    if not size.c:
         return spark.createDataFrame([], out)
-    distinct = distinct.where(F.size("vector") == size.d)
+    whole = lambda v: F.concat(F.col(v), F.array_repeat(F.lit(0.0), F.lit(size.d) - F.size(v))).alias(v)
+    distinct = distinct.select("vid", whole("vector"), "ids")
     sample = np.array([r.vector for r in distinct.orderBy("vid", "vector").limit(FIT_ROWS).select("vector").collect()])
-    n_lists = int(min(1024, max(1, round(np.sqrt(size.c) / 2))))
-    model = fit(sample, n_lists)
+    model = fit(sample, int(min(1024, max(1, round(np.sqrt(size.c) / 2)))))
     probes = needed_probes(model, sample, k, recall)
+    # What a query's best by code among the sample have, its best of all rows have at least.
+    some = sample[:FLOOR_ROWS]
+    floor_lists = _nearest(augmented(some), model.centres)
+    floor_codes = encode(model, augmented(some), floor_lists)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            y = augmented(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
-            lists = _nearest(y, model.centres)
-            codes = encode(model, y, lists)
-            packed = codes if codes.shape[1] % 2 == 0 else np.c_[codes, np.zeros(len(codes), np.uint8)]
-            packed = packed[:, ::2] | packed[:, 1::2] << 4
-            yield pa.record_batch([*batch.columns, pa.array(lists), pa.array([row.tobytes() for row in packed], pa.binary())], ["vid", "vector", "ids", "list", "codes"])
+            if batch.num_rows:
+                y = augmented(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+                lists = _nearest(y, model.centres)
+                yield pa.record_batch([batch.column(0), pa.array(lists), pa.array(packed(encode(model, y, lists)), pa.binary())], ["vid", "list", "codes"])
 
-    index = materialise(distinct.mapInArrow(listed, "vid long, vector array<double>, ids array<long>, list long, codes binary"))
+    codes = materialise(distinct.select("vid", "vector").mapInArrow(listed, "vid long, list long, codes binary"))
+    usable = vectors.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<double>").alias("q")).where(F.col("query_id") % every == 0)
+    sound = F.size("q") > 0
+    for test in (
+        F.forall("q", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))),
+        F.exists("q", lambda x: x != 0),
+    ):
+        sound = sound & test
+    queries = materialise(usable.where(sound).select("query_id", whole("q")).distinct())
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,44 +264,41 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = 200
                 continue
             q = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             best = np.argsort(_list_order(model, q), 1, kind="stable")[:, :probes]
-            rows = np.repeat(np.arange(batch.num_rows), probes)
-            yield pa.record_batch([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(best.ravel())], ["query_id", "q", "list"])
-
-    usable = vectors.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<double>").alias("q")).where(F.col("query_id") % every == 0)
-    sound = F.size("q") == size.d
-    for test in (
-        F.forall("q", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))),
-        F.exists("q", lambda x: x != 0),
-    ):
-        sound = sound & test
-    queries = materialise(usable.where(sound).distinct().mapInArrow(probed, "query_id long, q array<double>, list long"))
-    counts = index.groupBy("list").agg(F.count("*").alias("rows")).join(queries.groupBy("list").agg(F.count("*").alias("asked")), "list")
-    blocks = materialise(counts.select("list", F.ceil(F.col("rows") / BLOCK_ROWS).alias("v_blocks"), F.ceil(F.col("asked") / BLOCK_QUERIES).alias("q_blocks")))
+            floor = np.full(len(q), -np.inf)
+            for i in range(len(q)):
+                own = np.flatnonzero(np.isin(floor_lists, best[i]))
+                if len(own) > rerank:
+                    near = scan(model, q[i : i + 1], floor_codes[own], floor_lists[own])[0]
+                    floor[i] = -np.partition(-near, rerank)[rerank]
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), best.shape[1]))
+            yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(floor).take(rows), pa.array(best.ravel())], ["query_id", "q", "floor", "list"])
+
+    visits = queries.mapInArrow(probed, "query_id long, q array<double>, floor double, list long")
+    counts = codes.groupBy("list").agg(F.count("*").alias("rows"))
+    blocks = counts.select("list", F.ceil(F.col("rows") / BLOCK_ROWS).alias("v_blocks"), F.ceil(F.lit(max(1, queries.count()) / BLOCK_QUERIES)).alias("q_blocks"))
+    blocks = F.broadcast(materialise(blocks))  # a row for each of at most 1,024 lists
     across = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    small = F.broadcast(blocks)  # a row for each of at most 1,024 lists
-    left = queries.join(small, "list").select(
-        "list", across("v_blocks").alias("v"), F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).alias("b"), "query_id", "q"
-    )
-    right = index.join(small, "list").select("list", F.pmod(F.col("vid"), F.col("v_blocks")).alias("v"), across("q_blocks").alias("b"), "vector", "ids", "codes")
+    left = visits.join(blocks, "list").select("list", across("v_blocks").alias("v"), F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).alias("b"), "query_id", "q", "floor")
+    right = codes.join(blocks, "list").select("list", F.pmod(F.col("vid"), F.col("v_blocks")).alias("v"), across("q_blocks").alias("b"), "vid", "codes")
 
     def search(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         if len(asked) and len(rows):
-            x, q = np.stack(rows["vector"].to_list()), np.stack(asked["q"].to_list())
-            packed = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
-            codes = np.stack([packed & 15, packed >> 4], 2).reshape(len(rows), -1)[:, : model.pairs]
-            ids = rows["ids"].to_list()
+            q, own = np.stack(asked["q"].to_list()), unpacked(rows["codes"].to_list(), model.pairs)
+            vid, lists = rows["vid"].to_numpy(), rows["list"].to_numpy()
             for at in range(0, len(q), 64):
-                scores = scan(model, q[at : at + 64], codes)
-                for i, approximate in enumerate(scores, at):
-                    best = np.argpartition(-approximate.astype(np.int64), min(rerank, len(x)) - 1)[:rerank] if len(x) > rerank else np.arange(len(x))
-                    away = x[best] - q[i]
-                    exact = np.sqrt(np.cumsum(away * away, 1)[:, -1])
-                    own = int(asked["query_id"].iat[i])
-                    near = sorted((d, v) for d, r in zip(exact.tolist(), best.tolist()) for v in ids[r] if v != own)[:k]
-                    found += [(own, v, d) for d, v in near]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    hits = left.groupBy("list", "v", "b").cogroup(right.groupBy("list", "v", "b")).applyInPandas(search, "query_id long, vec_id long, score double")
-    best = hits.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("near"))
+                for i, near in enumerate(scan(model, q[at : at + 64], own, lists), at):
+                    best = _best(near, rerank)
+                    best = best[near[best] >= asked["floor"].iat[i]]
+                    found.append((np.full(len(best), asked["query_id"].iat[i]), vid[best], near[best]))
+        return pd.DataFrame(dict(zip(("query_id", "vid", "near"), map(np.concatenate, zip(*found)))))
+
+    hits = left.groupBy("list", "v", "b").cogroup(right.groupBy("list", "v", "b")).applyInPandas(search, "query_id long, vid long, near double")
+    # Copies of the query itself are no neighbours, but take a place.
+    short = hits.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("near", "vid")), asc=False), 1, rerank).alias("near"))
+    short = materialise(short.select("query_id", F.explode("near.vid").alias("vid")))
+    pairs = short.join(distinct, "vid").join(queries, "query_id")
+    square = F.aggregate(F.zip_with("vector", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda sum_, x: sum_ + x)
+    each = pairs.select("query_id", F.explode("ids").alias("vec_id"), F.sqrt(square).alias("score")).where("vec_id <> query_id")
+    best = each.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("near"))
     return best.select("query_id", F.posexplode("near").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")

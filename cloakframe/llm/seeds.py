@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, parts
+from .common import bounded_batches, give_back, materialise, parts
 
 #: An odd base of the rolling hash and its inverse modulo 2 ** 64.
 BASE = 0x9E3779B97F4A7C15
@@ -123,9 +123,12 @@ class Words:
     """Texts of a block as rows of words, what white space does not hold; raw has them parted by one blank."""
 
     def __init__(self, bodies: list[bytes]):
-        self.words = [body.split() for body in bodies]
-        self.raw = np.frombuffer(b"\n".join(map(b" ".join, self.words)), np.uint8)
-        self.bounds = np.cumsum([0, *map(len, self.words)])
+        words = [body.split() for body in bodies]
+        self.bounds = np.cumsum([0, *map(len, words)])
+        lines = list(map(b" ".join, words))
+        del words
+        self.raw = np.frombuffer(b"\n".join(lines), np.uint8)
+        del lines
         self.size = int(self.bounds[-1])
         gap = (self.raw == 32) | (self.raw == 10)
         self.begin = np.flatnonzero(~gap & np.r_[True, gap[:-1]]) if self.size else np.empty(0, np.int64)
@@ -140,6 +143,10 @@ class Words:
             value = _BYTE[self.raw[np.repeat(self.begin[a:z], length) + within]] * weight[within & 4095]
             self.hash[a:z] = mix(np.add.reduceat(value, start) + length.astype(np.uint64))
 
+    def words(self, text: int) -> list[bytes]:
+        a, z = self.bounds[text], self.bounds[text + 1]
+        return self.raw[self.begin[a] : self.end[z - 1]].tobytes().split(b" ") if z > a else []
+
     def hashes(self, at: np.ndarray | slice) -> np.ndarray:
         return self.hash[at]
 
@@ -328,7 +335,7 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
                 held.setdefault(int(bucket[a]), []).append(batch.slice(a, z - a))
     for bucket in sorted(held):
         yield pa.Table.from_batches(held.pop(bucket))
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def to_buckets(rows: DataFrame, buckets: int) -> DataFrame:
@@ -387,6 +394,20 @@ class Block:
     told: Callable[[int, int], tuple[np.ndarray, np.ndarray]]
 
 
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """key and body of batches, some BLOCK_BYTES at a time."""
+    for batch in batches:
+        keys, column = batch.column("key"), batch.column("body")
+        at, size, bodies = 0, 0, []
+        for i, x in enumerate(column, 1):
+            bodies.append(x.as_py() or b"")
+            size += len(bodies[-1])
+            if size >= BLOCK_BYTES or i == len(column):
+                yield keys.slice(at, i - at), bodies
+                at, size, bodies = i, 0, []
+    give_back()
+
+
 def blocks(batches: Iterator[pa.RecordBatch], carried: list[str] = [], kinds: dict[int, tuple[type, type, type]] = KINDS) -> Iterator[Block]:
     """The blocks of a task one by one, each with what was told to it."""
     told: dict[int, list[list[np.ndarray]]] = {}
@@ -434,6 +455,7 @@ def blocks(batches: Iterator[pa.RecordBatch], carried: list[str] = [], kinds: di
                 told.setdefault(int(kind[a]), []).append([loose(rows.column(c), t) for c, t in zip("xyz", kinds[int(kind[a])])])
     if keys:
         yield done()
+    give_back()
 
 
 def _anchors(docs: DataFrame, texts: type[Texts], shape: Shape, grid: Grid, across: bool) -> DataFrame:

@@ -81,10 +81,10 @@ def _digests(texts: DataFrame, width: int) -> DataFrame:
     """key and a 128-bit hash (hi, lo) of the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingles(_lower([x.as_py() or b"" for x in batch.column("body")]), width)
+        for keys, bodies in seeds.portions(batches):
+            sets = shingles(_lower(bodies), width)
             found = np.frombuffer(b"".join(xxhash.xxh128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-            yield pa.record_batch([batch.column("key"), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["key", "hi", "lo"])
+            yield pa.record_batch([keys, pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["key", "hi", "lo"])
 
     return texts.mapInArrow(run, "key long, hi long, lo long")
 
@@ -306,9 +306,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     """The pairs (a, b) whose whole sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingles(_lower([x.as_py() or b"" for x in batch.column("body")]), width)
-            yield pa.record_batch([batch.column("key"), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "s"])
+        for keys, bodies in seeds.portions(batches):
+            sets = shingles(_lower(bodies), width)
+            yield pa.record_batch([keys, pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "s"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -83,7 +83,8 @@ def repeated_passages(docs: DataFrame, window: int = 35, gram: int = 16, id_col:
     def finish(texts: seeds.Words, gone: np.ndarray, bodies: list[bytes], carry: list[pa.Array]) -> pa.RecordBatch:
         spans, kept = [], []
         hit = np.r_[0, np.cumsum(gone)][texts.bounds]
-        for i, words in enumerate(texts.words):
+        for i in range(len(bodies)):
+            words = texts.words(i)
             mine = gone[texts.bounds[i] : texts.bounds[i + 1]]
             spans.append([{"start": a, "stop": z} for a, z in seeds.runs(mine).tolist()] if hit[i] != hit[i + 1] else [])
             kept.append(b" ".join(w for w, g in zip(words, mine.tolist()) if not g).decode())
