@@ -1,13 +1,13 @@
-"""HTML main text by nearest-URL page differencing, with structure where a page has it.
+"""HTML main text by nearest-URL page differencing; markup vetoes, it doesn't replace it.
 
-Each page becomes text lines (blocks) that know whether markup places them in the
-article, in furniture (menus, adverts, forms ...) or neither. Pages of a host stand in
-the order of their URL paths; lines that a page shares with its neighbours, aligned
-by a longest common subsequence, are template and go, furniture goes too.
+Each page becomes text lines (blocks). Lines in furniture elements (menus, forms,
+adverts ...) go first. Pages of a host stand in the order of their URL paths; on each
+side a page meets the nearest one that isn't its copy, their lines are aligned by a
+longest common subsequence, and what they share is template and goes.
 
-Where markup names the article, its lines stay even if a neighbour has them: copies of
-a page and quoted passages share whole articles, and the page's text must be whole.
-A neighbour that shares most of a page is a copy and says nothing about the template.
+Lines within an article element stay even if a neighbour has them: quoted passages and
+near copies share article text, and the page's text must be whole. A neighbour that
+shares most of a page is a copy and says nothing about the template.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blobs, bounded_batches, materialise, parts
+from .simhash import numbered
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -40,6 +41,10 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer fo
 FURNITURE_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead banner footer contentinfo sidebar side complementary aside cookie cookies consent gdpr notice alert popup modal overlay ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus respond reply replies share sharing social related recommended subscribe subscription newsletter signup login search toolbar pagination pager widget skip hidden".split()
 )
+#: Words that may stand beside one of those in a hyphenated name; with any other word ("market-share") it names something else.
+BESIDE_WORDS = frozenset(
+    "main top bottom left right site page global primary secondary inner outer wrapper wrap container box block area section group list item items link links button buttons icon icons bar panel pane slot unit form field text title body content row column col widget widgets post posts article articles entry entries story stories js is has no the hide show open desktop mobile sticky fixed".split()
+)
 ARTICLE_WORDS = frozenset("articlebody article main post entry story content".split())
 #: Share of a page's characters beyond which a neighbour counts as its copy.
 COPY = 0.8
@@ -66,7 +71,7 @@ def _kind(name: str, attributes: str, in_article: bool) -> int:
             if key in ("class", "id", "role", "itemprop"):
                 for token in value.split():
                     words = set(_WORD.findall(token))
-                    if words & FURNITURE_WORDS and not (in_article and words & {"header"}):
+                    if words & FURNITURE_WORDS and words <= FURNITURE_WORDS | BESIDE_WORDS and not (in_article and "header" in words):
                         return GONE
                     if token in ARTICLE_WORDS or (len(words) > 1 and words & ARTICLE_WORDS and words & {"content", "body", "text", "main"}):
                         kind = ARTICLE
@@ -154,47 +159,38 @@ def lines(page: str) -> list[Line]:
     return out
 
 
-def article_text(found: list[Line]) -> str | None:
-    """The text of the article element with most of it; none if no element of a page is one."""
-    sizes: Counter[int] = Counter()
-    for x in found:
-        if x.place == ARTICLE:
-            sizes[x.article] += len(x.text)
-    if not sizes:
-        return None
-    best = min(sizes, key=lambda k: (-sizes[k], k))
-    return " ".join(x.text for x in found if x.place == ARTICLE and x.article == best)
-
-
 def shared(a: list[int], b: list[int]) -> list[int]:
-    """Places in a of a longest common subsequence of a and b; the k-th equal line of one meets the k-th of the other."""
-    seen: Counter[int] = Counter()
-    where: dict[tuple[int, int], int] = {}
-    for j, x in enumerate(b):
-        where[x, seen[x]] = j
-        seen[x] += 1
-    seen.clear()
-    tails: list[int] = []
+    """Places in a of a longest common subsequence of a and b.
+
+    Equal lines at both ends belong to one; between them each place of a is matched with
+    all places of the same line in b, from the last to the first, and a longest rising
+    row of matches is kept (Hunt and Szymanski).
+    """
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    where: dict[int, list[int]] = {}
+    for j in range(len(b) - tail - 1, head - 1, -1):
+        where.setdefault(b[j], []).append(j)
     ends: list[int] = []
-    before: dict[int, int] = {}
-    for i, x in enumerate(a):
-        j = where.get((x, seen[x]))
-        seen[x] += 1
-        if j is None:
-            continue
-        k = bisect_left(tails, j)
-        if k == len(tails):
-            tails.append(j)
-            ends.append(i)
-        else:
-            tails[k], ends[k] = j, i
-        before[i] = ends[k - 1] if k else -1
-    out = []
-    i = ends[-1] if ends else -1
-    while i >= 0:
-        out.append(i)
-        i = before[i]
-    return out[::-1]
+    last: list[tuple] = []
+    for i in range(head, len(a) - tail):
+        for j in where.get(a[i], ()):
+            k = bisect_left(ends, j)
+            step = (i, last[k - 1] if k else None)
+            if k == len(ends):
+                ends.append(j), last.append(step)
+            elif ends[k] != j:
+                ends[k], last[k] = j, step
+    middle = []
+    step = last[-1] if last else None
+    while step is not None:
+        middle.append(step[0])
+        step = step[1]
+    return [*range(head), *middle[::-1], *range(len(a) - tail, len(a))]
 
 
 def template_lines(own: list[int], sizes: list[int], other: list[int]) -> list[int] | None:
@@ -204,74 +200,71 @@ def template_lines(own: list[int], sizes: list[int], other: list[int]) -> list[i
     return None if sum(sizes[i] for i in common) > most else common
 
 
+def _kept_lines(body: bytes) -> list[Line]:
+    return [x for x in lines(body.decode("utf-8", "replace")) if x.place != GONE]
+
+
 def _parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, text (where markup names an article), and of the other pages open lines; hashes of all lines."""
+    """row_no and url of pages (row_no, url, html), hashes and sizes of their lines, and which lines are outside articles."""
     bounded_batches(pages.sparkSession)
-    long_list = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, opens, hashes = [], [], []
-            for body in blobs(batch.column(2)):
-                found = lines(body.decode("utf-8", "replace"))
-                text = article_text(found)
-                rest = [x for x in found if x.place != GONE]
-                texts.append(text)
-                opens.append(None if text is not None else [x.text for x in rest])
-                hashes.append([xxhash.xxh64_intdigest(x.text) - (1 << 63) for x in rest])
+            found = [_kept_lines(body) for body in blobs(batch.column(2))]
+            hashes = [[xxhash.xxh64_intdigest(x.text) - (1 << 63) for x in page] for page in found]
+            sizes = [[len(x.text) for x in page] for page in found]
+            outside = [[i for i, x in enumerate(page) if x.place != ARTICLE] for page in found]
+            numbers = pa.list_(pa.int32())
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(opens, pa.list_(pa.string())), pa.array(hashes, long_list)],
-                ["page_id", "url", "text", "open", "hashes"],
+                [batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, numbers), pa.array(outside, numbers)], ["row_no", "url", "hashes", "sizes", "outside"]
             )
 
-    plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("binary").alias("html"))
-    return plain.mapInArrow(run, "page_id long, url string, text string, open array<string>, hashes array<long>")
+    return pages.select("row_no", "url", "html").mapInArrow(run, "row_no long, url string, hashes array<long>, sizes array<int>, outside array<int>")
 
 
-def _differenced(pages: DataFrame) -> DataFrame:
-    """page_id, url and text of the open pages among pages (as _parsed gives them)."""
-    spark = pages.sparkSession
+def template_places(parsed: DataFrame) -> DataFrame:
+    """row_no, compared (neighbours it was aligned with) and gone (places of its lines outside articles that are template) of every page."""
+    spark = parsed.sparkSession
     url = F.coalesce("url", F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
-    placed = pages.withColumns({"host": host, "path": path})
-    order = ["host", "path", "url", "page_id"]
-    placed = placed.select(*order, "open", "hashes", F.xxhash64("hashes", F.size("hashes")).alias("key"))
-    rows = _counted(placed.repartitionByRange(parts(spark), *order).sortWithinPartitions(*order, "key"), F.lit(1), "place")
+    order = ["host", "path", "url", "row_no"]
+    placed = parsed.withColumns({"host": host, "path": path}).select(*order, "hashes", "sizes", F.xxhash64("hashes", F.size("hashes")).alias("key"))
+    rows = _counted(placed.repartitionByRange(parts(spark), *order).sortWithinPartitions(*order), F.lit(1), "place")
     before = rows.select((F.col("place") + 1).alias("place"), F.col("host").alias("host_b"), F.col("key").alias("key_b"))
     starts = rows.select("place", "host", "key").join(before, "place", "left").select("place", (~F.coalesce((F.col("host") == F.col("host_b")) & (F.col("key") == F.col("key_b")), F.lit(False))).cast("long").alias("starts"))
     rows = rows.join(starts, "place").repartitionByRange(parts(spark), "place").sortWithinPartitions("place")
     rows = _counted(rows, F.col("starts"), "entry")
-    entries = rows.where("starts = 1").select("entry", "host", F.col("hashes").alias("other"))
-    pages = rows.where("open is not null").withColumn("sizes", F.transform("open", F.length)).select("place", "entry", "host", "hashes", "sizes")
-    todo = materialise(pages.select("place", "entry", "host", F.explode(F.array(F.lit(-1), F.lit(1))).alias("side")))
+    # Pages with the same lines are one entry, and are compared once.
+    entries = rows.where("starts = 1").select("entry", "host", "hashes", "sizes")
+    todo = materialise(entries.select("entry", "host", F.explode(F.array(F.lit(-1), F.lit(1))).alias("side")))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone = [template_lines(r["hashes"], r["sizes"], r["other"]) for r in batch.select(["hashes", "sizes", "other"]).to_pylist()]
-            yield pa.record_batch([*batch.columns[:3], pa.array(gone, pa.list_(pa.int32()))], ["place", "side", "k", "gone"])
+            yield pa.record_batch([*batch.columns[:3], pa.array(gone, pa.list_(pa.int32()))], ["entry", "side", "k", "gone"])
 
-    found = []
+    found = None
     done, upto = 0, 1
     while todo.limit(1).count():
         steps = todo.withColumn("k", F.explode(F.sequence(F.lit(done + 1), F.lit(upto))))
-        near = steps.select("place", "side", "k", "host", (F.col("entry") + F.col("side") * F.col("k")).alias("entry")).join(entries, ["entry", "host"])
-        pairs = near.join(pages.select("place", "hashes", "sizes"), "place").select("place", "side", "k", "hashes", "sizes", "other")
-        tried = materialise(pairs.mapInArrow(compared, "place long, side int, k int, gone array<int>"))
-        best = tried.groupBy("place", "side").agg(F.min_by("gone", F.when(F.col("gone").isNotNull(), F.col("k"))).alias("gone"), F.max("k").alias("far"))
+        near = entries.select(F.col("entry").alias("near"), F.col("host").alias("host_n"), F.col("hashes").alias("other"))
+        pairs = steps.join(near, (F.col("entry") + F.col("side") * F.col("k") == F.col("near")) & (F.col("host") == F.col("host_n")))
+        pairs = pairs.join(entries.select("entry", "hashes", "sizes"), "entry").select("entry", "side", "k", "hashes", "sizes", "other")
+        tried = pairs.mapInArrow(compared, "entry long, side int, k int, gone array<int>")
+        best = tried.groupBy("entry", "side").agg(F.min_by("gone", F.when(F.col("gone").isNotNull(), F.col("k"))).alias("gone"), F.max("k").alias("far"))
         best = materialise(best)
-        found.append(best.where("gone is not null").select("place", "gone"))
-        todo = materialise(todo.join(best.where(f"gone is null and far = {upto}").select("place", "side"), ["place", "side"], "left_semi"))
+        some = best.where("gone is not null").select("entry", "gone")
+        found = some if found is None else found.unionAll(some)
+        todo = materialise(todo.join(best.where(f"gone is null and far = {upto}").select("entry", "side"), ["entry", "side"], "left_semi"))
         done, upto = upto, 4 * upto
-    whole = rows.where("open is not null").select("place", "page_id", "url", "open")
-    for some in found[1:]:
-        found[0] = found[0].unionAll(some)
-    if found:
-        gone = found[0].groupBy("place").agg(F.flatten(F.collect_list("gone")).alias("gone"))
-        whole = whole.join(gone, "place", "left")
-        kept = F.filter("open", lambda x, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
-        return whole.select("page_id", "url", F.array_join(kept, " ").alias("text"))
-    return whole.select("page_id", "url", F.array_join("open", " ").alias("text"))
+    ours = rows.select("row_no", "entry").join(parsed.select("row_no", "outside"), "row_no")
+    if found is None:
+        return ours.select("row_no", F.lit(0).cast("long").alias("compared"), F.array().cast("array<int>").alias("gone"))
+    told = found.groupBy("entry").agg(F.count("*").alias("compared"), F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    joined = ours.join(told, "entry", "left")
+    gone = F.array_intersect("outside", F.coalesce("gone", F.array().cast("array<int>")))
+    return joined.select("row_no", F.coalesce("compared", F.lit(0).cast("long")).alias("compared"), gone.alias("gone"))
 
 
 def _counted(rows: DataFrame, by: Column, name: str) -> DataFrame:
@@ -293,13 +286,23 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     Null and empty pages, and pages of furniture alone, have an empty text. Rows are
     taken one by one, repeated ids or urls included; a null url belongs to a host of
-    its own. Pages are ordered by ranges of host and path; adjacent pages with the same
-    lines are one entry, and on each side of a page the nearest entry of the host that
-    isn't its copy is found, however far and in whatever range it is. Other
-    columns are ignored; no rows give no rows.
+    its own. Pages are ordered by ranges of host, path and whole url; adjacent pages
+    with the same lines are one entry, and on each side of a page the nearest entry of
+    the host that isn't its copy is found, however far and in whatever range it is. A
+    very long page is parsed whole by one task. Other columns are ignored; no rows give
+    no rows.
     """
-    found = materialise(_parsed(pages))
-    whole = found.where("open is null").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
-    if found.where("open is not null").limit(1).count():
-        whole = whole.unionAll(_differenced(found))
-    return whole
+    plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("binary").alias("html"))
+    plain = numbered(plain, "page_id")
+    gone = template_places(materialise(_parsed(plain))).where("size(gone) > 0").select("row_no", "gone")
+    told = plain.join(materialise(gone), "row_no", "left").select("page_id", "url", "html", "gone")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for body, places in zip(blobs(batch.column(2)), batch.column(3).to_pylist()):
+                drop = set(places or ())
+                out.append(" ".join(x.text for i, x in enumerate(_kept_lines(body)) if i not in drop))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
+
+    return told.mapInArrow(run, "page_id long, url string, text string")

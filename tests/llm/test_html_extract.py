@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 from cloakframe.llm import html_extract as h
 
@@ -39,8 +40,8 @@ def test_template_lines_of_unmarked_pages_go(spark):
 def test_shared_is_a_longest_common_subsequence():
     rng = random.Random(5)
     for _ in range(200):
-        a = rng.sample(range(12), rng.randint(0, 12))
-        b = rng.sample(range(12), rng.randint(0, 12))
+        a = rng.choices(range(rng.randint(1, 12)), k=rng.randint(0, 14))
+        b = rng.choices(range(rng.randint(1, 12)), k=rng.randint(0, 14))
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a):
             for j, y in enumerate(b):
@@ -77,3 +78,50 @@ def test_the_nearest_page_that_differs_is_found_at_any_distance(spark):
     got = texts(spark, pages)
     odd = {i for i in want if got[i] != want[i]}
     assert not odd, [(pages[i][1], got[i]) for i in sorted(odd)[:3]]
+
+
+def test_whole_names_and_all_articles_stay(spark):
+    named = [f'<article><p class="{c}">Kept {c}</p><p>b</p></article>' for c in ("market-share", "code-comment", "related-work", "search-results")]
+    pages = [(i, f"http://h{i}.example/", p) for i, p in enumerate(named)]
+    pages += [(8, "http://h8.example/", "<article><p>one</p></article><article><p>two and more</p></article>"), (9, "http://h9.example/", '<article><p class="comment-list">c</p><p class="share-buttons">s</p>text</article>')]
+    got = texts(spark, pages)
+    assert got == {0: "Kept market-share b", 1: "Kept code-comment b", 2: "Kept related-work b", 3: "Kept search-results b", 8: "one two and more", 9: "text"}
+
+
+def test_shared_lines_go_outside_articles_and_stay_within(spark):
+    page = lambda i: f"<div>Same of all</div><div>Dear reader {i}</div><article><p>Quoted by all</p><p>own {i}</p></article><div>Made by us</div>"
+    pages = [(i, f"http://h.example/page?id={i}", page(i)) for i in range(1000)]
+    pages += [(2000, None, page(0)), (2000, None, "<article>x</article>")]
+    got = sorted((r.page_id, r.text) for r in h.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect())
+    assert got[:1000] == [(i, f"Dear reader {i} Quoted by all own {i}") for i in range(1000)]
+    assert got[1000:] == [(2000, "Same of all Dear reader 0 Quoted by all own 0 Made by us"), (2000, "x")]
+
+
+def test_differencing_compares_the_given_pages(spark):
+    """All pages but the only one of a host are aligned with a neighbour, and a brute-force pass over each host finds the same texts."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    plain = spark.createDataFrame([(r.page_id, r.url, bytearray(r.html.encode())) for r in rows], "row_no long, url string, html binary")
+    seen = {r.row_no: (r.compared, r.gone) for r in h.template_places(h._parsed(plain)).collect()}
+    hosts = {}
+    for r in rows:
+        host, path = re.match(r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)([^?#]*)", r.url).groups()
+        hosts.setdefault(host.lower(), []).append((path, r.url, r.page_id, h._kept_lines(r.html.encode())))
+    texts_ = {}
+    for host in hosts.values():
+        host.sort(key=lambda x: x[:3])
+        keys = [[x.text for x in page[3]] for page in host]
+        for i, (_, _, page_id, found) in enumerate(host):
+            gone, compared = set(), 0
+            for side in (-1, 1):
+                j = i + side
+                while 0 <= j < len(host):
+                    common = h.shared(keys[i], keys[j])
+                    if sum(len(keys[i][x]) for x in common) <= h.COPY * sum(map(len, keys[i])) and keys[i] != keys[j]:
+                        gone |= set(common)
+                        compared += 1
+                        break
+                    j += side
+            assert seen[page_id][0] == compared
+            texts_[page_id] = " ".join(x.text for k, x in enumerate(found) if k not in gone or x.place == h.ARTICLE)
+    assert sum(c > 0 for c, _ in seen.values()) >= 200
+    assert texts(spark, [(r.page_id, r.url, r.html) for r in rows]) == texts_
