@@ -60,6 +60,11 @@ class Allowlist:
                 raise MaskError(f"allowlist.patterns[{i}] is too long")
 
 
+EVENTS = ("secret_detected", "request_redacted")
+#: What a hook can do, and which setting that takes.
+NEEDS = {"exec": "command", "log": "path", "block": None}
+
+
 @dataclass(frozen=True)
 class Hook:
     """What to do with findings of some rules: log, exec or block."""
@@ -72,6 +77,16 @@ class Hook:
     timeout_ms: int = 2_000
     message: str | None = None
 
+    def __post_init__(self) -> None:
+        if self.event not in EVENTS:
+            raise MaskError(f"a hook can't follow `{self.event}`")
+        if self.action not in NEEDS:
+            raise MaskError(f"a hook can't do `{self.action}`")
+        if NEEDS[self.action] and not (getattr(self, NEEDS[self.action]) or "").strip():
+            raise MaskError(f"a hook that is to {self.action} needs a {NEEDS[self.action]}")
+        if self.action == "block" and self.event != "secret_detected":
+            raise MaskError("only a found secret can be blocked")
+
     def applies(self, event: str, rule_id: str) -> bool:
         return self.event == event and bool({"*", rule_id.strip().lower()} & set(self.rule_ids))
 
@@ -80,24 +95,26 @@ def parse_hook(i: int, entry: Mapping) -> Hook:
     name = f"hooks[{i}]"
     for key in entry:
         if key not in ("event", "rule_ids", "action", "command", "path", "timeout_ms", "message"):
-            raise MaskError(f"{name} has unknown key `{key}`")
+            raise MaskError(f"{name}: there is no key `{key}`")
     event, action = str(entry.get("event", "")).strip().lower(), str(entry.get("action", "")).strip().lower()
     given = {k for k in ("command", "path", "timeout_ms") if entry.get(k) is not None}
-    if event not in ("secret_detected", "request_redacted"):
-        raise MaskError(f"{name} has invalid event `{event}`")
-    needs = {"exec": "command", "log": "path", "block": None}
-    if action not in needs:
-        raise MaskError(f"{name} has invalid action `{action}`")
-    need = needs[action]
-    if need and not str(entry.get(need) or "").strip():
-        raise MaskError(f"{name} {action} action requires {need}")
-    if action == "block" and event != "secret_detected":
-        raise MaskError(f"{name} block action is only supported for secret_detected")
+    need = NEEDS.get(action)
     surplus = given - {need} - ({"timeout_ms"} if action == "exec" else set())
-    if surplus:
-        raise MaskError(f"{name} {action} action does not accept {', '.join(sorted(surplus))}")
+    if action in NEEDS and surplus:
+        raise MaskError(f"{name}: {', '.join(sorted(surplus))} has no use in a hook that is to {action}")
     rules = tuple(r.strip().lower() for r in entry.get("rule_ids", []) if r.strip()) or ("*",)
-    return Hook(event, action, rules, (entry.get("command") or "").strip() or None, entry.get("path"), int(entry.get("timeout_ms") or 2_000), entry.get("message"))
+    try:
+        return Hook(event, action, rules, (entry.get("command") or "").strip() or None, entry.get("path"), int(entry.get("timeout_ms") or 2_000), entry.get("message"))
+    except MaskError as e:
+        raise MaskError(f"{name}: {e}") from e
+
+
+#: The hosts of known tools and of providers.
+TOOL_HOSTS = {
+    "codex": ("api.openai.com", "chat.openai.com", "chatgpt.com"),
+    "claude": ("api.anthropic.com", "claude.ai"),
+}
+PROVIDER_HOSTS = ("generativelanguage.googleapis.com", "api.together.xyz", "api.groq.com", "api.mistral.ai", "api.cohere.ai", "api.deepseek.com")
 
 
 @dataclass(frozen=True)
@@ -113,6 +130,14 @@ class Settings:
     max_body_bytes: int = 2 << 20
     notice_mode: str = "verbose"
     audit_path: str | None = None
+    tool_hosts: Mapping[str, tuple[str, ...]] = field(default_factory=lambda: TOOL_HOSTS)
+    provider_hosts: tuple[str, ...] = PROVIDER_HOSTS
+
+    def hosts_of(self, tool: str = "") -> tuple[str, ...]:
+        """The hosts that are looked at for a tool: its own, those of all providers, then the extra ones; for another tool those of all tools."""
+        own = self.tool_hosts.get(tool.strip().lower())
+        some = [own] if own is not None else list(self.tool_hosts.values())
+        return union_hosts(*some, self.provider_hosts, self.hosts)
 
 
 _UNITS = {"ns": 1e-9, "us": 1e-6, "µs": 1e-6, "ms": 1e-3, "s": 1.0, "m": 60.0, "h": 3600.0}

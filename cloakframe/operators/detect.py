@@ -250,13 +250,15 @@ def with_findings(df: DataFrame, text_col: str, cfg: Detection, allowlist: Allow
     at least, others go, before opaque tokens are added.
     """
     if classifier is None:
-        return df.withColumn("findings", findings(F.col(text_col), cfg, allowlist, prefix))
+        return once(df, "findings", findings(F.col(text_col), cfg, allowlist, prefix))
     text = F.col(text_col)
-    numbered = df.withColumn("_typed", typed(text, cfg)).withColumn("_row", F.monotonically_increasing_id())
-    each = numbered.select("_row", F.explode("_typed").alias("f"), text.alias("t")).where("f.score < 70")
-    verdict = each.select("_row", "f.start", "f.rule_id", F.coalesce(classifier(F.col("f.kind"), F.col("f.subtype"), F.col("f.secret"), context(F.col("t"), F.col("f"))), F.lit(True)).alias("yes"))
-    refused = verdict.where("not yes").groupBy("_row").agg(F.collect_set(F.struct("start", "rule_id")).alias("_no"))
-    joined = numbered.join(refused, "_row", "left")
+    # A verdict depends on the text alone, so its hash is the key: the same whenever a side is worked out again.
+    told = once(df.withColumn("_key", F.sha2(S.utf8(text), 256)), "_typed", typed(text, cfg))
+    low = told.select("_key", text.alias("t"), F.filter("_typed", lambda f: f["score"] < 70).alias("some"))
+    asked = each(low, "some", "_key", "t")
+    yes = F.coalesce(classifier(F.col("f.kind"), F.col("f.subtype"), F.col("f.secret"), context(F.col("t"), F.col("f"))), F.lit(True))
+    refused = asked.select("_key", "f.start", "f.rule_id", yes.alias("yes")).where("not yes").groupBy("_key").agg(F.collect_set(F.struct("start", "rule_id")).alias("_no"))
+    joined = told.join(refused, "_key", "left")
     upgraded = F.transform(
         F.filter("_typed", lambda f: ~F.coalesce(F.array_contains(F.col("_no"), F.struct(f["start"].alias("start"), f["rule_id"].alias("rule_id"))), F.lit(False))),
         lambda f: F.when(
@@ -268,7 +270,7 @@ def with_findings(df: DataFrame, text_col: str, cfg: Detection, allowlist: Allow
     whole = S.let(F.concat(*parts), best_of_overlaps)
     if allowlist:
         whole = F.filter(whole, lambda f: ~allowed(f, allowlist))
-    return joined.withColumn("findings", whole.cast(f"array<{FINDING}>")).drop("_typed", "_row", "_no")
+    return joined.withColumn("findings", whole.cast(f"array<{FINDING}>")).drop("_typed", "_key", "_no")
 
 
 def exploded(df: DataFrame, *keep: str) -> DataFrame:
@@ -281,7 +283,13 @@ def each(df: DataFrame, column: str, *keep: str | Column) -> DataFrame:
     return df.select(*keep, F.explode_outer(column).alias("f")).where("f is not null")
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is worked out once a row, however often and in whatever filter it is used: Spark doesn't take it apart or push it below."""
+    own = [c for c in df.columns if c != name]
+    return df.select(*(f"`{c}`" for c in own), F.explode_outer(F.array(value)).alias(name))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where it comes in fewer partitions, a small file of one row group for instance."""
+    """df dealt by its first column to all cores where it comes in fewer files, a small file of one row group for instance."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, df.columns[0]) if len(df.inputFiles()) < cores else df

@@ -17,8 +17,8 @@ RECORD = ("event", "ts", "request_host", "rule_id", "kind", "subtype", "placehol
 
 
 def blocking_message(replacements: Column, hooks: Iterable[Hook]) -> Column:
-    """The message of the first block hook that a replacement meets, replacements in order; null if none."""
-    blocks = [h for h in hooks if h.action == "block"]
+    """The message of the first block hook that a replacement meets, replacements in order; null if none. Only a found secret blocks."""
+    blocks = [h for h in hooks if h.action == "block" and h.event == "secret_detected"]
     if not blocks:
         return F.lit(None).cast("string")
 
@@ -41,6 +41,14 @@ def records(masked_rows: DataFrame, hook: Hook, host: Column, at: Column) -> Dat
     return each.select(F.lit(hook.event).alias("event"), "ts", "request_host", "f.rule_id", "f.kind", "f.subtype", "f.placeholder", F.lit(hook.action).alias("action"))
 
 
+def dispatch(masked_rows: DataFrame, hooks: Iterable[Hook], event: str, host: Column, at: Column, allow_exec: bool = False) -> None:
+    """Run the log and exec hooks of an event over the rows; block hooks act on the rows themselves (blocking_message)."""
+    for hook in hooks:
+        if hook.event == event and hook.action in ("log", "exec"):
+            rows = records(masked_rows, hook, host, at)
+            run_log(rows, hook) if hook.action == "log" else run_exec(rows, hook, allow_exec)
+
+
 def run_log(rows: DataFrame, hook: Hook) -> None:
     rows.write.mode("append").json(hook.path)
 

@@ -17,7 +17,8 @@ from ..functions import scalars as S
 from ..vocabulary import placeholder_pattern
 from . import detect
 
-CUT = "\x01"
+#: The version of the placeholder format, as receivers are told.
+CONTRACT = "placeholder:v2"
 
 
 def with_placeholders(findings: Column, salt: bytes | None = None, prefix: str = PREFIX, depth: int = 0) -> Column:
@@ -85,41 +86,47 @@ def lookup(requests: DataFrame, known: DataFrame, now: Column) -> DataFrame:
 
 
 def pieces(text: Column, prefix: str = PREFIX) -> Column:
-    """text cut at whole placeholders: array of (piece, id, kind), id null for what lies between."""
+    """text cut at whole placeholders: array of (before, piece, id, kind); the last has what follows them, and no piece."""
     pattern = placeholder_pattern(prefix)
-    cut = F.split(F.regexp_replace(F.translate(text, CUT, "\ue000"), f"({pattern})", f"{CUT}$1{CUT}"), CUT, -1)
+    none = F.lit(None).cast("string")
 
-    def one(x: Column) -> Column:
-        whole = x.rlike(f"^{pattern}\\z")
+    def one(before: Column, piece: Column) -> Column:
+        whole = piece.isNotNull()
         return F.struct(
-            x.alias("piece"),
-            F.when(whole, F.regexp_extract(x, pattern, 2)).alias("id"),
-            F.when(whole, S.kind_of_label(F.regexp_extract(x, pattern, 1))).alias("kind"),
+            before.alias("before"),
+            piece.alias("piece"),
+            F.when(whole, F.regexp_extract(piece, pattern, 2)).otherwise(none).alias("id"),
+            F.when(whole, S.kind_of_label(F.regexp_extract(piece, pattern, 1))).otherwise(none).alias("kind"),
         )
 
-    return F.transform(cut, one)
+    return F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), one)
 
 
 def resolved(df: DataFrame, key: str, text_col: str, known: DataFrame, now: Column, prefix: str = PREFIX, strict: bool = False, kinds: list[str] | None = None) -> DataFrame:
     """df with restored text and error_code. key tells the rows apart.
 
-    Only rows that hold a placeholder are cut up and joined with the mapping; the others
-    pass by. A miss leaves the placeholder; if strict, the row has no text but an error
-    code. kinds restricts what is restored, others count as misses.
+    Only the ids that a row asks for go into the join with the mapping, never its text; the
+    values come back as a map of the row. A miss leaves the placeholder; if strict, the
+    row has no text but an error code. kinds restricts what is restored, others count as misses.
     """
-    hit = F.coalesce(S.contains_placeholder(F.col(text_col), prefix), F.lit(False))
     none = F.lit(None).cast("string")
-    parts = df.where(hit).select(key, F.posexplode(pieces(F.col(text_col), prefix)).alias("_n", "p")).select(key, "_n", "p.piece", "p.id", "p.kind")
-    if kinds is not None:
-        parts = parts.withColumn("id", F.when(F.col("kind").isin(kinds), F.col("id")))
-    found = lookup(parts, known, now)
-    missed = F.col("piece").rlike("^" + placeholder_pattern(prefix) + r"\z") & F.col("secret").isNull()
-    whole = found.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.coalesce("secret", "piece").alias("x")))), lambda p: p["x"]), "").alias("_text"),
-        F.max(missed).alias("_missed"),
-    )
-    joined = df.join(whole, key, "left")
-    has_cut = F.contains(F.col(text_col), F.lit(CUT))
-    text = F.when(F.col("_text").isNull(), F.col(text_col)).when(has_cut, F.translate("_text", "\ue000", CUT)).otherwise(F.col("_text"))
-    failed = F.lit(strict) & F.coalesce(F.col("_missed"), F.lit(False))
-    return joined.withColumn("restored", F.when(failed, none).otherwise(text)).withColumn("error_code", F.when(failed, STRICT_RESOLVE_FAILED).otherwise(none)).drop("_text", "_missed")
+    hit = F.coalesce(S.contains_placeholder(F.col(text_col), prefix), F.lit(False))
+    cut = detect.once(df, "_cut", F.when(hit, pieces(F.col(text_col), prefix)))
+    wanted = F.filter("_cut", lambda p: p["id"].isNotNull() & (p["kind"].isin(kinds) if kinds is not None else F.lit(True)))
+    asked = cut.where("_cut is not null").select(key, F.array_distinct(F.transform(wanted, lambda p: F.struct(p["id"].alias("id"), p["kind"].alias("kind")))).alias("ids"))
+    found = lookup(detect.each(asked, "ids", key).select(key, "f.id", "f.kind"), known, now).where("secret is not null")
+    name = lambda p: F.concat_ws(":", p["kind"], p["id"])
+    pair = F.struct(F.concat_ws(":", "kind", "id").alias("name"), "secret")
+    values = found.groupBy(key).agg(F.map_from_entries(F.array_distinct(F.collect_list(pair))).alias("_values"))
+    joined = cut.join(values, key, "left").withColumn("_values", F.coalesce("_values", F.create_map().cast("map<string,string>")))
+    value = lambda p: F.try_element_at(F.col("_values"), name(p))
+    text = F.array_join(F.transform("_cut", lambda p: F.concat(p["before"], F.coalesce(value(p), p["piece"], F.lit("")))), "")
+    missed = F.exists("_cut", lambda p: p["piece"].isNotNull() & value(p).isNull())
+    failed = F.lit(strict) & F.coalesce(missed, F.lit(False))
+    restored = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(text)
+    return joined.withColumn("restored", F.when(failed, none).otherwise(restored)).withColumn("error_code", F.when(failed, STRICT_RESOLVE_FAILED).otherwise(none)).drop("_cut", "_values")
+
+
+def contract(replacements: Column, dry_run: bool = False) -> Column:
+    """The value that tells a receiver which placeholders a changed message holds; null for an unchanged one and in a dry run."""
+    return F.when((F.size(replacements) > 0) & F.lit(not dry_run), CONTRACT).otherwise(F.lit(None).cast("string"))

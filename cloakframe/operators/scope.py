@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import BODY_TOO_LARGE
+from ..functions.scalars import let
 from ..vocabulary import PROMPT_HINTS
 
 LARGE_PROMPT_BYTES = 8 * 1024
@@ -15,11 +16,16 @@ LARGE_PROMPT_BYTES = 8 * 1024
 
 def normalize_host(host: Column) -> Column:
     """Lower case without outer spaces, dots, brackets and port."""
-    bare = F.regexp_replace(F.lower(F.trim(host)), r"^\.+|\.+$", "")
-    head = F.regexp_extract(bare, r"^(.*):[^:]*$", 1)
     v6 = r"^(?:[0-9a-f]{0,4}:){2,7}[0-9a-f.]{0,15}$"
-    has_port = (head != "") & (F.contains(head, F.lit(".")) | F.contains(head, F.lit("[")) | (head == "localhost") | (head.rlike(v6) & ~bare.rlike(v6)))
-    return F.regexp_replace(F.when(has_port, head).otherwise(bare), r"^\[+|\]+$", "")
+
+    def without_port(bare: Column) -> Column:
+        def of(head: Column) -> Column:
+            has_port = (head != "") & (F.contains(head, F.lit(".")) | F.contains(head, F.lit("[")) | (head == "localhost") | (head.rlike(v6) & ~bare.rlike(v6)))
+            return F.regexp_replace(F.when(has_port, head).otherwise(bare), r"^\[+|\]+$", "")
+
+        return let(F.regexp_extract(bare, r"^(.*):[^:]*$", 1), of)
+
+    return let(F.regexp_replace(F.lower(F.trim(host)), r"^\.+|\.+$", ""), without_port)
 
 
 def glob_pattern(glob: str) -> str:
@@ -31,17 +37,20 @@ def host_allowed(host: Column, hosts: list[str] | tuple[str, ...]) -> Column:
     """Whether a host is, lies below, or matches as a glob one of hosts; no hosts allow all."""
     if not hosts:
         return F.lit(True)
-    own = normalize_host(host)
-    out = F.lit(False)
-    for entry in hosts:
-        low = entry.strip().lower()
-        if "*" in low or "?" in low:
-            out = out | own.rlike(glob_pattern(low))
-        else:
-            plain = re.sub(r"(?<=[\].a-z0-9]):\d+$", "", low.strip(".")) if low.count(":") == 1 or "]" in low else low
-            plain = plain.strip("[]")
-            out = out | (own == plain) | own.endswith("." + plain)
-    return F.coalesce(out, F.lit(False))
+
+    def of(own: Column) -> Column:
+        out = F.lit(False)
+        for entry in hosts:
+            low = entry.strip().lower()
+            if "*" in low or "?" in low:
+                out = out | own.rlike(glob_pattern(low))
+            else:
+                plain = re.sub(r"(?<=[\].a-z0-9]):\d+$", "", low.strip(".")) if low.count(":") == 1 or "]" in low else low
+                plain = plain.strip("[]")
+                out = out | (own == plain) | own.endswith("." + plain)
+        return out
+
+    return F.coalesce(let(normalize_host(host), of), F.lit(False))
 
 
 def host_of_url(url: Column) -> Column:

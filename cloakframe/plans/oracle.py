@@ -204,7 +204,7 @@ ORACLE: dict[str, str] = {
     "dry_run": FOUND
     + " SELECT doc_id, true AS unchanged, CASE WHEN c IS NULL THEN 'no replacements' ELSE 'would replace ' || c || ' sensitive value(s)' END AS summary FROM documents LEFT JOIN (SELECT doc_id, count(*) AS c FROM found GROUP BY 1) USING (doc_id)",
     "kind_histogram": FOUND + f" SELECT * FROM {HISTOGRAM}",
-    "redact_resolve_roundtrip": "SELECT doc_id, text FROM documents",
+    "redact_resolve_roundtrip": FOUND + " SELECT doc_id, text, coalesce(c, 0)::BIGINT AS placeholders FROM documents LEFT JOIN (SELECT doc_id, count(*) AS c FROM found GROUP BY 1) USING (doc_id)",
     "mapping_table": FOUND + f" SELECT DISTINCT {ID} AS id, kind, secret, '2026-03-10 01:00:00' AS expires_at FROM found",
     "mapping_expiry": FOUND
     + f" SELECT id, kind, strftime(TIMESTAMP '2026-03-10 01:00:00' + to_seconds(m), '%Y-%m-%d %H:%M:%S') AS expires_at FROM (SELECT {ID} AS id, kind, max(doc_id % 5) * 1800 AS m FROM found GROUP BY ALL) WHERE m > 3600",

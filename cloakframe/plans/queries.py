@@ -14,6 +14,7 @@ from ..errors import fail_closed
 from ..functions import scalars as S
 from ..operators import audit, bodies, detect, hooks, rewrite, scope
 from ..streaming.sse import Assembler
+from ..vocabulary import placeholder_pattern
 from . import fixtures as X
 
 OPAQUE = Detection()
@@ -191,9 +192,10 @@ def kind_histogram(spark, sf_dir):
 
 
 def redact_resolve_roundtrip(spark, sf_dir):
-    rows = masked(spark, sf_dir, b"a salt of the session").select("doc_id", "masked", "replacements").persist()
+    rows = masked(spark, sf_dir, b"a salt of the session").select("doc_id", "masked", "replacements")
     known = rewrite.mapping(rows, timedelta(hours=1), at())
-    return rewrite.resolved(rows.select("doc_id", "masked"), "doc_id", "masked", known, at()).select("doc_id", F.col("restored").alias("text"))
+    back = rewrite.resolved(rows.select("doc_id", "masked", F.size("replacements").alias("n")), "doc_id", "masked", known, at())
+    return back.select("doc_id", F.col("restored").alias("text"), F.regexp_count("masked", F.lit(placeholder_pattern(PREFIX))).cast("long").alias("placeholders"))
 
 
 def mapping_table(spark, sf_dir):
