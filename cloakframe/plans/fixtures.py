@@ -94,3 +94,8 @@ BODIES = [
     (8, '{"messages":[{"content":"{\\"to\\":\\"alice@company.dev\\"}","role":"user"}],"model":"claude-x"}'),
     (9, None),
 ]
+
+# The hosts of tools and providers, in order.
+CODEX = ("api.openai.com", "chat.openai.com", "chatgpt.com")
+CLAUDE = ("api.anthropic.com", "claude.ai")
+PROVIDERS = ("generativelanguage.googleapis.com", "api.together.xyz", "api.groq.com", "api.mistral.ai", "api.cohere.ai", "api.deepseek.com")

@@ -234,6 +234,25 @@ ORACLE: dict[str, str] = {
 }
 
 
+_TOOLS = {"codex": X.CODEX, " Claude": X.CLAUDE, "other": X.CODEX + X.CLAUDE}
+ORACLE |= {
+    "masked_strings": MASKED + " SELECT doc_id, masked AS a, masked AS b, c AS n FROM masked JOIN (SELECT doc_id, count(*) AS c FROM found GROUP BY 1) USING (doc_id)",
+    "socket_messages": MASKED
+    + " SELECT doc_id, text AS assistant, coalesce(masked, text) AS user, CASE WHEN masked IS NOT NULL THEN 'placeholder:v2' END AS contract, false AS closed FROM documents LEFT JOIN masked USING (doc_id) WHERE text IS NOT NULL",
+    "guarded_messages": MASKED
+    + """, judged AS (SELECT doc_id, text, coalesce(masked, text) AS m, masked, CASE WHEN strlen(text) > 4096 THEN 'body_too_large' WHEN doc_id IN (SELECT doc_id FROM found WHERE rule_id = 'typed.card.pan') THEN 'hook_blocked' END AS error_code FROM documents LEFT JOIN masked USING (doc_id))
+SELECT doc_id, error_code, CASE WHEN error_code IS NULL THEN m END AS outgoing, text IS NOT NULL AND error_code IS NOT NULL AS closed, CASE WHEN error_code IS NULL AND masked IS NOT NULL THEN 'placeholder:v2' END AS contract,
+  CASE WHEN error_code IS NULL THEN m WHEN error_code = 'body_too_large' THEN text END AS lenient FROM judged""",
+    "restored_messages": FOUND
+    + f""", marked AS (SELECT *, CASE WHEN {ID} < '8' THEN secret ELSE {MARK} END AS mark, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS before FROM found),
+half AS (SELECT doc_id, string_agg(substr(text, before + 1, start - before) || mark, '' ORDER BY start) || substr(any_value(text), max(stop) + 1) AS half FROM marked JOIN documents USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, coalesce(half, text) AS restored FROM documents LEFT JOIN half USING (doc_id)""",
+    "restored_texts": FOUND + " SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM found)",
+    "unquoted_passwords": "SELECT c_custkey, 14 AS start, 'k' || c_custkey || '-zz' AS secret, 'typed.password.labeled' AS rule_id, 90 AS score FROM customer WHERE length(c_custkey::VARCHAR) >= 0",
+    "host_lists": "SELECT * FROM " + literal([(t, i, h) for t, own in _TOOLS.items() for i, h in enumerate(dict.fromkeys((*own, *X.PROVIDERS, "extra.example", "claude.ai")))], "tool, place, host"),
+}
+
+
 def _resolved(kinds: tuple[str, ...]) -> str:
     """The fixture texts with the known and live placeholders of some kinds replaced."""
     text = "text"

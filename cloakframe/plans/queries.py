@@ -13,6 +13,7 @@ from ..config import PREFIX, Allowlist, Detection, Hook, Settings
 from ..errors import fail_closed
 from ..functions import scalars as S
 from ..operators import audit, bodies, detect, hooks, rewrite, scope
+from ..streaming import messages
 from ..streaming.sse import Assembler
 from ..vocabulary import placeholder_pattern
 from . import fixtures as X
@@ -308,8 +309,8 @@ def body_notices(spark, sf_dir):
 def _conversation_bodies(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     turn = F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("m"))
-    messages = F.transform(F.array_sort(F.collect_list(turn)), lambda t: t["m"])
-    return rows.groupBy("conv_id").agg(F.to_json(F.struct(messages.alias("messages"))).alias("body"))
+    said = F.transform(F.array_sort(F.collect_list(turn)), lambda t: t["m"])
+    return rows.groupBy("conv_id").agg(F.to_json(F.struct(said.alias("messages"))).alias("body"))
 
 
 def body_roundtrip(spark, sf_dir):
@@ -345,7 +346,64 @@ def sse_reassembly(spark, sf_dir):
     return rows.mapInArrow(run, "doc_id long, text string")
 
 
+def masked_strings(spark, sf_dir):
+    """Documents as strings anywhere in a body, every string walked; both places hold the masked text."""
+    rows = documents(spark, sf_dir).select("doc_id", F.to_json(F.struct(F.struct(F.col("text").alias("t")).alias("a"), F.array(F.lit("x"), F.col("text")).alias("b"))).alias("body"))
+    out = bodies.masked_bodies(rows, "doc_id", "body", Settings(detection=FLAT, notice_mode="off", max_body_bytes=0), walk="strings").where(F.size("replacements") > 0)
+    return out.select("doc_id", F.get_json_object("masked", "$.a.t").alias("a"), F.get_json_object("masked", "$.b[1]").alias("b"), (F.size("replacements") / 2).cast("long").alias("n"))
+
+
+def socket_messages(spark, sf_dir):
+    """Documents as user and assistant content of a socket message: what the user says is masked, and alone; the contract tells so."""
+    item = lambda role: F.struct(F.lit(role).alias("role"), F.col("text").alias("content"))
+    rows = documents(spark, sf_dir).where("text is not null").select("doc_id", F.to_json(F.struct(F.array(item("assistant"), item("user")).alias("input"))).alias("body"))
+    out = messages.body_requests(rows, "doc_id", "body", Settings(detection=FLAT, notice_mode="off", max_body_bytes=0))
+    said = lambda i: F.get_json_object("outgoing", f"$.input[{i}].content")
+    return out.select("doc_id", said(0).alias("assistant"), said(1).alias("user"), "contract", "closed")
+
+
+def guarded_messages(spark, sf_dir):
+    """Documents as plain messages under a block hook and a size limit, strict and lenient: what leaves, and why not."""
+    hook = Hook("secret_detected", "block", ("typed.card.pan",))
+    strict = Settings(detection=FLAT, hooks=(hook,), max_body_bytes=4096)
+    out = messages.text_requests(detect.spread(documents(spark, sf_dir)), "text", strict)
+    lenient = fail_closed(F.col("text"), F.col("outgoing"), F.col("error_code"), False)
+    return out.select("doc_id", "error_code", "outgoing", "closed", "contract", lenient.alias("lenient"))
+
+
+def restored_messages(spark, sf_dir):
+    """Masked documents as responses: those with the start of a placeholder are restored by half of the mapping, the others keep it."""
+    rows = masked(spark, sf_dir)
+    known = rewrite.mapping(rows, timedelta(hours=1), at()).where("id < '8'")
+    out = messages.responses(rows.select("doc_id", "masked"), "doc_id", "masked", known, at(), Settings())
+    return out.select("doc_id", "restored")
+
+
+def restored_texts(spark, sf_dir):
+    """Masked documents within JSON within a text, restored as a text; larger ones aren't opened, and restored flat."""
+    rows = masked(spark, sf_dir).where(F.size("replacements") > 0)
+    known = rewrite.mapping(rows, timedelta(hours=1), at())
+    wrapped = rows.select("doc_id", F.concat(F.lit(" "), F.to_json(F.struct(F.col("masked").alias("m")))).alias("text"))
+    back = bodies.restored_bodies(wrapped, "doc_id", "text", known, at(), strict=True, as_json=False)
+    return back.select("doc_id", F.get_json_object("restored", "$.m").alias("text"))
+
+
+def unquoted_passwords(spark, sf_dir):
+    """Each customer's key as a password without quotes, and as one that is too short."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.concat(F.lit("login passwd: k"), "c_custkey", F.lit("-zz, pin=a"), F.pmod("c_custkey", F.lit(10)), F.lit(" end")).alias("text"))
+    found_ = detect.with_findings(rows, "text", Detection(entropy=False, passwords=True))
+    return detect.exploded(found_, "c_custkey").select("c_custkey", "start", "secret", "rule_id", "score")
+
+
+def host_lists(spark, sf_dir):
+    tools = Settings(hosts=("extra.example", "claude.ai"))
+    rows = [(tool, i, h) for tool in ("codex", " Claude", "other") for i, h in enumerate(tools.hosts_of(tool))]
+    return values(spark, rows, "tool string, place int, host string")
+
+
 _NAMES = (
+    masked_strings, socket_messages, guarded_messages, restored_messages, restored_texts, unquoted_passwords, host_lists,
+
     opaque_tokens, email_candidates, phone_candidates, phone_candidates_pages, card_candidates, typed_fixture, overlap_resolution, context_windows, classifier_filter,
     allowlist_rule, allowlist_pattern, allowlist_sha256, token_entropy, luhn_and_issuer, log_scrub, log_scrub_documents, host_normalize, host_scope, user_turns,
     body_size_limit, hidden_prompt, json_predicate, redaction_ids, masked_text, dry_run, kind_histogram, redact_resolve_roundtrip, mapping_table, mapping_expiry,

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import json
+import re
+from datetime import timedelta
 
 import pytest
 from cloakframe import cli
@@ -8,9 +10,11 @@ from cloakframe.config import Detection, Hook, Settings, from_env, from_toml, pa
 from cloakframe.errors import MaskError
 from cloakframe.functions.local import decoded, restore
 from cloakframe.log import scrub
-from cloakframe.operators import audit, bodies, hooks
+from cloakframe.operators import audit, bodies, detect, hooks, rewrite
 from cloakframe.plans import fixtures as X
+from cloakframe.streaming import messages
 from cloakframe.streaming.sse import Assembler, fragment, head_within, split_events
+from cloakframe.vocabulary import placeholder_pattern
 from pyspark.sql import functions as F
 
 EVERYTHING = Settings(detection=Detection.everything(), notice_mode="off")
@@ -127,3 +131,54 @@ def test_log_scrub_of_strings_and_doctor(capsys):
     for _, line, scrubbed in X.LOG_LINES:
         assert scrub(line) == scrubbed
     assert cli.main(["doctor"]) == 0 and "PASS detection" in capsys.readouterr().out
+
+
+def test_messages_of_a_stream_in_both_directions(spark, tmp_path):
+    """Requests are masked or closed, hooks run, the mapping forgets, responses are restored."""
+    settings = Settings(detection=Detection(emails=True), hooks=(Hook("request_redacted", "log", path=str(tmp_path / "hook")), Hook("secret_detected", "block", ("typed.email",), message="no mail")), session_ttl=timedelta(hours=1))
+    rows = spark.createDataFrame([(1, f"key {X.TOKEN}"), (2, f"{X.TOKEN} and alice@company.dev"), (3, "plain"), (4, None)], "k long, text string")
+    path = str(tmp_path / "kept")
+    out = messages.text_requests(rows, "text", settings, b"s")
+    got = {r.k: r for r in out.collect()}
+    assert got[1].outgoing.startswith("key {{VEIL_OPAQUE_") and got[1].contract == "placeholder:v2" and not got[1].closed
+    assert got[2].outgoing is None and got[2].closed and got[2].error_code == "hook_blocked" and got[2].contract is None
+    assert got[3].outgoing == "plain" and got[3].contract is None and not got[4].closed
+    keep = messages.keep_mapping(path, settings, compact_every=2)
+    for number in range(3):
+        keep(out, number)
+    assert sorted(messages._parts(spark, path)) == ["upto=2"]
+    assert [r.kind for r in messages.current_mapping(spark, path).collect()] == ["opaque_token"]
+    logged = spark.read.json(str(tmp_path / "hook")).collect()
+    assert {r.rule_id for r in logged} == {"opaque.high_entropy"} and X.TOKEN not in str(logged)
+    seen = []
+    messages.each_response(path, "k", "outgoing", settings, lambda df, n: seen.extend(df.collect()))(out, 0)
+    assert {r.k: r.restored for r in seen} == {1: f"key {X.TOKEN}", 2: None, 3: "plain", 4: None}
+    messages.compact_mapping(spark, path, 9, now=F.current_timestamp() + F.expr("INTERVAL 2 HOURS"))
+    assert messages.current_mapping(spark, path).count() == 0 and sorted(messages._parts(spark, path)) == ["upto=9"]
+    assert messages.current_mapping(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_hooks_are_checked_where_they_are_made():
+    for bad in (("other", "log"), ("secret_detected", "mail"), ("secret_detected", "log"), ("secret_detected", "exec"), ("request_redacted", "block")):
+        with pytest.raises(MaskError):
+            Hook(*bad)
+
+
+def test_a_text_with_control_characters_is_restored(spark):
+    text = "a\x01b\ue000c {{VEIL_OPAQUE_deadbeefcafebabe}}\x01"
+    known = spark.createDataFrame([("deadbeefcafebabe", "opaque_token", "v", "2999-01-01")], "id string, kind string, secret string, e string").select("id", "kind", "secret", F.col("e").cast("timestamp").alias("expires_at"))
+    got = rewrite.resolved(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t", known, F.current_timestamp()).first()
+    assert got.restored == "a\x01b\ue000c v\x01"
+
+
+def test_prefix_is_taken_literally():
+    assert re.search(placeholder_pattern("A.B"), "{{AxB_OPAQUE_deadbeefcafebabe}}") is None
+    assert re.search(placeholder_pattern("A.B"), "{{A.B_OPAQUE_deadbeefcafebabe}}")
+
+
+def test_findings_are_worked_out_once(spark):
+    """Filters on what was found don't have it worked out again."""
+    rows = spark.createDataFrame([(1, "x")], "k int, t string")
+    out = rewrite.masked(detect.with_findings(rows, "t", Detection.everything()), "t").where(F.size("replacements") > 0).select("masked")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("national id") == 1, plan
