@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,32 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="cloakframe-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    for paths in _recorded:
+        paths.append(path)
+    return path
+
+
+#: Lists that get the path of every folder made.
+_recorded: list[list[str]] = []
+
+
+def written_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make returns, written; all tables that were written on the way are deleted."""
+    paths: list[str] = []
+    _recorded.append(paths)
+    try:
+        out = materialise(make())
+    finally:
+        _recorded.remove(paths)
+    for path in paths[:-1]:
+        _remove(spark, path)
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -63,11 +88,9 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def delete(df: DataFrame) -> None:
     """Delete the folder of a materialised table that nothing reads any more."""
-    spark = df.sparkSession
     files = df.inputFiles()
     if files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _remove(df.sparkSession, files[0].rpartition("/")[0])
 
 
 def give_back() -> None:

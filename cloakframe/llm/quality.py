@@ -149,14 +149,18 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", max_train_rows: int = 20_000) -> Trees:
-    """Trees from the labelled rows that aren't held out, at most max_train_rows of them.
+def chosen(labels: DataFrame, label: str = "quality", max_train_rows: int = 20_000) -> DataFrame:
+    """doc_id and y of the labelled rows that aren't held out, at most max_train_rows of them, those with the smallest hash of the id.
 
     Rows with null id or label don't count; an id labelled more than once has its smallest label.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(~held_out(F.col("doc_id")) & F.col("y").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows)
-    rows = stats.join(chosen, "doc_id").groupBy("doc_id").agg(F.first("stats").alias("stats"), F.first("y").alias("y")).orderBy("doc_id").limit(max_train_rows).collect()
+    return materialise(known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows))
+
+
+def fit(stats: DataFrame, some: DataFrame) -> Trees:
+    """Trees from the statistics (doc_id, stats) of the chosen rows, of which there are at most max_train_rows; of a repeated id one row counts."""
+    rows = stats.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("stats", "y"), F.xxhash64("stats")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").collect()
     x = np.array([r.stats for r in rows], float).reshape(-1, N_STATISTICS)
     return train(x, np.array([r.y for r in rows], float))
 
@@ -169,7 +173,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train_
     without usable labels every score is 0.5.
     """
     stats = materialise(with_statistics(docs, id_col, text_col))
-    model = fit(stats, labels, label, max_train_rows)
+    model = fit(stats, chosen(labels, label, max_train_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,10 +186,13 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train_
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label: str = "quality", max_train_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with a score of threshold or more, in one pass without a shuffle of the texts.
 
-    The statistics are worked out twice, for the labelled rows to train and for all to decide.
+    The statistics are worked out twice, for the chosen labelled rows, whose ids are few
+    enough to be broadcast, and for all. Cases as in score; a very long text is held
+    whole by one task.
     """
-    known = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias(id_col)).distinct()
-    model = fit(with_statistics(docs.join(known, id_col, "left_semi"), id_col, text_col), labels, label, max_train_rows)
+    some = chosen(labels, label, max_train_rows)
+    ids = F.broadcast(some.select(F.col("doc_id").alias("_chosen")))
+    model = fit(with_statistics(docs.join(ids, F.col(f"`{id_col}`") == F.col("_chosen"), "left_semi"), id_col, text_col), some)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,3 +57,51 @@ def test_decontamination_goes_by_rows_where_ids_are_null_or_repeated(spark, tabl
     out = p.decontamination_stage(spark, docs, sf)
     assert out.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(None, "clean"), (7, "clean too"), (8, None)], key=str)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, copies string, row_no string, component string"
+
+
+def odd_rows(item):
+    long = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
+    texts = [(None, None), (None, "null id"), (1, ""), (1, ""), (2, " \n\t"), (3, "same text of a row that stands twice " * 3), (3, "same text of a row that stands twice " * 3), (4, long), (5, f"{long} {item}"), (6, f"so {item} it goes")]
+    return [(i, t, lang, source, None if t is None else len(t), "c", "r", "k") for (i, t), lang, source in zip(texts, ["en", None] * 5, [None, "s1", "s2", "s3", "s4"] * 2)]
+
+
+@pytest.mark.parametrize("name,stage", p.STAGES)
+def test_odd_rows_and_empty_tables_in_every_stage(spark, tables, name, stage):
+    sf, _ = tables
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    rows = odd_rows(item)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    last = name == p.STAGES[-1][0]
+    want = [c for c in docs.columns if c != "copies"] + ["rate", "copies"] if last else docs.columns
+    assert stage(spark, docs.limit(0), sf).columns == want and stage(spark, docs.limit(0), sf).count() == 0
+    got = stage(spark, docs, sf).collect()
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, (r["text"] or "")[:40])
+    kept = sorted(map(key, got))
+    given = sorted((r[0] is None, r[0] or 0, (r[1] or "")[:40]) for r in rows)
+    if name == "SimHash near-dedup":
+        # One each of the empty texts (of the smallest id), of the repeated row and of the long texts.
+        assert [k[1:] for k in kept if not k[0]] == [(1, ""), (3, rows[5][1][:40]), (4, rows[7][1][:40]), (6, rows[9][1][:40])]
+        assert [k[2] for k in kept if k[0]] == ["null id"]
+    elif name == "suffix-array dedup":
+        assert len(kept) == len(given) and sum(r["text"] is None for r in got) == 1
+        texts = {r["doc_id"]: r["text"] for r in got}
+        assert texts[5] == f" {item}"[-len(texts[5]) :] and len(texts[5]) <= len(item) + 50 and texts[4] == rows[7][1]
+        assert sorted(len(r["text"]) for r in got if r["doc_id"] == 3)[0] < 50
+    elif name == "benchmark decontamination":
+        assert kept == [k for k in given if k[1] not in (5, 6)]
+    elif last:
+        assert set(kept) <= set(given) and all(r["copies"] >= 1 for r in got)
+
+
+def test_near_copies_of_one_text_in_a_large_group(spark):
+    """5,000 near copies and 300 others: one stays of the group, all others do."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    base = [word() for _ in range(60)]
+    rows = [(i, " ".join(base[: 58 - i % 3] + [word(), word()][: 1 + i % 2])) for i in range(5000)]
+    rows += [(10_000 + i, " ".join([*base[:6], *(word() for _ in range(50))])) for i in range(300)]
+    kept = {r.doc_id for r in p.similar.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {0} | {10_000 + i for i in range(300)}
