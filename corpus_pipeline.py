@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and
 returns the columns of docs; the last adds the rate and number of copies of each
-sampled document. Null texts and ids pass or go like any other; see the operators.
+sampled document. Null, empty and very long texts, null and repeated ids, repeated rows,
+ties and empty tables are as the operators' docstrings say; columns that aren't those
+of documents go along. Every stage tells rows apart, so an id that repeats is no name.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.llm import decontam, mixing, quality, similar, simhash, suffix_dedup
-from cloakframe.llm.common import materialise, table
+from cloakframe.llm.common import delete, materialise, table, written_alone
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the strings of 50 bytes or more that an earlier one has."""
     found = suffix_dedup.without_earlier_strings(docs)
-    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +42,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled to tempered shares of source, language and topic, with rate and copies."""
-    mixed = mixing.mix(docs)
-    return mixed.select(*docs.columns, "rate", "copies")
+    """Documents sampled to tempered shares of source, language and topic, with rate and copies; columns of these names are replaced."""
+    own = [f"`{c}`" for c in docs.columns if c not in ("rate", "copies")]
+    return mixing.mix(docs).select(*own, "rate", "copies")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -60,6 +62,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each result written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        after = written_alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if i:
+            delete(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
