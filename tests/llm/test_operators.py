@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -47,6 +48,69 @@ def test_gbdt_learns_and_repeats():
     assert quality.train(x, np.ones(800)).score(x).min() > 0.9
 
 
+def test_flat_trees_score_as_walked_row_by_row():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 4)).round(1)
+    model = quality.train(x, (x[:, 0] * x[:, 1] > 0).astype(float), trees=12)
+    for row, score in zip(x[:60], model.score(x[:60])):
+        total = model.base
+        for node in model.roots:
+            while model.left[node] != node:
+                node = model.left[node] if row[model.feature[node]] <= model.threshold[node] else model.right[node]
+            total += model.value[node]
+        assert abs(score - 1 / (1 + np.exp(-total))) < 1e-12
+
+
+def test_histogram_split_is_the_best_of_all():
+    rng = np.random.default_rng(2)
+    bins, features, least, l2 = 8, 3, 4, 1.0
+    for _ in range(20):
+        binned = rng.integers(0, bins, (60, features))
+        grad, hess = rng.normal(size=60), rng.uniform(0.05, 0.25, 60)
+        gain = lambda rows: grad[rows].sum() ** 2 / (hess[rows].sum() + l2)  # noqa: E731, B023
+        best = {}
+        for f in range(features):
+            for b in range(bins):
+                low = binned[:, f] <= b
+                if least <= low.sum() <= 60 - least:
+                    best[f, b] = gain(low) + gain(~low) - gain(np.ones(60, bool))
+        got = quality._split(binned + np.arange(features) * bins, grad, hess, features, bins, least, l2)
+        top = max(best.values())
+        assert (got is None and top <= 1e-6) or abs(best[got] - top) < 1e-9
+
+
+def test_quality_query_matches_a_plain_version(spark):
+    """Statistics, choice of rows, training and scores of the query, worked out without Spark."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    known = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    out = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in docs}
+    stats = {i: np.array(quality.statistics(t), np.float32).astype(float) for i, t in docs.items()}
+    rows = sorted(i for i in docs if i in known and not out[i])
+    model = quality.train(np.array([stats[i] for i in rows]), np.array([known[i] for i in rows], float))
+    want = model.score(np.array([stats[i] for i in sorted(docs)]))
+    got = {r.doc_id: r for r in QUERIES["op8_quality_classifier"](spark, sf).collect()}
+    assert sorted(got) == sorted(docs)
+    for i, s in zip(sorted(docs), want):
+        assert abs(got[i].score - s) < 1e-9 and got[i].held_out == out[i] and got[i].predicted == int(got[i].score >= 0.3)
+
+
+def test_decontamination_of_repeated_rows_and_null_ids(spark):
+    item = "the quick brown fox jumps over the lazy dog while a slow grey cat sleeps all day long"
+    bench = spark.createDataFrame([(1, item), (1, item), (None, item), (2, ""), (3, None)], "item_id long, text string")
+    rows = [(7, f"so {item} ends"), (7, f"so {item} ends"), (None, item), (8, "nothing of it"), (9, None)]
+    got = {(r.doc_id, r.item_id): r.n_windows for r in decontam.matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    n = len(item.split()) - 12
+    assert got == {(7, 1): 4 * n, (7, None): 2 * n, (None, 1): 2 * n, (None, None): n}
+    assert decontam.matches(spark.createDataFrame(rows, "doc_id long, text string"), bench.limit(0)).collect() == []
+
+
+def test_conversations_without_an_id_are_one(spark):
+    rows = [(None, 1, "assistant", "b"), (None, 0, "user", "a"), (None, None, None, None)]
+    got = chat.read_examples(chat.format_examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert [(r.conv_id, r.n_turns, r.loss_chars) for r in got] == [(None, 3, 1)]
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     got = QUERIES["op8_quality_classifier"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
