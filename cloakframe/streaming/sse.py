@@ -33,6 +33,8 @@ def split_events(carry: bytes, frame: bytes) -> tuple[list[bytes], bytes]:
 
 def fragment(event: bytes) -> tuple[dict, str] | None:
     """The payload of an event that carries partial JSON, and that fragment; none for other events."""
+    if b"input_json_delta" not in event and b"\\u" not in event:
+        return None
     lines = event.decode("utf-8", "replace").splitlines()
     data = "\n".join(x[5:].removeprefix(" ") for x in lines if x.startswith("data:"))
     try:
@@ -62,7 +64,10 @@ class Assembler:
 
     def __init__(self, look: Callable[[str, str], str | None], prefix: str = PREFIX, carry: bytes = b"", text: str = "", held: list[str] | None = None):
         self.look, self.prefix, self.carry, self.text = look, prefix, carry, text
-        self.held = [e.encode() for e in held or []]
+        #: Events that wait, each with its payload and fragment, which are read once.
+        self.held = [(e.encode(), *fragment(e.encode())) for e in held or []]
+        #: Characters of the longest placeholder that may have begun: prefix, kind, id and brackets.
+        self.longest = len(prefix) + 3 + 16 + 1 + 64 + 2
         self.tail = re.compile(partial_tail_pattern(prefix).replace(r"\z", r"\Z"))
 
     def feed(self, frame: bytes) -> list[bytes]:
@@ -74,22 +79,22 @@ class Assembler:
                 out += self.flush()
                 out.append(event)
             else:
-                self.held.append(event)
+                self.held.append((event, *found))
                 self.text += found[1]
                 out += self._release()
         return out
 
     def _release(self) -> list[bytes]:
         """Let go what can't be part of a placeholder any more; the last event waits while it may be."""
-        cut = self.tail.search(self.text)
+        at = max(0, len(self.text) - self.longest)
+        cut = self.tail.search(self.text, self.text.find("{", at) if "{" in self.text[at:] else len(self.text))
         ready, rest = (self.text[: cut.start()], self.text[cut.start() :]) if cut else (self.text, "")
         ready, _ = restore(ready, self.look, self.prefix)
         if rest and len(self.held) == 1:
             return []
         going = self.held[:-1] if rest else self.held
         out = []
-        for i, event in enumerate(going):
-            payload, own = fragment(event)
+        for i, (event, payload, own) in enumerate(going):
             part = ready if i == len(going) - 1 else head_within(ready, len(own.encode()))
             ready = ready[len(part) :]
             out.append(with_fragment(event, payload, part))
@@ -102,8 +107,7 @@ class Assembler:
             return []
         done, _ = restore(self.text, self.look, self.prefix)
         out = []
-        for i, event in enumerate(self.held):
-            payload, own = fragment(event)
+        for i, (event, payload, own) in enumerate(self.held):
             part = done if i == len(self.held) - 1 else head_within(done, len(own.encode()))
             done = done[len(part) :]
             out.append(with_fragment(event, payload, part))
@@ -135,7 +139,7 @@ def reassembled(frames: DataFrame, look: Callable[[str, str], str | None], prefi
         if ended:
             state.remove()
         else:
-            state.update((one.carry, one.text, json.dumps([e.decode() for e in one.held]), n + len(events)))
+            state.update((one.carry, one.text, json.dumps([e.decode() for e, _, _ in one.held]), n + len(events)))
             state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"stream_id": [key[0]] * len(events), "n": range(n, n + len(events)), "event": events})
 
