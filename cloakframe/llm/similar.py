@@ -4,8 +4,10 @@ Sets of n shingles that are similar share one among the first n - similarity * n
 any one order of all shingles. The order is that of hashes, with those last that are among
 the first of very many texts by hash alone (hot ones); so every similar pair meets in a group under a shared shingle, and
 common lines make no large group. Within its groups a text searches the Gray-order index
-of 256-bit SimHashes, and what it finds is verified on the whole sets. Each round links
-what it verified; texts that are linked by then are no longer compared.
+of 256-bit SimHashes, and what it finds is verified on the whole sets: the nearest ones by
+a join; groups of very many candidates in one place, with their sets as bits, so that no
+pairs are written. Each round links what it verified, and texts that are linked by then
+are no longer compared.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import seeds
 from .common import bounded_batches, delete, materialise, parts
-from .components import connected_components
+from .components import connected_components, forest
 from .seeds import Grid, Words
 from .simhash import GrayIndex, gray_rank, numbered
 
@@ -35,8 +37,10 @@ MOST_BITS = 72
 LEAST_SHINGLES = 40
 #: Differing bits within which the first round takes a text for one of its leader's.
 NEAR_BITS, LEADERS = 40, 8
-#: Partners that a text proposes at once; where it has more, another round follows with eight times as many.
+#: Partners that a text proposes to be verified by a join; a group where some text has more is compared as a whole instead.
 PARTNERS = 16
+#: Texts of a slice; larger groups are compared slice by slice.
+SLICE = 8192
 
 
 def shingles(texts: Words, width: int) -> list[np.ndarray]:
@@ -240,34 +244,45 @@ def _may(n: np.ndarray, m: np.ndarray, apart: np.ndarray, similarity: float) ->
     return (small >= large * similarity - 1e-9) & ((apart <= MOST_BITS) | (small < LEAST_SHINGLES))
 
 
-def _partners(code: np.ndarray, n: np.ndarray, label: np.ndarray, fp: np.ndarray, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Row pairs of each text and the nearest texts of its groups that it may be similar to and isn't linked with, and whether some had more than most."""
+def _ordered(group: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    return np.lexsort([*(gray_rank(fp[:, k]) for k in range(WIDTH - 1, -1, -1)), group])
+
+
+def _limits(n: np.ndarray, similarity: float) -> np.ndarray:
+    return np.where(n * similarity < LEAST_SHINGLES, 64 * WIDTH, MOST_BITS)
+
+
+def _partners(code: np.ndarray, n: np.ndarray, label: np.ndarray, fp: np.ndarray, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row pairs of each text and the nearest texts of its groups that it may be similar to and isn't linked with, and the codes of groups where some has more than most."""
     group = np.unique(code, return_inverse=True)[1]
-    order = np.lexsort([*(gray_rank(fp[:, k]) for k in range(WIDTH - 1, -1, -1)), group])
-    limit = np.where(n[order] * similarity < LEAST_SHINGLES, 64 * WIDTH, MOST_BITS)
+    order = _ordered(group, fp)
     i, j, d = (np.empty(0, np.int64) for _ in range(3))
-    more = False
+    crowded = np.empty(0, np.uint64)
 
     def nearest() -> None:
-        nonlocal i, j, d, more
+        nonlocal i, j, d, crowded
         by = np.lexsort([d, i])
         i, j, d = i[by], j[by], d[by]
         starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.empty(0, np.int64)
         place = np.arange(len(i)) - np.repeat(starts, np.diff(np.r_[starts, len(i)]))
-        more |= bool((place >= most).any())
+        crowded = np.union1d(crowded, code[order[i[place >= most]]])
         i, j, d = i[place < most], j[place < most], d[place < most]
 
-    for x, y, apart in GrayIndex(group[order], fp[order], label[order]).pairs(limit):
+    for x, y, apart in GrayIndex(group[order], fp[order], label[order]).pairs(_limits(n[order], similarity)):
         may = _may(n[order[x]], n[order[y]], apart, similarity)
         i, j, d = np.r_[i, x[may]], np.r_[j, y[may]], np.r_[d, apart[may]]
         if len(i) > 1 << 20:
             nearest()
     nearest()
-    return order[i], order[j], more
+    whole = np.isin(code[order[i]], crowded)
+    return order[i[~whole]], order[j[~whole]], crowded
 
 
 def _candidates(members: DataFrame, similarity: float, buckets: int, leaders: int = 0, most: int = PARTNERS) -> DataFrame:
-    """a, b and more: pairs of keys to verify. members: key, n, print, codes, label; leaders: by leaders alone, over so many shingles of each text."""
+    """a and b: pairs of keys to verify; or code and size of a group that is to be compared as a whole.
+
+    members: key, n, print, codes, label; leaders: by leaders alone, over so many shingles of each text.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,25 +306,115 @@ def _candidates(members: DataFrame, similarity: float, buckets: int, leaders: in
                 continue
             code, key, n, label, fp = *(c[x][some] for x in _MEMBER), fp[some]
             if leaders:
-                (a, b), more = _leaders(code, key, n, fp, similarity), False
+                (a, b), crowded = _leaders(code, key, n, fp, similarity), np.empty(0, np.uint64)
             else:
-                a, b, more = _partners(code, n, label, fp, similarity, most)
+                a, b, crowded = _partners(code, n, label, fp, similarity, most)
             pairs = np.unique(np.sort(np.stack([key[a], key[b]], 1), 1), axis=0)
+            none = lambda n: pa.nulls(n, pa.int64())
             if len(pairs):
-                yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(np.full(len(pairs), more))], ["a", "b", "more"])
+                yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), none(len(pairs)), none(len(pairs))], ["a", "b", "code", "size"])
+            if len(crowded):
+                size = np.bincount(np.searchsorted(crowded, code[np.isin(code, crowded)]), minlength=len(crowded))
+                yield pa.record_batch([none(len(crowded)), none(len(crowded)), pa.array(crowded.view(np.int64)), pa.array(size)], ["a", "b", "code", "size"])
 
     dealt = members.mapInArrow(deal, "bucket long, " + ", ".join(f"{x} binary" for x in (*_MEMBER, "print")))
-    return seeds.to_buckets(dealt, buckets).mapInArrow(search, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    return seeds.to_buckets(dealt, buckets).mapInArrow(search, "a long, b long, code long, size long").distinct()
+
+
+def _set_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """The sets as rows of bits (n, words), of what at least two of them have: what two share is among that."""
+    value, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    several = times[place] > 1
+    row, column = row[several], column[place[several]]
+    out = np.zeros((len(sets), int(column.max(initial=0)) // 64 + 1), np.uint64)
+    np.bitwise_or.at(out, (row, column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
+    return out
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
+def _shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How much the sets of each pair share, exactly."""
+    rows, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = place[: len(a)], place[len(a) :]
+    total = np.zeros(len(a), np.int64)
+    # By parts of the range of hashes, so that the bits at hand stay few.
+    parts_ = 1 + sum(len(sets[i]) for i in rows) // (1 << 18)
+    bounds = np.array([(p << 64) // parts_ for p in range(1, parts_)], np.uint64)
+    cuts = [np.r_[0, np.searchsorted(sets[i], bounds), len(sets[i])] for i in rows]
+    for p in range(parts_):
+        bits = _set_bits([sets[i][c[p] : c[p + 1]] for i, c in zip(rows, cuts)])
+        for w in range(bits.shape[1]):
+            total += np.bitwise_count(bits[a, w] & bits[b, w])
+    return total
+
+
+def _compared(members: DataFrame, crowded: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect what is similar within each crowded group (code, size), compared as a whole, slice by slice."""
+
+    def loosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("codes")]
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), [len(c) for c in codes]))
+            yield pa.record_batch([pa.array(np.concatenate([np.empty(0, np.int64), *codes])), *(batch.column(c).take(rows) for c in ("key", "n", "label", "print"))], ["code", "key", "n", "label", "print"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            ids = np.stack([batch.column(c).to_numpy() for c in ("code", "i", "j")], 1)
+            cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1
+            for a, z in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(ids)].tolist()):
+                if z > a:
+                    if rows and last != tuple(ids[a]):
+                        yield links(pa.Table.from_batches(rows))
+                        rows = []
+                    rows.append(batch.slice(a, z - a))
+                    last = tuple(ids[a])
+        if rows:
+            yield links(pa.Table.from_batches(rows))
+        seeds.give_back()
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        key, n, label, own = (rows.column(c).to_numpy() for c in ("key", "n", "label", "own"))
+        fp = seeds.loose(rows.column("print"), np.uint64).reshape(-1, WIDTH)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("s")]
+        across = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+        order = _ordered(np.zeros(len(key), np.int64), fp)
+        a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+        for x, y, apart in GrayIndex(np.zeros(len(key), np.int64), fp[order], label[order]).pairs(_limits(n[order], similarity)):
+            x, y = order[x], order[y]
+            may = _may(n[x], n[y], apart, similarity) & ((own[x] != own[y]) | (not across))
+            x, y = x[may], y[may]
+            if len(x):
+                both = _shared_counts(sets, x, y)
+                alike = both >= (n[x] + n[y] - both) * similarity - 1e-9
+                a, b = forest(np.concatenate([a, key[x[alike]]]), np.concatenate([b, key[y[alike]]]))
+        return pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+    each = members.mapInArrow(loosen, "code long, key long, n long, label long, print binary").join(crowded, "code")
+    each = materialise(each.withColumn("slices", F.ceil(F.col("size") / SLICE)).withColumn("own", F.pmod(F.xxhash64("key"), F.col("slices"))))
+    sets = _sets(texts.join(each.select("key").distinct(), "key", "left_semi"), width)
+    sent = each.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).join(materialise(sets), "key")
+    sent = sent.select("code", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "label", "print", "s")
+    dealt = sent.repartition(parts(members.sparkSession), "code", "i", "j").sortWithinPartitions("code", "i", "j", "key")
+    return materialise(dealt.mapInArrow(compare, "a long, b long"))
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """key and s: the whole shingle set of each text, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, bodies in seeds.portions(batches):
             sets = shingles(_lower(bodies), width)
             yield pa.record_batch([keys, pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "s"])
 
+    return texts.select("key", "body").mapInArrow(run, "key long, s binary")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -320,7 +425,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    sets = materialise(texts.select("key", "body").join(asked, "key", "left_semi").mapInArrow(run, "key long, s binary"))
+    sets = materialise(_sets(texts.join(asked, "key", "left_semi"), width))
     first, second = sets.select(F.col("key").alias("a"), F.col("s").alias("x")), sets.select(F.col("key").alias("b"), F.col("s").alias("y"))
     links = materialise(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
     for done in (asked, sets):
@@ -345,22 +450,24 @@ def classes(texts: DataFrame, width: int = 5, similarity: float = 0.8, hot: int
     members = materialise(_members(own, told, width, similarity, grid))
     for done in told:
         delete(done)
-    edges, found = None, None
-    leaders = 4
-    while True:
+    edges, found, crowded = None, None, None
+    for leaders in (4, 0, None):
+        if leaders is None and crowded is None:
+            break
         labelled = members.withColumn("label", F.col("key"))
         if found is not None:
             labelled = members.join(found, members.key == found.node, "left").select(members["*"], F.coalesce("component", "key").alias("label"))
-        pairs = materialise(_candidates(labelled, similarity, grid.buckets, leaders, most))
-        more = pairs.agg(F.max("more")).first()[0]
-        if more is not None:
-            links = _verified(pairs.select("a", "b"), own, width, similarity)
+        if leaders is None:
+            links = _compared(labelled, crowded, own, width, similarity)
+        else:
+            asked = materialise(_candidates(labelled, similarity, grid.buckets, leaders, most))
+            links = _verified(asked.where("a is not null").select("a", "b"), own, width, similarity)
+            if asked.where("code is not null").limit(1).count():
+                crowded = materialise(asked.where("code is not null").select("code", "size"))
+            delete(asked)
+        if links.limit(1).count():
             edges = links if edges is None else edges.unionAll(links)
             found = materialise(connected_components(edges))
-        delete(pairs)
-        if not leaders and not more:
-            break
-        leaders, most = 0, most if leaders else 8 * most
     delete(members)
     if found is not None:
         reps = materialise(reps.join(found, reps.rep == found.node, "left").select("hi", "lo", F.coalesce("component", "rep").alias("rep")))
