@@ -26,8 +26,8 @@ from .common import bounded_batches, materialise
 FIT_ROWS = 16_384
 #: Distinct vectors of a list in one block, and queries in one block, on average.
 BLOCK_ROWS, BLOCK_QUERIES = 65_536, 512
-#: Vectors of the sample from which a query has its least score by code.
-FLOOR_ROWS = 4_096
+#: Shares of a query's lists after which its least score by code is taken anew from what was found.
+WAVES = (1 / 64, 1 / 16, 1 / 4, 1)
 #: How much the parallel part of the error weighs against the part across.
 ETA = 4.0
 CODEWORDS = 16
@@ -237,9 +237,8 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = 200
     model = fit(sample, int(min(1024, max(1, round(np.sqrt(size.c) / 2)))))
     probes = needed_probes(model, sample, k, recall)
     # What a query's best by code among the sample have, its best of all rows have at least.
-    some = sample[:FLOOR_ROWS]
-    floor_lists = _nearest(augmented(some), model.centres)
-    floor_codes = encode(model, augmented(some), floor_lists)
+    floor_lists = _nearest(augmented(sample), model.centres)
+    floor_codes = encode(model, augmented(sample), floor_lists)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,15 +269,15 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = 200
                 if len(own) > rerank:
                     near = scan(model, q[i : i + 1], floor_codes[own], floor_lists[own])[0]
                     floor[i] = -np.partition(-near, rerank)[rerank]
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), best.shape[1]))
-            yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(floor).take(rows), pa.array(best.ravel())], ["query_id", "q", "floor", "list"])
+            wave = np.searchsorted(np.ceil(np.array(WAVES) * best.shape[1]), np.arange(best.shape[1]), "right")
+            lists = [[{"wave": w, "list": x} for w, x in zip(wave.tolist(), row)] for row in best.tolist()]
+            yield pa.record_batch([*batch.columns, pa.array(floor), pa.array(lists, pa.list_(pa.struct([("wave", pa.int64()), ("list", pa.int64())])))], ["query_id", "q", "floor", "lists"])
 
-    visits = queries.mapInArrow(probed, "query_id long, q array<double>, floor double, list long")
+    asked = materialise(queries.mapInArrow(probed, "query_id long, q array<double>, floor double, lists array<struct<wave: long, list: long>>"))
     counts = codes.groupBy("list").agg(F.count("*").alias("rows"))
     blocks = counts.select("list", F.ceil(F.col("rows") / BLOCK_ROWS).alias("v_blocks"), F.ceil(F.lit(max(1, queries.count()) / BLOCK_QUERIES)).alias("q_blocks"))
     blocks = F.broadcast(materialise(blocks))  # a row for each of at most 1,024 lists
     across = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = visits.join(blocks, "list").select("list", across("v_blocks").alias("v"), F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).alias("b"), "query_id", "q", "floor")
     right = codes.join(blocks, "list").select("list", F.pmod(F.col("vid"), F.col("v_blocks")).alias("v"), across("q_blocks").alias("b"), "vid", "codes")
 
     def search(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -293,10 +292,20 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = 200
                     found.append((np.full(len(best), asked["query_id"].iat[i]), vid[best], near[best]))
         return pd.DataFrame(dict(zip(("query_id", "vid", "near"), map(np.concatenate, zip(*found)))))
 
-    hits = left.groupBy("list", "v", "b").cogroup(right.groupBy("list", "v", "b")).applyInPandas(search, "query_id long, vid long, near double")
+    best = None
+    floors = asked.select("query_id", "floor")
+    for wave in range(len(WAVES)):
+        now = asked.select("query_id", "q", F.explode(F.filter("lists", lambda x: x["wave"] == wave)).alias("x")).select("query_id", "q", "x.list").join(floors, "query_id")
+        left = now.join(blocks, "list").select("list", across("v_blocks").alias("v"), F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).alias("b"), "query_id", "q", "floor")
+        hits = left.groupBy("list", "v", "b").cogroup(right.groupBy("list", "v", "b")).applyInPandas(search, "query_id long, vid long, near double")
+        found = hits.groupBy("query_id").agg(F.collect_list(F.struct("near", "vid")).alias("near"))
+        if best is not None:
+            found = best.select("query_id", F.col("near").alias("old")).join(found, "query_id", "full").select("query_id", F.concat(F.coalesce("old", F.array().cast(best.schema["near"].dataType)), F.coalesce("near", F.array().cast(best.schema["near"].dataType))).alias("near"))
+        best = materialise(found.select("query_id", F.slice(F.sort_array("near", asc=False), 1, rerank).alias("near")))
+        higher = best.where(F.size("near") == rerank).select("query_id", F.element_at("near", rerank)["near"].alias("higher"))
+        floors = asked.select("query_id", "floor").join(higher, "query_id", "left").select("query_id", F.greatest("floor", "higher").alias("floor"))
     # Copies of the query itself are no neighbours, but take a place.
-    short = hits.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("near", "vid")), asc=False), 1, rerank).alias("near"))
-    short = materialise(short.select("query_id", F.explode("near.vid").alias("vid")))
+    short = materialise(best.select("query_id", F.explode("near.vid").alias("vid")))
     pairs = short.join(distinct, "vid").join(queries, "query_id")
     square = F.aggregate(F.zip_with("vector", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda sum_, x: sum_ + x)
     each = pairs.select("query_id", F.explode("ids").alias("vec_id"), F.sqrt(square).alias("score")).where("vec_id <> query_id")
