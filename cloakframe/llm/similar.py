@@ -5,8 +5,8 @@ any one order of all shingles. The order is that of hashes, with those last that
 the first of very many texts by hash alone (hot ones); so every similar pair meets in a group under a shared shingle, and
 common lines make no large group. Within its groups a text searches the Gray-order index
 of 256-bit SimHashes, and what it finds is verified on the whole sets: the nearest ones by
-a join; groups of very many candidates in one place, with their sets as bits, so that no
-pairs are written. Each round links what it verified, and texts that are linked by then
+a join; families of very many candidates in one place, with their sets as bits, so that
+no pairs are written. Each round links what it verified, and texts that are linked by then
 are no longer compared.
 """
 
@@ -37,9 +37,9 @@ MOST_BITS = 72
 LEAST_SHINGLES = 40
 #: Differing bits within which the first round takes a text for one of its leader's.
 NEAR_BITS, LEADERS = 40, 8
-#: Partners that a text proposes to be verified by a join; a group where some text has more is compared as a whole instead.
+#: Partners that a text proposes to be verified by a join; where some text of a group has more, they are compared as a whole instead.
 PARTNERS = 16
-#: Texts of a slice; larger groups are compared slice by slice.
+#: Texts of a slice; larger families are compared slice by slice.
 SLICE = 8192
 
 
@@ -252,20 +252,25 @@ def _limits(n: np.ndarray, similarity: float) -> np.ndarray:
     return np.where(n * similarity < LEAST_SHINGLES, 64 * WIDTH, MOST_BITS)
 
 
-def _partners(code: np.ndarray, n: np.ndarray, label: np.ndarray, fp: np.ndarray, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row pairs of each text and the nearest texts of its groups that it may be similar to and isn't linked with, and the codes of groups where some has more than most."""
+def _partners(code: np.ndarray, n: np.ndarray, label: np.ndarray, fp: np.ndarray, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row pairs of each text and those texts of its groups that it may be similar to and isn't linked with.
+
+    Where some text of a group has more than most of them, the group gives rows that
+    connect them all instead (the last two arrays).
+    """
     group = np.unique(code, return_inverse=True)[1]
     order = _ordered(group, fp)
-    i, j, d = (np.empty(0, np.int64) for _ in range(3))
-    crowded = np.empty(0, np.uint64)
+    i, j, d, up, node = (np.empty(0, np.int64) for _ in range(5))
+    crowded = np.empty(0, np.int64)
 
     def nearest() -> None:
-        nonlocal i, j, d, crowded
+        nonlocal i, j, d, up, node, crowded
+        node, up = forest(np.concatenate([up, i]), np.concatenate([node, j]))
         by = np.lexsort([d, i])
         i, j, d = i[by], j[by], d[by]
         starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.empty(0, np.int64)
         place = np.arange(len(i)) - np.repeat(starts, np.diff(np.r_[starts, len(i)]))
-        crowded = np.union1d(crowded, code[order[i[place >= most]]])
+        crowded = np.union1d(crowded, group[order[i[place >= most]]])
         i, j, d = i[place < most], j[place < most], d[place < most]
 
     for x, y, apart in GrayIndex(group[order], fp[order], label[order]).pairs(_limits(n[order], similarity)):
@@ -274,12 +279,12 @@ def _partners(code: np.ndarray, n: np.ndarray, label: np.ndarray, fp: np.ndarray
         if len(i) > 1 << 20:
             nearest()
     nearest()
-    whole = np.isin(code[order[i]], crowded)
-    return order[i[~whole]], order[j[~whole]], crowded
+    few, many = ~np.isin(group[order[i]], crowded), np.isin(group[order[node]], crowded)
+    return order[i[few]], order[j[few]], order[up[many]], order[node[many]]
 
 
 def _candidates(members: DataFrame, similarity: float, buckets: int, leaders: int = 0, most: int = PARTNERS) -> DataFrame:
-    """a and b: pairs of keys to verify; or code and size of a group that is to be compared as a whole.
+    """a, b and tied: pairs of keys to verify, or, tied, that connect texts which are to be compared as a whole.
 
     members: key, n, print, codes, label; leaders: by leaders alone, over so many shingles of each text.
     """
@@ -306,19 +311,17 @@ def _candidates(members: DataFrame, similarity: float, buckets: int, leaders: in
                 continue
             code, key, n, label, fp = *(c[x][some] for x in _MEMBER), fp[some]
             if leaders:
-                (a, b), crowded = _leaders(code, key, n, fp, similarity), np.empty(0, np.uint64)
+                found = [(*_leaders(code, key, n, fp, similarity), False)]
             else:
-                a, b, crowded = _partners(code, n, label, fp, similarity, most)
-            pairs = np.unique(np.sort(np.stack([key[a], key[b]], 1), 1), axis=0)
-            none = lambda n: pa.nulls(n, pa.int64())
-            if len(pairs):
-                yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), none(len(pairs)), none(len(pairs))], ["a", "b", "code", "size"])
-            if len(crowded):
-                size = np.bincount(np.searchsorted(crowded, code[np.isin(code, crowded)]), minlength=len(crowded))
-                yield pa.record_batch([none(len(crowded)), none(len(crowded)), pa.array(crowded.view(np.int64)), pa.array(size)], ["a", "b", "code", "size"])
+                a, b, up, node = _partners(code, n, label, fp, similarity, most)
+                found = [(a, b, False), (up, node, True)]
+            for a, b, tied in found:
+                pairs = np.unique(np.sort(np.stack([key[a], key[b]], 1), 1), axis=0)
+                if len(pairs):
+                    yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(np.full(len(pairs), tied))], ["a", "b", "tied"])
 
     dealt = members.mapInArrow(deal, "bucket long, " + ", ".join(f"{x} binary" for x in (*_MEMBER, "print")))
-    return seeds.to_buckets(dealt, buckets).mapInArrow(search, "a long, b long, code long, size long").distinct()
+    return seeds.to_buckets(dealt, buckets).mapInArrow(search, "a long, b long, tied boolean").distinct()
 
 
 def _set_bits(sets: list[np.ndarray]) -> np.ndarray:
@@ -349,20 +352,14 @@ def _shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.n
     return total
 
 
-def _compared(members: DataFrame, crowded: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links (a, b) that connect what is similar within each crowded group (code, size), compared as a whole, slice by slice."""
-
-    def loosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("codes")]
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), [len(c) for c in codes]))
-            yield pa.record_batch([pa.array(np.concatenate([np.empty(0, np.int64), *codes])), *(batch.column(c).take(rows) for c in ("key", "n", "label", "print"))], ["code", "key", "n", "label", "print"])
+def _compared(members: DataFrame, ties: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect what is similar within each family of tied texts, compared as a whole, slice by slice."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
-            ids = np.stack([batch.column(c).to_numpy() for c in ("code", "i", "j")], 1)
+            ids = np.stack([batch.column(c).to_numpy() for c in ("family", "i", "j")], 1)
             cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1
             for a, z in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(ids)].tolist()):
                 if z > a:
@@ -392,13 +389,19 @@ def _compared(members: DataFrame, crowded: DataFrame, texts: DataFrame, width: i
                 a, b = forest(np.concatenate([a, key[x[alike]]]), np.concatenate([b, key[y[alike]]]))
         return pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
-    each = members.mapInArrow(loosen, "code long, key long, n long, label long, print binary").join(crowded, "code")
-    each = materialise(each.withColumn("slices", F.ceil(F.col("size") / SLICE)).withColumn("own", F.pmod(F.xxhash64("key"), F.col("slices"))))
-    sets = _sets(texts.join(each.select("key").distinct(), "key", "left_semi"), width)
-    sent = each.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).join(materialise(sets), "key")
-    sent = sent.select("code", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "label", "print", "s")
-    dealt = sent.repartition(parts(members.sparkSession), "code", "i", "j").sortWithinPartitions("code", "i", "j", "key")
-    return materialise(dealt.mapInArrow(compare, "a long, b long"))
+    tied = materialise(connected_components(ties))
+    family = tied.select(F.col("node").alias("key"), F.col("component").alias("family")).unionAll(tied.select("component", "component").distinct())
+    sizes = family.groupBy("family").agg(F.ceil(F.count("*") / SLICE).alias("slices"))
+    each = members.select("key", "n", "label", "print").join(family, "key").join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("key"), F.col("slices")))
+    each = materialise(each)
+    sets = materialise(_sets(texts.join(each.select("key"), "key", "left_semi"), width))
+    sent = each.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).join(sets, "key")
+    sent = sent.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "label", "print", "s")
+    dealt = sent.repartition(parts(members.sparkSession), "family", "i", "j").sortWithinPartitions("family", "i", "j", "key")
+    links = materialise(dealt.mapInArrow(compare, "a long, b long"))
+    for done in (tied, each, sets):
+        delete(done)
+    return links
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -450,20 +453,20 @@ def classes(texts: DataFrame, width: int = 5, similarity: float = 0.8, hot: int
     members = materialise(_members(own, told, width, similarity, grid))
     for done in told:
         delete(done)
-    edges, found, crowded = None, None, None
+    edges, found, ties = None, None, None
     for leaders in (4, 0, None):
-        if leaders is None and crowded is None:
+        if leaders is None and ties is None:
             break
         labelled = members.withColumn("label", F.col("key"))
         if found is not None:
             labelled = members.join(found, members.key == found.node, "left").select(members["*"], F.coalesce("component", "key").alias("label"))
         if leaders is None:
-            links = _compared(labelled, crowded, own, width, similarity)
+            links = _compared(labelled, ties, own, width, similarity)
         else:
             asked = materialise(_candidates(labelled, similarity, grid.buckets, leaders, most))
-            links = _verified(asked.where("a is not null").select("a", "b"), own, width, similarity)
-            if asked.where("code is not null").limit(1).count():
-                crowded = materialise(asked.where("code is not null").select("code", "size"))
+            links = _verified(asked.where("not tied").select("a", "b"), own, width, similarity)
+            if asked.where("tied").limit(1).count():
+                ties = materialise(asked.where("tied").select("a", "b"))
             delete(asked)
         if links.limit(1).count():
             edges = links if edges is None else edges.unionAll(links)
