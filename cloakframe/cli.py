@@ -19,12 +19,13 @@ from .errors import STRICT_RESOLVE_FAILED, MaskError
 
 def _redact(args: argparse.Namespace, settings: config.Settings) -> int:
     """Mask the body on stdin; the mapping goes to a file that only the owner reads."""
+    from .operators import hooks
     from .operators.bodies import Masker
 
     body, found, code = Masker(settings, secrets.token_bytes(32)).body(sys.stdin.read())
-    blocked = [h for h in settings.hooks if h.action == "block" and any(h.applies("secret_detected", f["rule_id"]) for f in found)]
-    if blocked:
-        print(f"hook_blocked: {blocked[0].message or 'request blocked by hook'}", file=sys.stderr)
+    now = int(datetime.now(timezone.utc).timestamp())
+    if (blocked := hooks.run_local(found, settings.hooks, "secret_detected", "stdin", now)) is not None:
+        print(f"hook_blocked: {blocked}", file=sys.stderr)
         return 1
     if code:
         print(code, file=sys.stderr)
@@ -40,6 +41,8 @@ def _redact(args: argparse.Namespace, settings: config.Settings) -> int:
             for x in found:
                 row = {"ts": f"{datetime.now(timezone.utc):%Y-%m-%dT%H:%M:%SZ}", "request_host": "stdin", "action": "redacted", "match_source": x["source"], "confidence_score": x["score"], "decoded_depth": x["depth"]}
                 f.write(json.dumps(row | {k: x[k] for k in ("rule_id", "kind", "subtype", "policy", "placeholder", "confidence", "entropy")}) + "\n")
+    if not settings.dry_run:
+        hooks.run_local(found, settings.hooks, "request_redacted", "stdin", now)
     sys.stdout.write(body)
     n = len(found)
     print("no replacements" if not n else f"{'would replace' if settings.dry_run else 'replaced'} {n} sensitive value(s)", file=sys.stderr)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import subprocess
@@ -53,6 +54,13 @@ def run_log(rows: DataFrame, hook: Hook) -> None:
     rows.write.mode("append").json(hook.path)
 
 
+def _execute(command: str, limit: float, record: dict) -> None:
+    """Run a command with a record as its input and in its environment; one that takes too long is ended."""
+    env = os.environ | {f"CLOAKFRAME_{k.upper()}": "" if v is None else str(v) for k, v in record.items() if k != "action"}
+    with contextlib.suppress(subprocess.TimeoutExpired):
+        subprocess.run(["/bin/sh", "-c", command], input=json.dumps(record).encode(), env=env, timeout=limit, check=False, stdout=subprocess.DEVNULL)
+
+
 def run_exec(rows: DataFrame, hook: Hook, allow: bool = False) -> None:
     """Run the hook's command for each record, on the executors: off unless allowed, as it runs commands on workers."""
     if not allow:
@@ -61,11 +69,23 @@ def run_exec(rows: DataFrame, hook: Hook, allow: bool = False) -> None:
 
     def each(part: Iterable) -> None:
         for row in part:
-            record = row.asDict()
-            env = os.environ | {f"CLOAKFRAME_{k.upper()}": "" if v is None else str(v) for k, v in record.items() if k != "action"}
-            try:
-                subprocess.run(["/bin/sh", "-c", command], input=json.dumps(record).encode(), env=env, timeout=limit, check=False, stdout=subprocess.DEVNULL)
-            except subprocess.TimeoutExpired:
-                continue
+            _execute(command, limit, row.asDict())
 
     rows.foreachPartition(each)
+
+
+def run_local(found: Iterable[dict], hooks: Iterable[Hook], event: str, host: str, ts: int) -> str | None:
+    """The hooks of an event for the replacements of one message, in this process; the message of the first that blocks it, which ends them."""
+    for f in found:
+        record = {"event": event, "ts": ts, "request_host": host} | {k: f[k] for k in ("rule_id", "kind", "subtype", "placeholder")}
+        for hook in hooks:
+            if not hook.applies(event, f["rule_id"]):
+                continue
+            if hook.action == "block":
+                return hook.message or f"request blocked by hook for rule {f['rule_id']}"
+            if hook.action == "log":
+                with open(hook.path, "a") as out:
+                    out.write(json.dumps(record | {"action": "log"}) + "\n")
+            else:
+                _execute(hook.command, hook.timeout_ms / 1000, record | {"action": "exec"})
+    return None

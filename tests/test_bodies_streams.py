@@ -1,16 +1,17 @@
 from __future__ import annotations
 
+import io
 import json
 import re
 from datetime import timedelta
 
 import pytest
-from cloakframe import cli
+from cloakframe import cli, log
 from cloakframe.config import Detection, Hook, Settings, from_env, from_toml, parse_duration
 from cloakframe.errors import MaskError
 from cloakframe.functions.local import decoded, restore
 from cloakframe.log import scrub
-from cloakframe.operators import audit, bodies, detect, hooks, rewrite
+from cloakframe.operators import audit, bodies, classify, detect, hooks, rewrite
 from cloakframe.plans import fixtures as X
 from cloakframe.streaming import messages
 from cloakframe.streaming.sse import Assembler, fragment, head_within, split_events
@@ -182,3 +183,69 @@ def test_findings_are_worked_out_once(spark):
     out = rewrite.masked(detect.with_findings(rows, "t", Detection.everything()), "t").where(F.size("replacements") > 0).select("masked")
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("national id") == 1, plan
+
+
+def test_log_levels_and_scrubbed_messages(capsys):
+    log.LOGGER.handlers.clear()
+    log.configure(" Warning ")
+    log.emit("info", "quiet")
+    log.emit("error", "password=hunter22", "invalid_json")
+    log.configure("debug")
+    log.emit("debug", "now")
+    assert capsys.readouterr().err == "cloakframe error: invalid_json: password=[redacted]\ncloakframe debug: now\n"
+    with pytest.raises(MaskError):
+        log.configure("loud")
+
+
+def test_a_model_that_is_asked_about_findings(spark):
+    """Replies decide, failures accept."""
+
+    def ask(asked):
+        value = json.loads(asked)["value"]
+        if "415" in value:
+            raise OSError("no network")
+        return " deny" if value.startswith("1 (") else "allow it"
+
+    rows = spark.createDataFrame([(1, "call +1 (212) 555-0123"), (2, "call 415-555-0199"), (3, "call 212-555-0177")], "k int, t string")
+    out = detect.with_findings(rows, "t", Detection(entropy=False, phones=True), classifier=classify.asking(ask))
+    got = {r.k: [f.source for f in r.findings] for r in out.collect()}
+    assert got == {1: [], 2: ["classifier"], 3: ["classifier"]}
+
+
+def test_report(spark):
+    rows = spark.createDataFrame([r for r in X.AUDIT], "ts string, rule_id string, kind string, request_host string, action string")
+    said = audit.render(rows, "p", 1).splitlines()
+    assert said[1] == "Total redactions: 4" and "- email: 2" in said and "- api.one.example: 2" in said
+    assert "- none" in audit.render(rows.limit(0), "p")
+
+
+def test_hooks_of_the_command_line(tmp_path, monkeypatch, capsys):
+    """redact logs what it changed, runs a command for it, and is blocked by a found card."""
+    log_path, told = tmp_path / "hook.jsonl", tmp_path / "told"
+    conf = tmp_path / "c.toml"
+    conf.write_text(f"""notice_mode = "off"
+audit_path = "off"
+[detection]
+payment_cards = true
+[[hooks]]
+event = "request_redacted"
+action = "log"
+path = "{log_path}"
+[[hooks]]
+event = "secret_detected"
+action = "exec"
+command = "cat >> {told}; echo $CLOAKFRAME_RULE_ID >> {told}"
+rule_ids = ["opaque.high_entropy"]
+[[hooks]]
+event = "secret_detected"
+action = "block"
+rule_ids = ["typed.card.pan"]
+""")
+    monkeypatch.setattr("sys.stdin", io.StringIO(X.BODIES[0][1]))
+    assert cli.main(["--config", str(conf), "redact"]) == 0
+    record = json.loads(log_path.read_text())
+    assert record["rule_id"] == "opaque.high_entropy" and record["event"] == "request_redacted" and X.TOKEN not in log_path.read_text() + told.read_text()
+    assert told.read_text().endswith("opaque.high_entropy\n")
+    monkeypatch.setattr("sys.stdin", io.StringIO('{"messages":[{"role":"user","content":"card 4111 1111 1111 1111"}]}'))
+    assert cli.main(["--config", str(conf), "redact"]) == 1
+    assert "hook_blocked" in capsys.readouterr().err
