@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from cloakframe.llm import ann, chat, decontam, mixing, quality, warc
+from cloakframe.llm import ann, chat, decontam, html_extract, mixing, quality, warc
 from cloakframe.llm.queries import ORACLE, QUERIES
 from pyspark.sql import functions as F
 
@@ -303,3 +303,31 @@ def test_index_merge_is_ordered_over_partitions_and_holds_few_chunks(spark, monk
 def test_every_operator_is_registered():
     assert {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in QUERIES}
     assert set(ORACLE) <= set(QUERIES)
+
+
+def test_very_long_texts(spark):
+    """Texts of several hundred kilobytes go through whole."""
+    words = [f"w{i % 613}q{i}" for i in range(60_000)]
+    long, item = " ".join(words), "the quick brown fox jumps over the lazy dog while a slow grey cat sleeps all day long"
+    page = f"<nav>menu</nav><article><p>{long}</p></article>"
+    pages = spark.createDataFrame([(1, "http://a.org/1", page), (2, "http://a.org/2", page), (3, "http://a.org/3", "<p>x</p>")], "page_id long, url string, html string")
+    got = {r.page_id: r.asDict() for r in warc.capture_histories(pages).collect()}
+    assert got[1]["payload_bytes"] == len(page) and got[1]["payload_digest"] == hashlib.sha256(page.encode()).hexdigest()
+    assert [got[i]["refers_to"] for i in (1, 2, 3)] == [None, 1, None]
+    assert {r.page_id: r.text for r in html_extract.main_text(pages).collect()} == {1: long, 2: long, 3: "x"}
+    docs = spark.createDataFrame([(1, f"{long} {item} {long}", "en", "s"), (2, long, "en", "s")], "doc_id long, text string, lang string, source string")
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert [(r.doc_id, r.item_ids) for r in decontam.contaminated(docs, bench).collect()] == [(1, [5])]
+    assert {r.doc_id: r.n_tokens for r in mixing.mix(docs, share=2.0).collect()} == {1: 120_000 + len(item.split()), 2: 60_000}
+    talk = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    assert [(r.n_turns, r.loss_chars) for r in chat.read_examples(chat.format_examples(talk)).collect()] == [(2, len(long))]
+
+
+def test_decontamination_without_the_table_of_leads(spark, monkeypatch):
+    item = "the quick brown fox jumps over the lazy dog while Anna sells 3 apples to Ben all day long"
+    bench = spark.createDataFrame([(1, item), (2, "six words are in this item"), (3, "1 2 3")], "item_id long, text string")
+    rows = [(1, item.replace("Anna", "Cora").replace("3", "7")), (2, "so six words are in this item too"), (3, "1 2 3"), (4, "1 2 4"), (5, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(map(tuple, decontam.matches(docs, bench).collect()))
+    monkeypatch.setattr(decontam, "MOST_BROADCAST", 0)
+    assert sorted(map(tuple, decontam.matches(docs, bench).collect())) == found and {r[0] for r in found} == {1, 2, 3}
