@@ -62,10 +62,10 @@ def ranked_all(rows: DataFrame) -> DataFrame:
 def render(rows: DataFrame, path: str, limit: int = 5) -> str:
     """The report, as text."""
     total = totals(rows).first()
-    out = [f"Audit log: {path}", f"Total redactions: {total.total_redactions}"]
+    out = [f"{total.total_redactions} masked values in {path}"]
     if total.latest_event:
-        out.append(f"Latest event: {total.latest_event}")
-    for title, column in (("Top kinds", "kind"), ("Top rules", "rule_id"), ("Top hosts", "request_host")):
+        out.append(f"last at {total.latest_event}")
+    for title, column in (("by kind", "kind"), ("by rule", "rule_id"), ("by host", "request_host")):
         top = ranked(rows, column, limit).collect()
-        out += [f"{title}:", *([f"- {r['name']}: {r['count']}" for r in top] or ["- none"])]
+        out += [title, *([f"  {r['count']} {r['name']}" for r in top] or ["  nothing"])]
     return "\n".join(out) + "\n"

@@ -4,25 +4,25 @@ from __future__ import annotations
 
 import base64
 
-TOKEN = "aB3dE5fG7hI9jK1lM3nO5pQ7rS9tU1v"
-OTHER_TOKEN = "AbC123DeF456GhI789JkL012MnO345"
-ALLOWED_SHA256 = "d3679906cf1f19933159520c4dc75d3b81fcbcd6d9bc1d939df8ca0e394a84be"
+TOKEN = "Zk4wQ9rT2mX7bN5vL8pJ3cH6gF1dS0y"
+OTHER_TOKEN = "Mv7Tq2Lx9Rb4Zn6Wk1Hd8Gs3Pc5Jy0"
+ALLOWED_SHA256 = "519cd0470532c70d4e2ba6eb6e50bdd773281baa1d584aa2f051291b82212ccc"
 
 TEXTS = [
     (1, f"prefix={TOKEN}"),
     (2, "key=Ab1"),
-    (3, "Call me at +1 (415) 555-0123"),
-    (4, "postgres://app:s3cr3tPw@db/x"),
-    (5, "passport number: AB1234567"),
-    (6, "tax id = AB-123456"),
+    (3, "Call me at +1 (646) 555-0148"),
+    (4, "postgres://app:g4t3Way7@db/x"),
+    (5, "passport number: KD4820917"),
+    (6, "tax id = KD-482091"),
     (7, "ssn 123-45-6789"),
     (8, "cvv=123"),
     (9, "card 4111 1111 1111 1111 x cvv=123"),
     (10, "mail me: bob@example.com"),
-    (11, 'password="S3cret!"\nemail=alice@company.dev\ncard=4111 1111 1111 1111\ncvv=123'),
-    (12, "é ssn=123-45-6788 漢 alice@company.dev é"),
+    (11, 'password="Wint3r!"\nemail=dora@harbour.dev\ncard=4111 1111 1111 1111\ncvv=123'),
+    (12, "é ssn=123-45-6788 漢 dora@harbour.dev é"),
     (13, f"token {OTHER_TOKEN} and {TOKEN}"),
-    (14, "ring 415-555-0199 please"),
+    (14, "ring 646-555-0177 please"),
     (15, ""),
     (16, None),
 ]
@@ -43,7 +43,7 @@ PLACEHOLDERS = [
 ]
 KNOWN = [
     ("deadbeefcafebabe", "opaque_token", TOKEN, "2026-03-11 00:00:00"),
-    ("0123456789abcdef", "email", "alice@company.dev", "2026-03-11 00:00:00"),
+    ("0123456789abcdef", "email", "dora@harbour.dev", "2026-03-11 00:00:00"),
     ("0123456789abcde0", "cvv", "123", "2026-03-09 00:00:00"),
 ]
 
@@ -82,16 +82,16 @@ _LINES = [
 ]
 LOG_LINES = [(n, line, scrubbed) for n, (line, scrubbed) in enumerate(_LINES, 1)]
 
-INNER = '{"email":"alice@company.dev"}'
+INNER = '{"email":"dora@harbour.dev"}'
 BODIES = [
     (1, '{"messages":[{"content":"token = ' + TOKEN + '","role":"user"}]}'),
     (2, '{"messages":[{"content":"token = ' + TOKEN + '","role":"assistant"}]}'),
-    (3, '{"messages":[{"content":[{"text":"mail alice@company.dev","type":"text"}]}]}'),
+    (3, '{"messages":[{"content":[{"text":"mail dora@harbour.dev","type":"text"}]}]}'),
     (4, '{"messages":[{"content":"payload=' + base64.b64encode(INNER.encode()).decode() + '","role":"user"}]}'),
-    (5, '{"input":[{"content":"test","role":"user"}],"instructions":"mail alice@company.dev"}'),
+    (5, '{"input":[{"content":"test","role":"user"}],"instructions":"mail dora@harbour.dev"}'),
     (6, "not json"),
     (7, '{"prompt":"' + "x" * 5000 + '"}'),
-    (8, '{"messages":[{"content":"{\\"to\\":\\"alice@company.dev\\"}","role":"user"}],"model":"claude-x"}'),
+    (8, '{"messages":[{"content":"{\\"to\\":\\"dora@harbour.dev\\"}","role":"user"}],"model":"claude-x"}'),
     (9, None),
 ]
 

@@ -125,7 +125,7 @@ HINTS = "|".join(re.escape(h) for h in PROMPT_HINTS)
 MAIL = render("email", "@").split("@")
 
 
-def _mail_id(secret: str = "alice@company.dev") -> str:
+def _mail_id(secret: str = "dora@harbour.dev") -> str:
     return f"('{MAIL[0]}' || substr(sha256('email' || '{secret}'), 1, 16) || '{MAIL[1]}')"
 
 
@@ -143,16 +143,16 @@ def expected_findings(rows: list[tuple]) -> str:
 def _typed_rows() -> list[tuple]:
     """What the fixture texts hold, by their definition."""
     opaque = lambda n, s: (n, s, "opaque.high_entropy", "opaque_token", "high_entropy", "entropy", "high", 92)
-    mail = lambda n: (n, "alice@company.dev", "typed.email", "email", "email_address", "heuristic", "high", 90)
+    mail = lambda n: (n, "dora@harbour.dev", "typed.email", "email", "email_address", "heuristic", "high", 90)
     return [
         opaque(1, X.TOKEN),
-        (3, "1 (415) 555-0123", "typed.phone", "phone", "phone_number", "heuristic", "low", 55),
-        (4, "s3cr3tPw", "typed.password.dsn", "password", "dsn_userinfo", "heuristic", "high", 95),
-        (5, "AB1234567", "typed.passport", "passport", "passport_number", "heuristic", "low", 58),
-        (6, "AB-123456", "typed.id.labeled", "national_id", "labeled_id", "heuristic", "low", 58),
+        (3, "1 (646) 555-0148", "typed.phone", "phone", "phone_number", "heuristic", "low", 55),
+        (4, "g4t3Way7", "typed.password.dsn", "password", "dsn_userinfo", "heuristic", "high", 95),
+        (5, "KD4820917", "typed.passport", "passport", "passport_number", "heuristic", "low", 58),
+        (6, "KD-482091", "typed.id.labeled", "national_id", "labeled_id", "heuristic", "low", 58),
         (9, "4111 1111 1111 1111 ", "typed.card.pan", "payment_card", "visa", "heuristic", "high", 96),
         (9, "123", "typed.card.cvv", "cvv", "card_cvv", "heuristic", "low", 56),
-        (11, "S3cret!", "typed.password.labeled", "password", "labeled", "heuristic", "high", 92),
+        (11, "Wint3r!", "typed.password.labeled", "password", "labeled", "heuristic", "high", 92),
         mail(11),
         (11, "4111 1111 1111 1111", "typed.card.pan", "payment_card", "visa", "heuristic", "high", 96),
         (11, "123", "typed.card.cvv", "cvv", "card_cvv", "heuristic", "low", 56),
@@ -160,7 +160,7 @@ def _typed_rows() -> list[tuple]:
         mail(12),
         opaque(13, X.OTHER_TOKEN),
         opaque(13, X.TOKEN),
-        (14, "415-555-0199", "typed.phone", "phone", "phone_number", "heuristic", "low", 55),
+        (14, "646-555-0177", "typed.phone", "phone", "phone_number", "heuristic", "low", 55),
     ]
 
 
@@ -268,15 +268,15 @@ ORACLE["resolve_lenient"] = f"SELECT n, {_LENIENT} AS restored, NULL::VARCHAR AS
 ORACLE["resolve_opaque_only"] = f"SELECT n, {_resolved(('opaque_token',))} AS restored FROM {_ROWS}"
 ORACLE["resolve_strict"] = f"""SELECT n, CASE WHEN NOT coalesce(miss, false) THEN r END AS closed, CASE WHEN miss THEN text ELSE r END AS open, CASE WHEN miss THEN 'strict_resolve_failed' END AS error_code
 FROM (SELECT n, text, {_LENIENT} AS r, regexp_matches({_LENIENT}, {quoted(placeholder_pattern("VEIL"))}) AS miss FROM {_ROWS})"""
-_INNER_MASKED = X.INNER.replace("alice@company.dev", "#")
+_INNER_MASKED = X.INNER.replace("dora@harbour.dev", "#")
 ORACLE["message_bodies"] = f"""
 SELECT 1 AS n, replace({quoted(X.BODIES[0][1])}, '{X.TOKEN}', {_token_mark()}) AS masked, 1 AS replaced, NULL AS error_code
 UNION ALL SELECT 2, {quoted(X.BODIES[1][1])}, 0, NULL
-UNION ALL SELECT 3, replace({quoted(X.BODIES[2][1])}, 'alice@company.dev', {_mail_id()}), 1, NULL
+UNION ALL SELECT 3, replace({quoted(X.BODIES[2][1])}, 'dora@harbour.dev', {_mail_id()}), 1, NULL
 UNION ALL SELECT 4, '{{"messages":[{{"content":"payload=' || to_base64(encode(replace({quoted(_INNER_MASKED)}, '#', {_mail_id()}))) || '","role":"user"}}]}}', 1, NULL
-UNION ALL SELECT 5, replace({quoted(X.BODIES[4][1])}, 'alice@company.dev', {_mail_id()}), 1, NULL
+UNION ALL SELECT 5, replace({quoted(X.BODIES[4][1])}, 'dora@harbour.dev', {_mail_id()}), 1, NULL
 UNION ALL SELECT 6, NULL, 0, 'invalid_json'
 UNION ALL SELECT 7, NULL, 0, 'body_too_large'
-UNION ALL SELECT 8, replace({quoted(X.BODIES[7][1])}, 'alice@company.dev', {_mail_id()}), 1, NULL
+UNION ALL SELECT 8, replace({quoted(X.BODIES[7][1])}, 'dora@harbour.dev', {_mail_id()}), 1, NULL
 UNION ALL SELECT 9, NULL, 0, NULL
 """
