@@ -15,7 +15,6 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
