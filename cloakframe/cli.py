@@ -14,7 +14,8 @@ from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
 from . import config
-from .errors import STRICT_RESOLVE_FAILED, MaskError
+from .errors import STRICT_RESOLVE_FAILED, MaskError, code_of
+from .log import scrub
 
 
 def _redact(args: argparse.Namespace, settings: config.Settings) -> int:
@@ -116,7 +117,11 @@ def main(argv: list[str] | None = None) -> int:
         for state, name, why in found:
             print(f"{state} {name}: {why}")
         return int(any(state == "FAIL" for state, _, _ in found))
-    return {"redact": _redact, "resolve": _resolve, "stats": _stats}[args.command](args, settings)
+    try:
+        return {"redact": _redact, "resolve": _resolve, "stats": _stats}[args.command](args, settings)
+    except (MaskError, OSError) as e:
+        print(f"{code_of(e) or 'failed'}: {scrub(str(e))}", file=sys.stderr)
+        return 1
 
 
 if __name__ == "__main__":

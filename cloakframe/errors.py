@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What readers of error columns and logs go by.
+NOT_INTERCEPTED = "mitm_not_effective"
 BODY_TOO_LARGE = "body_too_large"
 INVALID_JSON = "invalid_json"
 REQUEST_TIMEOUT = "request_timeout"

@@ -8,7 +8,7 @@ from datetime import timedelta
 import pytest
 from cloakframe import cli, log
 from cloakframe.config import Detection, Hook, Settings, from_env, from_toml, parse_duration
-from cloakframe.errors import MaskError
+from cloakframe.errors import MaskError, code_of
 from cloakframe.functions.local import decoded, restore
 from cloakframe.log import scrub
 from cloakframe.operators import audit, bodies, classify, detect, hooks, rewrite
@@ -249,3 +249,31 @@ rule_ids = ["typed.card.pan"]
     monkeypatch.setattr("sys.stdin", io.StringIO('{"messages":[{"role":"user","content":"card 4111 1111 1111 1111"}]}'))
     assert cli.main(["--config", str(conf), "redact"]) == 1
     assert "hook_blocked" in capsys.readouterr().err
+
+
+def test_command_line_round_trip_and_codes(tmp_path, monkeypatch, capsys):
+    mapping = tmp_path / "mapping"
+    conf = tmp_path / "c.toml"
+    conf.write_text('notice_mode = "off"\naudit_path = "off"\n')
+    run = lambda *words: cli.main(["--config", str(conf), *words])
+    monkeypatch.setattr("sys.stdin", io.StringIO(X.BODIES[0][1]))
+    assert run("redact", "--mapping", str(mapping)) == 0
+    masked = capsys.readouterr().out
+    assert X.TOKEN not in masked and mapping.stat().st_mode & 0o77 == 0
+    monkeypatch.setattr("sys.stdin", io.StringIO(masked))
+    assert run("resolve", "--mapping", str(mapping)) == 0
+    assert json.loads(capsys.readouterr().out) == json.loads(X.BODIES[0][1])
+    monkeypatch.setattr("sys.stdin", io.StringIO("no json"))
+    assert run("redact") == 1 and "invalid_json" in capsys.readouterr().err
+    assert run("resolve", "--mapping", str(tmp_path / "none")) == 1 and capsys.readouterr().err.startswith("failed: ")
+
+
+def test_the_nearest_code_of_a_chain_counts():
+    try:
+        try:
+            raise MaskError("inner", "invalid_json")
+        except MaskError as e:
+            raise ValueError("outer") from e
+    except ValueError as e:
+        assert code_of(e) == "invalid_json"
+    assert code_of(ValueError("x")) is None and code_of(None) is None
