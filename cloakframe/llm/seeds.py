@@ -307,7 +307,7 @@ def binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def packed(to: np.ndarray, names: list[str], columns: list[np.ndarray], raw: np.ndarray | None = None, length: np.ndarray | None = None) -> pa.RecordBatch:
-    """A row for each distinct value of to, with each column's values there as bytes; raw and length are spans of bytes to go along."""
+    """A row for each distinct value of to, with each column's values there as bytes; raw and length are spans of bytes to go along, compressed."""
     order = np.argsort(to, kind="stable")
     to = to[order]
     starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.empty(0, np.int64)
@@ -315,7 +315,8 @@ def packed(to: np.ndarray, names: list[str], columns: list[np.ndarray], raw: np.
     out = [pa.array(to[starts].astype(np.int64)), *(binaries(c[order], bounds) for c in columns)]
     if raw is not None:
         begin = np.cumsum(length) - length
-        out.append(binaries(raw[flat(begin[order], length[order])], np.r_[0, np.cumsum(length[order])][bounds]))
+        spans = binaries(raw[flat(begin[order], length[order])], np.r_[0, np.cumsum(length[order])][bounds])
+        out.append(pa.array([pa.compress(x.as_buffer(), "zstd", asbytes=True) for x in spans], pa.binary()))
     return pa.record_batch(out, names)
 
 
@@ -559,7 +560,8 @@ def _verdicts(sent: DataFrame, judge: Judge, grid: Grid) -> DataFrame:
             c = {name: loose(rows.column(name), kind) for name, kind in _ENTRY.items()}
             _, inverse, size = np.unique(c["code"], return_inverse=True, return_counts=True)
             some = size[inverse] > 1
-            raw = b"".join(x.as_py() for x in rows.column("raw"))
+            sizes = [int(np.frombuffer(x.as_buffer(), np.int32).sum(dtype=np.int64)) for x in rows.column("length")]
+            raw = b"".join(pa.decompress(x.as_buffer(), n, "zstd", asbytes=True) for x, n in zip(rows.column("raw"), sizes))
             stop = np.cumsum(c["length"], dtype=np.int64)
             pieces = [raw[a:z] for a, z in zip((stop - c["length"])[some].tolist(), stop[some].tolist())]
             bits = judge(*(c[x][some] for x in ("code", "left", "n", "least", "count")), pieces)
