@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import delete, materialise
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Edges, of 16 bytes each, that one task connects at once; more are connected in rounds.
+FEW_EDGES = 1 << 20
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
     """(node, component) for every node of edges (a, b) that isn't itself the smallest of its component.
 
-    Each round joins the edges with the smallest neighbour of each node. Both sides of
+    Up to few distinct edges, which are counted first, make one task. Else each round joins the edges with the smallest neighbour of each node. Both sides of
     those joins are written tables, so that Spark can split a node of very many edges
     over several tasks; the smallest neighbours are combined before they are shuffled.
     Nothing is gathered on the driver but one row of totals.
     """
     now = materialise(_ordered(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).distinct())
+    if now.count() <= few:
+        return now.coalesce(1).mapInArrow(_at_once, "node long, component long")
     seen = None
     for _ in range(max_rounds):
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -37,6 +46,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ends = [np.stack([c.to_numpy() for c in batch.columns], 1) for batch in batches]
+    whole = np.concatenate([np.empty((0, 2), np.int64), *ends])
+    node, component = forest(whole[:, 0], whole[:, 1])
+    for at in range(0, len(node), 100_000):
+        yield pa.record_batch([pa.array(node[at : at + 100_000]), pa.array(component[at : at + 100_000])], ["node", "component"])
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 

@@ -29,7 +29,7 @@ BETWEEN = r"[^\p{L}\p{N}\x01\x02\x04\x05]+"
 #: Rows of benchmark windows up to which they are broadcast; beyond, both sides are shuffled.
 MOST_BROADCAST = 400_000
 #: Bits of the table by which windows that no item has are passed over early.
-SKETCH_BITS = 1 << 19
+SKETCH_BITS = 1 << 17
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -90,7 +90,10 @@ def test_masks_cover_every_difference(distance, blocks):
 
 def test_components_of_paths_stars_and_cycles(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(200, 201), (201, 202), (202, 200)] + [(7, 7)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    table = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.component for r in connected_components(table, few=0).collect()}
+    assert got == {r.node: r.component for r in connected_components(table).collect()}
+    assert connected_components(table.limit(0)).collect() == []
     assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 60)} | {201: 200, 202: 200}
     a, b = (np.array(x) for x in zip(*edges))
     node, root = forest(a, b)
