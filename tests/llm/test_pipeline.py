@@ -1,9 +1,14 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import corpus_pipeline as p
+import duckdb
+import numpy as np
 import pytest
+from cloakframe.llm import quality
+from cloakframe.llm.queries import ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -105,3 +110,44 @@ def test_near_copies_of_one_text_in_a_large_group(spark):
     rows += [(10_000 + i, " ".join([*base[:6], *(word() for _ in range(50))])) for i in range(300)]
     kept = {r.doc_id for r in p.similar.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {0} | {10_000 + i for i in range(300)}
+
+
+def test_run_matches_a_plain_version(spark, tables):
+    """All stages worked out without Spark: plain statistics and trees, all pairs, all substrings, and the SQL of decontamination and mixing."""
+    sf, _ = tables
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    known = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    stats = {i: np.array(quality.statistics((r.text or "").encode()), np.float32).astype(float) for i, r in docs.items()}
+    train = sorted(i for i in known if i in docs and zlib.crc32(str(i).encode()) % 5)
+    model = quality.train(np.array([stats[i] for i in train]), np.array([known[i] for i in train], float))
+    kept = [i for i in sorted(docs) if model.score(stats[i][None])[0] >= 0.3]
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words)} if len(words) < 5 else {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+    sets = {i: shingles(docs[i].text) for i in kept}
+    first = {i: i for i in kept}
+    for i in kept:
+        for j in kept:
+            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((first[i], first[j]))
+                first = {k: low if f == high else f for k, f in first.items()}
+    kept = [i for i in kept if first[i] == i]
+    seen, texts = set(), {}
+    for i in kept:
+        body = (docs[i].text or "").encode()
+        own = [body[k : k + 50] for k in range(len(body) - 49)]
+        gone = {x for k, w in enumerate(own) if w in seen for x in range(k, k + 50)}
+        seen |= set(own)
+        texts[i] = None if docs[i].text is None else bytes(b for k, b in enumerate(body) if k not in gone).decode("utf-8", "ignore")
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", [(i, texts[i], docs[i].lang, docs[i].source) for i in kept])
+    db.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{sf}/benchmark.parquet/*.parquet'")
+    found = [r[0] for r in db.execute(f"SELECT doc_id FROM ({ORACLE['op7_benchmark_decontamination']})").fetchall()]
+    db.executemany("DELETE FROM documents WHERE doc_id = ?", [(i,) for i in found])
+    mixed = db.execute(f"SELECT doc_id, copies FROM ({ORACLE['op9_mixing_to_targets']})").fetchall()
+    assert found == [104]
+    got = {r.doc_id: (r.text, r.copies) for r in p.run(spark, sf).collect()}
+    assert got == {i: (texts[i], c) for i, c in mixed}
