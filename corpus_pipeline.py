@@ -55,7 +55,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing sources to target weights", mixing_stage),
 ]
 
-#: SQL can't express the classifier and the fingerprints; tests/llm holds brute-force versions.
+#: SQL can't express the classifier; tests/llm/test_pipeline.py holds a plain version of run.
 ORACLE_SQL = None
 
 
