@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, html_extract, mixing, quality, simhash, substring_dedup, suffix_dedup, warc
+from . import ann, chat, decontam, html_extract, lloyd, merkle, mixing, pii, quality, simhash, substring_dedup, suffix_dedup, warc
 from .common import table
 
 ESCAPE_PROBE = r"\### Assistant: </turn> ok"
@@ -69,6 +71,31 @@ def op9_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", F.col("k_topic").alias("topic"), "n_tokens", F.round("rate", 6).alias("rate"), "copies")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
+
+
+def _lowered(columns: dict[str, Column]) -> dict[str, Column]:
+    """Lower-cases A-Z of the text where three divides the checksum of the id."""
+    told = F.crc32(F.coalesce(columns["doc_id"].cast("string"), F.lit("-")).cast("binary")) % 3 == 0
+    upper = "".join(map(chr, range(65, 91)))
+    return columns | {"text": F.when(told & columns["doc_id"].isNotNull(), F.translate(columns["text"], upper, upper.lower())).otherwise(columns["text"])}
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.manifest(table(spark, sf_dir, "documents"), _lowered)
+    found = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), merkle.folded("told").alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = lloyd.compressed(table(spark, sf_dir, "embeddings"))
+    books_sha256 = hashlib.sha256(lloyd.written(books).encode()).hexdigest()
+    return lloyd.with_label_error(coded).select("vec_id", lloyd.hex_code("code").alias("code"), "error", "label_error", F.lit(books_sha256).alias("codebooks_sha256"))
+
+
 OP10_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -192,6 +219,74 @@ SELECT doc_id, count(b)::BIGINT AS n_bytes, count(*) FILTER (gone)::BIGINT AS n_
 FROM d LEFT JOIN run USING (doc_id) GROUP BY doc_id
 """
 
+
+
+def _op12_sql(heights: int = 8) -> str:
+    """Levels as one common table expression each, for trees of up to 8^heights nodes; a tree that is down to one node goes up as it is."""
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(s) + 1), lambda i: ascii(s[i])::BIGINT)), lambda a, c: BITS)"
+    bits = "list_reduce(list_prepend(xor(a, c), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))"
+    crc = crc.replace("BITS", bits)
+    field = lambda x: f"coalesce(strlen({x}::VARCHAR) || ':' || {x}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    steps = [
+        "d AS MATERIALIZED (SELECT *, doc_id::VARCHAR AS s FROM documents)",
+        f"e AS MATERIALIZED (SELECT row_number() OVER () AS row_no, doc_id, lang, {leaf('text')} AS leaf, CASE WHEN s IS NOT NULL AND xor({crc}, 4294967295) % 3 = 0 THEN {leaf(f"translate(text, '{upper}', '{upper.lower()}')")} ELSE {leaf('text')} END AS told FROM d)",
+        "a0 AS MATERIALIZED (SELECT coalesce('=' || lang, '') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, row_no) - 1 AS p, leaf AS d, row_no FROM e)",
+    ]
+
+    def climb(x: str) -> None:
+        for i in range(heights):
+            steps.append(
+                f"{x}{i + 1} AS MATERIALIZED (SELECT tree, p // 8 AS p, CASE WHEN any_value(n) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY p)) END AS d FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {x}{i}) GROUP BY tree, p // 8)"
+            )
+            side = "coalesce(string_agg(d, '') OVER (PARTITION BY tree, p // 8 ORDER BY p ROWS BETWEEN {}), '')"
+            left, right = side.format("UNBOUNDED PRECEDING AND 1 PRECEDING"), side.format("1 FOLLOWING AND UNBOUNDED FOLLOWING")
+            steps.append(f"{x}s{i} AS MATERIALIZED (SELECT tree, p, count(*) OVER (PARTITION BY tree) > 1 AS up, {left} AS l, {right} AS r FROM {x}{i})")
+
+    climb("a")
+    steps.append(f"b0 AS MATERIALIZED (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS p, tree AS of, d FROM a{heights})")
+    climb("b")
+    sides = ", ".join(f"{x}s{i}.up AS {x}u{i}, {x}s{i}.l AS {x}l{i}, {x}s{i}.r AS {x}r{i}" for x in "ab" for i in range(heights))
+    joins = " ".join(f"JOIN {x}s{i} ON {x}s{i}.tree = {x}0.tree AND {x}s{i}.p = {x}0.p // {8**i}" for x in "ab" for i in range(heights))
+    steps.append(
+        f"w AS MATERIALIZED (SELECT e.doc_id, e.leaf, e.told, b0.d AS subroot, (SELECT d FROM b{heights}) AS root, {sides} FROM e JOIN a0 USING (row_no) JOIN b0 ON b0.of = a0.tree {joins})"
+    )
+    last = "w"
+    for x in "ab":
+        for i in range(heights):
+            steps.append(f"{x}w{i} AS (SELECT * REPLACE (CASE WHEN {x}u{i} THEN sha256({x}l{i} || told || {x}r{i}) ELSE told END AS told) FROM {last})")
+            last = f"{x}w{i}"
+    proof = " || ".join(f"{x}l{i} || {x}r{i}" for x in "ab" for i in range(heights))
+    return f"WITH {', '.join(steps)} SELECT doc_id, leaf, subroot, root, sha256({proof}) AS proof_sha256, told AS folded_root, told = root AS verified FROM {last}"
+
+
+OP12_SQL = _op12_sql()
+
+
+def _op13_sql(rounds: int = 2) -> str:
+    steps = [
+        """k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)) AS row_no, vec_id, label,
+      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "x AS MATERIALIZED (SELECT row_no, j, v[j * len(v) // 16 + 1 : (j + 1) * len(v) // 16] AS c FROM k, LATERAL (SELECT unnest(range(16)) AS j))",
+        "b0 AS MATERIALIZED (SELECT j, row_no - 1 AS e, c FROM x WHERE row_no <= 64)",
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"n{i} AS MATERIALIZED (SELECT row_no, j, first(x.c) AS c, min({{'d': list_sum(list_transform(list_zip(x.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': b.e}}) AS m FROM x JOIN b{i} b USING (j) GROUP BY row_no, j)"
+        )
+        if i < rounds:
+            steps.append(
+                f"s{i} AS (SELECT j, e, list(q ORDER BY t) AS c FROM (SELECT j, m.e AS e, t, (sum(c[t]) - ((sum(c[t]) % count(*)) + count(*)) % count(*))::BIGINT // count(*) AS q FROM n{i}, LATERAL (SELECT unnest(range(1, len(c) + 1)) AS t) GROUP BY ALL) GROUP BY j, e)"
+            )
+            steps.append(f"b{i + 1} AS MATERIALIZED (SELECT j, e, coalesce(s.c, b.c) AS c FROM b{i} b LEFT JOIN s{i} s USING (j, e))")
+    steps.append(f"r AS (SELECT row_no, string_agg(lower(printf('%02x', m.e)), '' ORDER BY j) AS code, sum(m.d)::BIGINT AS error FROM n{rounds} GROUP BY row_no)")
+    books = f"(SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY j, e)) FROM b{rounds})"
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, {books} AS codebooks_sha256 FROM k JOIN r USING (row_no)"
+
+
+OP13_SQL = _op13_sql()
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_html_extraction": op2_html_extraction,
@@ -203,6 +298,9 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_mixing_to_targets": op9_mixing_to_targets,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_personal_data": op11_personal_data,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLE = {
     "op1_substring_dedup": OP1_SQL,
@@ -212,4 +310,6 @@ ORACLE = {
     "op7_benchmark_decontamination": OP7_SQL,
     "op9_mixing_to_targets": OP9_SQL,
     "op10_chat_formatting": OP10_SQL,
+    "op12_merkle_manifest": OP12_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
