@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from ..config import PREFIX, Settings
 from ..errors import BODY_TOO_LARGE, INVALID_JSON, STRICT_RESOLVE_FAILED
 from ..functions.local import Classifier, Engine, decoded, render, restore, size
+from ..tables import written
 from ..vocabulary import KINDS, POLICY, PROMPT_HINTS
+from . import rewrite
 from .scope import LARGE_PROMPT_BYTES
 
 MOST_DEPTH = 2
@@ -226,39 +228,40 @@ def masked_bodies(df: DataFrame, key: str, body_col: str, settings: Settings, sa
 def restored_bodies(df: DataFrame, key: str, body_col: str, known: DataFrame, now, prefix: str = PREFIX, strict: bool = False, as_json: bool = True) -> DataFrame:
     """key, restored and error_code: bodies with placeholders put back, also within nested JSON and Base64.
 
-    The placeholders of each body are collected and joined with the mapping first, so a
-    body travels with the few values it needs and no mapping is sent to all tasks. If
-    strict, a miss leaves no text but an error code, else the body as it was.
+    The placeholders of each body are collected once and written beside it; they are joined
+    with the mapping under a number of the row, so keys may repeat or be null. Only bodies
+    that hold some are parsed again. If strict, a miss leaves no text but an error code, else the body as it was.
     """
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("key"), F.col(body_col).alias("body"))
+    rows = df.select(F.col(key).alias("key"), F.col(body_col).alias("body"), F.monotonically_increasing_id().alias("row"))
+    asked = pa.list_(pa.struct([("kind", pa.string()), ("id", pa.string())]))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids, kinds = [], [], []
-            for row_key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found = []
+            for body in batch.column(1).to_pylist():
                 seen: set[tuple[str, str]] = set()
                 _restored(body, lambda k, i: seen.add((k, i)), prefix, as_json)  # noqa: B023
-                keys += [row_key] * len(seen)
-                kinds += [k for k, _ in seen]
-                ids += [i for _, i in seen]
-            yield pa.record_batch([pa.array(keys, batch.schema.field(0).type), pa.array(ids, pa.string()), pa.array(kinds, pa.string())], ["key", "id", "kind"])
+                found.append([{"kind": k, "id": i} for k, i in sorted(seen)])
+            yield pa.record_batch([*batch.columns, pa.array(found, asked)], ["key", "body", "row", "ids"])
 
-    asked = rows.mapInArrow(wanted, f"key {kind}, id string, kind string")
-    live = known.where(F.col("expires_at") > now).select("id", "kind", "secret")
-    values = asked.join(live, ["id", "kind"]).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "id"), "secret"))).alias("values"))
+    told = written(rows.mapInArrow(wanted, f"key {kind}, body string, row long, ids array<struct<kind:string,id:string>>"))
+    some = told.where("size(ids) > 0")
+    values = rewrite.entries(rewrite.lookup(some.select("row", F.explode("ids").alias("i")).select("row", "i.id", "i.kind"), known, now), "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, codes = [], []
-            for body, some in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                have = dict(some or ())
+            for body, values in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                have = dict(values or ())
                 text, missed = _restored(body, lambda k, i: have.get(f"{k}:{i}"), prefix, as_json)  # noqa: B023
                 out.append(None if strict and missed else text)
                 codes.append(STRICT_RESOLVE_FAILED if strict and missed else None)
             yield pa.record_batch([batch.column(0), pa.array(out, pa.string()), pa.array(codes, pa.string())], ["key", "restored", "error_code"])
 
-    return rows.join(values, "key", "left").mapInArrow(run, f"key {kind}, restored string, error_code string").withColumnRenamed("key", key)
+    done = some.join(values, "row", "left").select("key", "body", "values").mapInArrow(run, f"key {kind}, restored string, error_code string")
+    plain = told.where("size(ids) = 0").select("key", F.col("body").alias("restored"), F.lit(None).cast("string").alias("error_code"))
+    return plain.unionByName(done).withColumnRenamed("key", key)
 
 
 def _restored(body: str | None, look: Callable[[str, str], str | None], prefix: str, as_json: bool) -> tuple[str | None, bool]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import PREFIX
 from ..errors import STRICT_RESOLVE_FAILED
 from ..functions import scalars as S
+from ..tables import written
 from ..vocabulary import placeholder_pattern
 from . import detect
 
@@ -80,8 +81,8 @@ def merged(*tables: DataFrame, now: Column | None = None) -> DataFrame:
 
 
 def lookup(requests: DataFrame, known: DataFrame, now: Column) -> DataFrame:
-    """requests (id, kind ...) with secret where the mapping has the id for that kind and it hasn't expired."""
-    live = known.where(F.col("expires_at") > now).select("id", "kind", "secret")
+    """requests (id, kind ...) with secret where the mapping has the id for that kind and it hasn't expired; a mapping may hold an id twice."""
+    live = known.where(F.col("expires_at") > now).groupBy("id", "kind").agg(F.min("secret").alias("secret"))
     return requests.join(live, ["id", "kind"], "left")
 
 
@@ -103,28 +104,35 @@ def pieces(text: Column, prefix: str = PREFIX) -> Column:
 
 
 def resolved(df: DataFrame, key: str, text_col: str, known: DataFrame, now: Column, prefix: str = PREFIX, strict: bool = False, kinds: list[str] | None = None) -> DataFrame:
-    """df with restored text and error_code. key tells the rows apart.
+    """df with restored text and error_code.
 
-    Only the ids that a row asks for go into the join with the mapping, never its text; the
-    values come back as a map of the row. A miss leaves the placeholder; if strict, the
-    row has no text but an error code. kinds restricts what is restored, others count as misses.
+    df is worked out once and written; its rows are told apart by a number given then, so
+    key need not be unique, and may be null. Only the ids that a row asks for go into the join with the
+    mapping; the values come back as a map of the row, to the rows that hold placeholders. A miss leaves the
+    placeholder; if strict, the row has no text but an error code. kinds restricts what is
+    restored, others count as misses.
     """
     none = F.lit(None).cast("string")
     hit = F.coalesce(S.contains_placeholder(F.col(text_col), prefix), F.lit(False))
-    cut = detect.once(df, "_cut", F.when(hit, pieces(F.col(text_col), prefix)))
+    rows = written(df.withColumns({"_cut": F.when(hit, pieces(F.col(text_col), prefix)), "_row": F.monotonically_increasing_id()}))
+    cut = rows.where("_cut is not null")
     wanted = F.filter("_cut", lambda p: p["id"].isNotNull() & (p["kind"].isin(kinds) if kinds is not None else F.lit(True)))
-    asked = cut.where("_cut is not null").select(key, F.array_distinct(F.transform(wanted, lambda p: F.struct(p["id"].alias("id"), p["kind"].alias("kind")))).alias("ids"))
-    found = lookup(detect.each(asked, "ids", key).select(key, "f.id", "f.kind"), known, now).where("secret is not null")
-    name = lambda p: F.concat_ws(":", p["kind"], p["id"])
-    pair = F.struct(F.concat_ws(":", "kind", "id").alias("name"), "secret")
-    values = found.groupBy(key).agg(F.map_from_entries(F.array_distinct(F.collect_list(pair))).alias("_values"))
-    joined = cut.join(values, key, "left").withColumn("_values", F.coalesce("_values", F.create_map().cast("map<string,string>")))
-    value = lambda p: F.try_element_at(F.col("_values"), name(p))
+    asked = cut.select("_row", F.array_distinct(F.transform(wanted, lambda p: F.struct(p["id"].alias("id"), p["kind"].alias("kind")))).alias("ids"))
+    values = entries(lookup(detect.each(asked, "ids", "_row").select("_row", "f.id", "f.kind"), known, now), "_row").withColumnRenamed("values", "_values")
+    joined = cut.join(values, "_row", "left").withColumn("_values", F.coalesce("_values", F.create_map().cast("map<string,string>")))
+    value = lambda p: F.try_element_at(F.col("_values"), F.concat_ws(":", p["kind"], p["id"]))
     text = F.array_join(F.transform("_cut", lambda p: F.concat(p["before"], F.coalesce(value(p), p["piece"], F.lit("")))), "")
     missed = F.exists("_cut", lambda p: p["piece"].isNotNull() & value(p).isNull())
     failed = F.lit(strict) & F.coalesce(missed, F.lit(False))
-    restored = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(text)
-    return joined.withColumn("restored", F.when(failed, none).otherwise(restored)).withColumn("error_code", F.when(failed, STRICT_RESOLVE_FAILED).otherwise(none)).drop("_cut", "_values")
+    done = joined.withColumn("restored", F.when(~failed, text)).withColumn("error_code", F.when(failed, STRICT_RESOLVE_FAILED).otherwise(none)).drop("_cut", "_row", "_values")
+    plain = rows.where("_cut is null").withColumns({"restored": F.col(text_col), "error_code": none}).drop("_cut", "_row")
+    return plain.unionByName(done)
+
+
+def entries(found: DataFrame, row: str) -> DataFrame:
+    """row and values, a map from kind:id to secret, of looked-up ids; none for a row without any."""
+    pair = F.struct(F.concat_ws(":", "kind", "id").alias("name"), "secret")
+    return found.where("secret is not null").groupBy(row).agg(F.map_from_entries(F.array_distinct(F.collect_list(pair))).alias("values"))
 
 
 def contract(replacements: Column, dry_run: bool = False) -> Column:

@@ -111,24 +111,32 @@ def _parts(spark: SparkSession, path: str) -> dict[str, int]:
     return {n: int(m[1]) for n in sorted(done) if (m := re.fullmatch(r"(?:batch|upto)=(\d+)", n))}
 
 
+def _live(parts: dict[str, int]) -> list[str]:
+    """The last compaction, and the batches after it."""
+    upto = max((last for n, last in parts.items() if n.startswith("upto=")), default=-1)
+    return [n for n, last in parts.items() if last > upto or n == f"upto={upto}"]
+
+
 def compact_mapping(spark: SparkSession, path: str, upto: int, now: Column | None = None) -> None:
-    """Write the mapping of all batches up to one as a single part without what has expired, then delete those it replaces.
+    """Write the mapping of all batches up to one as a single part without what has expired.
 
-    A reader may see both; rows that stand twice merge to one.
+    What it replaces stays until the next compaction, since a reader may have listed it already; what the
+    one before has replaced is deleted. A reader takes the last whole compaction and what came after it.
     """
-    old = [n for n, last in _parts(spark, path).items() if last <= upto and n != f"upto={upto}"]
-    if not old:
+    parts = {n: last for n, last in _parts(spark, path).items() if last <= upto}
+    live = [n for n in _live(parts) if n != f"upto={upto}"]
+    if not live:
         return
-    tables = [spark.read.parquet(f"{path}/mapping/{n}") for n in old]
+    tables = [spark.read.parquet(f"{path}/mapping/{n}") for n in live]
     rewrite.merged(*tables, now=F.current_timestamp() if now is None else now).write.mode("overwrite").parquet(f"{path}/mapping/upto={upto}")
-    for n in old:
+    for n in set(parts) - set(live) - {f"upto={upto}"}:
         folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/mapping/{n}")
         folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def current_mapping(spark: SparkSession, path: str, now: Column | None = None) -> DataFrame:
     """The mapping of all batches so far, without what has expired."""
-    parts = list(_parts(spark, path))
+    parts = _live(_parts(spark, path))
     if not parts:
         return spark.createDataFrame([], "id string, kind string, secret string, expires_at timestamp")
     tables = spark.read.schema("id string, kind string, secret string, expires_at timestamp").parquet(*(f"{path}/mapping/{n}" for n in parts))

@@ -7,6 +7,7 @@ micro-batch. A frame marked last, or a processing-time timeout, lets out what is
 
 from __future__ import annotations
 
+import base64
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -31,14 +32,18 @@ def split_events(carry: bytes, frame: bytes) -> tuple[list[bytes], bytes]:
     return out, data[at:]
 
 
+def _lines(event: bytes) -> list[bytes]:
+    """Lines end at a line feed, with or without a carriage return; other separators are text that JSON may hold."""
+    return [x.removesuffix(b"\r") for x in event.split(b"\n")]
+
+
 def fragment(event: bytes) -> tuple[dict, str] | None:
-    """The payload of an event that carries partial JSON, and that fragment; none for other events."""
+    """The payload of an event that carries partial JSON, and that fragment; none for other events, nor for data that isn't UTF-8."""
     if b"input_json_delta" not in event and b"\\u" not in event:
         return None
-    lines = event.decode("utf-8", "replace").splitlines()
-    data = "\n".join(x[5:].removeprefix(" ") for x in lines if x.startswith("data:"))
+    data = b"\n".join(x[5:].removeprefix(b" ") for x in _lines(event) if x.startswith(b"data:"))
     try:
-        payload = json.loads(data)
+        payload = json.loads(data.decode())
         delta = payload["delta"]
         if delta["type"] == "input_json_delta" and isinstance(delta["partial_json"], str):
             return payload, delta["partial_json"]
@@ -48,24 +53,38 @@ def fragment(event: bytes) -> tuple[dict, str] | None:
 
 
 def with_fragment(event: bytes, payload: dict, text: str) -> bytes:
-    """The event with another fragment; lines that aren't data stay."""
-    kept = [x for x in event.decode("utf-8", "replace").rstrip("\r\n").splitlines() if not x.startswith("data:")]
+    """The event with another fragment; lines that aren't data stay, byte for byte."""
+    kept = [x for x in _lines(event.rstrip(b"\r\n")) if not x.startswith(b"data:")]
     payload = payload | {"delta": payload["delta"] | {"partial_json": text}}
-    return ("\n".join([*kept, "data: " + json.dumps(payload, ensure_ascii=False, separators=(",", ":"))]) + "\n\n").encode()
+    try:
+        data = json.dumps(payload, ensure_ascii=False, separators=(",", ":")).encode()
+    except UnicodeEncodeError:  # half a surrogate pair can only be written escaped
+        data = json.dumps(payload, separators=(",", ":")).encode()
+    return b"\n".join([*kept, b"data: " + data]) + b"\n\n"
 
 
 def head_within(text: str, most: int) -> str:
     """The longest start of text of at most so many bytes that ends between characters."""
-    return text.encode()[:most].decode("utf-8", "ignore")
+    data = _utf8(text)[:most]
+    for cut in range(4):
+        try:
+            return data[: len(data) - cut].decode("utf-8", "surrogatepass")
+        except UnicodeDecodeError:
+            continue
+    return ""
+
+
+def _utf8(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
 
 
 class Assembler:
     """One stream: feed frames, get events with placeholders restored."""
 
-    def __init__(self, look: Callable[[str, str], str | None], prefix: str = PREFIX, carry: bytes = b"", text: str = "", held: list[str] | None = None):
+    def __init__(self, look: Callable[[str, str], str | None], prefix: str = PREFIX, carry: bytes = b"", text: str = "", held: list[bytes] | None = None):
         self.look, self.prefix, self.carry, self.text = look, prefix, carry, text
         #: Events that wait, each with its payload and fragment, which are read once.
-        self.held = [(e.encode(), *fragment(e.encode())) for e in held or []]
+        self.held = [(e, *fragment(e)) for e in held or []]
         #: Characters of the longest placeholder that may have begun: prefix, kind, id and brackets.
         self.longest = len(prefix) + 3 + 16 + 1 + 64 + 2
         self.tail = re.compile(partial_tail_pattern(prefix).replace(r"\z", r"\Z"))
@@ -95,7 +114,7 @@ class Assembler:
         going = self.held[:-1] if rest else self.held
         out = []
         for i, (event, payload, own) in enumerate(going):
-            part = ready if i == len(going) - 1 else head_within(ready, len(own.encode()))
+            part = ready if i == len(going) - 1 else head_within(ready, len(_utf8(own)))
             ready = ready[len(part) :]
             out.append(with_fragment(event, payload, part))
         self.held, self.text = self.held[len(going) :], rest
@@ -108,7 +127,7 @@ class Assembler:
         done, _ = restore(self.text, self.look, self.prefix)
         out = []
         for i, (event, payload, own) in enumerate(self.held):
-            part = done if i == len(self.held) - 1 else head_within(done, len(own.encode()))
+            part = done if i == len(self.held) - 1 else head_within(done, len(_utf8(own)))
             done = done[len(part) :]
             out.append(with_fragment(event, payload, part))
         self.held, self.text = [], ""
@@ -124,8 +143,8 @@ def reassembled(frames: DataFrame, look: Callable[[str, str], str | None], prefi
     """stream_id, n and event of a streaming table (stream_id string, seq long, frame binary, last boolean)."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        carry, text, held, n = state.get if state.exists else (b"", "", "[]", 0)
-        one = Assembler(look, prefix, bytes(carry), text, json.loads(held))
+        carry, text, held, n = state.get if state.exists else (b"", "", "", 0)
+        one = Assembler(look, prefix, bytes(carry), text, [base64.b64decode(e) for e in held.split()])
         if state.hasTimedOut:
             events, ended = one.end(), True
         else:
@@ -139,7 +158,7 @@ def reassembled(frames: DataFrame, look: Callable[[str, str], str | None], prefi
         if ended:
             state.remove()
         else:
-            state.update((one.carry, one.text, json.dumps([e.decode() for e, _, _ in one.held]), n + len(events)))
+            state.update((one.carry, one.text, " ".join(base64.b64encode(e).decode() for e, _, _ in one.held), n + len(events)))
             state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"stream_id": [key[0]] * len(events), "n": range(n, n + len(events)), "event": events})
 

@@ -13,7 +13,7 @@ from cloakframe.functions.local import decoded, restore
 from cloakframe.log import scrub
 from cloakframe.operators import audit, bodies, classify, detect, hooks, rewrite
 from cloakframe.plans import fixtures as X
-from cloakframe.streaming import messages
+from cloakframe.streaming import messages, sse
 from cloakframe.streaming.sse import Assembler, fragment, head_within, split_events
 from cloakframe.vocabulary import placeholder_pattern
 from pyspark.sql import functions as F
@@ -147,7 +147,7 @@ def test_messages_of_a_stream_in_both_directions(spark, tmp_path):
     keep = messages.keep_mapping(path, settings, compact_every=2)
     for number in range(3):
         keep(out, number)
-    assert sorted(messages._parts(spark, path)) == ["upto=2"]
+    assert messages._live(messages._parts(spark, path)) == ["upto=2"] and len(messages._parts(spark, path)) == 4  # a reader may still hold the old ones
     assert [r.kind for r in messages.current_mapping(spark, path).collect()] == ["opaque_token"]
     logged = spark.read.json(str(tmp_path / "hook")).collect()
     assert {r.rule_id for r in logged} == {"opaque.high_entropy"} and X.TOKEN not in str(logged)
@@ -155,10 +155,81 @@ def test_messages_of_a_stream_in_both_directions(spark, tmp_path):
     messages.each_response(path, "k", "outgoing", settings, lambda df, n: seen.extend(df.collect()))(out, 0)
     assert {r.k: r.restored for r in seen} == {1: f"key {X.TOKEN}", 2: None, 3: "plain", 4: None}
     messages.compact_mapping(spark, path, 9, now=F.current_timestamp() + F.expr("INTERVAL 2 HOURS"))
-    assert messages.current_mapping(spark, path).count() == 0 and sorted(messages._parts(spark, path)) == ["upto=9"]
+    assert messages.current_mapping(spark, path).count() == 0 and sorted(messages._parts(spark, path)) == ["upto=2", "upto=9"]
     assert messages.current_mapping(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_a_mapping_that_is_compacted_under_a_reader(spark, tmp_path):
+    rows = rewrite.masked(detect.with_findings(spark.createDataFrame([(1, X.TOKEN)], "k int, t string"), "t", Detection()), "t").withColumn("closed", F.lit(False))
+    path = str(tmp_path / "kept")
+    keep = messages.keep_mapping(path, Settings(), compact_every=0)
+    for number in range(3):
+        keep(rows, number)
+    reader = messages.current_mapping(spark, path)
+    messages.compact_mapping(spark, path, 1)
+    assert reader.count() == 1 == messages.current_mapping(spark, path).count()
+    messages.compact_mapping(spark, path, 1)  # a batch that is tried again
+    assert sorted(messages._live(messages._parts(spark, path))) == ["batch=2", "upto=1"]
+    messages.compact_mapping(spark, path, 2)
+    assert sorted(messages._parts(spark, path)) == ["batch=2", "upto=1", "upto=2"] and messages.current_mapping(spark, path).count() == 1
+
+
+def _known(spark, *rows):
+    return spark.createDataFrame([(*r, "2999-01-01") for r in rows], "id string, kind string, secret string, e string").select("id", "kind", "secret", F.col("e").cast("timestamp").alias("expires_at"))
+
+
+def test_repeated_and_null_keys_are_restored(spark):
+    mark, other = "{{VEIL_OPAQUE_deadbeefcafebabe}}", "{{VEIL_EMAIL_0123456789abcdef}}"
+    known = _known(spark, ("deadbeefcafebabe", "opaque_token", "v"), ("deadbeefcafebabe", "opaque_token", "v"), ("0123456789abcdef", "email", "m@x.y"))
+    rows = [(1, json.dumps({"a": mark})), (1, json.dumps({"a": mark + other})), (None, json.dumps({"a": other})), (None, json.dumps({"a": mark})), (2, None), (2, "no json " + mark), (2, "{}")]
+    want = sorted([(1, '{"a":"v"}'), (1, '{"a":"vm@x.y"}'), (None, '{"a":"m@x.y"}'), (None, '{"a":"v"}'), (2, None), (2, "no json " + mark), (2, "{}")], key=str)
+    df = spark.createDataFrame(rows, "k int, body string")
+    got = bodies.restored_bodies(df, "k", "body", known, F.current_timestamp())
+    assert sorted([(r.k, r.restored) for r in got.collect()], key=str) == want
+    texts = spark.createDataFrame([(1, mark), (1, other), (None, mark), (None, None), (2, "x")], "k int, t string")
+    got = rewrite.resolved(texts, "k", "t", known, F.current_timestamp())
+    assert sorted([(r.k, r.restored) for r in got.collect()], key=str) == sorted([(1, "v"), (1, "m@x.y"), (None, "v"), (None, None), (2, "x")], key=str)
+
+
+def _events(*parts, escape=False):
+    return b"".join(b"event: x\ndata: " + json.dumps({"delta": {"type": "input_json_delta", "partial_json": p}}, ensure_ascii=escape).encode("utf-8", "surrogatepass") + b"\n\n" for p in parts)
+
+
+def _joined(events):
+    return "".join(f[1] for f in map(sse.fragment, events) if f)
+
+
+@pytest.mark.parametrize("sign", ["\u2028", "\u0085", "\u2029", "\x0b", "\x1c", "\u00e9"])
+def test_fragments_with_line_separators_are_restored(sign):
+    mark = "{{VEIL_OPAQUE_deadbeefcafebabe}}"
+    wire = _events(f"a{sign}{mark[:9]}", f"{mark[9:]}{sign}b")
+    for size in (1, 7, len(wire)):
+        one = sse.Assembler(lambda k, i: "v")
+        events = [e for at in range(0, len(wire), size) for e in one.feed(wire[at : at + size])] + one.end()
+        assert _joined(events) == f"a{sign}v{sign}b"
+
+
+def test_half_a_surrogate_pair_and_invalid_bytes_pass():
+    one = sse.Assembler(lambda k, i: "v")
+    events = one.feed(_events("\ud83d", "{{VEIL_", "x", escape=True) + b": \xff\ndata: {\xfe}\n\n") + one.end()
+    assert _joined(events) == "\ud83d{{VEIL_x" and events[-1] == b": \xff\ndata: {\xfe}\n\n"
+
+
+def test_a_held_event_that_is_not_utf8_stays_in_state(spark, tmp_path):
+    """A comment line with byte FF beside a fragment that waits for the rest of a placeholder, over micro-batches."""
+    mark = "{{VEIL_OPAQUE_deadbeefcafebabe}}"
+    first = b": \xff\n" + _events(mark[:12])
+    (tmp_path / "in").mkdir()
+    schema = "stream_id string, seq long, frame binary, last boolean"
+    for seq, frame in enumerate((first, _events(mark[12:] + " end"))):
+        spark.createDataFrame([("s", seq, bytearray(frame), seq == 1)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    frames = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = sse.reassembled(frames, lambda k, i: "v").writeStream.format("memory").queryName("held").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    events = [bytes(r.event) for r in spark.table("held").orderBy("n").collect()]
+    assert _joined(events) == "v end" and events[0].startswith(b": \xff\n")
+
+
 def test_hooks_are_checked_where_they_are_made():
     for bad in (("other", "log"), ("secret_detected", "mail"), ("secret_detected", "log"), ("secret_detected", "exec"), ("request_redacted", "block")):
         with pytest.raises(MaskError):
