@@ -99,3 +99,115 @@ BODIES = [
 CODEX = ("api.openai.com", "chat.openai.com", "chatgpt.com")
 CLAUDE = ("api.anthropic.com", "claude.ai")
 PROVIDERS = ("generativelanguage.googleapis.com", "api.together.xyz", "api.groq.com", "api.mistral.ai", "api.cohere.ai", "api.deepseek.com")
+
+#: A rule pack over documents; the patterns are ours, for what the given tables hold.
+DOCUMENT_RULES = r"""
+title = "documents"
+[allowlist]
+regexes = ['^0+$']
+stopwords = ["feed5eed"]
+
+[[rules]]
+id = "assigned-token"
+regex = '(?i)\btoken\s{0,3}=\s{0,3}"([0-9a-z]{32,64})"'
+entropy = 3.3
+keywords = ["Token"]
+
+[[rules]]
+id = "mailbox"
+regex = '([a-z]+)\.([0-9]+)@mail[0-9]\.example\.com'
+keywords = ["@mail"]
+[[rules.allowlists]]
+stopwords = ["the", "OU"]
+
+[[rules]]
+id = "line-number"
+regex = '\+1 \(([0-9]{3})\) 555-([0-9]{4})'
+secretGroup = 2
+keywords = ["555-", "(0)"]
+[[rules.allowlists]]
+regexTarget = "match"
+regexes = ['\(3', '\(4[0-4]']
+
+[[rules]]
+id = "long-number"
+regex = '\b4[0-9]{15}\b'
+entropy = 2.9
+
+[[rules]]
+id = "address"
+regex = '\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b'
+[[rules.allowlists]]
+condition = "AND"
+regexes = ['^1', '9$']
+stopwords = [".1", ".2"]
+
+[[rules]]
+id = "licence"
+regex = '(?i)licen[sc]e[^\n]{0,30}'
+keywords = ["license", "licence"]
+
+[[rules]]
+id = "long-word"
+regex = '[[:alpha:]]{16,}'
+entropy = 2.8
+[[rules.allowlists]]
+regexes = ['^[A-Z]']
+
+[[rules]]
+id = "either"
+regex = '(?:pipe=([a-z]+)|\| ([0-9]+) \|)'
+keywords = ["|", "pipe="]
+
+[[rules]]
+id = "no-such-word"
+regex = 'the'
+keywords = ["zzzzqqqq"]
+
+[[rules]]
+id = "shouted"
+regex = '\b[A-Z]{5,}[!?]{2}'
+keywords = ["!!", "??"]
+"""
+
+#: A pack whose allowlists look at paths, lines, matches and secrets of pages.
+PAGE_RULES = r"""
+[[allowlists]]
+paths = ['\.html$', '#top$']
+
+[[allowlists]]
+targetRules = ["link"]
+regexes = ['^t']
+
+[[rules]]
+id = "link"
+regex = 'href="/([^"]+)"'
+keywords = ["HREF="]
+[[rules.allowlists]]
+stopwords = ["and", "ion"]
+[[rules.allowlists]]
+condition = "AND"
+paths = ['/en/']
+regexes = ['^[n-z]']
+
+[[rules]]
+id = "secure-title"
+regex = '<title>([^<]{5,80})</title>'
+path = '^https://'
+[[rules.allowlists]]
+regexTarget = "line"
+regexes = ['lang="(?:de|es)"']
+
+[[rules]]
+id = "assigned-token"
+regex = 'token = (?:"|&quot;)([0-9a-f]{40})'
+keywords = ["token"]
+entropy = 3.0
+[[rules.allowlists]]
+regexTarget = "match"
+regexes = ['"[0-7]']
+
+[[rules]]
+id = "feed"
+path = 'utm_source=feed$'
+"""

@@ -280,3 +280,40 @@ UNION ALL SELECT 7, NULL, 0, 'body_too_large'
 UNION ALL SELECT 8, replace({quoted(X.BODIES[7][1])}, 'dora@harbour.dev', {_mail_id()}), 1, NULL
 UNION ALL SELECT 9, NULL, 0, NULL
 """
+
+
+def _rule(rule_id: str, pattern: str, test: str = "true", group: int | str = 0, low: float = 0, let_be: str = "false", key: str = "doc_id", source: str = "documents", text: str = "text", more: str = "") -> str:
+    """All findings of one rule. test is about a text, let_be about m (match) and x (secret); a group that is a condition is written as SQL over g1, g2."""
+    quoted = pattern.replace("'", "''")
+    each = lambda g: f"unnest(regexp_extract_all({text}, '{quoted}', {g}))"
+    if isinstance(group, int):
+        inner = f"SELECT {key}, {more}{text} AS whole, {each(0)} AS m, {each(group)} AS x, unnest(range(len(regexp_extract_all({text}, '{quoted}')))) AS i FROM {source} WHERE {test}"
+    else:
+        raw = f"SELECT {key}, {more}{text} AS whole, {each(0)} AS m, {each(1)} AS g1, {each(2)} AS g2, unnest(range(len(regexp_extract_all({text}, '{quoted}')))) AS i FROM {source} WHERE {test}"
+        inner = f"SELECT *, {group} AS x FROM ({raw})"
+    scored = f"SELECT *, list_aggregate(regexp_extract_all(hex(encode(x)), '..'), 'entropy') AS h FROM ({inner})"
+    return f"SELECT {key}, '{rule_id}' AS rule_id, (row_number() OVER (PARTITION BY {key} ORDER BY i) - 1)::INT AS place, x AS secret, h, m FROM ({scored}) WHERE h > {low or -1} AND NOT ({let_be})"
+
+
+_SHARED = "regexp_matches(x, '^0+$') OR contains(lower(x), 'feed5eed')"
+_DOCUMENT_RULES = [
+    _rule("assigned-token", r'(?i)\btoken\s{0,3}=\s{0,3}"([0-9a-z]{32,64})"', "contains(lower(text), 'token')", 1, 3.3, _SHARED),
+    _rule("mailbox", r"([a-z]+)\.([0-9]+)@mail[0-9]\.example\.com", "contains(lower(text), '@mail')", 1, 0, _SHARED + " OR contains(lower(x), 'the') OR contains(lower(x), 'ou')"),
+    _rule("line-number", r"\+1 \(([0-9]{3})\) 555-([0-9]{4})", "contains(text, '555-') OR contains(text, '(0)')", 2, 0, _SHARED + r" OR regexp_matches(m, '\(3|\(4[0-4]')"),
+    _rule("long-number", r"\b4[0-9]{15}\b", "true", 0, 2.9, _SHARED),
+    _rule("address", r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", "true", 0, 0, _SHARED + " OR (regexp_matches(x, '^1|9$') AND (contains(x, '.1') OR contains(x, '.2')))"),
+    _rule("licence", r"(?i)licen[sc]e[^\n]{0,30}", "contains(lower(text), 'license') OR contains(lower(text), 'licence')", 0, 0, _SHARED),
+    _rule("long-word", "[[:alpha:]]{16,}", "true", 0, 2.8, _SHARED + " OR regexp_matches(x, '^[A-Z]')"),
+    _rule("either", r"(?:pipe=([a-z]+)|\| ([0-9]+) \|)", "contains(text, '|') OR contains(lower(text), 'pipe=')", "CASE WHEN g1 <> '' THEN g1 ELSE g2 END", 0, _SHARED),
+    _rule("shouted", r"\b[A-Z]{5,}[!?]{2}", "contains(text, '!!') OR contains(text, '??')", 0, 0, _SHARED),
+]
+ORACLE["rule_pack_documents"] = "SELECT doc_id, rule_id, place, secret, round(h, 6) AS entropy FROM (" + " UNION ALL ".join(_DOCUMENT_RULES) + ")"
+
+_PAGES = r"(SELECT * FROM pages WHERE NOT coalesce(regexp_matches(url, '\.html$|#top$'), false))"
+_PAGE_RULES = [
+    _rule("link", 'href="/([^"]+)"', "contains(lower(html), 'href=')", 1, 0, "regexp_matches(x, '^t') OR contains(lower(x), 'and') OR contains(lower(x), 'ion') OR (coalesce(contains(url, '/en/'), false) AND regexp_matches(x, '^[n-z]'))", "page_id", _PAGES, "html", "url, "),
+    _rule("secure-title", "<title>([^<]{5,80})</title>", "regexp_matches(url, '^https://')", 1, 0, """list_bool_or(list_transform(list_filter(string_split(whole, chr(10)), lambda l: contains(l, m)), lambda l: regexp_matches(l, 'lang="(?:de|es)"')))""", "page_id", _PAGES, "html"),
+    _rule("assigned-token", 'token = (?:"|&quot;)([0-9a-f]{40})', "contains(lower(html), 'token')", 1, 3.0, """regexp_matches(m, '"[0-7]')""", "page_id", _PAGES, "html"),
+    f"SELECT page_id, 'feed' AS rule_id, 0::INT AS place, '' AS secret, 0 AS h, '' AS m FROM {_PAGES} WHERE html IS NOT NULL AND regexp_matches(url, 'utm_source=feed$')",
+]
+ORACLE["rule_allowlists_pages"] = "SELECT page_id, rule_id, place, secret, strlen(m)::INT AS matched_bytes FROM (" + " UNION ALL ".join(_PAGE_RULES) + ")"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import PREFIX, Allowlist, Detection, Hook, Settings
 from ..errors import fail_closed
 from ..functions import scalars as S
-from ..operators import audit, bodies, detect, hooks, rewrite, scope
+from ..operators import audit, bodies, detect, hooks, rewrite, rules, scope
 from ..streaming import messages
 from ..streaming.sse import Assembler
 from ..vocabulary import placeholder_pattern
@@ -401,7 +401,21 @@ def host_lists(spark, sf_dir):
     return values(spark, rows, "tool string, place int, host string")
 
 
+def rule_pack_documents(spark, sf_dir):
+    """A pack of ten rules over all documents: keywords, groups, entropy and allowlists."""
+    found_ = rules.findings(detect.spread(documents(spark, sf_dir)), "doc_id", "text", rules.from_toml(X.DOCUMENT_RULES))
+    return found_.select("doc_id", "rule_id", "place", "secret", F.round("entropy", 6).alias("entropy"))
+
+
+def rule_allowlists_pages(spark, sf_dir):
+    """Rules whose allowlists aim at paths, lines, matches and secrets, with the url as path."""
+    pages = detect.spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    found_ = rules.findings(pages, "page_id", "html", rules.from_toml(X.PAGE_RULES), "url")
+    return found_.select("page_id", "rule_id", "place", "secret", F.octet_length("matched").alias("matched_bytes"))
+
+
 _NAMES = (
+    rule_pack_documents, rule_allowlists_pages,
     masked_strings, socket_messages, guarded_messages, restored_messages, restored_texts, unquoted_passwords, host_lists,
 
     opaque_tokens, email_candidates, phone_candidates, phone_candidates_pages, card_candidates, typed_fixture, overlap_resolution, context_windows, classifier_filter,
