@@ -77,7 +77,7 @@ def _stats(args: argparse.Namespace, settings: config.Settings) -> int:
         print("the audit log is disabled")
         return 0
     spark = SparkSession.builder.master("local[*]").config("spark.ui.enabled", "false").getOrCreate()
-    print(audit.render(audit.read(spark, path), path, args.limit), end="")
+    print(audit.render(audit.checked(spark, path), path, args.limit), end="")
     return 0
 
 

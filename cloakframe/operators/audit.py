@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import MaskError
 from . import detect
 
 FIELDS = ("ts", "rule_id", "kind", "subtype", "policy", "placeholder", "request_host", "action", "match_source", "confidence", "confidence_score", "decoded_depth", "entropy")
@@ -37,6 +38,29 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select(*(F.coalesce(f"x.{n}", F.lit("")).alias(n) for n in READ_SCHEMA.names[:-1]))
 
 
+def malformed(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1) and value of the lines that are no JSON object, over all splits of all files.
+
+    Lines are numbered within their split, and a running sum of the splits' lines, a row each, gives the lines before it.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value").withColumn("at", F.monotonically_increasing_id())
+    counts = lines.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = counts.select("file", "split", "first", (F.sum("n").over(Window.partitionBy("file").orderBy("split")) - F.col("n")).alias("before"))
+    parsed = F.from_json("value", READ_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    bad = lines.where((F.trim("value") != "") & parsed["_corrupt_record"].isNotNull())
+    return bad.join(before, ["file", "split"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+
+
+def checked(spark: SparkSession, path: str) -> DataFrame:
+    """read, after a pass that raises an error with file and line if a line is malformed."""
+    rows = read(spark, path)
+    if rows.inputFiles():
+        first = malformed(spark, path).orderBy("file", "line").first()
+        if first is not None:
+            raise MaskError(f"{first.file}:{first.line}: not an audit record", "invalid_json")
+    return rows
+
+
 def redacted(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("action") == "redacted")
 

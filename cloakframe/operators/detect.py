@@ -37,6 +37,8 @@ class Detector:
     value: str
     after: str
     valid: Callable[[Column], Column]
+    #: What a text must have for a match, told faster than by the patterns; it never changes the findings.
+    hint: Callable[[Column], Column] = lambda text: F.lit(True)
 
 
 def _bytes(value: Column) -> Column:
@@ -80,24 +82,24 @@ CATALOGUE: dict[str, tuple[Detector, ...]] = {
     "passwords": (
         Detector("typed.password.labeled", "password", "labeled", "high", 92, PASSWORD_LABEL + SEPARATOR + QUOTE, "[^\"'`\\r\\n]{4,128}", f"(?={QUOTE})", _password),
         Detector("typed.password.labeled", "password", "labeled", "high", 90, PASSWORD_LABEL + SEPARATOR, r"""[^\s,;}\]'"`]{4,128}""", "", _password),
-        Detector("typed.password.dsn", "password", "dsn_userinfo", "high", 95, r"\b[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^/\s:@]{1,64}:", r"[^@\s/]{4,128}", "(?=@)", _password),
+        Detector("typed.password.dsn", "password", "dsn_userinfo", "high", 95, r"\b[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^/\s:@]{1,64}:", r"[^@\s/]{4,128}", "(?=@)", _password, lambda t: t.contains("://") & t.contains("@")),
     ),
-    "emails": (Detector("typed.email", "email", "email_address", "high", 90, "", r"\b[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9.\-]+\.[A-Za-z]{2,24}\b", "", _email),),
-    "phones": (Detector("typed.phone", "phone", "phone_number", "low", 55, "", r"\b\+?\d[\d .()\-/]{7,}\d\b", "", _phone),),
+    "emails": (Detector("typed.email", "email", "email_address", "high", 90, "", r"\b[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9.\-]+\.[A-Za-z]{2,24}\b", "", _email, lambda t: t.contains("@")),),
+    "phones": (Detector("typed.phone", "phone", "phone_number", "low", 55, "", r"\b\+?\d[\d .()\-/]{7,}\d\b", "", _phone, lambda t: t.rlike(r"(?U)\d[\d .()\-/]{7}")),),
     "national_ids": (
-        Detector("typed.id.ssn", "national_id", "us_ssn", "high", 94, "", r"\b\d{3}-\d{2}-\d{4}\b", "", lambda v: ~v.isin("000-00-0000", "123-45-6789")),
+        Detector("typed.id.ssn", "national_id", "us_ssn", "high", 94, "", r"\b\d{3}-\d{2}-\d{4}\b", "", lambda v: ~v.isin("000-00-0000", "123-45-6789"), lambda t: t.rlike(r"(?U)\d-\d\d-\d")),
         Detector("typed.id.labeled", "national_id", "labeled_id", "low", 58, r"\b(?i:ssn|social security|national id|tax id|government id|nin)\b" + SEPARATOR + QUOTE + "?", r"[A-Za-z0-9\-]{6,20}", "", _labeled_id),
     ),
     "passports": (Detector("typed.passport", "passport", "passport_number", "low", 58, r"\b(?i:passport(?:\s+(?:number|no|\#))?)\b" + SEPARATOR + QUOTE + "?", "[A-Za-z0-9]{6,12}", "", _passport),),
-    "payment_cards": (Detector("typed.card.pan", "payment_card", "pan", "high", 96, "", r"\b(?:\d[ -]?){13,19}\b", "", _card),),
+    "payment_cards": (Detector("typed.card.pan", "payment_card", "pan", "high", 96, "", r"\b(?:\d[ -]?){13,19}\b", "", _card, lambda t: t.rlike(r"(?U)(?:\d[ -]?){13}")),),
     "cvv": (Detector("typed.card.cvv", "cvv", "card_cvv", "low", 56, r"\b(?i:cvv|cvc|cvn|security code)\b" + SEPARATOR + QUOTE + "?", r"\d{3,4}", "", _cvv),),
 }
 OPAQUE_RULE = "opaque.high_entropy"
 
 
-def _places(text: Column, pattern: str) -> Column:
-    """array<struct<start, stop>> of what the pattern's second group matches; places are in characters from 0."""
-    clean = F.translate(text, OPEN + SHUT, OTHER * 2)
+def _places(text: Column, pattern: str, hint: Column | None = None) -> Column:
+    """array<struct<start, stop>> of what the pattern's second group matches; places are in characters from 0. Texts without the hint have none."""
+    clean = F.when(text.contains(OPEN) | text.contains(SHUT), F.translate(text, OPEN + SHUT, OTHER * 2)).otherwise(text)
     marked = F.regexp_replace(clean, pattern, f"$1{OPEN}$2{SHUT}")
 
     def walk(whole: Column) -> Column:
@@ -113,7 +115,8 @@ def _places(text: Column, pattern: str) -> Column:
 
         return F.aggregate(F.slice(parts, 2, F.size(parts)), first, step, lambda end: end["found"])
 
-    return F.coalesce(S.let(marked, walk), F.array().cast("array<struct<start:int,stop:int>>"))
+    found = S.let(marked, walk)
+    return F.coalesce(found if hint is None else F.when(hint, found), F.array().cast("array<struct<start:int,stop:int>>"))
 
 
 def _value(text: Column, place: Column) -> Column:
@@ -137,7 +140,7 @@ def typed_findings(text: Column, detector: Detector) -> Column:
 
         return S.let(_value(text, place), of)
 
-    return F.filter(F.transform(_places(text, pattern), one), lambda f: detector.valid(f["secret"]))
+    return F.filter(F.transform(_places(text, pattern, detector.hint(text)), one), lambda f: detector.valid(f["secret"]))
 
 
 def _hides_placeholder(token: Column, prefix: str) -> Column:
@@ -158,10 +161,17 @@ def long_token_pattern(min_bytes: int) -> str:
     return f"(){start}({token}{{{max(1, min_bytes)},}}|{wide})"
 
 
+def may_hold_long_token(text: Column, min_bytes: int) -> Column:
+    """Whether a text has a token of so many characters, by one pass over it, or has wide characters at all."""
+    stop = re.escape(DELIMITERS)
+    short = rf"[^{stop}]{{1,{min_bytes - 1}}}+"
+    return ~text.rlike(rf"\A[{stop}]*+(?:{short}[{stop}]++)*+(?:{short})?+\z") | (F.octet_length(text) != F.length(text))
+
+
 def opaque_findings(text: Column, cfg: Detection, prefix: str) -> Column:
     """High-entropy tokens."""
     pattern = long_token_pattern(cfg.entropy_min_len)
-    longest = F.filter(_places(text, pattern), lambda p: (F.octet_length(_value(text, p)) >= cfg.entropy_min_len) & ~_value(text, p).rlike("^[a-z]*$"))
+    longest = F.filter(_places(text, pattern, may_hold_long_token(text, cfg.entropy_min_len) if cfg.entropy_min_len > 1 else None), lambda p: (F.octet_length(_value(text, p)) >= cfg.entropy_min_len) & ~_value(text, p).rlike("^[a-z]*$"))
 
     def one(place: Column) -> Column:
         def of(secret: Column) -> Column:
@@ -206,6 +216,62 @@ def allowed(finding: Column, allowlist: Allowlist) -> Column:
     return out
 
 
+#: Bits of the filter for each allowed hash, and how many of them each sets: about one other value in a hundred passes.
+BLOOM_BITS, BLOOM_HASHES = 10, 7
+#: The filter is broadcast, so it is no larger than this whatever the table holds; past it more values pass, and the join decides.
+MOST_BLOOM_WORDS = 1 << 20
+
+
+def _bloom_bits(hash_: Column, words: int) -> Column:
+    """The bits of a hash: two halves, stepped through."""
+    a, b = (F.pmod(F.xxhash64(hash_, F.lit(seed)), F.lit(1 << 40)) for seed in (0, 1))
+    return F.transform(F.sequence(F.lit(0), F.lit(BLOOM_HASHES - 1)), lambda i: F.pmod(a + i * b, F.lit(words * 64).cast("long")))
+
+
+def without_allowed(found: DataFrame, allowed: DataFrame, secret_col: str = "secret", hash_col: str = "sha256") -> DataFrame:
+    """found (a row for each finding) without those whose secret's SHA-256 stands in the table allowed, which may hold any number.
+
+    A Bloom filter of the table, an array of at most 8 MB, goes to all tasks. What it doesn't know stays without
+    a shuffle; the rest, nearly all of it allowed, is joined with the table. Hashes may be repeated, in capitals or null.
+    """
+    hashes = allowed.select(F.lower(F.trim(hash_col)).alias("hash")).where("hash is not null").distinct()
+    n = hashes.count()
+    words = max(1, min(MOST_BLOOM_WORDS, -(-n * BLOOM_BITS // 64)))
+    bits = hashes.select(F.explode(_bloom_bits(F.col("hash"), words)).alias("bit"))
+    filled = bits.groupBy(F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("set"))
+    whole = found.sparkSession.range(words).select(F.col("id").cast("int").alias("word")).join(filled, "word", "left")
+    pairs = F.array_sort(F.collect_list(F.struct("word", F.coalesce("set", F.lit(0).cast("long")).alias("set"))))
+    bloom = whole.agg(F.transform(pairs, lambda x: x["set"]).alias("_bloom"))  # a single row
+    rows = once(found.crossJoin(F.broadcast(bloom)), "_hash", S.sha256(F.col(secret_col)))
+    known = F.forall(_bloom_bits(F.col("_hash"), words), lambda b: F.getbit(F.get("_bloom", F.floor(b / 64).cast("int")), (b % 64).cast("int")) == 1)
+    told = once(rows, "_known", F.coalesce(known, F.lit(False))).drop("_bloom")
+    asked = told.where("_known").join(hashes, F.col("_hash") == F.col("hash"), "left_anti")
+    return told.where("not _known").unionByName(asked).drop("_hash", "_known")
+
+
+def with_byte_places(findings: Column, text: Column) -> Column:
+    """findings, in order of place, each with start_byte and stop_byte in the UTF-8 text.
+
+    Only the stretches between marks are measured, each once, and added up; a text of one byte a character is not looked at again.
+    """
+    add = lambda a, b: a + b
+
+    def placed(widths: Column) -> Column:
+        def one(f: Column, i: Column) -> Column:
+            start = F.aggregate(F.slice(widths, F.lit(1), i + 1), F.lit(0), lambda a, w: a + w["gap"]) + F.aggregate(F.slice(widths, F.lit(1), i), F.lit(0), lambda a, w: a + w["own"])
+            return S.let(start, lambda s: f.withField("start_byte", s).withField("stop_byte", s + F.get(widths, i)["own"]))
+
+        return F.transform(findings, one)
+
+    def width(f: Column, i: Column) -> Column:
+        before = F.when(i == 0, F.lit(0)).otherwise(F.get(findings, i - 1)["stop"])
+        gap = F.octet_length(F.substring(text, before + 1, f["start"] - before))
+        return F.struct(gap.alias("gap"), F.octet_length(f["secret"]).alias("own"))
+
+    plain = F.transform(findings, lambda f: f.withField("start_byte", f["start"]).withField("stop_byte", f["stop"]))
+    return F.when(F.octet_length(text) == F.length(text), plain).otherwise(S.let(F.transform(findings, width), placed))
+
+
 def typed(text: Column, cfg: Detection) -> Column:
     """Findings of the enabled typed detectors, overlaps resolved; codes of cards only near a card."""
     none = F.array().cast(f"array<{FINDING}>")

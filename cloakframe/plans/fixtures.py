@@ -6,7 +6,6 @@ import base64
 
 TOKEN = "Zk4wQ9rT2mX7bN5vL8pJ3cH6gF1dS0y"
 OTHER_TOKEN = "Mv7Tq2Lx9Rb4Zn6Wk1Hd8Gs3Pc5Jy0"
-ALLOWED_SHA256 = "519cd0470532c70d4e2ba6eb6e50bdd773281baa1d584aa2f051291b82212ccc"
 
 TEXTS = [
     (1, f"prefix={TOKEN}"),
@@ -27,26 +26,7 @@ TEXTS = [
     (16, None),
 ]
 
-_A, _B = "{{VEIL_OPAQUE_deadbeefcafebabe}}", "{{VEIL_EMAIL_0123456789abcdef}}"
-PLACEHOLDERS = [
-    (1, _A),
-    (2, f"to {_B}, {_A}."),
-    (3, "{{VEIL_OPAQUE_xxxx}}"),
-    (4, "{"),
-    (5, "abc{{VE"),
-    (6, "abc{{VEIL_OPAQUE_dead"),
-    (7, "hello {{VEIL_PHONE_deadbeefcafebabe}}"),
-    (8, "plain"),
-    (9, f"{{{{{_A}}}"),
-    (10, "{{VEIL_CVV_0123456789abcde0}} late"),
-    (11, None),
-]
-KNOWN = [
-    ("deadbeefcafebabe", "opaque_token", TOKEN, "2026-03-11 00:00:00"),
-    ("0123456789abcdef", "email", "dora@harbour.dev", "2026-03-11 00:00:00"),
-    ("0123456789abcde0", "cvv", "123", "2026-03-09 00:00:00"),
-]
-
+_A = "{{VEIL_OPAQUE_deadbeefcafebabe}}"
 AUDIT = [
     ("2026-03-10T00:00:00Z", "opaque.high_entropy", "opaque_token", "stdin", "redacted"),
     ("2026-03-10T00:00:01Z", "opaque.high_entropy", "opaque_token", "api.one.example", "redacted"),
@@ -55,10 +35,6 @@ AUDIT = [
     ("2026-03-10T00:00:04Z", "typed.email", "email", "api.one.example", "seen"),
 ]
 
-HOSTS = [(h,) for h in ("API.Example.com:443", " example.com. ", "localhost:8080", "[2001:db8::1]:443", "2001:db8::1", "10.0.0.1:80", "plain", "a.b.c")]
-
-CONTENT = [(1, "application/json; charset=utf-8", "x"), (2, "application/vnd.api+json", "x"), (3, "text/plain", '{"a":1}'), (4, None, "no json"), (5, "text/html", "<p>"), (6, None, None)]
-
 #: (line, what it is without secrets), both written by hand.
 _LINES = [
     (f"api_key = {TOKEN} and {_A}", "api_key = [redacted] and [redacted_placeholder]"),

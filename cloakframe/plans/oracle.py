@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import re
 
-from ..functions.local import render
-from ..vocabulary import KINDS, PROMPT_HINTS, placeholder_pattern, scrub_steps
-from . import fixtures as X
+from ..vocabulary import KINDS, PROMPT_HINTS, scrub_steps
 
 
 def quoted(value: object) -> str:
@@ -122,51 +120,6 @@ def candidates(key: str, valid: str) -> str:
 
 
 HINTS = "|".join(re.escape(h) for h in PROMPT_HINTS)
-MAIL = render("email", "@").split("@")
-
-
-def _mail_id(secret: str = "dora@harbour.dev") -> str:
-    return f"('{MAIL[0]}' || substr(sha256('email' || '{secret}'), 1, 16) || '{MAIL[1]}')"
-
-
-def _token_mark() -> str:
-    return f"('{{{{VEIL_OPAQUE_' || substr(sha256('opaque_token' || '{X.TOKEN}'), 1, 16) || '}}}}')"
-
-
-_TEXT = {n: t for n, t in X.TEXTS}
-
-
-def expected_findings(rows: list[tuple]) -> str:
-    return "SELECT * FROM " + literal(rows, "case_id, secret, rule_id, kind, subtype, source, confidence, score")
-
-
-def _typed_rows() -> list[tuple]:
-    """What the fixture texts hold, by their definition."""
-    opaque = lambda n, s: (n, s, "opaque.high_entropy", "opaque_token", "high_entropy", "entropy", "high", 92)
-    mail = lambda n: (n, "dora@harbour.dev", "typed.email", "email", "email_address", "heuristic", "high", 90)
-    return [
-        opaque(1, X.TOKEN),
-        (3, "1 (646) 555-0148", "typed.phone", "phone", "phone_number", "heuristic", "low", 55),
-        (4, "g4t3Way7", "typed.password.dsn", "password", "dsn_userinfo", "heuristic", "high", 95),
-        (5, "KD4820917", "typed.passport", "passport", "passport_number", "heuristic", "low", 58),
-        (6, "KD-482091", "typed.id.labeled", "national_id", "labeled_id", "heuristic", "low", 58),
-        (9, "4111 1111 1111 1111 ", "typed.card.pan", "payment_card", "visa", "heuristic", "high", 96),
-        (9, "123", "typed.card.cvv", "cvv", "card_cvv", "heuristic", "low", 56),
-        (11, "Wint3r!", "typed.password.labeled", "password", "labeled", "heuristic", "high", 92),
-        mail(11),
-        (11, "4111 1111 1111 1111", "typed.card.pan", "payment_card", "visa", "heuristic", "high", 96),
-        (11, "123", "typed.card.cvv", "cvv", "card_cvv", "heuristic", "low", 56),
-        (12, "123-45-6788", "typed.id.ssn", "national_id", "us_ssn", "heuristic", "high", 94),
-        mail(12),
-        opaque(13, X.OTHER_TOKEN),
-        opaque(13, X.TOKEN),
-        (14, "646-555-0177", "typed.phone", "phone", "phone_number", "heuristic", "low", 55),
-    ]
-
-
-def _with_places(columns: str, where: str = "true") -> str:
-    fixture = literal([(n, t) for n, t in X.TEXTS if t], "case_id, text")
-    return f"SELECT {columns} FROM (SELECT e.*, (position(secret IN text) - 1)::INT AS start, (position(secret IN text) - 1 + length(secret))::INT AS stop FROM ({expected_findings(_typed_rows())}) e JOIN (SELECT * FROM {fixture}) t USING (case_id)) WHERE {where}"
 
 
 ORACLE: dict[str, str] = {
@@ -175,30 +128,17 @@ ORACLE: dict[str, str] = {
     "phone_candidates": f"WITH {places('c', PHONE)} " + candidates("doc_id", VALID_PHONE),
     "phone_candidates_pages": f"WITH {places('c', PHONE, 'pages', 'page_id', 'html')} " + candidates("page_id", VALID_PHONE),
     "card_candidates": f"WITH {CARDS} SELECT doc_id, secret AS value, {VALID_CARD} AS valid, CASE WHEN {VALID_CARD} THEN {issuer(digits('secret'))} END AS issuer FROM card",
-    "typed_fixture": _with_places("case_id, start, stop, secret, rule_id, kind, subtype, source, confidence, score"),
     "overlap_resolution": FOUND + " SELECT doc_id, start, stop, secret, rule_id, score FROM found",
     "context_windows": FOUND + " SELECT doc_id, start, substr(text, greatest(start - 96, 0) + 1, stop + 96 - greatest(start - 96, 0)) AS context FROM found JOIN documents USING (doc_id) WHERE score < 70",
-    "classifier_filter": _with_places(
-        "case_id, secret, rule_id, 'classifier' AS source, 'medium' AS confidence, 72 AS score", "score < 70 AND (kind <> 'phone' OR contains(secret, '('))"
-    ),
     "allowlist_rule": FOUND + " SELECT doc_id, start, secret, rule_id FROM found WHERE rule_id <> 'opaque.high_entropy'",
     "allowlist_pattern": FOUND + " SELECT doc_id, start, secret, rule_id FROM found WHERE NOT regexp_matches(secret, '^4|[a-f]{3}')",
-    "allowlist_sha256": _with_places("case_id, start, secret, rule_id", f"sha256(secret) <> '{X.ALLOWED_SHA256}'"),
     "token_entropy": f"SELECT doc_id, x AS token, round(list_aggregate(regexp_extract_all(hex(encode(x)), '..'), 'entropy'), 6) AS entropy FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{TOKEN}{{12,}}')) AS x FROM documents)",
     "luhn_and_issuer": f"SELECT o_orderkey, number, {luhn('number')} AS passes, {issuer('number')} AS issuer FROM (SELECT o_orderkey, lpad((o_orderkey * 7919 + 4000000)::VARCHAR, 16, '4') AS number FROM orders)",
-    "log_scrub": "SELECT * FROM " + literal([(n, s) for n, _, s in X.LOG_LINES], "line_id, scrubbed"),
     "log_scrub_documents": f"SELECT doc_id, sha256({scrubbed('text')}) AS scrubbed_sha256 FROM documents",
-    "host_normalize": "SELECT * FROM "
-    + literal(
-        list(zip([h for (h,) in X.HOSTS], ["api.example.com", "example.com", "localhost", "2001:db8::1", "2001:db8::1", "10.0.0.1", "plain", "a.b.c"])),
-        "host, normal",
-    ),
     "host_scope": f"SELECT page_id, h = 'example.com' OR h LIKE '%.example.com' AS suffix, h LIKE 'blog.%' OR h LIKE '%.example.o_g' AS glob, true AS everything FROM (SELECT page_id, {URL_HOST} AS h FROM pages)",
     "user_turns": "SELECT conv_id, turn, text FROM conversations WHERE role = 'user' OR role IS NULL",
     "body_size_limit": "SELECT doc_id, CASE WHEN strlen(text) > 4096 THEN 'body_too_large' END AS error_code FROM documents",
     "hidden_prompt": f"SELECT doc_id, coalesce(strlen(text) >= 8192 AND NOT regexp_matches(lower(text), {quoted(HINTS)}), false) AS hidden FROM documents",
-    "json_predicate": "SELECT n, coalesce(lower(content_type), '') LIKE '%application/json%' OR coalesce(lower(content_type), '') LIKE '%+json%' OR coalesce(json_valid(body), false) AS is_json FROM "
-    + literal(X.CONTENT, "n, content_type, body"),
     "redaction_ids": FOUND + f" SELECT doc_id, secret, {ID} AS id, {MARK} AS placeholder, substr(sha256(secret), 1, 16) AS legacy_id FROM found",
     "masked_text": MASKED + " SELECT doc_id, masked FROM masked",
     "dry_run": FOUND
@@ -208,33 +148,23 @@ ORACLE: dict[str, str] = {
     "mapping_table": FOUND + f" SELECT DISTINCT {ID} AS id, kind, secret, '2026-03-10 01:00:00' AS expires_at FROM found",
     "mapping_expiry": FOUND
     + f" SELECT id, kind, strftime(TIMESTAMP '2026-03-10 01:00:00' + to_seconds(m), '%Y-%m-%d %H:%M:%S') AS expires_at FROM (SELECT {ID} AS id, kind, max(doc_id % 5) * 1800 AS m FROM found GROUP BY ALL) WHERE m > 3600",
-    "resolve_lenient": "",
-    "placeholder_states": "SELECT * FROM "
-    + literal(
-        [
-            (1, True, True, True, None), (2, True, True, False, None), (3, True, False, False, None), (4, False, False, False, 0), (5, False, False, False, 3), (6, True, False, False, 3),
-            (7, True, True, False, None), (8, False, False, False, None), (9, True, True, False, None), (10, True, True, False, None), (11, None, None, None, None),
-        ],
-        "n, prefix, complete, whole, partial_at",
-    ),
     "audit_rows": AUDIT + " SELECT * FROM log",
     "audit_totals": AUDIT + " SELECT count(*) AS total_redactions, max(nullif(ts, '')) AS latest_event FROM log",
     "audit_stats_kind": ranked("kind"),
     "audit_stats_rule": ranked("rule_id"),
     "audit_stats_host_top": ranked("request_host", "LIMIT 5"),
     "audit_stats_all": AUDIT + " " + all_lists("log"),
-    "audit_fixture": f"WITH log AS (SELECT * FROM {literal(X.AUDIT, 'ts, rule_id, kind, request_host, action')}) {all_lists('log')}",
     "intercept_count": f"SELECT count(*) AS intercepted FROM pages WHERE {URL_HOST} = 'example.org' OR {URL_HOST} LIKE '%.example.org'",
     "hook_records": AUDIT + " SELECT 'request_redacted' AS event, epoch(TIMESTAMP '2026-03-10')::BIGINT AS ts, request_host, rule_id, kind, subtype, placeholder, 'log' AS action FROM log WHERE rule_id = 'typed.phone'",
     "hook_block": FOUND
     + " SELECT doc_id, CASE WHEN arg_min(rule_id, start) = 'typed.card.pan' THEN 'no cards' ELSE 'request blocked by hook for rule typed.phone' END AS message FROM found WHERE rule_id IN ('typed.phone', 'typed.card.pan') GROUP BY doc_id",
-    "body_notices": "SELECT * FROM " + literal([(1, True, "1 opaque token"), (3, True, "1 email"), (4, True, "1 email"), (5, True, "1 email"), (8, True, "1 email")], "n, told, kinds"),
-    "body_roundtrip": "SELECT conv_id, sha256(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS said_sha256 FROM conversations GROUP BY conv_id",
+    "body_roundtrip": f"""SELECT conv_id, sha256(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS said_sha256,
+  bool_or(coalesce(role, 'user') = 'user' AND len(list_filter(regexp_extract_all(text, '{TOKEN}+'), lambda x: strlen(x) >= 12 AND NOT regexp_matches(x, '^[a-z]*$') AND list_aggregate(regexp_extract_all(hex(encode(x)), '..'), 'entropy') >= 3.0)) > 0 OR (coalesce(role, 'user') = 'user' AND regexp_matches(text, '@|[0-9][0-9 .()/-]{{7,}}[0-9]'))) AS masked_some, true AS all_there
+  FROM conversations GROUP BY conv_id""",
     "sse_reassembly": FOUND + " SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM found)",
 }
 
 
-_TOOLS = {"codex": X.CODEX, " Claude": X.CLAUDE, "other": X.CODEX + X.CLAUDE}
 ORACLE |= {
     "masked_strings": MASKED + " SELECT doc_id, masked AS a, masked AS b, c AS n FROM masked JOIN (SELECT doc_id, count(*) AS c FROM found GROUP BY 1) USING (doc_id)",
     "socket_messages": MASKED
@@ -249,39 +179,9 @@ half AS (SELECT doc_id, string_agg(substr(text, before + 1, start - before) || m
 SELECT doc_id, coalesce(half, text) AS restored FROM documents LEFT JOIN half USING (doc_id)""",
     "restored_texts": FOUND + " SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM found)",
     "unquoted_passwords": "SELECT c_custkey, 14 AS start, 'k' || c_custkey || '-zz' AS secret, 'typed.password.labeled' AS rule_id, 90 AS score FROM customer WHERE length(c_custkey::VARCHAR) >= 0",
-    "host_lists": "SELECT * FROM " + literal([(t, i, h) for t, own in _TOOLS.items() for i, h in enumerate(dict.fromkeys((*own, *X.PROVIDERS, "extra.example", "claude.ai")))], "tool, place, host"),
 }
 
 
-def _resolved(kinds: tuple[str, ...]) -> str:
-    """The fixture texts with the known and live placeholders of some kinds replaced."""
-    text = "text"
-    for id_, kind, secret, expires in X.KNOWN:
-        if kind in kinds and expires > "2026-03-10 00:00:00":
-            text = f"replace({text}, {quoted(render(kind, id_))}, {quoted(secret)})"
-    return text
-
-
-_ROWS = literal(X.PLACEHOLDERS, "n, text")
-_LENIENT = _resolved(("opaque_token", "email", "cvv"))
-ORACLE["resolve_lenient"] = f"SELECT n, {_LENIENT} AS restored, NULL::VARCHAR AS error_code FROM {_ROWS}"
-ORACLE["resolve_opaque_only"] = f"SELECT n, {_resolved(('opaque_token',))} AS restored FROM {_ROWS}"
-ORACLE["resolve_strict"] = f"""SELECT n, CASE WHEN NOT coalesce(miss, false) THEN r END AS closed, CASE WHEN miss THEN text ELSE r END AS open, CASE WHEN miss THEN 'strict_resolve_failed' END AS error_code
-FROM (SELECT n, text, {_LENIENT} AS r, regexp_matches({_LENIENT}, {quoted(placeholder_pattern("VEIL"))}) AS miss FROM {_ROWS})"""
-_INNER_MASKED = X.INNER.replace("dora@harbour.dev", "#")
-ORACLE["message_bodies"] = f"""
-SELECT 1 AS n, replace({quoted(X.BODIES[0][1])}, '{X.TOKEN}', {_token_mark()}) AS masked, 1 AS replaced, NULL AS error_code
-UNION ALL SELECT 2, {quoted(X.BODIES[1][1])}, 0, NULL
-UNION ALL SELECT 3, replace({quoted(X.BODIES[2][1])}, 'dora@harbour.dev', {_mail_id()}), 1, NULL
-UNION ALL SELECT 4, '{{"messages":[{{"content":"payload=' || to_base64(encode(replace({quoted(_INNER_MASKED)}, '#', {_mail_id()}))) || '","role":"user"}}]}}', 1, NULL
-UNION ALL SELECT 5, replace({quoted(X.BODIES[4][1])}, 'dora@harbour.dev', {_mail_id()}), 1, NULL
-UNION ALL SELECT 6, NULL, 0, 'invalid_json'
-UNION ALL SELECT 7, NULL, 0, 'body_too_large'
-UNION ALL SELECT 8, replace({quoted(X.BODIES[7][1])}, 'dora@harbour.dev', {_mail_id()}), 1, NULL
-UNION ALL SELECT 9, NULL, 0, NULL
-"""
-
-
 def _rule(rule_id: str, pattern: str, test: str = "true", group: int | str = 0, low: float = 0, let_be: str = "false", key: str = "doc_id", source: str = "documents", text: str = "text", more: str = "") -> str:
     """All findings of one rule. test is about a text, let_be about m (match) and x (secret); a group that is a condition is written as SQL over g1, g2."""
     quoted = pattern.replace("'", "''")
@@ -317,3 +217,16 @@ _PAGE_RULES = [
     f"SELECT page_id, 'feed' AS rule_id, 0::INT AS place, '' AS secret, 0 AS h, '' AS m FROM {_PAGES} WHERE html IS NOT NULL AND regexp_matches(url, 'utm_source=feed$')",
 ]
 ORACLE["rule_allowlists_pages"] = "SELECT page_id, rule_id, place, secret, strlen(m)::INT AS matched_bytes FROM (" + " UNION ALL ".join(_PAGE_RULES) + ")"
+
+ORACLE |= {
+    "session_messages": MASKED
+    + """ SELECT doc_id, 'request' AS direction, coalesce(masked, text) AS outgoing, CASE WHEN masked IS NOT NULL THEN 'placeholder:v2' END AS contract, false AS missed FROM documents LEFT JOIN masked USING (doc_id)
+      UNION ALL SELECT doc_id, 'response', CASE WHEN doc_id % 5 < 2 THEN text ELSE coalesce(masked, text) END, NULL, masked IS NOT NULL AND doc_id % 5 >= 2 FROM documents LEFT JOIN masked USING (doc_id)""",
+    "allowlist_table": FOUND + " SELECT doc_id, start, secret, rule_id FROM found WHERE substr(sha256(secret), 64, 1) NOT IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') AND secret NOT IN (SELECT c_name FROM customer)",
+    "byte_places": FOUND
+    + " SELECT doc_id, start, stop, strlen(substr(text, 1, start))::INT AS start_byte, strlen(substr(text, 1, stop))::INT AS stop_byte, secret FROM found JOIN documents USING (doc_id)",
+    "scoped_requests": f"""SELECT page_id, h AS host FROM (SELECT page_id, {URL_HOST} AS h, page_id % 4 = 0 AS told, CASE WHEN page_id % 3 = 0 THEN true ELSE coalesce(json_valid(html), false) END AS js FROM pages)
+      WHERE (h = 'example.com' OR h LIKE '%.example.com' OR h LIKE 'm.%') AND (told OR js)""",
+    "scoped_responses": MASKED + " SELECT doc_id, length(masked)::INT AS n FROM masked WHERE contains(masked, '{{VEIL_')",
+    "separated_events": "SELECT doc_id, sha256(replace(text, ' ', chr(8232) || chr(133) || ' ')) AS text_sha256 FROM documents WHERE text IS NOT NULL",
+}

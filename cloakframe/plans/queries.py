@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import replace
 from datetime import timedelta
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import sources
 from ..config import PREFIX, Allowlist, Detection, Hook, Settings
 from ..errors import fail_closed
 from ..functions import scalars as S
 from ..operators import audit, bodies, detect, hooks, rewrite, rules, scope
-from ..streaming import messages
+from ..streaming import messages, sessions
 from ..streaming.sse import Assembler
 from ..vocabulary import placeholder_pattern
 from . import fixtures as X
+from . import oracle, planted
 
 OPAQUE = Detection()
 FLAT = Detection(emails=True, phones=True, national_ids=True, payment_cards=True)
@@ -43,10 +47,6 @@ def masked(spark: SparkSession, sf_dir: str, salt: bytes | None = None) -> DataF
     return rewrite.masked(found(spark, sf_dir), "text", salt)
 
 
-def fixture_findings(spark: SparkSession, allowlist: Allowlist | None = None) -> DataFrame:
-    return detect.with_findings(values(spark, X.TEXTS, "case_id int, text string"), "text", EVERYTHING, allowlist)
-
-
 # ---- detection
 
 
@@ -80,11 +80,6 @@ def card_candidates(spark, sf_dir):
     return rows.withColumn("issuer", F.when(F.col("valid"), S.card_issuer(S.digits(F.col("value")))))
 
 
-def typed_fixture(spark, sf_dir):
-    rows = detect.exploded(fixture_findings(spark), "case_id")
-    return rows.select("case_id", "start", "stop", "secret", "rule_id", "kind", "subtype", "source", "confidence", "score")
-
-
 def overlap_resolution(spark, sf_dir):
     return detect.exploded(found(spark, sf_dir), "doc_id").select("doc_id", "start", "stop", "secret", "rule_id", "score")
 
@@ -94,13 +89,6 @@ def context_windows(spark, sf_dir):
     return rows.select("doc_id", F.col("f.start").alias("start"), detect.context(F.col("text"), F.col("f")).alias("context"))
 
 
-def classifier_filter(spark, sf_dir):
-    """A classifier that accepts phone numbers with brackets only."""
-    rows = values(spark, X.TEXTS, "case_id int, text string")
-    out = detect.with_findings(rows, "text", EVERYTHING, classifier=lambda kind, subtype, value, context: (kind != "phone") | F.contains(value, F.lit("(")))
-    return detect.exploded(out, "case_id").where("score < 80").select("case_id", "secret", "rule_id", "source", "confidence", "score")
-
-
 def allowlist_rule(spark, sf_dir):
     return detect.exploded(found(spark, sf_dir, FLAT, Allowlist(rule_ids=("Opaque.High_Entropy ",))), "doc_id").select("doc_id", "start", "secret", "rule_id")
 
@@ -109,10 +97,6 @@ def allowlist_pattern(spark, sf_dir):
     return detect.exploded(found(spark, sf_dir, FLAT, Allowlist(patterns=("^4", "[a-f]{3}"))), "doc_id").select("doc_id", "start", "secret", "rule_id")
 
 
-def allowlist_sha256(spark, sf_dir):
-    return detect.exploded(fixture_findings(spark, Allowlist(secret_sha256=(X.ALLOWED_SHA256,))), "case_id").select("case_id", "start", "secret", "rule_id")
-
-
 # ---- scalars
 
 
@@ -126,11 +110,6 @@ def luhn_and_issuer(spark, sf_dir):
     return rows.select("o_orderkey", "number", S.luhn(F.col("number")).alias("passes"), S.card_issuer(F.col("number")).alias("issuer"))
 
 
-def log_scrub(spark, sf_dir):
-    rows = values(spark, [r[:2] for r in X.LOG_LINES], "line_id int, line string")
-    return rows.select("line_id", S.scrub(F.col("line"), PREFIX).alias("scrubbed"))
-
-
 def log_scrub_documents(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.sha2(S.scrub(F.col("text"), PREFIX), 256).alias("scrubbed_sha256"))
 
@@ -138,10 +117,6 @@ def log_scrub_documents(spark, sf_dir):
 # ---- scope
 
 
-def host_normalize(spark, sf_dir):
-    return values(spark, X.HOSTS, "host string").select("host", scope.normalize_host(F.col("host")).alias("normal"))
-
-
 def host_scope(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     host = scope.host_of_url(F.col("url"))
@@ -166,11 +141,6 @@ def hidden_prompt(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", scope.large_hidden_prompt(F.col("text")).alias("hidden"))
 
 
-def json_predicate(spark, sf_dir):
-    rows = values(spark, X.CONTENT, "n int, content_type string, body string")
-    return rows.select("n", S.looks_like_json(F.col("content_type"), F.col("body")).alias("is_json"))
-
-
 # ---- rewriting and mapping
 
 
@@ -211,33 +181,6 @@ def mapping_expiry(spark, sf_dir):
     return known.select("id", "kind", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"))
 
 
-def _placeholder_rows(spark):
-    known = values(spark, X.KNOWN, "id string, kind string, secret string, expires string").select("id", "kind", "secret", F.col("expires").cast("timestamp").alias("expires_at"))
-    return values(spark, X.PLACEHOLDERS, "n int, text string"), known
-
-
-def resolve_lenient(spark, sf_dir):
-    rows, known = _placeholder_rows(spark)
-    return rewrite.resolved(rows, "n", "text", known, at()).select("n", "restored", "error_code")
-
-
-def resolve_strict(spark, sf_dir):
-    rows, known = _placeholder_rows(spark)
-    out = rewrite.resolved(rows, "n", "text", known, at(), strict=True)
-    return out.select("n", fail_closed(F.col("text"), F.col("restored"), F.col("error_code"), True).alias("closed"), fail_closed(F.col("text"), F.col("restored"), F.col("error_code"), False).alias("open"), "error_code")
-
-
-def resolve_opaque_only(spark, sf_dir):
-    rows, known = _placeholder_rows(spark)
-    return rewrite.resolved(rows, "n", "text", known, at(), kinds=["opaque_token"]).select("n", "restored")
-
-
-def placeholder_states(spark, sf_dir):
-    rows, _ = _placeholder_rows(spark)
-    t = F.col("text")
-    return rows.select("n", S.contains_prefix(t, PREFIX).alias("prefix"), S.contains_placeholder(t, PREFIX).alias("complete"), S.is_placeholder(t, PREFIX).alias("whole"), S.partial_tail(t, PREFIX).alias("partial_at"))
-
-
 # ---- audit
 
 
@@ -269,10 +212,6 @@ def audit_stats_all(spark, sf_dir):
     return audit.ranked_all(_audit(spark, sf_dir))
 
 
-def audit_fixture(spark, sf_dir):
-    return audit.ranked_all(values(spark, X.AUDIT, "ts string, rule_id string, kind string, request_host string, action string"))
-
-
 def intercept_count(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return pages.where(scope.host_allowed(scope.host_of_url(F.col("url")), ["example.org"])).agg(F.count("*").alias("intercepted"))
@@ -291,21 +230,6 @@ def hook_block(spark, sf_dir):
 # ---- bodies and streams
 
 
-def _fixture_settings() -> Settings:
-    return Settings(detection=EVERYTHING, notice_mode="off", max_body_bytes=4096)
-
-
-def message_bodies(spark, sf_dir):
-    rows = values(spark, X.BODIES, "n int, body string")
-    return bodies.masked_bodies(rows, "n", "body", _fixture_settings()).select("n", "masked", F.size("replacements").cast("long").alias("replaced"), "error_code")
-
-
-def body_notices(spark, sf_dir):
-    rows = values(spark, X.BODIES, "n int, body string")
-    out = bodies.masked_bodies(rows, "n", "body", Settings(detection=EVERYTHING, notice_mode="minimal"))
-    return out.where(F.size("replacements") > 0).select("n", F.contains("masked", F.lit(f"[{PREFIX}] ")).alias("told"), rewrite.kind_histogram(F.col("replacements")).alias("kinds"))
-
-
 def _conversation_bodies(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     turn = F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("m"))
@@ -321,29 +245,43 @@ def body_roundtrip(spark, sf_dir):
     known = rewrite.mapping(out, timedelta(hours=1), at())
     back = bodies.restored_bodies(out.select("conv_id", "masked"), "conv_id", "masked", known, at(), strict=True)
     message = F.from_json("restored", "messages array<struct<role:string,content:string>>")["messages"]
-    return back.select("conv_id", F.sha2(F.array_join(F.transform(message, lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n"), 256).alias("said_sha256"))
+    said = F.sha2(F.array_join(F.transform(message, lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n"), 256)
+    return back.select("conv_id", said.alias("said_sha256")).join(_placeholders_of(out), "conv_id")
 
 
-def sse_reassembly(spark, sf_dir):
-    """Documents with findings as event streams cut every 97 bytes; restored, their fragments join to the text again."""
-    rows = masked(spark, sf_dir).where(F.size("replacements") > 0).select("doc_id", "masked", F.transform("replacements", lambda r: F.struct(r["kind"].alias("kind"), r["id"].alias("id"), r["secret"].alias("secret"))).alias("known"))
+def _placeholders_of(out):
+    """How many placeholders the masked bodies hold, which are as many as replacements, and whether all are of a known kind."""
+    count = F.regexp_count("masked", F.lit(placeholder_pattern(PREFIX)))
+    return out.select("conv_id", (count > 0).alias("masked_some"), (count == F.size("replacements")).alias("all_there"))
+
+
+#: What some take for the end of a line, but events don't.
+SEPARATORS = "\u2028\u0085 "
+
 
-    def run(batches):
-        import pyarrow as pa
+def _reassembled(characters: int, size: int, escape: bool = True):
+    """For mapInArrow over (doc_id, masked, known): the text that comes out of an event stream of fragments of so many characters, cut every so many bytes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, text, known in zip(*(c.to_pylist() for c in batch.columns)):
-                have = {(k["kind"], k["id"]): k["secret"] for k in known}
+            texts = []
+            for text, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                have = {(k["kind"], k["id"]): k["secret"] for k in known or ()}
                 one = Assembler(lambda k, i: have.get((k, i)))  # noqa: B023
-                wire = b"".join(
-                    b"data: " + json.dumps({"delta": {"type": "input_json_delta", "partial_json": text[at : at + 23]}}).encode() + b"\n\n" for at in range(0, len(text), 23)
-                )
-                events = [e for at in range(0, len(wire), 97) for e in one.feed(wire[at : at + 97])] + one.end()
-                out.append((doc, "".join(json.loads(e.decode()[6:])["delta"]["partial_json"] for e in events)))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string()))], ["doc_id", "text"]) if out else pa.record_batch([pa.array([], pa.int64()), pa.array([], pa.string())], ["doc_id", "text"])
+                delta = lambda at: {"delta": {"type": "input_json_delta", "partial_json": text[at : at + characters]}}  # noqa: B023, E731
+                wire = b"".join(b"data: " + json.dumps(delta(at), ensure_ascii=escape).encode() + b"\n\n" for at in range(0, len(text), characters))
+                events = [e for at in range(0, len(wire), size) for e in one.feed(wire[at : at + size])] + one.end()
+                texts.append("".join(json.loads(e.decode()[6:])["delta"]["partial_json"] for e in events))
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.mapInArrow(run, "doc_id long, text string")
+    return run
+
+
+def sse_reassembly(spark, sf_dir):
+    """Documents with findings as event streams cut every 97 bytes; restored, their fragments join to the text again."""
+    rows = masked(spark, sf_dir).where(F.size("replacements") > 0).select("doc_id", "masked", F.transform("replacements", lambda r: F.struct(r["kind"].alias("kind"), r["id"].alias("id"), r["secret"].alias("secret"))).alias("known"))
+
+    return rows.mapInArrow(_reassembled(23, 97), "doc_id long, text string")
 
 
 def masked_strings(spark, sf_dir):
@@ -395,12 +333,6 @@ def unquoted_passwords(spark, sf_dir):
     return detect.exploded(found_, "c_custkey").select("c_custkey", "start", "secret", "rule_id", "score")
 
 
-def host_lists(spark, sf_dir):
-    tools = Settings(hosts=("extra.example", "claude.ai"))
-    rows = [(tool, i, h) for tool in ("codex", " Claude", "other") for i, h in enumerate(tools.hosts_of(tool))]
-    return values(spark, rows, "tool string, place int, host string")
-
-
 def rule_pack_documents(spark, sf_dir):
     """A pack of ten rules over all documents: keywords, groups, entropy and allowlists."""
     found_ = rules.findings(detect.spread(documents(spark, sf_dir)), "doc_id", "text", rules.from_toml(X.DOCUMENT_RULES))
@@ -414,16 +346,63 @@ def rule_allowlists_pages(spark, sf_dir):
     return found_.select("page_id", "rule_id", "place", "secret", F.octet_length("matched").alias("matched_bytes"))
 
 
+def session_messages(spark, sf_dir):
+    """Each document as a session: what is asked, and its masked text as an answer up to two hours later, through keyed state of one hour."""
+    rows = masked(spark, sf_dir)
+    at_ = F.timestamp_seconds(F.unix_timestamp(at()) + F.col("doc_id"))
+    asked = rows.select("doc_id", F.lit("request").alias("direction"), at_.alias("at"), "text")
+    told = rows.select("doc_id", F.lit("response").alias("direction"), (at_ + F.make_dt_interval(mins=F.pmod("doc_id", F.lit(5)).cast("int") * 30)).alias("at"), F.col("masked").alias("text"))
+    both = asked.unionByName(told).withColumns({"session": F.col("doc_id").cast("string"), "seq": F.col("doc_id")})
+    out = sessions.sessions(both, Settings(detection=FLAT, max_body_bytes=0))
+    return out.select(F.col("seq").alias("doc_id"), "direction", "outgoing", "contract", "missed")
+
+
+def allowlist_table(spark, sf_dir):
+    """Findings without those whose hash stands in a table: of all values with an even last digit of their hash, and of every customer's name."""
+    each = found(spark, sf_dir)
+    values_ = detect.exploded(each, "doc_id").select(S.sha256(F.col("secret")).alias("sha256")).where(F.substring("sha256", 64, 1).isin(*"02468ace"))
+    names = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.upper(F.sha2("c_name", 256)).alias("sha256"))
+    return detect.without_allowed(detect.exploded(each, "doc_id"), values_.unionByName(names)).select("doc_id", "start", "secret", "rule_id")
+
+
+def byte_places(spark, sf_dir):
+    """Places in bytes beside those in characters."""
+    rows = found(spark, sf_dir)
+    each = detect.each(rows.withColumn("f", detect.with_byte_places(F.col("findings"), F.col("text"))), "f", "doc_id")
+    return each.select("doc_id", "f.start", "f.stop", "f.start_byte", "f.stop_byte", "f.secret")
+
+
+def scoped_requests(spark, sf_dir):
+    """Pages as JSON and other messages: those that are looked at."""
+    body = F.when(F.col("page_id") % 3 == 0, F.to_json(F.struct("page_id"))).otherwise(F.col("html"))
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", scope.host_of_url(F.col("url")).alias("host"), F.when(F.col("page_id") % 4 == 0, "application/json").alias("content_type"), body.alias("body"))
+    return sources.requests(rows, Settings(hosts=("example.com", "m.*"))).select("page_id", "host")
+
+
+def scoped_responses(spark, sf_dir):
+    """Masked documents that need restoring: those that hold the start of a placeholder."""
+    return sources.responses(masked(spark, sf_dir).select("doc_id", F.col("masked").alias("body")), Settings()).select("doc_id", F.length("body").alias("n"))
+
+
+def separated_events(spark, sf_dir):
+    """Masked documents with line separators planted before each space, as event streams cut every 89 bytes: fragments join to the text."""
+    rows = masked(spark, sf_dir).where("text is not null")
+    plant = lambda text: F.replace(text, F.lit(" "), F.lit(SEPARATORS))
+    known = F.transform("replacements", lambda r: F.struct(r["kind"].alias("kind"), r["id"].alias("id"), plant(r["secret"]).alias("secret")))
+    whole = rows.select("doc_id", plant(F.col("masked")).alias("masked"), known.alias("known"))
+    return whole.mapInArrow(_reassembled(31, 89, escape=False), "doc_id long, text string").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
 _NAMES = (
+    session_messages, allowlist_table, byte_places, scoped_requests, scoped_responses, separated_events,
     rule_pack_documents, rule_allowlists_pages,
-    masked_strings, socket_messages, guarded_messages, restored_messages, restored_texts, unquoted_passwords, host_lists,
+    masked_strings, socket_messages, guarded_messages, restored_messages, restored_texts, unquoted_passwords, 
 
-    opaque_tokens, email_candidates, phone_candidates, phone_candidates_pages, card_candidates, typed_fixture, overlap_resolution, context_windows, classifier_filter,
-    allowlist_rule, allowlist_pattern, allowlist_sha256, token_entropy, luhn_and_issuer, log_scrub, log_scrub_documents, host_normalize, host_scope, user_turns,
-    body_size_limit, hidden_prompt, json_predicate, redaction_ids, masked_text, dry_run, kind_histogram, redact_resolve_roundtrip, mapping_table, mapping_expiry,
-    resolve_lenient, resolve_strict, resolve_opaque_only, placeholder_states, audit_rows, audit_totals, audit_stats_kind, audit_stats_rule, audit_stats_host_top,
-    audit_stats_all, audit_fixture, intercept_count, hook_records, hook_block, message_bodies, body_notices, body_roundtrip, sse_reassembly,
+    opaque_tokens, email_candidates, phone_candidates, phone_candidates_pages, card_candidates, overlap_resolution, context_windows, 
+    allowlist_rule, allowlist_pattern, token_entropy, luhn_and_issuer, log_scrub_documents, host_scope, user_turns,
+    body_size_limit, hidden_prompt, redaction_ids, masked_text, dry_run, kind_histogram, redact_resolve_roundtrip, mapping_table, mapping_expiry,
+    audit_rows, audit_totals, audit_stats_kind, audit_stats_rule, audit_stats_host_top,
+    audit_stats_all, intercept_count, hook_records, hook_block, body_roundtrip, sse_reassembly,
 )
-QUERIES = {f.__name__: f for f in _NAMES}
-
-from .oracle import ORACLE  # noqa: E402, F401
+QUERIES = {f.__name__: f for f in _NAMES} | planted.QUERIES
+ORACLE = oracle.ORACLE | planted.ORACLE

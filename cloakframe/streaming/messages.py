@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..config import Settings
 from ..errors import HOOK_BLOCKED, fail_closed
@@ -63,6 +64,48 @@ def responses(messages: DataFrame, key: str, text_col: str, known: DataFrame, no
     ).drop("_in", "error_code")
 
 
+def counted(judged: DataFrame, name: str) -> DataFrame:
+    """judged (of text_requests or body_requests), counted as it flows: intercepted, masked, closed and blocked messages of each batch under name.
+
+    The counts cost no pass of their own. A batch tells them by an Observation, a stream by
+    each progress report (see Counters).
+    """
+    number = lambda test: F.count(F.when(test, 1))
+    return judged.observe(
+        name, F.count(F.lit(1)).alias("intercepted"), number(F.col("contract").isNotNull()).alias("masked"), number(F.col("closed")).alias("closed"),
+        number(F.col("error_code") == HOOK_BLOCKED).alias("blocked"), F.sum(F.when(F.col("contract").isNotNull(), F.size("replacements")).otherwise(0)).alias("replacements"),
+    )
+
+
+class Counters(StreamingQueryListener):
+    """The counts of all streams of a session: by batch, and their sums. Add with spark.streams.addListener."""
+
+    def __init__(self, name: str):
+        self.name = name
+        self.batches: dict[tuple[str, int], dict[str, int]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(self.name)
+        if row is not None:
+            self.batches[str(event.progress.id), event.progress.batchId] = {k: v or 0 for k, v in row.asDict().items()}
+
+    def totals(self) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for counts in list(self.batches.values()):
+            for k, v in counts.items():
+                out[k] = out.get(k, 0) + v
+        return out
+
+
 def each_response(path: str, key: str, text_col: str, settings: Settings, put: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: resolve a batch by the mapping kept below path as it is then, and hand it to put."""
 
@@ -77,7 +120,7 @@ def keep_mapping(path: str, settings: Settings, host: str = "stream", compact_ev
 
     Rows are written by batch number, so a batch that is tried again replaces its own.
     Every so many batches the mapping of all before is written anew as one, without
-    what has expired. Hooks may run again for a batch that is tried again. Rows that were
+    what has expired. Hooks act once for a batch that is tried again. Rows that were
     closed (text_requests, body_requests) are neither mapped nor audited, but do tell
     that a secret was found.
     """
@@ -86,12 +129,12 @@ def keep_mapping(path: str, settings: Settings, host: str = "stream", compact_ev
         now = F.current_timestamp()
         batch = batch.persist()
         try:
-            hooks.dispatch(batch, settings.hooks, "secret_detected", F.lit(host), now, allow_exec)
+            hooks.dispatch(batch, settings.hooks, "secret_detected", F.lit(host), now, allow_exec, number, f"{path}/hooks")
             sent = batch.where(~F.coalesce(F.col("closed"), F.lit(False))) if "closed" in batch.columns else batch
             if not settings.dry_run:
                 rewrite.mapping(sent, settings.session_ttl).write.mode("overwrite").parquet(f"{path}/mapping/batch={number}")
                 audit.audit_rows(sent, F.lit(host), now).write.mode("overwrite").json(f"{path}/audit/batch={number}")
-                hooks.dispatch(sent, settings.hooks, "request_redacted", F.lit(host), now, allow_exec)
+                hooks.dispatch(sent, settings.hooks, "request_redacted", F.lit(host), now, allow_exec, number, f"{path}/hooks")
         finally:
             batch.unpersist()
         if compact_every and number and number % compact_every == 0:

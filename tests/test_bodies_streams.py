@@ -3,6 +3,7 @@ from __future__ import annotations
 import io
 import json
 import re
+import time
 from datetime import timedelta
 
 import pytest
@@ -230,6 +231,104 @@ def test_a_held_event_that_is_not_utf8_stays_in_state(spark, tmp_path):
     assert _joined(events) == "v end" and events[0].startswith(b": \xff\n")
 
 
+def test_a_batch_that_is_tried_again_acts_once(spark, tmp_path):
+    """One line and one command for each record, also if the batch failed between its hooks or after them."""
+    told = tmp_path / "told"
+    settings = Settings(
+        detection=Detection(emails=True),
+        hooks=(Hook("secret_detected", "log", path=str(tmp_path / "hook")), Hook("secret_detected", "exec", command=f"echo $CLOAKFRAME_RULE_ID >> {told}"), Hook("request_redacted", "log", path=str(tmp_path / "hook"))),
+    )
+    rows = spark.createDataFrame([(1, "dora@harbour.dev"), (2, "theo@harbour.dev and dora@harbour.dev"), (3, "x")], "k int, text string").repartition(2)
+    keep = messages.keep_mapping(str(tmp_path / "kept"), settings, allow_exec=True)
+    out = messages.text_requests(rows, "text", settings, b"s")
+    dispatch, calls = hooks.dispatch, []
+
+    def failing(*args, **kw):
+        dispatch(*args, **kw)
+        calls.append(args[2])
+        if len(calls) == 1:
+            raise RuntimeError("lost after the first event's hooks")
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(hooks, "dispatch", failing)
+        with pytest.raises(RuntimeError):
+            keep(out, 5)
+    for _ in range(2):
+        keep(out, 5)
+    assert told.read_text() == "typed.email\n" * 3
+    logged = spark.read.json(str(tmp_path / "hook")).groupBy("event").count().collect()
+    assert {r.event: r["count"] for r in logged} == {"secret_detected": 3, "request_redacted": 3}
+    audited = spark.read.json(str(tmp_path / "kept" / "audit")).count()
+    assert audited == 3 and messages.current_mapping(spark, str(tmp_path / "kept")).count() == 2
+    keep(out, 6)
+    assert told.read_text() == "typed.email\n" * 6
+    with pytest.raises(PermissionError):
+        messages.keep_mapping(str(tmp_path / "other"), settings)(out, 0)
+
+
+def test_counters_of_a_stream(spark, tmp_path):
+    settings = Settings(detection=Detection(emails=True), max_body_bytes=30)
+    schema = "k int, text string"
+    for texts in (["dora@harbour.dev", "x", None], ["dora@harbour.dev theo@harbour.dev is too long", "theo@harbour.dev"]):
+        spark.createDataFrame(list(enumerate(texts)), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    counters = messages.Counters("messages")
+    spark.streams.addListener(counters)
+    try:
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        judged = messages.counted(messages.text_requests(rows, "text", settings), "messages")
+        query = judged.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        for _ in range(100):
+            if len(counters.batches) >= 2:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(counters)
+    by_batch = [counters.batches[k] for k in sorted(counters.batches, key=lambda k: k[1])]
+    assert sorted(b["intercepted"] for b in by_batch) == [2, 3]
+    assert counters.totals() == {"intercepted": 5, "masked": 2, "closed": 1, "blocked": 0, "replacements": 2}
+
+
+def test_malformed_audit_lines_are_named(spark, tmp_path):
+    good = json.dumps({"ts": "2026-01-01T00:00:00Z", "rule_id": "r", "kind": "k", "request_host": "h", "action": "redacted"})
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.json").write_text("\n".join([good] * 900 + ["", "{broken", good, "[1]"] + [good] * 500 + ["no json"]) + "\n")
+    (tmp_path / "log" / "b.json").write_text(good + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        assert spark.read.text(str(tmp_path / "log")).rdd.getNumPartitions() > 8
+        got = audit.malformed(spark, str(tmp_path / "log")).orderBy("line").collect()
+        assert [(r.file.rsplit("/", 1)[1], r.line, r.value) for r in got] == [("a.json", 902, "{broken"), ("a.json", 904, "[1]"), ("a.json", 1405, "no json")]
+        with pytest.raises(MaskError, match="a.json:902:"):
+            audit.checked(spark, str(tmp_path / "log"))
+        assert audit.checked(spark, str(tmp_path / "log" / "b.json")).count() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_allowlist_of_a_million_hashes(spark):
+    hashes = spark.range(1_000_000).select(F.sha2(F.concat(F.lit("value "), "id"), 256).alias("sha256"))
+    odd = hashes.limit(3).unionAll(spark.createDataFrame([(None,), ("",)], "sha256 string"))
+    found = spark.range(2000).select(F.col("id").alias("k"), F.concat(F.lit("value "), F.col("id") * 997).alias("secret")).unionAll(spark.createDataFrame([(9, None), (8, "")], "k long, secret string"))
+    got = detect.without_allowed(found, hashes.unionAll(odd))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "bloom" in plan
+    want = {(k, f"value {k * 997}") for k in range(2000) if k * 997 >= 1_000_000} | {(9, None), (8, "")}
+    assert {(r.k, r.secret) for r in got.collect()} == want
+    none = detect.without_allowed(found, odd.where("sha256 = ''"))
+    assert none.count() == 2002
+
+
+def test_byte_places(spark):
+    text = "é dora@harbour.dev 日本 theo@harbour.dev 😀"
+    rows = spark.createDataFrame([(1, text), (2, "dora@harbour.dev"), (3, ""), (4, None), (5, "é")], "k int, t string")
+    out = detect.with_findings(rows, "t", Detection(emails=True)).withColumn("b", detect.with_byte_places(F.col("findings"), F.col("t")))
+    got = {r.k: [(f.start_byte, f.stop_byte) for f in r.b or []] for r in out.collect()}
+    at = [len(text[: text.index(s)].encode()) for s in ("dora", "theo")]
+    assert got == {1: [(a, a + 16) for a in at], 2: [(0, 16)], 3: [], 4: [], 5: []}
+
+
 def test_hooks_are_checked_where_they_are_made():
     for bad in (("other", "log"), ("secret_detected", "mail"), ("secret_detected", "log"), ("secret_detected", "exec"), ("request_redacted", "block")):
         with pytest.raises(MaskError):
