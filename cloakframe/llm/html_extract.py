@@ -13,8 +13,9 @@ shares most of a page is a copy and says nothing about the template.
 from __future__ import annotations
 
 import html
+import math
 import re
-from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import blobs, bounded_batches, materialise, parts
 from .simhash import numbered
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+_MARK = re.compile(r"[>\"']")
+_CAPITAL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -40,6 +43,10 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer fo
 FURNITURE_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead banner footer contentinfo sidebar side complementary aside cookie cookies consent gdpr notice alert popup modal overlay ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus respond reply replies share sharing social related recommended subscribe subscription newsletter signup login search toolbar pagination pager widget skip hidden".split()
 )
+#: Words that name furniture whatever stands beside them ("reader-comments", "wp-sidebar").
+FURNITURE_ALWAYS = frozenset("sidebar navbar navigation breadcrumb breadcrumbs comments disqus cookie cookies consent gdpr advert adverts advertisement advertising masthead contentinfo newsletter popup".split())
+#: Furniture on the page, but the article's own within it.
+FURNITURE_OUTSIDE = frozenset("header alert".split())
 #: Words that may stand beside one of those in a hyphenated name; with any other word ("market-share") it names something else.
 BESIDE_WORDS = frozenset(
     "main top bottom left right site page global primary secondary inner outer wrapper wrap container box block area section group list item items link links button buttons icon icons bar panel pane slot unit form field text title body content row column col widget widgets post posts article articles entry entries story stories js is has no the hide show open desktop mobile sticky fixed".split()
@@ -51,6 +58,45 @@ COPY = 0.8
 OTHER, ARTICLE, GONE = 0, 1, 2
 
 
+class Tags:
+    """The tags of a page, one after the other, in time linear in its length.
+
+    A tag ends at the first > outside quotes; a quote that never closes is a character. A page may have one tag
+    that would reach its end so; that is text, and the tags after it end at their first >.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {c: page.rfind(c) for c in ">\"'"}
+        self.plain = False
+
+    def after(self, at: int) -> tuple[int, int, str | None, str] | None:
+        """Start, end, name (with its slash; none for comments and declarations) and attributes of the next tag from at on."""
+        page = self.page
+        while 0 <= (at := page.find("<", at)) < self.last[">"] or at >= 0 and page.startswith("<!--", at):
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(page), None, ""
+            if page.startswith(("<!", "<?"), at):
+                return at, page.index(">", at) + 1, None, ""
+            name = _NAME.match(page, at + 1)
+            end = self._end(name.end()) if name else -1
+            if end >= 0:
+                return at, end + 1, name[0], page[name.end() : end]
+            at += 1
+        return None
+
+    def _end(self, at: int) -> int:
+        if self.plain:
+            return self.page.find(">", at)
+        while mark := _MARK.search(self.page, at):
+            at = mark.start()
+            if mark[0] == ">":
+                return at
+            at = self.page.index(mark[0], at + 1) + 1 if at < self.last[mark[0]] else at + 1
+        self.plain = True
+        return -1
+
+
 @dataclass
 class Line:
     text: str
@@ -64,13 +110,16 @@ def _kind(name: str, attributes: str, in_article: bool) -> int:
     kind = ARTICLE if name in ("article", "main") else OTHER
     if attributes:
         for key, a, b, c in _NAMED.findall(attributes):
-            key, value = key.lower(), (a or b or c).lower()
+            key, written = key.lower(), a or b or c
+            value = written.lower()
             if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
                 return GONE
             if key in ("class", "id", "role", "itemprop"):
-                for token in value.split():
-                    words = set(_WORD.findall(token))
-                    if words & FURNITURE_WORDS and words <= FURNITURE_WORDS | BESIDE_WORDS and not (in_article and "header" in words):
+                for token in written.split():
+                    words = set(_WORD.findall(_CAPITAL.sub("-", token).lower()))
+                    token = token.lower()
+                    named = words & FURNITURE_ALWAYS or (words & FURNITURE_WORDS and words <= FURNITURE_WORDS | BESIDE_WORDS)
+                    if named and not (in_article and words & FURNITURE_OUTSIDE) and not (kind == ARTICLE and not in_article):
                         return GONE
                     if token in ARTICLE_WORDS or (len(words) > 1 and words & ARTICLE_WORDS and words & {"content", "body", "text", "main"}):
                         kind = ARTICLE
@@ -87,7 +136,7 @@ def lines(page: str) -> list[Line]:
 
     def flush() -> None:
         if buffer:
-            text = " ".join(html.unescape("".join(buffer)).split())
+            text = " ".join("".join(buffer).split())
             buffer.clear()
             if text:
                 out.append(Line(text, place, article))
@@ -95,23 +144,28 @@ def lines(page: str) -> list[Line]:
     def pop(to: int) -> None:
         nonlocal place, article
         _, place, article = stack[to]
+        for element, _, _ in stack[to:]:
+            n_open[element] -= 1
         del stack[to:]
 
+    tags = Tags(page)
+    n_open: Counter[str] = Counter()
     while True:
-        tag = _TAG.search(page, at)
+        tag = tags.after(at)
+        start, end, name, attributes = tag if tag else (len(page), len(page), None, "")
+        if start > at:
+            buffer.append(html.unescape(page[at:start]))
+        at = end
         if tag is None:
-            buffer.append(page[at:])
             break
-        if tag.start() > at:
-            buffer.append(page[at : tag.start()])
-        at = tag.end()
-        if tag[2] is None:
+        if name is None:
             continue
-        name = tag[2].lower()
+        closing, name = name[0] == "/", name.lstrip("/").lower()
         if name in RAW:
-            if not tag[1]:
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            if not closing:
+                end = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
+                at = page.find(">", end.end()) + 1 if end else 0
+                at = at or len(page)
                 if name not in ("svg", "math"):
                     buffer.append(" ")
             continue
@@ -121,12 +175,10 @@ def lines(page: str) -> list[Line]:
             continue
         if name != "span":
             flush()
-        if tag[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    flush()
-                    pop(i)
-                    break
+        if closing:
+            if n_open[name]:
+                flush()
+                pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
         if name in ("body", "html"):
             if stack:
@@ -141,12 +193,13 @@ def lines(page: str) -> list[Line]:
                     break
                 if stack[i][0] not in IMPLIED:
                     break
-        if tag[3].rstrip().endswith("/"):
+        if attributes.rstrip().endswith("/"):
             continue
-        kind = _kind(name, tag[3], article > 0)
+        kind = _kind(name, attributes, article > 0)
         if kind == GONE and name == "span":
             flush()
         stack.append((name, place, article))
+        n_open[name] += 1
         if kind == GONE or place == GONE:
             place = GONE
         elif kind == ARTICLE:
@@ -161,9 +214,9 @@ def lines(page: str) -> list[Line]:
 def shared(a: list[int], b: list[int]) -> list[int]:
     """Places in a of a longest common subsequence of a and b.
 
-    Equal lines at both ends belong to one; between them each place of a is matched with
-    all places of the same line in b, from the last to the first, and a longest rising
-    row of matches is kept (Hunt and Szymanski).
+    Equal lines at both ends belong to one. Between them the rows of the table of lengths are
+    integers, a bit for each place of b, so a step over all of b is an addition; repeated lines cost no
+    more than others. Every so many rows one is kept, and those between are made again on the way back.
     """
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
@@ -171,24 +224,39 @@ def shared(a: list[int], b: list[int]) -> list[int]:
     tail = 0
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    where: dict[int, list[int]] = {}
-    for j in range(len(b) - tail - 1, head - 1, -1):
-        where.setdefault(b[j], []).append(j)
-    ends: list[int] = []
-    last: list[tuple] = []
-    for i in range(head, len(a) - tail):
-        for j in where.get(a[i], ()):
-            k = bisect_left(ends, j)
-            step = (i, last[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j), last.append(step)
-            elif ends[k] != j:
-                ends[k], last[k] = j, step
+    mine, other = a[head : len(a) - tail], b[head : len(b) - tail]
+    where: dict[int, int] = {}
+    for j, line in enumerate(other):
+        where[line] = where.get(line, 0) | 1 << j
+    mine = [(i, where[x]) for i, x in enumerate(mine) if x in where]
+    full = (1 << len(other)) - 1
+
+    def rows_from(row: int, some: list[tuple[int, int]]) -> list[int]:
+        out = [row]
+        for _, match in some:
+            own = row & match
+            row = ((row + own) | (row - own)) & full
+            out.append(row)
+        return out
+
+    step = max(1, math.isqrt(len(mine)))
+    kept, row = [full], full
+    for k in range(0, len(mine), step):
+        row = rows_from(row, mine[k : k + step])[-1]
+        kept.append(row)
     middle = []
-    step = last[-1] if last else None
-    while step is not None:
-        middle.append(step[0])
-        step = step[1]
+    j = len(other) - 1
+    for k in range(len(kept) - 2, -1, -1):
+        rows = rows_from(kept[k], mine[k * step : (k + 1) * step])
+        i = len(rows) - 1
+        while i > 0 and j >= 0:
+            if rows[i] >> j & 1:
+                j -= 1
+            elif not rows[i - 1] >> j & 1:
+                i -= 1
+            else:
+                middle.append(head + mine[k * step + i - 1][0])
+                i, j = i - 1, j - 1
     return [*range(head), *middle[::-1], *range(len(a) - tail, len(a))]
 
 

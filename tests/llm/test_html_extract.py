@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 from cloakframe.llm import html_extract as h
 
@@ -52,6 +53,39 @@ def test_shared_is_a_longest_common_subsequence():
         assert all(a[i] in left for i in got)
 
 
+def test_long_rows_of_repeated_lines_are_aligned():
+    rng = random.Random(6)
+    a, b = rng.choices([1, 2], k=8000), rng.choices([1, 2], k=8000)
+    began = time.time()
+    got = h.shared(a, b)
+    assert time.time() - began < 8 and len(got) > 6000
+    left = iter(b)
+    assert all(a[i] in left for i in got)
+
+
+def test_malformed_pages_cost_their_length():
+    for page in ("<a " * 350_000, "<a '" * 260_000, '<a "' * 260_000 + ">", "<a \"'" * 200_000 + "x>", "<!" * 500_000, "</script" * 100_000, "<script>" + "</script" * 100_000, "<div>" * 100_000 + "</x>" * 100_000, "&" * 500_000):
+        began = time.time()
+        h.lines(page)
+        assert time.time() - began < 5, page[:20]
+
+
+def test_malformed_tags():
+    text = lambda page: [x.text for x in h.lines(page)]
+    assert text("<p>a < b > c</p>") == ["a < b > c"] and text('<p title="x>y">a') == ["a"] and text("<p>it's <b title='>'>b</b>") == ["it's b"]
+    assert text("a<!-- <p>b</p>") == ["a"] and text("<p>a<p title='b>c") == ["a", "c"] and text('<p>a <i x="y>b</i> <p>c') == ["a b", "c"]
+    assert text("<p>x &am<b>p; &lt;</b>p> &am</p>") == ["x &amp; <p> &am"] and text("a <") == ["a <"] and text("a <b") == ["a <b"]
+
+
+def test_names_are_told_by_their_words():
+    page = "<article><p>kept</p><div %s><p>said</p></div></article>"
+    for name in ('class="user-comments"', "class=reader-comments", 'class="wp-sidebar"', 'id="commentsThread"', 'class="cookie-policy-banner"', 'class="x adSlot"', 'id="mainNav"'):
+        assert [x.text for x in h._kept_lines((page % name).encode())] == ["kept"], name
+    for name in ('class="alert"', 'class="market-share"', 'class="codeComment"', 'id="relatedWork"'):
+        assert [x.text for x in h._kept_lines((page % name).encode())] == ["kept", "said"], name
+    assert [x.text for x in h._kept_lines(b'<div class="alert">no</div><article class="related"><p>yes</p></article><main class="search"><p>too</p></main>')] == ["yes", "too"]
+
+
 def test_empty_table(spark):
     assert texts(spark, []) == {}
 
