@@ -134,7 +134,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_item:
 
     Windows match by template. Those of one document and item at one distance from each
     other are one reading of the item; it counts if its slots are consistent, that is, each
-    value of the item stands for one value of the document and the other way round. Of
+    value of the item stands for one value of the document; two of the item may stand for the same. Of
     other readings only windows with the very same values count. Capitals at the start of
     a sentence or line, or after a digit, quote or bracket, are read as words and, all of
     a window alike, as names; n_windows counts the windows that match with them as words,
@@ -144,8 +144,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, least_item:
     without tokens never match. Values may differ in windows of at least least_item tokens
     with least_literal words that aren't slots, or half of the tokens if that is fewer;
     other windows match by template and values. Repeated rows count as
-    often as they stand; a null doc_id or item_id is kept as null. Other columns are
-    ignored; an empty table gives no rows.
+    often as they stand; a null doc_id or item_id is kept as null. A very long text is taken
+    whole, by one task, and only its windows that may match are built. Other columns are ignored; an empty table gives no rows.
     """
     items = benchmark.select("item_id", tokens(F.col("text")).alias("t"), "text").where(F.size("t") > 0)
     sizes = sorted({min(window, r.n) for r in items.select(F.least(F.size("t"), F.lit(window)).alias("n")).distinct().limit(window).collect()}) or [window]

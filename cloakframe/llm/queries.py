@@ -154,7 +154,7 @@ placed AS (
     list_distinct(flatten(list(list_transform(list_zip(d.slots, b.slots), lambda z: z[1] || chr(10) || z[2])))) AS pairs
   FROM win d JOIN win b ON d.side = 'd' AND b.side = 'b' AND d.n = b.n AND d.w = b.w GROUP BY ALL
 ), hit AS (
-  SELECT doc_id, item_id, CASE WHEN len(pairs) = len(list_distinct(list_transform(pairs, lambda p: split_part(p, chr(10), 1)))) AND len(pairs) = len(list_distinct(list_transform(pairs, lambda p: split_part(p, chr(10), 2))))
+  SELECT doc_id, item_id, CASE WHEN len(pairs) = len(list_distinct(list_transform(pairs, lambda p: split_part(p, chr(10), 2))))
     THEN whole ELSE same END AS c FROM reading
 )
 SELECT doc_id, list_sort(list(item_id)) AS item_ids, sum(c)::BIGINT AS n_windows FROM hit WHERE c > 0 GROUP BY doc_id

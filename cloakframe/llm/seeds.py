@@ -95,13 +95,21 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return (best & PLACE).astype(np.int64)
 
 
+#: Bits of a verdict.
+MOST_PLACES = 31
+
+
 @dataclass(frozen=True)
 class Shape:
-    """window: symbols of a repeat at least; gram: symbols of an anchor."""
+    """window: symbols of a repeat at least; gram: symbols of an anchor. A verdict has a bit for each place of an anchor within a window."""
 
     window: int
     gram: int
 
+    def __post_init__(self):
+        if not 1 <= self.gram <= self.window <= self.gram + MOST_PLACES - 1:
+            raise ValueError(f"an anchor of {self.gram} can't decide windows of {self.window}: choose one from {max(1, self.window - MOST_PLACES + 1)} to {self.window}")
+
 
 class Bytes:
     """Texts of a block as rows of bytes; text i has the symbols bounds[i] to bounds[i + 1]."""

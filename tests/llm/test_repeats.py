@@ -134,3 +134,10 @@ def test_long_anchors_are_sorted_place_by_place(monkeypatch):
     for most in (1, 100, 10_000):
         monkeypatch.setattr(suffix_dedup, "SORT_ROWS", most)
         assert suffix_dedup.first_to_have(body, begin, n, np.zeros(len(held), np.int64), least, window).tolist() == [first[w] for w in held]
+
+
+@pytest.mark.parametrize("window,gram", [(60, 16), (70, 8), (5, 6), (5, 0)])
+def test_anchors_that_cannot_decide_a_window(window, gram):
+    with pytest.raises(ValueError, match="anchor"):
+        seeds.Shape(window, gram)
+    assert seeds.Shape(60, 30) and seeds.Shape(35, 16) and seeds.Shape(50, 26)
