@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import PREFIX, Allowlist, Detection
 from ..functions import scalars as S
+from ..tables import written
 from ..vocabulary import CARD_HINTS, DELIMITERS, PASSWORD_LABEL, POLICY, QUOTE, SEPARATOR
 
 OPEN, SHUT, OTHER = "\x01", "\x02", "\x03"
@@ -313,18 +314,20 @@ def with_findings(df: DataFrame, text_col: str, cfg: Detection, allowlist: Allow
     classifier(kind, subtype, value, context) gives a boolean column, by a pandas UDF for
     instance. It decides on typed findings with a score under 70: accepted ones (also
     where it gives null) count as classified with medium confidence and a score of 72
-    at least, others go, before opaque tokens are added.
+    at least, others go, before opaque tokens are added. With a classifier df is worked out
+    once and written, and rows are told apart by a number: only those with a finding to decide on are joined with
+    verdicts.
     """
     if classifier is None:
         return once(df, "findings", findings(F.col(text_col), cfg, allowlist, prefix))
     text = F.col(text_col)
-    # A verdict depends on the text alone, so its hash is the key: the same whenever a side is worked out again.
-    told = once(df.withColumn("_key", F.sha2(S.utf8(text), 256)), "_typed", typed(text, cfg))
-    low = told.select("_key", text.alias("t"), F.filter("_typed", lambda f: f["score"] < 70).alias("some"))
-    asked = each(low, "some", "_key", "t")
+    told = written(df.withColumns({"_typed": typed(text, cfg), "_row": F.monotonically_increasing_id()}))
+    doubtful = F.exists("_typed", lambda f: f["score"] < 70)
+    asked = each(told.where(doubtful).select("_row", text.alias("t"), F.filter("_typed", lambda f: f["score"] < 70).alias("some")), "some", "_row", "t")
     yes = F.coalesce(classifier(F.col("f.kind"), F.col("f.subtype"), F.col("f.secret"), context(F.col("t"), F.col("f"))), F.lit(True))
-    refused = asked.select("_key", "f.start", "f.rule_id", yes.alias("yes")).where("not yes").groupBy("_key").agg(F.collect_set(F.struct("start", "rule_id")).alias("_no"))
-    joined = told.join(refused, "_key", "left")
+    refused = asked.select("_row", "f.start", "f.rule_id", yes.alias("yes")).where("not yes").groupBy("_row").agg(F.collect_set(F.struct("start", "rule_id")).alias("_no"))
+    judged = told.where(doubtful).join(refused, "_row", "left")
+    joined = told.where(~F.coalesce(doubtful, F.lit(False))).withColumn("_no", F.lit(None).cast(dict(judged.dtypes)["_no"])).unionByName(judged)
     upgraded = F.transform(
         F.filter("_typed", lambda f: ~F.coalesce(F.array_contains(F.col("_no"), F.struct(f["start"].alias("start"), f["rule_id"].alias("rule_id"))), F.lit(False))),
         lambda f: F.when(
@@ -336,7 +339,7 @@ def with_findings(df: DataFrame, text_col: str, cfg: Detection, allowlist: Allow
     whole = S.let(F.concat(*parts), best_of_overlaps)
     if allowlist:
         whole = F.filter(whole, lambda f: ~allowed(f, allowlist))
-    return joined.withColumn("findings", whole.cast(f"array<{FINDING}>")).drop("_typed", "_key", "_no")
+    return joined.withColumn("findings", whole.cast(f"array<{FINDING}>")).drop("_typed", "_row", "_no")
 
 
 def exploded(df: DataFrame, *keep: str) -> DataFrame:

@@ -11,7 +11,7 @@ from ..operators import scope
 
 
 def bodies(spark: SparkSession, path: str, host: str = "stdin") -> DataFrame:
-    """One message for each file below path: msg_id, host and body."""
+    """One message for each file below path: msg_id, host and body; an empty file is none."""
     rows = spark.read.text(path, wholetext=True)
     return rows.select(F.xxhash64(F.input_file_name()).alias("msg_id"), F.lit(host).alias("host"), F.col("value").alias("body"))
 

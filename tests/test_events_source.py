@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 
 import pytest
+from cloakframe import sources
+from cloakframe.config import Settings
 from cloakframe.sources import events as E
 
 
@@ -90,3 +92,14 @@ def test_read_stop_and_resume_without_loss(spark, tmp_path):
     lay(tmp_path / "in" / "b" / "c", data["b/c"], [40])
     assert run() == sorted((s, *e) for s, d in data.items() for e in plain(d))
     assert run() == sorted((s, *e) for s, d in data.items() for e in plain(d))
+
+
+def test_files_and_messages_as_bodies(spark, tmp_path):
+    for name, body in (("a.json", '{"a": 1}'), ("b.txt", "line one\nline two"), ("c.json", "")):
+        (tmp_path / name).write_text(body)
+    rows = sources.bodies(spark, str(tmp_path), "h.example").collect()
+    assert {r.body for r in rows} == {'{"a": 1}', "line one\nline two"} and len({r.msg_id for r in rows}) == 2 and {r.host for r in rows} == {"h.example"}
+    messages = spark.createDataFrame([(1, "H.example", None, '{"a":1}'), (2, "h.example", None, "x"), (3, "other", "application/json", "{}"), (4, None, "application/json", None)], "k int, host string, content_type string, body string")
+    assert [r.k for r in sources.requests(messages, Settings(hosts=("h.example",))).collect()] == [1]
+    back = spark.createDataFrame([(1, "a {{VEIL_x"), (2, "plain"), (3, None)], "k int, body string")
+    assert [r.k for r in sources.responses(back, Settings()).collect()] == [1]
