@@ -164,16 +164,34 @@ def _number_kinds(value: Column) -> list[tuple[int, Column]]:
     return [(CARD, n.between(12, 19)), (PHONE, n.between(7, 15))]
 
 
+def _apart(base: Column, loose: Column) -> Column:
+    """The entries of loose that overlap none of base, which is looked through block by block."""
+
+    def over(a: Column, x: Column) -> Column:
+        return (a["start"] < x["stop"]) & (x["start"] < a["stop"])
+
+    def blocks(spans: Column) -> Column:
+        def block(j: Column) -> Column:
+            return let(F.slice(spans, j * BLOCK + 1, F.lit(BLOCK)), lambda s: F.struct(F.get(s, F.lit(0))["start"].alias("start"), F.array_max(F.transform(s, lambda b: b["stop"])).alias("stop"), s.alias("spans")))
+
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")), block)
+
+    def of(blocks_: Column) -> Column:
+        return F.filter(loose, lambda x: ~F.exists(blocks_, lambda b: over(b, x) & F.exists(b["spans"], lambda a: over(a, x))))
+
+    spans = F.array_sort(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["stop"].alias("stop"))))
+    return F.when(F.size(base) == 0, loose).otherwise(let(let(spans, blocks), of))
+
+
 def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, base (all seeds) and loose (instances of looser form that overlap no seed) of every row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     marks = text.contains(OPEN) | text.contains(SHUT)
-    apart = lambda base, loose: F.filter(loose, lambda x: ~F.exists(base, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
 
     def of(t: Column) -> Column:
         base = F.concat(*(_seeds(t, kind) for kind in range(len(KINDS))))
         loose = F.concat(_instances(t, LOOSE_MAIL, lambda v: [(EMAIL, F.lit(True))]), _instances(t, LOOSE_IP, lambda v: [(IP, F.lit(True))]), _instances(t, LOOSE_NUMBER, _number_kinds))
-        return let(base, lambda b: F.struct(b.alias("base"), apart(b, loose).alias("loose")))
+        return let(base, lambda b: F.struct(b.alias("base"), _apart(b, loose).alias("loose")))
 
     found = let(F.when(marks, F.translate(text, OPEN + SHUT, OTHER + OTHER)).otherwise(text), of)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.explode_outer(F.array(found)).alias("found"))
