@@ -38,6 +38,7 @@ PASSWORD_LABEL = r"\b(?i:password|passwd|passcode|passphrase|pin)\b"
 #: What ends a token that may be opaque.
 DELIMITERS = " \t\n\r\"'`=:,{}[]();<>|\\"
 
+# Fixed values of the log scrub, down to KNOWN_SECRETS: which keys, headers and makes of secrets a log line must not show.
 #: Keys whose values a log line must not show.
 SECRET_KEY = "api[_-]?key|x-api-key|secret[_-]?key|access[_-]?token|auth[_-]?token|refresh[_-]?token|password|passwd"
 #: What follows such a key, quoted or bare, in JSON and elsewhere: (pattern before the value, characters that end a bare value).
