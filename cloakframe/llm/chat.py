@@ -37,7 +37,9 @@ def format_examples(conversations: DataFrame, assistant: str = "assistant") -> D
     last reply, or a conversation without one, get a last example of context alone.
     Rows are ordered by turn, ties by role and text; a null turn comes first, null
     role and text are empty, rows with null conv_id make one conversation, repeated
-    rows are turns of their own. Other columns are ignored; no rows give no rows.
+    rows are turns of their own. A conversation is one row, and its examples hold its
+    text as often as it has replies, so very long ones of many turns should be split
+    before. Other columns are ignored; no rows give no rows.
     """
     turn = F.struct(
         F.col("turn"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import delete, materialise
 
 
-#: Edges, of 16 bytes each, that one task connects at once; more are connected in rounds.
+#: Edges, of 16 bytes each, that one task connects at once; more are connected in rounds, with the same components.
 FEW_EDGES = 1 << 20
 
 

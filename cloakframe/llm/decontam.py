@@ -26,7 +26,7 @@ MARKS = (
 #: Then marks the other capitals, at the start of a text, line or sentence, after a digit, quote or bracket.
 OTHER_CAPITAL = (r"(^|[^\p{L}\p{N}\x01\x02\x04])(\p{Lu})", "$1\x05$2")
 BETWEEN = r"[^\p{L}\p{N}\x01\x02\x04\x05]+"
-#: Rows of benchmark windows up to which they are broadcast; beyond, both sides are shuffled.
+#: Rows of benchmark windows up to which they are broadcast; beyond, both sides are shuffled. The result is the same.
 MOST_BROADCAST = 400_000
 #: Bits of the table by which windows that no item has are passed over early.
 SKETCH_BITS = 1 << 17

@@ -74,7 +74,8 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: flo
     Null source, lang or id counts as an empty string, null text has no tokens; rows of
     cells without tokens have rate 0 and are left out. Repeated rows count each and are
     decided alike. Columns named k_source, k_lang, k_topic, n_tokens, rate or copies in
-    docs are replaced. No rows give no rows.
+    docs are replaced. A very long text is one row of many tokens, taken or left whole.
+    No rows give no rows.
     """
     own = [c for c in docs.columns if c not in {*(f"k_{d}" for d in DIMENSIONS), "n_tokens", "rate", "copies"}]
     docs = measured(docs.select(own), topic)

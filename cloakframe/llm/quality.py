@@ -170,7 +170,8 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train_
 
     Null and empty texts are scored like any other; repeated ids are scored row by
     row; a null id is held out. Other columns are never read. Empty docs give no rows;
-    without usable labels every score is 0.5.
+    without usable labels every score is 0.5. A very long text is read whole, and only its
+    statistics travel; ties and repeated rows are scored alike.
     """
     stats = materialise(with_statistics(docs, id_col, text_col))
     model = fit(stats, chosen(labels, label, max_train_rows))

@@ -37,7 +37,7 @@ BASE = 0x9E3779B97F4A7C15
 BACK = pow(BASE, -1, 1 << 64)
 #: Bytes of text in a block, on average.
 BLOCK_BYTES = 1 << 20
-#: Blocks with the same anchor beyond which its windows are dealt one by one.
+#: Blocks with the same anchor beyond which its windows are dealt one by one. The result is the same.
 CROWDED = 4096
 #: Bits of an anchor's hash that travel within its bucket.
 CODE_BITS = 40

@@ -192,7 +192,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2, blocks:
     """doc_id, fp and component_id (the smallest doc_id reachable) of every document.
 
     A null or empty text, or one of white space, has fingerprint zero and is linked
-    like any other. Fewer words than width make one shingle. Rows with equal texts
+    like any other. Fewer words than width make one shingle; a very long text is taken
+    whole, by one task, which holds its words once. Rows with equal texts
     share a class; rows with a repeated doc_id each come out; rows with a null doc_id
     don't lend their id to a class, and a class of such rows alone has a null id.
     Other columns are ignored; no rows give no rows.

@@ -161,10 +161,6 @@ def parse(data: bytes) -> dict:
     }
 
 
-def _order(row: dict) -> tuple:
-    return row["urlkey"], row["captured"], row["page_id"] is not None, row["page_id"] or 0
-
-
 #: Index rows of a run that are one chunk of it.
 CHUNK_ROWS = 512
 #: First keys of chunks, those with the smallest hashes, by which key ranges are chosen.
