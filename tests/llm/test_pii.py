@@ -53,14 +53,14 @@ def test_base_matches_brute_force(spark):
         "+1 (555) 010-9999", "+1-2", "+49 30 1234567 89", "++12 345 6789 )", "é", "日本", " ", "\n", "\x01", "\x02", "tel:", "-", ".", "%", "word", "5", "12 34 56 78 90 12 34 56",
     ]
     rows = [(i, "".join(rng.choice(bits) + rng.choice(["", " ", ", "]) for _ in range(rng.randint(0, 40)))) for i in range(300)]
-    rows += [(None, None), (None, "mail a@b.cd"), (None, "mail a@b.cd"), (7, "again a@b.cd"), (8, ""), (9, "x@y." * 30000), (10, "1 " * 50000), (11, "a" * 100000 + "@"), (12, "+1 555 0109 999 x" * 20000)]
-    got = run(spark, rows)
+    rows += [(None, None), (None, "mail a@b.cd"), (None, "mail a@b.cd"), (7, "again a@b.cd"), (8, ""), (9, "x@y." * 20000), (10, "1 " * 50000), (11, "a" * 100000 + "@"), (12, "+1 555 0109 999 x" * 5000)]
+    got = run(spark, rows, rounds=1)
     assert [(i, b) for i, b, _ in got] == sorted(((i, told(plain_base(t))) for i, t in rows), key=lambda x: str((x[0], x[1])))
     assert all(not b or s.startswith(b.split(",")[0]) or b in s for _, b, s in got)
 
 
 def test_empty_table(spark):
-    assert run(spark, []) == []
+    assert run(spark, [], rounds=1) == []
 
 
 UNIT = re.compile(r"[^\W\d_]+[:=#-]?")
