@@ -301,7 +301,7 @@ def test_index_merge_is_ordered_over_partitions_and_holds_few_chunks(spark, monk
 
 
 def test_every_operator_is_registered():
-    assert {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in QUERIES}
+    assert {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in QUERIES}
     assert set(ORACLE) <= set(QUERIES)
 
 
