@@ -71,9 +71,14 @@ def op9_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", F.col("k_topic").alias("topic"), "n_tokens", F.round("rate", 6).alias("rate"), "copies")
 
 
+def _of_kind(spans: str, kind: int) -> Column:
+    """How many spans are of a kind. The lambda takes one parameter: a second one, even with a default, would get the index."""
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
 def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    counts = [_of_kind("base", k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
 
 

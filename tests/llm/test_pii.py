@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
 
 from cloakframe.llm import pii
+from cloakframe.llm.queries import QUERIES
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, kind string, base string, value int"
@@ -155,3 +157,13 @@ def test_main_path_runs_no_python(spark):
     plan = pii.entities(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
     assert pii.entities(df).select(F.size("base")).first()[0] == 1
+
+
+def test_query_counts_each_kind_apart(spark, tmp_path):
+    texts = ["a@b.cd", "1.2.3.4 and 5.6.7.8", "4111 1111 1111 1111", "+1 (555) 010-9999 x@y.zz +49 30 1234567", "none", None, "a@b.cd 1.2.3.4 c@d.ef 4111111111111111 +49 30 1234567 g@h.ij"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: tuple(r)[1:6] for r in QUERIES["op11_personal_data"](spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        base = plain_base(text)
+        n = Counter(kind for kind, _, _ in base)
+        assert got[i] == (*(n[k] for k in pii.KINDS), hashlib.sha256(told(base).encode()).hexdigest())
