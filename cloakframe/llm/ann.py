@@ -15,19 +15,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise
+from .common import bounded_batches, delete, materialise, parts
 
 #: Distinct vectors that the centres and codewords are fitted on, those with the smallest hashes.
 FIT_ROWS = 16_384
-#: Distinct vectors of a list in one block, and queries in one block, on average.
-BLOCK_ROWS, BLOCK_QUERIES = 65_536, 512
-#: Shares of a query's lists after which its least score by code is taken anew from what was found.
-WAVES = (1 / 64, 1 / 16, 1 / 4, 1)
+#: Queries that go over the rows at once, on average; they and their best are what a task holds, and what passes the driver.
+BLOCK_QUERIES = 16_384
+#: Rows of a list and queries that are compared at once, and pairs that are measured at once.
+ROWS, QUERIES, PAIRS = 4_096, 1_024, 16_384
 #: How much the parallel part of the error weighs against the part across.
 ETA = 4.0
 CODEWORDS = 16
@@ -180,39 +179,176 @@ def _clean(value: list | None) -> bool:
 
 
 def distinct_vectors(vectors: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
-    """vid, vector and ids: each distinct usable vector once, with its k + 1 smallest ids (ids of equal vectors tie, so no more are needed).
+    """vector and ids: each distinct usable vector once, with its k + 1 smallest ids (ids of equal vectors tie, so no more are needed).
 
-    A task combines its own copies first, so a very common vector is a row for each task.
+    A task combines its own copies first, so a very common vector is a row for each task. Vectors stay
+    floats where they came as floats.
     """
     bounded_batches(vectors.sparkSession)
+    narrow = dict(vectors.select(F.col(vector_col).alias("v")).dtypes)["v"] == "array<float>"
+    kind, item = ("float", pa.float32()) if narrow else ("double", pa.float64())
 
-    def combined(rows: Iterator[tuple[list[float], list[int]]]) -> pa.RecordBatch:
-        held: dict[bytes, tuple[list[float], set]] = {}
+    def combined(rows: Iterator[tuple[np.ndarray, list[int]]]) -> pa.RecordBatch:
+        held: dict[bytes, set] = {}
         for vector, ids in rows:
-            _, known = held.setdefault(np.asarray(vector, float).tobytes(), (vector, set()))
-            known.update(ids)
-        some = [(v, sorted(ids)[: k + 1]) for v, ids in held.values()]
-        return pa.record_batch(
-            [pa.array([v for v, _ in some], pa.list_(pa.float64())), pa.array([i for _, i in some], pa.list_(pa.int64()))], ["vector", "ids"]
-        )
+            held.setdefault(vector.tobytes(), set()).update(ids)
+        some = [np.frombuffer(v) for v in held]
+        return pa.record_batch([_lists(some, item), pa.array([sorted(i)[: k + 1] for i in held.values()], pa.list_(pa.int64()))], ["vector", "ids"])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             yield combined((np.asarray(v, float) + 0.0, [i]) for i, v in rows if i is not None and v is not None and None not in v and _clean(v))
 
-    usable = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    once = usable.mapInArrow(first, "vector array<double>, ids array<long>")
-    merged = once.groupBy("vector").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
-    return materialise(merged.select(F.xxhash64("vector").alias("vid"), "vector", "ids"))
+    usable = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
+    once = usable.mapInArrow(first, f"vector array<{kind}>, ids array<long>")
+    merged = once.repartition(parts(vectors.sparkSession), "vector").groupBy("vector").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
+    return materialise(merged)
 
 
-def _best(scores: np.ndarray, most: int) -> np.ndarray:
-    """Places of the largest scores, most of them if there are so many."""
-    return np.argpartition(-scores, most - 1)[:most] if len(scores) > most else np.arange(len(scores))
+def _lists(rows: list[np.ndarray], item: pa.DataType) -> pa.Array:
+    """Vectors as an Arrow column of lists."""
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.empty(0), pa.float64()).cast(item))
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = 200, recall: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _stacked(column: pa.Array, d: int) -> np.ndarray:
+    """Vectors of a column as rows of d components, shorter ones with zeros in the other places."""
+    sizes = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if (sizes == d).all():
+        return flat.reshape(len(sizes), d).astype(float)
+    out = np.zeros((len(sizes), d))
+    out[np.arange(d) < sizes[:, None]] = flat
+    return out
+
+
+def decoded(model: Model, codes: np.ndarray, lists: np.ndarray) -> np.ndarray:
+    """The vectors (not augmented) that codes stand for, less the centres of their lists."""
+    parts = np.stack([model.codewords[j][codes[:, j]] for j in range(model.pairs)], 1)
+    return parts.reshape(len(codes), -1)[:, : model.centres.shape[1] - 1]
+
+
+def margin(model: Model, x: np.ndarray, k: int, queries: int = 256) -> float:
+    """How large the cosine between q - x and what x has beyond its code gets for true neighbours, within the sample, with a tenth to spare."""
+    if len(x) < 2:
+        return 1.0
+    lists = _nearest(augmented(x), model.centres)
+    r = x - model.centres[lists, :-1] - decoded(model, encode(model, augmented(x), lists), lists)
+    lengths = np.sqrt((r * r).sum(1))
+    norms = (x * x).sum(1)
+    most = 0.0
+    for at in range(0, len(x), max(1, len(x) // queries)):
+        away = norms - 2 * (x @ x[at])
+        away[at] = np.inf
+        near = np.argpartition(away, min(k, len(x) - 1) - 1)[: min(k, len(x) - 1)]
+        gap = x[at] - x[near]
+        whole = np.sqrt((gap * gap).sum(1)) * lengths[near]
+        most = max(most, np.abs(np.divide((gap * r[near]).sum(1), whole, out=np.zeros(len(near)), where=whole > 0)).max())
+    return float(min(1.0, 1.1 * most + 0.05))
+
+
+def _sampled(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of each query's k nearest in the sample x, whose smallest ids differ; an infinite score where there are fewer."""
+    scores, found = np.full((len(q), k), np.inf), np.zeros((len(q), k), np.int64)
+    norms = (x * x).sum(1)
+    for at in range(0, len(q), 256):
+        away = norms - 2 * q[at : at + 256] @ x.T
+        away[own[at : at + 256, None] == ids] = np.inf
+        near = np.argpartition(away, k - 1, 1)[:, :k] if away.shape[1] > k else np.tile(np.arange(away.shape[1]), (len(away), 1))
+        for i, some in enumerate(near, at):
+            some = some[np.isfinite(away[i - at, some])]
+            score = np.sqrt(np.cumsum((q[i] - x[some]) ** 2, 1)[:, -1])
+            by = np.lexsort((ids[some], score))
+            scores[i, : len(by)], found[i, : len(by)] = score[by], ids[some][by]
+    return scores, found
+
+
+def _firsts(query: np.ndarray, score: np.ndarray, id_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Queries, scores and ids by query, then score, then id, and each one's place in its query; an id counts once, by its best score."""
+    by = np.lexsort((score, id_, query))
+    query, score, id_ = query[by], score[by], id_[by]
+    new = np.ones(len(query), bool)
+    new[1:] = (query[1:] != query[:-1]) | (id_[1:] != id_[:-1])
+    query, score, id_ = query[new], score[new], id_[new]
+    by = np.lexsort((id_, score, query))
+    query, score, id_ = query[by], score[by], id_[by]
+    return query, score, id_, np.arange(len(query)) - np.searchsorted(query, query)
+
+
+@dataclass
+class Searcher:
+    """Queries of one block that go over rows: own ids, vectors, scores and ids of the k nearest in the sample, and how many lists each visits."""
+
+    model: Model
+    spread: float
+    k: int
+    probes: int
+    own: np.ndarray
+    q: np.ndarray
+    scores: np.ndarray
+    ids: np.ndarray
+
+    def __post_init__(self):
+        self.known = self.ids.copy(), np.isfinite(self.scores)
+        self.reach = self.scores[:, -1].copy()
+        n = len(self.model.centres)
+        self.visits = np.ones((n, len(self.q)), bool)
+        if self.probes < n:
+            for at in range(0, len(self.q), 1024):
+                away = _list_order(self.model, self.q[at : at + 1024])
+                far = np.argpartition(away, self.probes, 1)[:, self.probes :]
+                self.visits[far, np.arange(at, at + len(away))[:, None]] = False
+
+    def scan(self, list_: int, codes: np.ndarray, errors: np.ndarray, x: np.ndarray, ids: pa.Array) -> None:
+        """Go over rows of one list: by code, then exactly where the code doesn't tell that a row is too far."""
+        asked = np.flatnonzero(self.visits[list_])
+        centre = self.model.centres[list_, :-1]
+        r = decoded(self.model, codes, np.full(len(codes), list_))
+        square = (r * r).sum(1)
+        right = np.c_[r, square - errors * errors, errors].T
+        within = np.sqrt(((x - centre) ** 2).sum(1).max())
+        sizes = np.diff(ids.offsets.to_numpy())
+        flat, starts = ids.flatten().to_numpy(), np.r_[0, np.cumsum(sizes)[:-1]]
+        for at in range(0, len(asked), QUERIES):
+            some = asked[at : at + QUERIES]
+            gap = self.q[some] - centre
+            own = (gap * gap).sum(1)
+            some, gap, own = (v[np.sqrt(own) - within <= self.reach[some] * (1 + 1e-9) + 1e-9 * np.sqrt(own)] for v in (some, gap, own))
+            reach = np.where(np.isfinite(self.reach[some]), self.reach[some], 0.0)
+            left = np.c_[-2 * gap, np.ones(len(some)), -2 * self.spread * reach]
+            most = np.where(np.isfinite(self.reach[some]), reach * reach - own + 1e-9 * (own + square.max() + reach * reach), np.inf)
+            i, j = np.nonzero(left @ right <= most[:, None])
+            for part in range(0, len(i), PAIRS):
+                self._measured(some[i[part : part + PAIRS]], j[part : part + PAIRS], x, flat, starts, sizes)
+
+    def _measured(self, i: np.ndarray, j: np.ndarray, x: np.ndarray, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        gap = self.q[i] - x[j]
+        near = np.einsum("nd,nd->n", gap, gap) <= self.reach[i] ** 2 * (1 + 1e-9)
+        i, j = i[near], j[near]
+        if not len(i):
+            return
+        score = np.sqrt(np.cumsum(gap[near] ** 2, 1)[:, -1])  # added up in order, as SQL does
+        n = sizes[j]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[j], n)
+        i, score, id_ = np.repeat(i, n), np.repeat(score, n), ids[place]
+        other = id_ != self.own[i]
+        rows, i = np.unique(i[other], return_inverse=True)
+        known = np.isfinite(self.scores[rows])
+        old = np.repeat(np.arange(len(rows)), self.k).reshape(-1, self.k)[known]
+        query, score, id_, at = _firsts(np.r_[old, i], np.r_[self.scores[rows][known], score[other]], np.r_[self.ids[rows][known], id_[other]])
+        kept = at < self.k
+        self.scores[rows[query[kept]], at[kept]], self.ids[rows[query[kept]], at[kept]] = score[kept], id_[kept]
+        self.reach[rows] = np.minimum(self.reach[rows], self.scores[rows, -1])
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Own ids, ids and scores of what was found beyond the sample."""
+        ids, there = self.known
+        query, at = np.nonzero(np.isfinite(self.scores) & ~((self.ids[:, :, None] == ids[:, None, :]) & there[:, None, :]).any(2))
+        return self.own[query], self.ids[query, at], self.scores[query, at]
+
+
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of the k nearest found for each row whose id is divisible by every.
 
     Vectors that are null, empty, zero, or hold a null or a non-finite component take
@@ -220,94 +356,87 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = 200
     places. Equal distances go to the smaller id; a repeated id with equal vectors counts
     once. Nothing usable gives no rows. Other columns are ignored.
 
-    Every row is indexed. A query scans the whole codes of the lists it visits; the
-    rerank best of all its lists by code, and only those, are measured exactly, copies
-    of a vector counting once. How many lists it visits follows from the sample, so
-    that they hold the share recall of its neighbours; vectors without clusters need many.
+    Every row is indexed. A query goes over the codes of the lists that it visits, but for those that are
+    wholly too far; what may be near by its code is measured exactly, copies of a vector once. How many lists it
+    visits follows from the sample, so that they hold more than the share recall of its neighbours; vectors
+    without clusters need many. Rows are neither dealt to queries nor queries to lists: a block of
+    queries is broadcast, each task takes it over its rows, and leaves k rows a query. So disk and
+    memory don't grow with the pairs; the time of unclustered vectors does.
     """
     spark = vectors.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
     distinct = distinct_vectors(vectors, k, id_col, vector_col)
+    kind = dict(distinct.dtypes)["vector"]
     size = distinct.agg(F.max(F.size("vector")).alias("d"), F.count("*").alias("c")).first()
     if not size.c:
         return spark.createDataFrame([], out)
-    whole = lambda v: F.concat(F.col(v), F.array_repeat(F.lit(0.0), F.lit(size.d) - F.size(v))).alias(v)
-    distinct = distinct.select("vid", whole("vector"), "ids")
-    sample = np.array([r.vector for r in distinct.orderBy("vid", "vector").limit(FIT_ROWS).select("vector").collect()])
+    d = size.d
+    chosen = distinct.orderBy(F.xxhash64("vector"), "vector").limit(FIT_ROWS).toArrow()
+    sample = _stacked(chosen.column("vector").combine_chunks(), d)
+    first_ids, unique = np.unique(np.array([i[0] for i in chosen.column("ids").to_pylist()]), return_index=True)
     model = fit(sample, int(min(1024, max(1, round(np.sqrt(size.c) / 2)))))
-    probes = needed_probes(model, sample, k, recall)
-    # What a query's best by code among the sample have, its best of all rows have at least.
-    floor_lists = _nearest(augmented(sample), model.centres)
-    floor_codes = encode(model, augmented(sample), floor_lists)
+    probes = needed_probes(model, sample, k, (1 + recall) / 2)
+    spread = margin(model, sample, k)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                y = augmented(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
-                lists = _nearest(y, model.centres)
-                yield pa.record_batch([batch.column(0), pa.array(lists), pa.array(packed(encode(model, y, lists)), pa.binary())], ["vid", "list", "codes"])
-
-    codes = materialise(distinct.select("vid", "vector").mapInArrow(listed, "vid long, list long, codes binary"))
-    usable = vectors.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<double>").alias("q")).where(F.col("query_id") % every == 0)
+                x = _stacked(batch.column(0), d)
+                lists = _nearest(augmented(x), model.centres)
+                codes = encode(model, augmented(x), lists)
+                beyond = x - model.centres[lists, :-1] - decoded(model, codes, lists)
+                yield pa.record_batch([*batch.columns, pa.array(lists), pa.array(packed(codes), pa.binary()), pa.array(np.sqrt((beyond * beyond).sum(1)))], ["vector", "ids", "list", "codes", "error"])
+
+    coded = materialise(distinct.mapInArrow(listed, f"vector {kind}, ids array<long>, list long, codes binary, error double").sortWithinPartitions("list"))
+    delete(distinct)
+    usable = vectors.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast(kind).alias("q")).where(F.col("query_id") % every == 0)
     sound = F.size("q") > 0
     for test in (
         F.forall("q", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))),
         F.exists("q", lambda x: x != 0),
     ):
         sound = sound & test
-    queries = materialise(usable.where(sound).select("query_id", whole("q")).distinct())
 
-    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            q = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            best = np.argsort(_list_order(model, q), 1, kind="stable")[:, :probes]
-            floor = np.full(len(q), -np.inf)
-            for i in range(len(q)):
-                own = np.flatnonzero(np.isin(floor_lists, best[i]))
-                if len(own) > rerank:
-                    near = scan(model, q[i : i + 1], floor_codes[own], floor_lists[own])[0]
-                    floor[i] = -np.partition(-near, rerank)[rerank]
-            wave = np.searchsorted(np.ceil(np.array(WAVES) * best.shape[1]), np.arange(best.shape[1]), "right")
-            lists = [[{"wave": w, "list": x} for w, x in zip(wave.tolist(), row)] for row in best.tolist()]
-            yield pa.record_batch([*batch.columns, pa.array(floor), pa.array(lists, pa.list_(pa.struct([("wave", pa.int64()), ("list", pa.int64())])))], ["query_id", "q", "floor", "lists"])
-
-    asked = materialise(queries.mapInArrow(probed, "query_id long, q array<double>, floor double, lists array<struct<wave: long, list: long>>"))
-    counts = codes.groupBy("list").agg(F.count("*").alias("rows"))
-    blocks = counts.select("list", F.ceil(F.col("rows") / BLOCK_ROWS).alias("v_blocks"), F.ceil(F.lit(max(1, queries.count()) / BLOCK_QUERIES)).alias("q_blocks"))
-    blocks = F.broadcast(materialise(blocks))  # a row for each of at most 1,024 lists
-    across = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    right = codes.join(blocks, "list").select("list", F.pmod(F.col("vid"), F.col("v_blocks")).alias("v"), across("q_blocks").alias("b"), "vid", "codes")
-
-    def search(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        if len(asked) and len(rows):
-            q, own = np.stack(asked["q"].to_list()), unpacked(rows["codes"].to_list(), model.pairs)
-            vid, lists = rows["vid"].to_numpy(), rows["list"].to_numpy()
-            for at in range(0, len(q), 64):
-                for i, near in enumerate(scan(model, q[at : at + 64], own, lists), at):
-                    best = _best(near, rerank)
-                    best = best[near[best] >= asked["floor"].iat[i]]
-                    found.append((np.full(len(best), asked["query_id"].iat[i]), vid[best], near[best]))
-        return pd.DataFrame(dict(zip(("query_id", "vid", "near"), map(np.concatenate, zip(*found)))))
-
-    best = None
-    floors = asked.select("query_id", "floor")
-    for wave in range(len(WAVES)):
-        now = asked.select("query_id", "q", F.explode(F.filter("lists", lambda x: x["wave"] == wave)).alias("x")).select("query_id", "q", "x.list").join(floors, "query_id")
-        left = now.join(blocks, "list").select("list", across("v_blocks").alias("v"), F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).alias("b"), "query_id", "q", "floor")
-        hits = left.groupBy("list", "v", "b").cogroup(right.groupBy("list", "v", "b")).applyInPandas(search, "query_id long, vid long, near double")
-        found = hits.groupBy("query_id").agg(F.collect_list(F.struct("near", "vid")).alias("near"))
-        if best is not None:
-            found = best.select("query_id", F.col("near").alias("old")).join(found, "query_id", "full").select("query_id", F.concat(F.coalesce("old", F.array().cast(best.schema["near"].dataType)), F.coalesce("near", F.array().cast(best.schema["near"].dataType))).alias("near"))
-        best = materialise(found.select("query_id", F.slice(F.sort_array("near", asc=False), 1, rerank).alias("near")))
-        higher = best.where(F.size("near") == rerank).select("query_id", F.element_at("near", rerank)["near"].alias("higher"))
-        floors = asked.select("query_id", "floor").join(higher, "query_id", "left").select("query_id", F.greatest("floor", "higher").alias("floor"))
-    # Copies of the query itself are no neighbours, but take a place.
-    short = materialise(best.select("query_id", F.explode("near.vid").alias("vid")))
-    pairs = short.join(distinct, "vid").join(queries, "query_id")
-    square = F.aggregate(F.zip_with("vector", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda sum_, x: sum_ + x)
-    each = pairs.select("query_id", F.explode("ids").alias("vec_id"), F.sqrt(square).alias("score")).where("vec_id <> query_id")
+            if batch.num_rows:
+                scores, ids = _sampled(_stacked(batch.column(1), d), batch.column(0).to_numpy(), sample[unique], first_ids, k)
+                yield pa.record_batch([*batch.columns, pa.array(list(scores), pa.list_(pa.float64())), pa.array(list(ids), pa.list_(pa.int64()))], ["query_id", "q", "scores", "ids"])
+
+    queries = materialise(usable.where(sound).distinct().mapInArrow(reached, f"query_id long, q {kind}, scores array<double>, ids array<long>"))
+    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    found = [_searched(coded, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), model, spread, k, probes, d) for b in range(blocks)]
+    each = queries.select("query_id", F.explode(F.arrays_zip(F.col("ids").alias("vec_id"), F.col("scores").alias("score"))).alias("x")).select("query_id", "x.*").where("score < double('infinity')")
+    for some in found:
+        each = each.unionByName(some)
     best = each.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("near"))
     return best.select("query_id", F.posexplode("near").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")
+
+
+def _searched(coded: DataFrame, queries: DataFrame, model: Model, spread: float, k: int, probes: int, d: int) -> DataFrame:
+    """query_id, vec_id and score, written: what each task's rows have for a block of queries, k rows a query at most."""
+    asked = queries.toArrow().combine_chunks()
+    columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in asked.columns]
+    block = coded.sparkSession.sparkContext.broadcast((columns[0].to_numpy(), _stacked(columns[1], d), _stacked(columns[2], k), columns[3].flatten().to_numpy().reshape(-1, k)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q, scores, ids = block.value
+        one = Searcher(model, spread, k, probes, own, q, scores.copy(), ids.copy())
+        for batch in batches:
+            lists = batch.column(2).to_numpy()
+            for begin, end in _runs(lists):
+                part = batch.slice(begin, end - begin)
+                one.scan(int(lists[begin]), unpacked(part.column(3).to_pylist(), model.pairs), part.column(4).to_numpy(), _stacked(part.column(0), d), part.column(1))
+        yield pa.record_batch(list(map(pa.array, one.best())), ["query_id", "vec_id", "score"])
+
+    done = materialise(coded.mapInArrow(run, "query_id long, vec_id long, score double"))
+    block.unpersist()
+    return done
+
+
+def _runs(lists: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of equal values, of ROWS at most."""
+    cuts = np.r_[0, np.flatnonzero(np.diff(lists)) + 1, len(lists)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        for at in range(a, b, ROWS):
+            yield int(at), int(min(b, at + ROWS))

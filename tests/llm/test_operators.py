@@ -223,6 +223,22 @@ def test_short_list_of_codes_decides_among_long_lists(spark):
     assert hit / 600 >= 0.9
 
 
+def test_neighbours_within_dense_groups_and_of_uneven_lengths(spark):
+    """Groups far denser than codes can tell, and lengths of several orders: no fixed number of rows by code holds the neighbours."""
+    rng = np.random.default_rng(8)
+    x = np.r_[rng.normal(size=(4, 32))[rng.integers(0, 4, 4000)] + 0.01 * rng.normal(size=(4000, 32)), rng.normal(size=(2000, 32)) * np.exp(2 * rng.normal(size=(2000, 1)))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in ann.nearest(df, every=50).orderBy("query_id", "rank").collect():
+        found[r.query_id].append(r.vec_id)
+    hit = 0
+    for q in range(0, 6000, 50):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(set(found[q]) & set(np.argsort(d)[:10].tolist()))
+    assert all(len(v) == 10 for v in found.values()) and hit / 1200 >= 0.95
+
+
 def test_four_bit_scan_follows_exact_products():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(2000, 16))
