@@ -6,6 +6,7 @@ import re
 
 import pyarrow as pa
 import pytest
+from cloakframe import tables
 from cloakframe.errors import MaskError
 from cloakframe.functions.local import entropy
 from cloakframe.operators import rules
@@ -118,3 +119,10 @@ def test_packs_that_cannot_be_meant(bad):
 def test_a_pack_from_a_file(spark, tmp_path):
     (tmp_path / "pack.toml").write_text(X.PAGE_RULES)
     assert rules.load(spark, f"file://{tmp_path}/pack.toml") == rules.from_toml(X.PAGE_RULES)
+
+
+def test_texts_are_taken_a_few_at_a_time():
+    batch = pa.record_batch([pa.array(range(50)), pa.array(["x" * 100_000] * 50)], ["key", "text"])
+    parts = list(tables.slices(iter([batch]), 1 << 20))
+    assert max(p.num_rows for p in parts) == 10 and [k for p in parts for k in p.column(0).to_pylist()] == list(range(50))
+    assert [p.num_rows for p in tables.slices(iter([batch]), 1)] == [1] * 50 and list(tables.slices(iter([batch.slice(0, 0)]))) == []
