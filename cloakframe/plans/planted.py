@@ -247,7 +247,7 @@ BODIES: list[tuple[str | None, int, str | None, str | None]] = [
 def _bodies(spark, sf_dir):
     plain = F.replace(chosen([b[0] for b in BODIES]), F.lit("M"), F.concat(F.lit("u"), F.lpad((F.col("c_custkey") % 10**6).cast("string"), 6, "0"), F.lit("@harbour.dev")))
     inner = F.base64(F.concat(F.lit('{"email":"u'), F.lpad((F.col("c_custkey") % 10**6).cast("string"), 6, "0"), F.lit('@harbour.dev"}')).cast("binary"))
-    return customers(spark, sf_dir).withColumn("body", F.replace(plain, F.lit("BASE64"), inner))
+    return detect.spread(customers(spark, sf_dir)).withColumn("body", F.replace(plain, F.lit("BASE64"), inner))
 
 
 def message_bodies(spark, sf_dir):
