@@ -349,7 +349,7 @@ def rule_allowlists_pages(spark, sf_dir):
 
 def session_messages(spark, sf_dir):
     """Each document as a session: what is asked, and its masked text as an answer up to two hours later, through keyed state of one hour."""
-    rows = masked(spark, sf_dir)
+    rows = written(masked(spark, sf_dir).select("doc_id", "text", "masked"))  # read for both directions: texts are masked once
     at_ = F.timestamp_seconds(F.unix_timestamp(at()) + F.col("doc_id"))
     asked = rows.select("doc_id", F.lit("request").alias("direction"), at_.alias("at"), "text")
     told = rows.select("doc_id", F.lit("response").alias("direction"), (at_ + F.make_dt_interval(mins=F.pmod("doc_id", F.lit(5)).cast("int") * 30)).alias("at"), F.col("masked").alias("text"))
